@@ -119,8 +119,89 @@ CTES = {
     "edges_cyclic": """
   SELECT 'P' || p_partkey AS child,
     'P' || ((p_partkey * p_partkey + 1) % (SELECT count(*) FROM part)) AS parent FROM part""",
+    "brands": """
+  SELECT DISTINCT 'b' || substr(p_brand, 7) AS doc, CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part""",
+    "outline_lines": """
+  SELECT doc, CAST(o AS BIGINT) AS ord, t AS text FROM (
+    SELECT doc, unnest([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25,
+        26, 27, 28, 29, 30, 31, 32, 33, 34, 40, 41, 42, 43, 44, 45]) AS o, unnest([
+      '* doc ' || doc, ':PROPERTIES:', CASE WHEN n % 9 <> 0 THEN ':ID: ' || doc END, ':X-context-type: ontology',
+      ':X-context-localname: ' || CASE WHEN n % 5 = 0 THEN 'other' ELSE doc END,
+      CASE WHEN n % 4 = 0 THEN ':header-args:omn: :noweb no'
+        ELSE ':header-args:omn: :tangle ' || doc || '.omn :noweb yes' END,
+      ':END:', '** Prefixes', ':PROPERTIES:', ':prefixdefs: yes', ':END:', '| prefix | uri |', '|--------+-----|',
+      CASE WHEN n % 10 <> 0 THEN '| part: | http://data.example.org/part/ |' END,
+      CASE WHEN n % 10 <> 0 THEN '| ex: | http://ex.example.org/ |' END,
+      CASE WHEN n % 10 <> 0 THEN '| ont: | http://data.example.org/ont/ |' END,
+      CASE WHEN n % 10 <> 0 THEN '| part: | http://other.example.org/ |' END,
+      '** ' || doc || ' ontology (' || CASE WHEN n % 6 = 0 THEN 'none'
+        WHEN n % 7 = 0 THEN 'zz:' || doc || ' zz:' || doc || '/1.0'
+        ELSE 'ont:' || doc || ' ont:' || doc || '/1.0' END || ')',
+      ':PROPERTIES:', ':ID: ' || doc || '-ontology-declaration', ':resourcedefs: yes', ':END:',
+      ' - rdfs:comment :: about ' || doc, '** Classes', ':PROPERTIES:', ':ID: ' || doc || '-class-hierarchy',
+      ':resourcedefs: yes', ':END:', '*** Thing of ' || doc || ' (ex:T' || doc || ')', ' - rdfs:comment :: top',
+      '#+begin_src omn', 'Class: ex:T' || doc, '#+end_src', 'see part:P1 in prose',
+      '** Individuals', ':PROPERTIES:', ':ID: ' || doc || '-individuals',
+      ':resourcedefs: ' || CASE WHEN n % 8 = 0 THEN 'no' ELSE 'yes' END,
+      ':X-subheading-relation: ex:partOf', ':END:']) AS t FROM brands
+    UNION ALL
+    SELECT doc, base + unnest([0, 1, 2, 3, 4, 5, 6]), unnest([
+      CASE WHEN k % 4 = 3 THEN '**** ' ELSE '*** ' END || p_name || CASE WHEN k % 31 = 0 THEN ''
+        ELSE ' (part:P' || k || ')' END || CASE WHEN k % 37 = 0 THEN '  :nodeclare:' ELSE '' END,
+      CASE WHEN k % 5 <> 0 THEN ' - rdfs:comment :: size ' || p_size END,
+      CASE WHEN k % 5 <> 0 AND k % 3 = 0 THEN '   and brand ' || doc END,
+      CASE WHEN k % 5 <> 0 AND k % 7 = 0 THEN '   - rdfs:seeAlso :: meta ' || k END,
+      CASE WHEN k % 11 = 0 THEN ' - Types ::' ELSE ' - Types :: ex:T' || doc END,
+      CASE WHEN k % 50 = 0 THEN ' - SubClassOf :: ex:T' || doc END,
+      CASE WHEN k % 60 = 0 THEN ' - ex:unknown :: odd' END]) FROM bparts)
+  WHERE t IS NOT NULL""",
+    "bparts": """
+  SELECT *, p_partkey AS k, 1000 + p_partkey * 10 AS base, 'b' || substr(p_brand, 7) AS doc,
+    CAST(substr(p_brand, 7) AS INTEGER) AS n FROM part""",
+    # The node table of the outline documents, straight from the tables.
+    "nodes": """
+  SELECT *, CASE WHEN uri IS NULL AND NOT nodeclare AND level > 9 THEN '' END AS unused FROM (
+    SELECT doc, CAST(1 AS BIGINT) AS node_id, CAST(NULL AS BIGINT) AS parent_id, 1 AS level, 'doc ' || doc AS title,
+      CAST(NULL AS VARCHAR) AS uri, CAST(NULL AS VARCHAR) AS label, CAST(NULL AS VARCHAR) AS rdf_type,
+      CAST(NULL AS VARCHAR) AS section_id, CASE WHEN n % 9 <> 0 THEN doc END AS own_id, false AS resourcedefs,
+      false AS nodeclare, n FROM brands
+    UNION ALL SELECT doc, 8, 1, 2, 'Prefixes', NULL, NULL, NULL, NULL, NULL, false, false, n FROM brands
+    UNION ALL SELECT doc, 18, 1, 2, doc || ' ontology (' || CASE WHEN n % 6 = 0 THEN 'none'
+        WHEN n % 7 = 0 THEN 'zz:' || doc || ' zz:' || doc || '/1.0'
+        ELSE 'ont:' || doc || ' ont:' || doc || '/1.0' END || ')',
+      CASE WHEN n % 6 = 0 THEN NULL WHEN n % 7 = 0 THEN 'zz:' || doc || ' zz:' || doc || '/1.0'
+        ELSE 'ont:' || doc || ' ont:' || doc || '/1.0' END,
+      doc || ' ontology', 'owl:Ontology', NULL, doc || '-ontology-declaration', true, false, n FROM brands
+    UNION ALL SELECT doc, 24, 1, 2, 'Classes', NULL, NULL, NULL, NULL, doc || '-class-hierarchy', true, false, n FROM brands
+    UNION ALL SELECT doc, 29, 24, 3, 'Thing of ' || doc || ' (ex:T' || doc || ')', 'ex:T' || doc, 'Thing of ' || doc,
+      'owl:Class', doc || '-class-hierarchy', NULL, false, false, n FROM brands
+    UNION ALL SELECT doc, 40, 1, 2, 'Individuals', NULL, NULL, NULL, NULL, doc || '-individuals', n % 8 <> 0, false, n FROM brands
+    UNION ALL SELECT doc, base, CASE WHEN k % 4 = 3 THEN coalesce(last_value(CASE WHEN k % 4 <> 3 THEN base END IGNORE NULLS)
+        OVER (PARTITION BY doc ORDER BY k), 40) ELSE 40 END,
+      CASE WHEN k % 4 = 3 THEN 4 ELSE 3 END,
+      p_name || CASE WHEN k % 31 = 0 THEN '' ELSE ' (part:P' || k || ')' END,
+      CASE WHEN k % 31 <> 0 AND k % 37 <> 0 THEN 'part:P' || k END,
+      CASE WHEN k % 31 <> 0 THEN p_name END,
+      CASE WHEN n % 8 <> 0 THEN 'owl:NamedIndividual' END, CASE WHEN n % 8 <> 0 THEN doc || '-individuals' END,
+      NULL, false, k % 37 = 0 OR (k % 4 = 3 AND coalesce(last_value(CASE WHEN k % 4 <> 3 THEN k END IGNORE NULLS)
+        OVER (PARTITION BY doc ORDER BY k), 1) % 37 = 0), n FROM bparts)""",
+    "rows": """
+  SELECT doc, CAST(18 AS BIGINT) AS node_id, CAST(23 AS BIGINT) AS row_id, CAST(NULL AS BIGINT) AS parent_row_id,
+    'rdfs:comment' AS tag, 'about ' || doc AS value FROM brands
+  UNION ALL SELECT doc, 29, 30, NULL, 'rdfs:comment', 'top' FROM brands
+  UNION ALL SELECT doc, base, base + 1, NULL, 'rdfs:comment', 'size ' || p_size
+    || CASE WHEN k % 3 = 0 THEN chr(10) || '   and brand ' || doc ELSE '' END FROM bparts WHERE k % 5 <> 0
+  UNION ALL SELECT doc, base, base + 3, base + 1, 'rdfs:seeAlso', 'meta ' || k FROM bparts WHERE k % 5 <> 0 AND k % 7 = 0
+  UNION ALL SELECT doc, base, base + 4, NULL, 'Types', CASE WHEN k % 11 = 0 THEN '' ELSE 'ex:T' || doc END FROM bparts
+  UNION ALL SELECT doc, base, base + 5, NULL, 'SubClassOf', 'ex:T' || doc FROM bparts WHERE k % 50 = 0
+  UNION ALL SELECT doc, base, base + 6, NULL, 'ex:unknown', 'odd' FROM bparts WHERE k % 60 = 0""",
+    "outline_prefixes": """
+  SELECT doc, p AS prefix, e AS expansion FROM brands, (VALUES ('part', 'http://data.example.org/part/'),
+    ('ex', 'http://ex.example.org/'), ('ont', 'http://data.example.org/ont/')) v(p, e) WHERE n % 10 <> 0""",
 }
-_NEEDS = {"axioms": ["lines"], "all_rows": ["attributes", "axioms"], "remarks": ["lines"]}
+_NEEDS = {"outline_lines": ["brands", "bparts"], "nodes": ["brands", "bparts"], "rows": ["brands", "bparts"],
+          "outline_prefixes": ["brands"],
+          "axioms": ["lines"], "all_rows": ["attributes", "axioms"], "remarks": ["lines"]}
 
 
 def lifted(tables: str, body: str) -> str:

@@ -250,3 +250,68 @@ def triples(spark: SparkSession, sf: str) -> DataFrame:
     from termweave.operators.patterns import triples as as_triples
 
     return as_triples(attributes(spark, sf).unionByName(axioms(spark, sf)))
+
+
+def brands(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc, n): one outline document per part brand."""
+    return read(spark, sf, "part").select(
+        F.substring("p_brand", 7, 9).alias("n")).distinct().select(
+        F.concat(F.lit("b"), "n").alias("doc"), F.col("n").cast("int").alias("n"))
+
+
+@_kept
+def outline_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Outline documents: a header, sections, and one heading with rows per part."""
+    doc, n = F.col("doc"), F.col("n")
+
+    def c(*parts):
+        return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+    head = [
+        (1, c("* doc ", doc)), (2, c(":PROPERTIES:")),
+        (3, F.when(n % 9 != 0, c(":ID: ", doc))),
+        (4, c(":X-context-type: ontology")),
+        (5, c(":X-context-localname: ", F.when(n % 5 == 0, "other").otherwise(doc))),
+        (6, F.when(n % 4 == 0, ":header-args:omn: :noweb no")
+         .otherwise(c(":header-args:omn: :tangle ", doc, ".omn :noweb yes"))),
+        (7, c(":END:")), (8, c("** Prefixes")), (9, c(":PROPERTIES:")), (10, c(":prefixdefs: yes")),
+        (11, c(":END:")), (12, c("| prefix | uri |")), (13, c("|--------+-----|")),
+        (14, F.when(n % 10 != 0, c("| part: | http://data.example.org/part/ |"))),
+        (15, F.when(n % 10 != 0, c("| ex: | http://ex.example.org/ |"))),
+        (16, F.when(n % 10 != 0, c("| ont: | http://data.example.org/ont/ |"))),
+        (17, F.when(n % 10 != 0, c("| part: | http://other.example.org/ |"))),
+        (18, c("** ", doc, " ontology (", F.when(n % 6 == 0, "none")
+               .when(n % 7 == 0, c("zz:", doc, " zz:", doc, "/1.0"))
+               .otherwise(c("ont:", doc, " ont:", doc, "/1.0")), ")")),
+        (19, c(":PROPERTIES:")), (20, c(":ID: ", doc, "-ontology-declaration")),
+        (21, c(":resourcedefs: yes")), (22, c(":END:")), (23, c(" - rdfs:comment :: about ", doc)),
+        (24, c("** Classes")), (25, c(":PROPERTIES:")), (26, c(":ID: ", doc, "-class-hierarchy")),
+        (27, c(":resourcedefs: yes")), (28, c(":END:")), (29, c("*** Thing of ", doc, " (ex:T", doc, ")")),
+        (30, c(" - rdfs:comment :: top")), (31, c("#+begin_src omn")), (32, c("Class: ex:T", doc)),
+        (33, c("#+end_src")), (34, c("see part:P1 in prose")),
+        (40, c("** Individuals")), (41, c(":PROPERTIES:")), (42, c(":ID: ", doc, "-individuals")),
+        (43, c(":resourcedefs: ", F.when(n % 8 == 0, "no").otherwise("yes"))),
+        (44, c(":X-subheading-relation: ex:partOf")), (45, c(":END:")),
+    ]
+
+    def emit(frame, lines):
+        cells = [F.when(t.isNotNull(), F.struct(F.lit(o).alias("o"), t.alias("text"))) for o, t in lines]
+        return frame.select("doc", "base", F.inline(F.array_compact(F.array(*cells)))).select(
+            "doc", (F.col("base") + F.col("o")).cast("long").alias("ord"), "text")
+
+    k = F.col("p_partkey")
+    part = read(spark, sf, "part").withColumn(
+        "doc", F.concat(F.lit("b"), F.substring("p_brand", 7, 9))).withColumn(
+        "base", F.lit(1000) + k * 10)
+    body = [
+        (0, c(F.when(k % 4 == 3, "**** ").otherwise("*** "), F.col("p_name"),
+              F.when(k % 31 == 0, "").otherwise(c(" (part:P", k.cast("string"), ")")),
+              F.when(k % 37 == 0, "  :nodeclare:").otherwise(""))),
+        (1, F.when(k % 5 != 0, c(" - rdfs:comment :: size ", F.col("p_size").cast("string")))),
+        (2, F.when((k % 5 != 0) & (k % 3 == 0), c("   and brand ", doc))),
+        (3, F.when((k % 5 != 0) & (k % 7 == 0), c("   - rdfs:seeAlso :: meta ", k.cast("string")))),
+        (4, F.when(k % 11 == 0, c(" - Types ::")).otherwise(c(" - Types :: ex:T", doc))),
+        (5, F.when(k % 50 == 0, c(" - SubClassOf :: ex:T", doc))),
+        (6, F.when(k % 60 == 0, c(" - ex:unknown :: odd"))),
+    ]
+    return emit(brands(spark, sf).withColumn("base", F.lit(0)), head).unionByName(emit(part, body))

@@ -67,12 +67,14 @@ def has_rows(frame: DataFrame) -> DataFrame:
     return frame.limit(1).agg((F.count(F.lit(1)) > 0).alias("has_rows"))
 
 
-def ingest_json_map(texts: DataFrame, text_col: str, order: Column) -> DataFrame:
+def ingest_json_map(texts: DataFrame, text_col: str, order: Column,
+                    keep: list[str] | None = None) -> DataFrame:
     """JSON object texts `{"id": "label"}` or `{"id": {"label": …, …}}` to long rows."""
+    kept_cols = keep or []
     entries = texts.select(
-        order.cast("long").alias("_doc"),
+        *kept_cols, order.cast("long").alias("_doc"),
         F.posexplode(F.map_entries(F.from_json(F.col(text_col), MAP_TYPE))).alias("_at", "e"),
-    ).select("_doc", "_at", F.col("e.key").alias("id"), F.col("e.value").alias("raw"))
+    ).select(*kept_cols, "_doc", "_at", F.col("e.key").alias("id"), F.col("e.value").alias("raw"))
     inner = F.when(F.col("raw").rlike(r"^\s*\{"), F.from_json("raw", MAP_TYPE))
     entries = entries.withColumn("obj", inner)
     label = F.when(F.col("obj").isNull(), F.coalesce("raw", F.lit(""))).otherwise(
@@ -89,10 +91,10 @@ def ingest_json_map(texts: DataFrame, text_col: str, order: Column) -> DataFrame
     rows = F.concat(cells, F.coalesce(own, F.slice(cells, 1, 0)))
     # The place of an entry in its object, below the place of the object itself.
     return (
-        entries.select("id", label.alias("label"),
+        entries.select(*kept_cols, "id", label.alias("label"),
                        (F.col("_doc") * F.lit(1 << 24) + F.col("_at")).alias("ord"),
                        F.posexplode_outer(rows).alias("seq", "cell"))
-        .select("id", "label", "cell.prop", "cell.value", "cell.lang", "ord",
+        .select(*kept_cols, "id", "label", "cell.prop", "cell.value", "cell.lang", "ord",
                 F.coalesce("seq", F.lit(0)).alias("seq"))
     )
 
