@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from termweave.sources.tables import ingest_json_map
 
-_ROW_BITS = 33
+_ROW_BITS = 30
 _BLOCK_BITS = 20
 
 
