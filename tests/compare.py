@@ -106,6 +106,7 @@ def main() -> int:
     parser.add_argument("names", nargs="*")
     parser.add_argument("--sf", default="/root/testdata/sf0.01")
     parser.add_argument("--section", action="append")
+    parser.add_argument("--budget", type=float, default=1e9)
     args = parser.parse_args()
     import importlib
 
@@ -117,7 +118,7 @@ def main() -> int:
     else:
         catalog.load_all()
     spark, con = session(), connect(args.sf)
-    bad = 0
+    bad, begun = 0, time.time()
     for name, fn in catalog.QUERIES.items():
         if args.names and name not in args.names:
             continue
@@ -128,6 +129,9 @@ def main() -> int:
             if args.names:
                 traceback.print_exc()
         bad += not ok
+        if time.time() - begun > args.budget:
+            print("budget used up before", name)
+            break
         print(("ok   " if ok else "FAIL ") + name, note, flush=True)
     print("failures:", bad)
     return bad
