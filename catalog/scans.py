@@ -101,7 +101,7 @@ def unknown_tokens(spark, sf):
 
 
 @query("annotate_text", lifted("entities lines", TOK + LAB + f"""
-SELECT place AS doc, 'see ' || coalesce('[[#part:P' || l_partkey || '][' || a.label || ']]', 'part:P' || l_partkey)
+SELECT place AS doc, l_partkey AS part, 'see ' || coalesce('[[#part:P' || l_partkey || '][' || a.label || ']]', 'part:P' || l_partkey)
   || ' from ' || '[[#{D}supplier/S' || l_suppkey || '][' || b.label || ']]'
   || ' via ' || '[[#{D}nation/N' || (l_suppkey % 25) || '][' || c.label || ']]'
   || ', not part:12 or ex:http://a/b, line ' || l_linenumber AS text
@@ -109,9 +109,9 @@ FROM lines LEFT JOIN lab a ON a.token = 'part:P' || l_partkey
 LEFT JOIN lab b ON b.token = '{D}supplier/S' || l_suppkey
 LEFT JOIN lab c ON c.token = '{D}nation/N' || (l_suppkey % 25)"""))
 def annotate_text(spark, sf):
-    texts = lift.remarks(spark, sf).select("doc", "text")
+    texts = lift.remarks(spark, sf)
     labels = L.resolve_labels(tokens(spark, sf), lift.index(spark, sf), PAIRS)
-    return S.annotate_text(texts, ["doc"], "text", labels)
+    return S.annotate_text(texts, ["doc", "part"], "text", labels)
 
 
 @query("annotate_outline", lifted("entities outline_lines", """

@@ -103,7 +103,8 @@ def outline_nodes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFram
 
     Columns: doc, node_id, parent_id, level, title, tags, uri, label, rdf_type, section_id,
     own_id, resourcedefs, prefixdefs, nodeclare, in_ontology, localname, relation, props.
-    `relation` is the subheading relation inherited from an ancestor, not the node's own.
+    `relation` is the subheading relation inherited from an ancestor, not the node's own;
+    `parent_uri` is the identifier of the nearest ancestor that has one.
     """
     parsed = parsed_lines(lines) if parsed is None else parsed
     heads = _headings(parsed).join(_props(parsed), ["doc", "node_id"], "left")
@@ -116,9 +117,11 @@ def outline_nodes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFram
         _suffixed(props, "context-localname").alias("_localname"),
         _suffixed(props, "subheading-relation").alias("own_relation"),
         F.array_contains("tags", "nodeclare").alias("_tagged"))
+    uri = F.when(~(F.col("_tagged") | F.col("commented")), entity_from_heading(F.col("title")))
+    own = own.withColumn("uri", uri)
     chain = _ancestors(own.select("doc", "node_id", "level"))
     facts = own.select("doc", F.col("node_id").alias("_aid"), "own_id", "resourcedefs", "_context",
-                       "_localname", "own_relation", "_tagged")
+                       "_localname", "own_relation", "_tagged", F.col("uri").alias("_auri"))
     steps = chain.select("doc", "node_id", F.explode("ancestors").alias("a")).select(
         "doc", "node_id", F.col("a.level").alias("_al"), F.col("a.node_id").alias("_aid"))
 
@@ -132,9 +135,9 @@ def outline_nodes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFram
         nearest(F.col("_localname"), F.col("_localname").isNotNull()).alias("_inherited_name"),
         nearest(F.col("own_id"), F.col("own_id").isNotNull()).alias("_inherited_id"),
         nearest(F.col("own_relation"), F.col("own_relation").isNotNull()).alias("relation"),
+        nearest(F.col("_auri"), F.col("_auri").isNotNull()).alias("parent_uri"),
         F.bool_or("_tagged").alias("_under"))
-    uri = F.when(~(F.col("_tagged") | F.col("commented")), entity_from_heading(F.col("title")))
-    full = own.join(above, ["doc", "node_id"], "left").withColumn("uri", uri)
+    full = own.join(above, ["doc", "node_id"], "left")
     section = F.col("_section.own_id")
     rdf_type = F.when(section.isNotNull(), section_type(section)).when(
         F.endswith("own_id", F.lit("-ontology-declaration")), "owl:Ontology")
@@ -149,7 +152,7 @@ def outline_nodes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFram
         F.col("_context").alias("context_type"), F.col("_localname").alias("own_localname"),
         F.coalesce("_localname", "_inherited_name").alias("localname"),
         F.coalesce("own_id", "_inherited_id").alias("inherited_id"),
-        "own_relation", "relation", "props")
+        "own_relation", "relation", "parent_uri", "props")
 
 
 def outline_rows(lines: DataFrame, parsed: DataFrame | None = None) -> DataFrame:

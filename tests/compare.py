@@ -92,7 +92,8 @@ def check(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bool
                 if SAME_TYPES.get(t, t) != dict(zip(cols, types))[c]]
     a, b = rows_of(frame.columns, got), rows_of(list(cols), want)
     if a != b:
-        only_a, only_b = [r for r in a if r not in set(b)][:3], [r for r in b if r not in set(a)][:3]
+        in_a, in_b = set(a), set(b)
+        only_a, only_b = [r for r in a if r not in in_b][:3], [r for r in b if r not in in_a][:3]
         return False, (f"rows {len(a)} vs {len(b)}; columns {sorted(cols)}\n"
                        f"   spark only {only_a}\n   oracle only {only_b}")
     note = f" TYPES {mismatch}" if mismatch else ""
