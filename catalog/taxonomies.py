@@ -87,9 +87,9 @@ CYCLES = """
   UNION ALL SELECT * FROM (SELECT DISTINCT step + 1, parent FROM img JOIN edges_cyclic ON child = node
     WHERE step < (SELECT count(*) FROM part)))
 , cyc AS (SELECT node FROM img WHERE step = (SELECT max(step) FROM img))
-, walk(child, at, k) AS (SELECT node, node, 0 FROM cyc
-  UNION ALL SELECT w.child, e.parent, k + 1 FROM walk w JOIN edges_cyclic e ON e.child = w.at WHERE k < (SELECT count(*) FROM cyc))
-, name AS (SELECT child, min(at) AS cycle FROM walk GROUP BY child)
+, walk(child, here, k) AS (SELECT node, node, 0 FROM cyc
+  UNION ALL SELECT w.child, e.parent, k + 1 FROM walk w JOIN edges_cyclic e ON e.child = w.here WHERE k < (SELECT count(*) FROM cyc))
+, name AS (SELECT child, min(here) AS cycle FROM walk GROUP BY child)
 , wt AS (SELECT 'P' || l_partkey AS child, count(*) AS n FROM lineitem GROUP BY 1)
 , root AS (SELECT name.child, cycle FROM name LEFT JOIN wt USING (child)
   QUALIFY row_number() OVER (PARTITION BY cycle ORDER BY coalesce(n, 0) DESC, name.child) = 1)"""
@@ -319,18 +319,15 @@ def characteristics(spark, sf):
 
 
 @query("metrics", lifted("all_rows", """
-SELECT coalesce(source, '*') AS source, count_if(prop = 'rdf:type' AND value = 'owl:Class') AS classes,
-  count_if(prop = 'rdf:type' AND value = 'owl:ObjectProperty') AS object_properties,
-  count_if(prop = 'rdf:type' AND value = 'owl:DatatypeProperty') AS data_properties,
-  count_if(prop = 'rdf:type' AND value = 'owl:AnnotationProperty') AS annotation_properties,
-  count_if(prop = 'rdf:type' AND value = 'owl:NamedIndividual') AS individuals, count(*) AS axioms,
-  count_if(prop IN ('Types', 'SubClassOf', 'SameAs', 'Facts', 'Domain') AND value <> '') AS logical_axioms
+SELECT coalesce(source, '*') AS source, CAST(count_if(prop = 'rdf:type' AND value = 'owl:Class') AS BIGINT) AS classes,
+  CAST(count_if(prop = 'rdf:type' AND value = 'owl:ObjectProperty') AS BIGINT) AS object_properties,
+  CAST(count_if(prop = 'rdf:type' AND value = 'owl:DatatypeProperty') AS BIGINT) AS data_properties,
+  CAST(count_if(prop = 'rdf:type' AND value = 'owl:AnnotationProperty') AS BIGINT) AS annotation_properties,
+  CAST(count_if(prop = 'rdf:type' AND value = 'owl:NamedIndividual') AS BIGINT) AS individuals, count(*) AS axioms,
+  CAST(count_if(prop IN ('Types', 'SubClassOf', 'SameAs', 'Facts', 'Domain') AND value <> '') AS BIGINT) AS logical_axioms
 FROM all_rows GROUP BY ROLLUP (source)"""))
 def metrics(spark, sf):
-    cols = ["classes", "object_properties", "data_properties", "annotation_properties", "individuals",
-            "axioms", "logical_axioms"]
-    return G.metrics(lift.index(spark, sf, True).attributes).select(
-        "source", *[F.col(c).cast("decimal(38,0)").cast("long").alias(c) for c in cols])
+    return G.metrics(lift.index(spark, sf, True).attributes)
 
 
 @query("signature", lifted("attributes", """

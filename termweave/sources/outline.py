@@ -152,7 +152,8 @@ def outline_nodes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFram
         F.col("_context").alias("context_type"), F.col("_localname").alias("own_localname"),
         F.coalesce("_localname", "_inherited_name").alias("localname"),
         F.coalesce("own_id", "_inherited_id").alias("inherited_id"),
-        "own_relation", "relation", "parent_uri", "props")
+        "own_relation", "relation", "parent_uri", F.col("_section").isNotNull().alias("in_section"),
+        "props")
 
 
 def outline_rows(lines: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
