@@ -28,6 +28,7 @@ def _rows_of(text_pieces: Column, sizes: Column) -> Column:
         return F.transform(starts, lambda at: F.struct(
             at.alias("at"), n.alias("n"),
             F.array_join(F.slice(text_pieces, at, n), "").alias("token"),
+            F.coalesce(F.get(text_pieces, at - 2), F.lit("")).alias("before"),
             F.coalesce(F.get(text_pieces, at + n - 1), F.lit("")).alias("next")))
 
     found = F.flatten(F.transform(sizes, of_size))
@@ -37,16 +38,19 @@ def _rows_of(text_pieces: Column, sizes: Column) -> Column:
 
 
 def occurrences(rows: DataFrame, keys: list[str], text_col: str, ids: DataFrame,
-                id_col: str = "id") -> DataFrame:
+                id_col: str = "id", around: bool = False) -> DataFrame:
     """(keys, at, n, id, + other columns of `ids`): whole-token occurrences of the ids.
 
+    `around` adds the pieces `before` and `next` to each occurrence.
     `ids` has one row per id. The work is pieces x distinct id sizes (one for plain compact
     names), whatever the number of ids.
     """
     sizes = ids.agg(F.sort_array(F.collect_set(F.size(pieces(F.col(id_col)))))).scalar()
     cut = rows.select(*keys, pieces(F.col(text_col)).alias("_p")).withColumn("_sizes", sizes)
     offered = cut.select(*keys, F.inline(_rows_of(F.col("_p"), F.col("_sizes"))))
-    return offered.drop("next").withColumnRenamed("token", id_col).join(ids, id_col)
+    if not around:
+        offered = offered.drop("before", "next")
+    return offered.withColumnRenamed("token", id_col).join(ids, id_col)
 
 
 def rewritten(text_pieces: Column, changes: Column) -> Column:

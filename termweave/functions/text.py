@@ -82,6 +82,11 @@ def mentions(value: Column, curie: Column, name_class: str = CHECK_NAME) -> Colu
     return F.contains(value, curie) & F.call_function("rlike", value, pattern)
 
 
+def normal_space(col: Column) -> Column:
+    """Text with runs of white space as one space, trimmed."""
+    return F.trim(F.regexp_replace(col, r"[ \t\n\r]+", " "))
+
+
 def slug(label: Column) -> Column:
     """Lower-case ASCII slug joined with hyphens; `x` when nothing is left."""
     ascii_only = F.regexp_replace(F.lower(label), r"[^a-z0-9]+", "-")

@@ -8,18 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave import constants as K
 from termweave.functions import ident as I
 from termweave.functions.pieces import applied_changes, occurrences, pieces, rewritten
-from termweave.functions.text import AXIOM_MARK, normal_space
+from termweave.functions.text import normal_space
 from termweave.operators import checks as C
 from termweave.operators.closure import MAX_ROUNDS, closure, cycle_nodes
 from termweave.operators.identifiers import expand_with
 from termweave.operators.minting import mint_batch
-from termweave.operators.taxonomy import BARE_CURIE, immediate_parents
+from termweave.operators.taxonomy import immediate_parents
 from termweave.plans.cut import cut
 from termweave.plans.ordered import carry_forward, running_sum
 
@@ -136,9 +136,10 @@ def rename_lines(mapping: DataFrame, parsed: DataFrame, prefixes: DataFrame | No
 def rename_index(mapping: DataFrame, attributes: DataFrame) -> DataFrame:
     """Attribute rows with subjects and values rewritten, and `changed` per row."""
     subject = mapping.select(F.col("old").alias("id"), F.col("new").alias("_new"))
-    keys = ["id", "source", "data_source", "prop", "ord", "value"]
-    moved = attributes.withColumn("_text", F.col("value"))
-    out = rewrite_column(moved, keys, "_text", rewrite_map(mapping, None)).withColumn("value", F.col("_text"))
+    keys = ["_subject", "source", "data_source", "prop", "ord", "value"]
+    moved = attributes.withColumnRenamed("id", "_subject").withColumn("_text", F.col("value"))
+    out = rewrite_column(moved, keys, "_text", rewrite_map(mapping, None)).withColumn(
+        "value", F.col("_text")).withColumnRenamed("_subject", "id")
     return out.join(subject, "id", "left").withColumn("id", F.coalesce("_new", "id")).select(
         "id", "source", "data_source", "prop", "value", "lang", "ord", F.col("_changed").alias("changed"))
 
@@ -337,8 +338,11 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["id", "keyword"]
     e = edits.withColumn("nf", normal_space(F.col("match"))).withColumn(
         "loose", F.col("op").isin("replace", "delete") & F.col("match").isNull())
-    sweeps = e.where("op = 'delete-empty'")
-    e = e.where("op <> 'delete-empty'")
+    # A sweep empties the blank value of its keyword, or of all keywords of the term.
+    pairs = rows.select(*key).union(e.where("keyword IS NOT NULL").select(*key)).distinct()
+    sweeps = e.where("op = 'delete-empty'").withColumnRenamed("keyword", "_k").join(pairs, "id").where(
+        F.col("_k").isNull() | (F.col("_k") == F.col("keyword"))).drop("_k")
+    e = e.where("op <> 'delete-empty'").unionByName(sweeps)
     e = running_sum(e, key, "edit_no", F.col("loose").cast("int"), "_seg")
     e = cut(e.withColumn("seg", F.when(F.col("loose"), F.col("_seg") - 1).otherwise(F.col("_seg"))))
 
@@ -349,29 +353,22 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     no = F.col("edit_no")
     own = F.concat(F.lit("e"), no.cast("string"))
-    start = event(rows, F.lit(0), F.col("value"), F.lit(0), 1, F.concat(F.lit("r"), F.col("row_id").cast("string")))
+    row_token = F.concat_ws("\u001f", F.lit("r"), "id", F.col("row_id").cast("string"))
+    start = event(rows, F.lit(0), F.col("value"), F.lit(0), 1, row_token)
     made = event(e.where("op = 'add' OR (op = 'replace' AND NOT loose)"), F.col("seg"), F.col("fragment"),
                  no * 2 + 1, 1, own)
     opened = event(e.where("op = 'replace' AND loose"), F.col("seg") + 1, F.col("fragment"), no * 2 + 1, 1, own)
-    taken = event(e.where("nf IS NOT NULL"), F.col("seg"), F.col("nf"), no * 2, -1,
-                  F.lit(None).cast("string")).withColumn("taker", F.col("t") / 2).withColumn(
-        "taker", F.col("taker").cast("long"))
-    # A sweep empties the blank value of its keyword (or of all keywords of the term).
-    pairs = rows.select(*key).union(e.select(*key)).distinct()
-    aimed = sweeps.select("id", F.col("keyword").alias("_k"), "edit_no").join(pairs, "id").where(
-        F.col("_k").isNull() | (F.col("_k") == F.col("keyword")))
-    bounds = e.where("loose").select(*key, F.col("edit_no").alias("_b"))
-    swept = aimed.join(bounds, key, "left").groupBy(*key, "edit_no").agg(
-        F.count_if(F.col("_b") < F.col("edit_no")).alias("seg"))
-    marks = event(swept, F.col("seg"), F.lit(""), no * 2, 0, F.lit(None).cast("string"))
+    taken = event(e.where("op IN ('replace', 'delete') AND NOT loose"), F.col("seg"), F.col("nf"), no * 2, -1,
+                  F.lit(None).cast("string")).withColumn("taker", F.shiftright("t", 1))
+    marks = event(e.where("op = 'delete-empty'"), F.col("seg"), F.lit(""), no * 2, 0,
+                  F.lit(None).cast("string"))
     events = _union([start, made, opened, taken, marks])
     live = [*key, "seg", "v"]
     events = running_sum(events, live, "t", (F.col("delta") == 0).cast("int"), "epoch", ties=["delta", "token"])
     live = [*live, "epoch"]
     events = running_sum(events, live, "t", F.col("delta"), "alive", ties=["delta", "token"])
-    # Several rows may start at the same place; the last by token stands for them.
     events = cut(events)
-    before = carry_forward(_placed(events), live, "o", {"maker": F.col("token")})
+    before = carry_forward(events, live, "t", {"maker": F.col("token")})
 
     takers = before.where("taker IS NOT NULL")
     wrong = takers.where("alive <> 0").select(F.col("taker").alias("edit_no"), "alive")
@@ -398,19 +395,13 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = e.select(own.alias("end"), F.col("fragment").alias("_text"))
     added = e.where("op = 'add'").select("id", no.alias("row_id"), "keyword", F.col("fragment").alias("value"),
                                          own.alias("token"), F.lit(1).alias("added"))
-    base = rows.select("id", "row_id", "keyword", "value", F.concat(F.lit("r"), F.col("row_id").cast("string")).alias("token"),
-                       F.lit(0).alias("added"))
+    base = rows.select("id", "row_id", "keyword", "value", row_token.alias("token"), F.lit(0).alias("added"))
     out = base.unionByName(added).join(final, "token", "left").where("coalesce(end, '') <> 'gone'").join(
         texts, "end", "left")
     result = out.select("id", "added", "row_id", "keyword", F.coalesce("_text", "value").alias("value"))
     return result, errors
 
 
-def _placed(events: DataFrame) -> DataFrame:
-    """`o`: time order; rows that start together share a time and any of them may stand."""
-    return events.withColumn("o", F.col("t"))
-
-
 def _chain_ends(links: DataFrame) -> DataFrame:
     """(token, end): where each chain token -> next -> … ends, by pointer doubling."""
     state = cut(links.select("token", F.col("next").alias("end")))

@@ -45,6 +45,13 @@ def expand_curie(frame: DataFrame, col: str, index: Index, active: ActiveSources
     )
 
 
+def expand_with(frame: DataFrame, col: str, table: DataFrame, name: str) -> DataFrame:
+    """Full IRI of a compact name under one prefix table; NULL for an unknown prefix."""
+    spaces = table.groupBy(F.col("prefix").alias("_p")).agg(F.min("expansion").alias("_x"))
+    return (frame.withColumn("_p", I.curie_prefix(F.col(col))).join(spaces, "_p", "left")
+            .withColumn(name, F.concat("_x", I.local_name(F.col(col)))).drop("_p", "_x"))
+
+
 def prefix_join(iris: DataFrame, col: str, table: DataFrame, allow_equal: bool = False) -> DataFrame:
     """Rows of `iris` with every namespace of `table` that starts the IRI.
 
