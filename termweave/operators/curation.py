@@ -362,11 +362,12 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                   F.lit(None).cast("string")).withColumn("taker", F.shiftright("t", 1))
     marks = event(e.where("op = 'delete-empty'"), F.col("seg"), F.lit(""), no * 2, 0,
                   F.lit(None).cast("string"))
-    events = _union([start, made, opened, taken, marks])
+    # A running sum reads its input twice, so each stage is written out.
+    events = cut(_union([start, made, opened, taken, marks]))
     live = [*key, "seg", "v"]
     events = running_sum(events, live, "t", (F.col("delta") == 0).cast("int"), "epoch", ties=["delta", "token"])
     live = [*live, "epoch"]
-    events = running_sum(events, live, "t", F.col("delta"), "alive", ties=["delta", "token"])
+    events = running_sum(cut(events), live, "t", F.col("delta"), "alive", ties=["delta", "token"])
     events = cut(events)
     before = carry_forward(events, live, "t", {"maker": F.col("token")})
 

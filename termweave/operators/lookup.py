@@ -15,6 +15,7 @@ from termweave.functions.lang import language_key, pick_by_language
 from termweave.functions.text import match_form
 from termweave.model import ActiveSources, Index, only_active
 from termweave.operators.identifiers import contract_first, contract_uri, expand_curie
+from termweave.plans.cut import cut
 
 LABEL = "rdfs:label"
 
@@ -46,9 +47,14 @@ def get_labels(ids: DataFrame, index: Index, active: ActiveSources,
     )
 
 
-def lookup_candidates(tokens: DataFrame, index: Index, active: ActiveSources) -> DataFrame:
+def distinct_tokens(tokens: DataFrame) -> DataFrame:
+    """The tokens to resolve, written once: the passes below read them several times, and
+    each would otherwise scan the texts they come from again."""
+    return cut(tokens.select("token").distinct())
+
+
+def lookup_candidates(distinct: DataFrame, index: Index, active: ActiveSources) -> DataFrame:
     """(token, id, pass, place): the literal id, the expanded CURIE, the contracted IRIs."""
-    distinct = tokens.select("token").distinct()
     none = F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit("").alias("c"))
     literal = distinct.select("token", F.col("token").alias("id"), F.lit(1).alias("pass"),
                               none.alias("place"))
@@ -67,12 +73,13 @@ def resolve_labels(tokens: DataFrame, index: Index, active: ActiveSources) -> Da
 
     A NULL label of the winning source ends its candidate, not the search.
     """
-    candidates = lookup_candidates(tokens, index, active)
+    distinct = distinct_tokens(tokens)
+    candidates = lookup_candidates(distinct, index, active)
     owner = _wanted(only_active(index.entities, active), candidates).groupBy("id").agg(
         F.min_by("label", "prio").alias("label")).where("label IS NOT NULL")
     best = candidates.join(owner, "id").groupBy("token").agg(
         F.min_by("label", F.struct("pass", "place")).alias("label"))
-    return tokens.select("token").distinct().join(best, "token", "left")
+    return distinct.join(best, "token", "left")
 
 
 def get_attr(ids: DataFrame, prop: str, index: Index, active: ActiveSources,
@@ -87,11 +94,12 @@ def get_attr(ids: DataFrame, prop: str, index: Index, active: ActiveSources,
 def get_attr_any(tokens: DataFrame, prop: str, index: Index, active: ActiveSources,
                  prefs: list[str] | None = None) -> DataFrame:
     """(token, value): `get_attr` with the three passes of `resolve_labels`."""
-    candidates = lookup_candidates(tokens, index, active)
+    distinct = distinct_tokens(tokens)
+    candidates = lookup_candidates(distinct, index, active)
     values = get_attr(candidates, prop, index, active, prefs).where("value IS NOT NULL")
     best = candidates.join(values, "id").groupBy("token").agg(
         F.min_by("value", F.struct("pass", "place")).alias("value"))
-    return tokens.select("token").distinct().join(best, "token", "left")
+    return distinct.join(best, "token", "left")
 
 
 def get_all_attrs(ids: DataFrame, index: Index, active: ActiveSources,
@@ -111,7 +119,8 @@ def get_all_attrs(ids: DataFrame, index: Index, active: ActiveSources,
 def get_all_attrs_any(tokens: DataFrame, index: Index, active: ActiveSources,
                       prefs: list[str] | None = None) -> DataFrame:
     """(token, id, prop, value, source): the view of the first candidate that has one."""
-    candidates = lookup_candidates(tokens, index, active)
+    distinct = distinct_tokens(tokens)
+    candidates = lookup_candidates(distinct, index, active)
     rows = get_all_attrs(candidates.select("id").distinct(), index, active, prefs)
     chosen = candidates.join(rows.select("id").distinct(), "id", "left_semi").groupBy("token").agg(
         F.min_by("id", F.struct("pass", "place")).alias("id"))

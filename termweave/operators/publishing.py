@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from termweave import constants as K
 from termweave.operators.identifiers import to_bracketed_iri
 from termweave.operators.taxonomy import ordered_hierarchy, parent_edges, relation_facts, sort_key
+from termweave.plans.cut import cut
 from termweave.plans.ordered import carry_forward, running_sum
 
 
@@ -161,7 +162,7 @@ def published_lines(parts: DataFrame) -> DataFrame:
 
     A document is never one value: blocks are numbered by a running sum of their lengths.
     """
-    sized = parts.withColumn("_n", F.size(F.split("text", "\n")))
+    sized = cut(parts.withColumn("_n", F.size(F.split("text", "\n"))))
     placed = running_sum(sized, ["doc"], "ord", F.col("_n") + 1, "_end", ties=["text"])
     rows = placed.select("doc", "ord", "source_line", (F.col("_end") - F.col("_n")).alias("_start"),
                          F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n")).alias("_at", "text"))

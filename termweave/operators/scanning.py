@@ -17,6 +17,8 @@ from termweave.model import ActiveSources, Index
 from termweave.operators.identifiers import contract_best
 from termweave.operators.lookup import all_active_ids, resolve_labels
 
+# Rare spaces become plain ones first: a class of ASCII characters matches far faster.
+_SPACES = dict.fromkeys(map(ord, K.OTHER_SPACES), " ")
 _PASSES = [("angle-iri", re.compile(K.ANGLE_IRI, re.ASCII), 1),
            ("bare-iri", re.compile(K.BARE_IRI, re.ASCII), 0),
            ("curie", re.compile(K.CURIE_TOKEN, re.ASCII), 0)]
@@ -25,6 +27,7 @@ _PASSES = [("angle-iri", re.compile(K.ANGLE_IRI, re.ASCII), 1),
 def _scan(text: str, max_hits: int | None) -> list[tuple[str, int, int, str]]:
     """Three passes; a hit that overlaps an earlier pass is dropped, not shortened."""
     hits: list[tuple[str, int, int, str]] = []
+    text = text.translate(_SPACES)
     taken = bytearray(len(text))
     for kind, pattern, group in _PASSES:
         for m in pattern.finditer(text):
@@ -75,14 +78,16 @@ def _tokens(text: Column) -> Column:
     def tagged(found: Column, kind: str) -> Column:
         return F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(kind).alias("kind")))
 
-    text = F.translate(text, _MARK, "\u0002")
+    text = F.translate(text, _MARK + K.OTHER_SPACES, "\u0002" + " " * len(K.OTHER_SPACES))
     angle = F.regexp_extract_all(text, pattern(K.ANGLE_IRI), F.lit(1))
     bare_text = F.regexp_replace(text, K.ANGLE_IRI, "<>")
     bare = F.regexp_extract_all(bare_text, pattern(f"({K.BARE_IRI})"), F.lit(1))
     name_text = F.regexp_replace(bare_text, K.BARE_IRI, _MARK)
+    # A word that no colon follows is taken whole, so no search restarts inside it.
     running = K.CURIE_TOKEN.replace("%:]", f"%:{_MARK}]")
-    names = F.filter(F.regexp_extract_all(name_text, pattern(f"({running})"), F.lit(1)),
-                     lambda t: ~F.contains(t, F.lit(_MARK)))
+    names = F.filter(
+        F.regexp_extract_all(name_text, pattern(f"({running})|[-A-Za-z0-9_.]++(?!:)"), F.lit(1)),
+        lambda t: (t != "") & ~F.contains(t, F.lit(_MARK)))
     return F.concat(tagged(angle, "angle-iri"), tagged(bare, "bare-iri"), tagged(names, "curie"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from termweave import constants as K
 from termweave.functions.ident import id_kind
 from termweave.model import Index, literal_table
-from termweave.plans.cut import stored
+from termweave.plans.cut import spread, stored
 
 DATA = "http://data.example.org/"
 SOURCES = ["geo", "part", "sales", "supply"]
@@ -149,7 +149,7 @@ def attributes(spark: SparkSession, sf: str) -> DataFrame:
 @_kept
 def axioms(spark: SparkSession, sf: str) -> DataFrame:
     """One or more axiom rows per order line, as attribute rows of source `part`."""
-    line = read(spark, sf, "lineitem")
+    line = spread(read(spark, sf, "lineitem"))
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     supplier = _term("supplier:S", "l_suppkey")
     fact = (
@@ -220,7 +220,7 @@ def index(spark: SparkSession, sf: str, with_axioms: bool = False) -> Index:
 
 def remarks(spark: SparkSession, sf: str) -> DataFrame:
     """A text per order line with one CURIE, one angle IRI, one bare IRI and a composite."""
-    line = read(spark, sf, "lineitem")
+    line = spread(read(spark, sf, "lineitem"))
     text = F.concat(
         F.lit("see part:P"), F.col("l_partkey").cast("string"), F.lit(" from <" + DATA + "supplier/S"),
         F.col("l_suppkey").cast("string"), F.lit("> via " + DATA + "nation/N"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from termweave import constants as K
 from termweave.functions.ident import id_kind
 from termweave.functions.text import entity_from_heading, heading_label
+from termweave.plans.cut import cut
 from termweave.plans.ordered import carry_forward
 
 HEADING = r"^(\*+) +(.*?)(?:[ \t]+(:[\w@#%:]+:))?[ \t]*$"
@@ -118,7 +119,8 @@ def outline_nodes(lines: DataFrame, parsed: DataFrame | None = None) -> DataFram
         _suffixed(props, "subheading-relation").alias("own_relation"),
         F.array_contains("tags", "nodeclare").alias("_tagged"))
     uri = F.when(~(F.col("_tagged") | F.col("commented")), entity_from_heading(F.col("title")))
-    own = own.withColumn("uri", uri)
+    # Headings are a fraction of the lines; what follows reads them several times.
+    own = cut(own.withColumn("uri", uri))
     chain = _ancestors(own.select("doc", "node_id", "level"))
     facts = own.select("doc", F.col("node_id").alias("_aid"), "own_id", "resourcedefs", "_context",
                        "_localname", "own_relation", "_tagged", F.col("uri").alias("_auri"))
