@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave.functions.text import EDIT_NAME
+from termweave.plans.cut import cut
 
 _PIECE = rf"[{EDIT_NAME}]+|[^{EDIT_NAME}]"
 
@@ -45,9 +46,10 @@ def occurrences(rows: DataFrame, keys: list[str], text_col: str, ids: DataFrame,
     `ids` has one row per id. The work is pieces x distinct id sizes (one for plain compact
     names), whatever the number of ids.
     """
+    ids = cut(ids)
     sizes = ids.agg(F.sort_array(F.collect_set(F.size(pieces(F.col(id_col)))))).scalar()
-    cut = rows.select(*keys, pieces(F.col(text_col)).alias("_p")).withColumn("_sizes", sizes)
-    offered = cut.select(*keys, F.inline(_rows_of(F.col("_p"), F.col("_sizes"))))
+    sliced = rows.select(*keys, pieces(F.col(text_col)).alias("_p")).withColumn("_sizes", sizes)
+    offered = sliced.select(*keys, F.inline(_rows_of(F.col("_p"), F.col("_sizes"))))
     if not around:
         offered = offered.drop("before", "next")
     return offered.withColumnRenamed("token", id_col).join(ids, id_col)

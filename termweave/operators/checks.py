@@ -18,6 +18,7 @@ from termweave.functions import ident as I
 from termweave.functions import text as X
 from termweave.model import TERM_KEY
 from termweave.operators.identifiers import to_bracketed_iri
+from termweave.plans.cut import cut
 
 ISSUE = ["check", "severity", "source", "subject", "row_ord", "message"]
 
@@ -78,7 +79,8 @@ def described_outline(nodes: DataFrame, rows: DataFrame) -> DataFrame:
 
 def described_index(attributes: DataFrame) -> DataFrame:
     """Attribute rows of the index with the section of their term's type."""
-    types = term_types(attributes).select(*TERM_KEY, section_suffix(F.col("rdf_type")).alias("section"))
+    types = cut(term_types(attributes).select(
+        *TERM_KEY, section_suffix(F.col("rdf_type")).alias("section")))
     return attributes.where(F.col("prop") != "rdf:type").join(types, TERM_KEY, "left").select(
         "source", F.col("id").alias("subject"), "section", F.col("prop").alias("tag"), "value",
         F.col("ord").alias("row_ord"))
@@ -95,10 +97,10 @@ def declared_terms(types: DataFrame, scope: list[str]) -> DataFrame:
     def has(*names: str) -> Column:
         return F.bool_or(F.coalesce(F.col("rdf_type").isin(*names), F.lit(False)))
 
-    return types.groupBy(*scope, "id").agg(
+    return cut(types.groupBy(*scope, "id").agg(
         F.min_by("rdf_type", F.struct("source", "rdf_type")).alias("rdf_type"),
         has("owl:Class").alias("is_class"), has("owl:NamedIndividual").alias("is_individual"),
-        has("owl:ObjectProperty", "owl:DatatypeProperty").alias("is_property"))
+        has("owl:ObjectProperty", "owl:DatatypeProperty").alias("is_property")))
 
 
 def outline_types(nodes: DataFrame) -> DataFrame:
@@ -340,7 +342,7 @@ def check_duplicate_labels(labels: DataFrame, scope: list[str]) -> DataFrame:
     """
     key = [*scope, "text", "_lang"]
     rows = labels.where("text IS NOT NULL").withColumn("_lang", F.coalesce("lang", F.lit("")))
-    shared = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    shared = cut(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"))
     found = rows.join(shared, key)
     return _issues(found, "duplicate-label", _text(
         "WARNING: label \"", F.col("text"), "\"", F.when(F.col("_lang") != "", F.concat(

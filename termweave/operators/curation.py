@@ -354,7 +354,9 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     no = F.col("edit_no")
     own = F.concat(F.lit("e"), no.cast("string"))
     row_token = F.concat_ws("\u001f", F.lit("r"), "id", F.col("row_id").cast("string"))
-    start = event(rows, F.lit(0), F.col("value"), F.lit(0), 1, row_token)
+    # Rows start before all edits, each at its own time, so that a value held by very many
+    # rows is still spread over chunks.
+    start = event(rows, F.lit(0), F.col("value"), F.shiftright("row_id", 2) - (1 << 61), 1, row_token)
     made = event(e.where("op = 'add' OR (op = 'replace' AND NOT loose)"), F.col("seg"), F.col("fragment"),
                  no * 2 + 1, 1, own)
     opened = event(e.where("op = 'replace' AND loose"), F.col("seg") + 1, F.col("fragment"), no * 2 + 1, 1, own)

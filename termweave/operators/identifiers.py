@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from termweave import constants as K
 from termweave.functions import ident as I
 from termweave.model import ActiveSources, Index, only_active
+from termweave.plans.cut import cut
 
 GLOBAL_PRIO = 1 << 30
 # Characters after which namespaces usually end.
@@ -34,8 +35,8 @@ def expand_curie(frame: DataFrame, col: str, index: Index, active: ActiveSources
     Prefixes of a hot namespace repeat on the left; the right has one row per prefix, so
     the planner broadcasts it while it is small and splits the skewed side when it is not.
     """
-    table = best_expansions(index, active).select(
-        F.col("prefix").alias("_p"), F.col("expansion").alias("_x"))
+    table = cut(best_expansions(index, active).select(
+        F.col("prefix").alias("_p"), F.col("expansion").alias("_x")))
     return (
         frame.withColumn("_p", I.curie_prefix(F.col(col)))
         .join(table, "_p", "left")
@@ -60,6 +61,7 @@ def prefix_join(iris: DataFrame, col: str, table: DataFrame, allow_equal: bool =
     (a set of numbers, at most as many as the longest namespace has characters). Each cut
     is an equi-join key, so the answer is exact and the work grows with IRIs x cuts.
     """
+    table = cut(table)
     odd = (table.where(~F.col("expansion").rlike(f"[{CUT_CHARS}]$"))
            .agg(F.sort_array(F.collect_set(F.length("expansion")))).scalar())
     last = F.length(col) - (0 if allow_equal else 1)

@@ -156,7 +156,7 @@ def all_active_labels(index: Index, active: ActiveSources,
     third of all ids is never one task's partition.
     """
     rows = labelled_ids(index, active, prefs).where("label IS NOT NULL")
-    winner = rows.groupBy("label").agg(F.min("prio").alias("prio"))
+    winner = cut(rows.groupBy("label").agg(F.min("prio").alias("prio")))
     return rows.join(winner, ["label", "prio"], "left_semi").select("label", "id")
 
 
@@ -240,13 +240,13 @@ def lookup_items(local: DataFrame, index: Index, active: ActiveSources, scope: s
         known = known.limit(0)
     if scope == "external":
         own = own.limit(0)
-    cells = own.join(known, "id", "full_outer").select(
+    cells = cut(own.join(known, "id", "full_outer").select(
         "id",
         F.when(F.col("l").isNotNull(), F.col("l.label")).otherwise(F.col("x_label")).alias("label"),
         F.when(F.col("l").isNotNull(), F.col("l.rdf_type"))
         .otherwise(F.coalesce("x_type", F.lit(""))).alias("rdf_type"),
         F.when(F.col("l").isNull(), "external").when(F.col("x_label").isNotNull(), "both")
-        .otherwise("local").alias("origin"))
+        .otherwise("local").alias("origin")))
     variants = label_variants(cells, index, active).groupBy("id").agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(F.struct("value", "lang"),
@@ -259,7 +259,7 @@ def lookup_items(local: DataFrame, index: Index, active: ActiveSources, scope: s
         F.when(F.col("origin") == "external", "[external]")
         .when(F.col("origin") == "both", "+external").otherwise(""))
     return (
-        cells.join(label_counts(cells), "label", "left").join(variants, "id", "left")
+        cells.join(cut(label_counts(cells)), "label", "left").join(variants, "id", "left")
         .join(curies, "id", "left")
         .select("id", "label", "rdf_type", "origin",
                 F.trim(F.concat(suffix, F.lit("  "), mark)).alias("detail"))
@@ -268,7 +268,7 @@ def lookup_items(local: DataFrame, index: Index, active: ActiveSources, scope: s
 
 def disambiguate_labels(rows: DataFrame) -> DataFrame:
     """(label, id) with `display`: `label  [id]` where a label names several ids."""
-    several = label_counts(rows).where("label_count > 1").select("label", F.lit(True).alias("_dup"))
+    several = cut(label_counts(rows).where("label_count > 1").select("label", F.lit(True).alias("_dup")))
     suffix = id_suffix(F.col("id"), F.lit(None).cast("string"))
     return (rows.join(several, "label", "left")
             .withColumn("display", F.when(F.col("_dup"), F.concat("label", F.lit("  ["), suffix,

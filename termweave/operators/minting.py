@@ -45,11 +45,13 @@ def mint_slug(labels: DataFrame, prefix: str, existing: DataFrame) -> DataFrame:
     taken = taken.join(more.select("slug"), "slug", "left_semi")
     taken = running_number(taken, ["slug"], "number", "_i")
     # Both kinds in one order: a label at place r counts taken numbers with fewer than r below.
-    both = taken.select("slug", (F.col("number") - 1 - F.col("_i")).alias("place"), F.lit(1).alias("t"),
-                        F.lit(None).cast("long").alias("ord")).unionByName(
-        more.select("slug", F.col("extra").alias("place"), F.lit(0).alias("t"), "ord"))
+    # Taken numbers in a row share a place; one row per place stands for them.
+    places = taken.groupBy("slug", (F.col("number") - 1 - F.col("_i")).alias("place")).agg(
+        F.count(F.lit(1)).alias("t"))
+    both = places.withColumn("ord", F.lit(None).cast("long")).unionByName(
+        more.select("slug", F.col("extra").alias("place"), F.lit(0).cast("long").alias("t"), "ord"))
     counted = running_sum(both, ["slug"], "place", F.col("t"), "below", ties=["t", "ord"])
-    numbered = counted.where("t = 0").select("ord", F.concat(
+    numbered = counted.where("ord IS NOT NULL").select("ord", F.concat(
         "slug", F.lit("-"), (F.col("place") + 1 + F.col("below")).cast("string")).alias("name"))
     return first.unionByName(numbered).select(
         "ord", F.concat(F.lit(prefix + ":"), "name").alias("id"))

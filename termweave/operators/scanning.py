@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,8 @@ from termweave.functions.pieces import occurrences
 from termweave.model import ActiveSources, Index
 from termweave.operators.identifiers import contract_best
 from termweave.operators.lookup import all_active_ids, resolve_labels
+from termweave.plans.cut import cut
+from termweave.plans.ordered import top_per_group
 
 # Rare spaces become plain ones first: a class of ASCII characters matches far faster.
 _SPACES = dict.fromkeys(map(ord, K.OTHER_SPACES), " ")
@@ -108,7 +110,7 @@ def label_tokens(tokens: DataFrame, index: Index, active: ActiveSources) -> Data
     Labels are resolved once per distinct token. The join back has one row per token on the
     right, so a token that fills a third of all texts splits on the left.
     """
-    labels = resolve_labels(tokens, index, active)
+    labels = cut(resolve_labels(tokens, index, active))
     return tokens.join(labels, "token", "left")
 
 
@@ -179,9 +181,8 @@ def describe(ids: DataFrame, references: DataFrame, max_ref: int = 10) -> DataFr
     The first references are found by a rank with a limit, which is applied in every task
     before rows of a popular id meet.
     """
-    order = Window.partitionBy("id").orderBy("doc", "ord")
-    first = (references.withColumn("place", F.row_number().over(order))
-             .where(F.col("place") <= max_ref).select("id", "place", "doc", "ord"))
+    first = top_per_group(references, ["id"], ["doc", "ord"], max_ref, "place").select(
+        "id", "place", "doc", "ord")
     counts = references.groupBy("id").agg(
         F.count(F.lit(1)).alias("_n"),
         F.min_by("doc", F.when(F.col("is_heading"), F.struct("doc", "ord"))).alias("defined_in"))

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave import constants as K
 from termweave.functions import ident as I
 from termweave.model import TERM_KEY, Index, literal_table
+from termweave.plans.cut import cut
+from termweave.plans.ordered import top_per_group
 
 CURIE_QUERY = r"^[A-Za-z_][A-Za-z0-9_-]*:.+$"
 DEFAULT_LIMIT = 50
+# Result order; a missing label comes first.
+ORDER = ["source", "label", "id", "data_source"]
 GRAM = 3
 
 
@@ -69,8 +73,8 @@ def substring_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
         pieces, lambda a, b: F.length(b) - F.length(a)), 1)
     sized = wanted.withColumn("_piece", longest).withColumn(
         "_size", F.least(F.length("_piece"), F.lit(GRAM)))
-    probes = sized.select("query", "_like", "_size",
-                          F.explode(_grams(F.col("_piece"), F.col("_size"))).alias("_gram"))
+    probes = cut(sized.select("query", "_like", "_size",
+                              F.explode(_grams(F.col("_piece"), F.col("_size"))).alias("_gram")))
     sizes = sized.agg(F.collect_set("_size")).scalar()  # at most {0, 1, 2, 3}
     offered = rows.withColumn("_sizes", sizes).select(
         *rows.columns, F.lower(F.coalesce("label", F.lit(""))).alias("_l"),
@@ -80,9 +84,9 @@ def substring_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
     counts = offered.join(probes.select("_size", "_gram").distinct(), ["_size", "_gram"],
                           "left_semi").groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
     # A gram nobody offers proves the query has no match, so the inner join is exact.
-    chosen = (probes.join(counts, ["_size", "_gram"], "left")
-              .groupBy("query", "_like", "_size")
-              .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")))
+    chosen = cut(probes.join(counts, ["_size", "_gram"], "left")
+                 .groupBy("query", "_like", "_size")
+                 .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")))
     return (offered.join(chosen, ["_size", "_gram"])
             .where(F.like(F.col("_l"), F.col("_like")) & F.col("label").isNotNull()
                    | F.like(F.col("_i"), F.col("_like")))
@@ -93,9 +97,7 @@ def _top(rows: DataFrame, limit: int | None) -> DataFrame:
     """The first `limit` rows per query; the rank limit is applied before the shuffle too."""
     if limit is None:
         return rows
-    order = Window.partitionBy("query").orderBy(
-        F.asc_nulls_first("source"), F.asc_nulls_first("label"), "id", "data_source")
-    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit).drop("_n")
+    return top_per_group(rows, ["query"], ORDER, limit, "_n").drop("_n")
 
 
 def local_name_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
@@ -141,10 +143,7 @@ def search_entities(queries: DataFrame, index: Index, limit: int | None = None,
             "via", F.lit("local-name"))
         both = primary.withColumn("_pass", F.lit(1)).unionByName(spare.withColumn("_pass", F.lit(2)))
         if cap is not None:
-            order = Window.partitionBy("query").orderBy(
-                "_pass", F.asc_nulls_first("source"), F.asc_nulls_first("label"), "id", "data_source")
-            both = both.withColumn("_n", F.row_number().over(order)).where(
-                F.col("_n") <= cap).drop("_n")
+            both = top_per_group(both, ["query"], ["_pass", *ORDER], cap, "_n").drop("_n")
         found = both.drop("_pass")
     types = first_values(index.attributes, "rdf:type", "rdf_type")
     return (found.join(types, TERM_KEY, "left")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termweave import constants as K
@@ -10,6 +10,7 @@ from termweave.functions import ident as I
 from termweave.functions.text import axiom_leaves
 from termweave.operators import closure as C
 from termweave.plans.cut import cut
+from termweave.plans.ordered import running_number, top_per_group
 
 BARE_CURIE = r"^[A-Za-z_][A-Za-z0-9_-]*:[A-Za-z_][A-Za-z0-9_.-]+$"
 
@@ -55,14 +56,13 @@ def immediate_parents(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     written = supers.join(terms.select("doc", "node_id", "uri"), ["doc", "node_id"]).select(
         "doc", "uri", F.trim("value").alias("parent"), F.col("row_id").alias("ord"))
     first = nested.unionByName(written).groupBy("doc", "uri", "parent").agg(F.min("ord").alias("ord"))
-    order = Window.partitionBy("doc", "uri").orderBy("ord")  # a term has few parents
-    return first.select("doc", "uri", "parent", F.row_number().over(order).alias("place"))
+    return running_number(first, ["doc", "uri"], "ord", "place").select(
+        "doc", "uri", "parent", F.col("place").cast("int"))
 
 
 def children(edges: DataFrame, limit: int = 200) -> DataFrame:
     """(parent, child, place, omitted): first children by name, the rest counted."""
-    order = Window.partitionBy("parent").orderBy("child")
-    first = edges.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
+    first = top_per_group(edges, ["parent"], ["child"], limit, "place")
     counts = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
     return first.join(counts, "parent").select(
         "parent", "child", "place", F.greatest(F.col("_n") - limit, F.lit(0)).cast("long").alias("omitted"))
@@ -149,8 +149,8 @@ def group_by_type(individuals: DataFrame, chosen: DataFrame, labels: DataFrame)
         "id", F.coalesce("label", "type").alias("type_label"))
     rows = individuals.select("id").join(named, "id", "left").withColumn(
         "type_label", F.coalesce("type_label", F.lit("Unknown")))
-    shown = rows.select("type_label").distinct().groupBy(F.lower("type_label").alias("_k")).agg(
-        F.min("type_label").alias("shown"))
+    shown = cut(rows.select("type_label").distinct().groupBy(F.lower("type_label").alias("_k")).agg(
+        F.min("type_label").alias("shown")))
     return rows.withColumn("_k", F.lower("type_label")).join(shown, "_k").select(
         F.col("shown").alias("type_label"), "id")
 

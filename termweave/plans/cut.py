@@ -25,9 +25,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(frame: DataFrame) -> DataFrame:
-    """Write the rows once and go on from what was written."""
-    ensure_checkpoint_dir(frame.sparkSession)
-    return frame.checkpoint(eager=True)
+    """Write the rows once as a table in the shared folder and go on from there.
+
+    Three gains over the lazy frame: it is computed once; its size is known, so the planner
+    broadcasts it only while it is small; and a join with it shuffles plain rows on both
+    sides, which is the shape adaptive execution can split when a key is hot.
+    """
+    spark = frame.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
 
 
 _STORED: dict[tuple[str, str], str] = {}

@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CHUNK = 1 << 20
+CHUNK_BITS = 20
 
 
-def _chunked(frame: DataFrame, order: str, chunk: int) -> DataFrame:
-    return frame.withColumn("_chunk", F.floor(F.col(order) / F.lit(chunk)).cast("long"))
+def _chunked(frame: DataFrame, order: str, bits: int) -> DataFrame:
+    return frame.withColumn("_chunk", F.shiftright(F.col(order).cast("long"), bits))
 
 
 def _before(keys: list[str]) -> Window:
@@ -24,9 +24,9 @@ def _before(keys: list[str]) -> Window:
 
 
 def running_sum(frame: DataFrame, keys: list[str], order: str, value: Column, name: str,
-                ties: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+                ties: list[str] | None = None, bits: int = CHUNK_BITS) -> DataFrame:
     """Sum of `value` over the group's rows up to and including this one."""
-    rows = _chunked(frame, order, chunk).withColumn("_v", value.cast("long"))
+    rows = _chunked(frame, order, bits).withColumn("_v", value.cast("long"))
     totals = rows.groupBy(*keys, "_chunk").agg(F.sum("_v").alias("_t"))
     offsets = totals.select(
         *keys, "_chunk", F.coalesce(F.sum("_t").over(_before(keys)), F.lit(0)).alias("_off"))
@@ -41,15 +41,15 @@ def running_sum(frame: DataFrame, keys: list[str], order: str, value: Column, na
 
 
 def running_number(frame: DataFrame, keys: list[str], order: str, name: str,
-                   ties: list[str] | None = None, chunk: int = CHUNK) -> DataFrame:
+                   ties: list[str] | None = None, bits: int = CHUNK_BITS) -> DataFrame:
     """1, 2, 3 … within the group in `order`."""
-    return running_sum(frame, keys, order, F.lit(1), name, ties, chunk)
+    return running_sum(frame, keys, order, F.lit(1), name, ties, bits)
 
 
 def carry_forward(frame: DataFrame, keys: list[str], order: str,
-                  carried: dict[str, Column], chunk: int = CHUNK) -> DataFrame:
+                  carried: dict[str, Column], bits: int = CHUNK_BITS) -> DataFrame:
     """For each name, the latest non-NULL value at or before this row in the group."""
-    rows = _chunked(frame, order, chunk)
+    rows = _chunked(frame, order, bits)
     for name, value in carried.items():
         rows = rows.withColumn(f"_c_{name}", value)
     last_of_chunk = rows.groupBy(*keys, "_chunk").agg(*[
@@ -66,3 +66,24 @@ def carry_forward(frame: DataFrame, keys: list[str], order: str,
         out = out.withColumn(name, F.coalesce(F.col(f"_i_{name}"), F.col(f"_p_{name}")))
     drop = [f"_{p}_{n}" for n in carried for p in ("c", "p", "i")]
     return out.drop("_chunk", *drop)
+
+
+SALTS = 64
+# Up to this limit the engine ranks in every task before rows meet.
+RANK_LIMIT = 1000
+
+
+def top_per_group(frame: DataFrame, keys: list[str], order: list, limit: int, name: str) -> DataFrame:
+    """The first `limit` rows per group with their place.
+
+    Small limits are applied in each task before the shuffle. For larger ones a group is
+    first cut into salted parts, of which each keeps `limit` rows.
+    """
+    rows = frame
+    if limit > RANK_LIMIT:
+        salt = F.pmod(F.xxhash64(*frame.columns), F.lit(SALTS))
+        part = Window.partitionBy(*keys, "_salt").orderBy(*order)
+        rows = (frame.withColumn("_salt", salt).withColumn("_p", F.row_number().over(part))
+                .where(F.col("_p") <= limit).drop("_salt", "_p"))
+    whole = Window.partitionBy(*keys).orderBy(*order)
+    return rows.withColumn(name, F.row_number().over(whole)).where(F.col(name) <= limit)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.plans.cut import cut
 from termweave.sources.tables import ingest_json_map
 
 _ROW_BITS = 30
@@ -49,7 +50,7 @@ def delimited_rows(lines: DataFrame, sep: str) -> DataFrame:
     filled = lines.where(F.rtrim("text") != "").select(
         "doc", "ord", split_delimited(F.rtrim("text"), sep).alias("v"))
     header = filled.groupBy("doc").agg(F.min_by(F.struct("ord", "v"), "ord").alias("h"))
-    header = header.select("doc", F.col("h.ord").alias("_head"), F.col("h.v").alias("h"))
+    header = cut(header.select("doc", F.col("h.ord").alias("_head"), F.col("h.v").alias("h")))
     rows = filled.join(header, "doc").where(F.col("ord") > F.col("_head"))
     blank = F.lit("")
     lang_at = F.expr("array_position(slice(h, 3, greatest(size(h) - 2, 0)), 'lang') + 2")
