@@ -111,16 +111,18 @@ def ordered_hierarchy(entities: DataFrame, parent_map: DataFrame) -> DataFrame:
     own = F.array(F.struct(F.lower("sort_key").alias("k"), F.lower("id").alias("i"), F.col("id")))
     state = cut(entities.join(parents.withColumnRenamed("child", "id"), "id", "left").select(
         "id", F.col("parent").alias("up"), own.alias("path")))
-    for _ in range(C.MAX_ROUNDS):
-        if state.where("up IS NOT NULL").isEmpty():
+    while True:
+        open_up = state.where("up IS NOT NULL")
+        if open_up.isEmpty():
             break
+        # On a cycle a path meets its own continuation after one turn.
+        if not open_up.where(F.exists("path", lambda p: p["id"] == F.col("up"))).isEmpty():
+            raise ValueError("the parent map has a cycle; break cycles first")
         above = state.select(F.col("id").alias("a"), F.col("up").alias("b"), F.col("path").alias("c"))
         done = state.where("up IS NULL")
-        open_ = state.where("up IS NOT NULL").join(above, F.col("up") == F.col("a")).select(
+        longer = open_up.join(above, F.col("up") == F.col("a")).select(
             "id", F.col("b").alias("up"), F.concat("c", "path").alias("path"))
-        state = cut(done.unionByName(open_))
-    else:
-        raise ValueError("the parent map has a cycle; break cycles first")
+        state = cut(done.unionByName(longer))
     return state.select("id", F.size("path").alias("level"),
                         F.array_join(F.transform("path", lambda p: p["id"]), " / ").alias("path"),
                         F.col("path").alias("_sort")).orderBy("_sort").drop("_sort")
