@@ -161,7 +161,7 @@ UNION ALL SELECT DISTINCT w.id, 'has children' FROM w JOIN refs USING (id)
   WHERE class IN ('child', 'axiom-child') AND w.id IN (SELECT id FROM d) AND holder NOT IN (SELECT id FROM w)"""))
 def delete_refusals(spark, sf):
     ids = part_ids(spark, sf, lambda k: k % 10 == 4).select("id").union(
-        lift.brands(spark, sf).where("doc = 'b1'").select(F.lit("ex:Tb1")))
+        lift.brands(spark, sf).where("n = 1").select(F.concat(F.lit("ex:T"), "doc")))
     return K.delete_terms(ids, "refuse", *parts(spark, sf))[2]
 
 

@@ -11,7 +11,7 @@ from catalog.files import written
 from catalog.store import doc_rows
 from termweave.model import Index
 from termweave.operators import store as W
-from termweave.plans.cut import ensure_checkpoint_dir
+from termweave.plans.cut import cut, ensure_checkpoint_dir
 from termweave.sources import lift
 from termweave.streaming import live
 
@@ -58,7 +58,8 @@ def incremental_results(spark, sf):
     def rows(prefix, source="geo"):
         return ents.where(F.col("id").like(prefix + "%") & (F.col("source") == source)).select("id", "label")
 
-    previous = (rows("nation").withColumn("query", F.lit("old"))
+    # The last results are a stored table.
+    previous = cut(rows("nation").withColumn("query", F.lit("old"))
                 .unionByName(rows("region").withColumn("query", F.lit("empty")))
                 .unionByName(rows("nation").withColumn("query", F.lit("new"))))
     part = lift.read(spark, sf, "part").select(

@@ -133,8 +133,9 @@ def search_entities(queries: DataFrame, index: Index, limit: int | None = None,
     """
     cap = DEFAULT_LIMIT if limit is None else (limit if limit > 0 else None)
     rows = filtered(index, kind, source, lang)
-    primary = _top(substring_matches(queries, rows), cap).withColumn(
-        "via", F.when(F.lower("id") == F.lower("query"), "exact").otherwise("label-substring"))
+    # The matches are few and read twice; the entities behind them are many.
+    primary = cut(_top(substring_matches(queries, rows), cap).withColumn(
+        "via", F.when(F.lower("id") == F.lower("query"), "exact").otherwise("label-substring")))
     found = primary
     if not exact_only:
         spare = _top(local_name_matches(queries, rows), cap)
@@ -182,12 +183,12 @@ def borrow_candidates(labels: DataFrame, index: Index, kind: str = "class",
                       source: str | None = None, lang: str | None = None) -> DataFrame:
     """(query, outcome, id, …): `none`, `one` with its citation, or `many` listed; no guessing."""
     queries = labels.select("query").distinct()
-    rows = search_entities(queries, index, None, kind or "class", source, lang)
+    rows = cut(search_entities(queries, index, None, kind or "class", source, lang))
     counts = rows.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
     listed = queries.join(counts, "query", "left").join(
         rows.select("query", "id", "source", "via"), "query", "left")
     outcome = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "one").otherwise("many")
-    out = listed.select("query", outcome.alias("outcome"), "id", "source", "via")
+    out = cut(listed.select("query", outcome.alias("outcome"), "id", "source", "via"))
     cited = entity_citation(out.where("outcome = 'one'").select("id"), index).select(
         "id", F.lit("one").alias("outcome"), "definition", "ontology_iri")
     return out.join(cited, ["id", "outcome"], "left").select(

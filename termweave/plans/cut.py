@@ -9,6 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
+_CUTS: dict[str, list[str]] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the session; a temporary one in local mode only."""
     context = spark.sparkContext
@@ -34,9 +37,20 @@ def cut(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/cut-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    _CUTS.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete the tables `cut` wrote in this session, once results that read them are written."""
+    paths = _CUTS.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(conf).delete(folder, True)
+    return len(paths)
+
+
 _STORED: dict[tuple[str, str], str] = {}
 
 
