@@ -80,7 +80,7 @@ def known_tokens(spark, sf):
 @query("label_tokens", lifted("entities lines", TOK + LAB + """
 SELECT doc, token, kind, label FROM tok LEFT JOIN lab USING (token)"""))
 def label_tokens(spark, sf):
-    return S.label_tokens(tokens(spark, sf), lift.index(spark, sf), PAIRS)
+    return S.label_texts(lift.remarks(spark, sf), ["doc"], "text", lift.index(spark, sf), PAIRS)
 
 
 @query("token_stats", lifted("lines", TOK + """

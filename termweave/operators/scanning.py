@@ -114,6 +114,13 @@ def label_tokens(tokens: DataFrame, index: Index, active: ActiveSources) -> Data
     return tokens.join(labels, "token", "left")
 
 
+def label_texts(texts: DataFrame, keys: list[str], text_col: str, index: Index,
+                active: ActiveSources) -> DataFrame:
+    """Identifiers of texts with their labels. The tokens are written once, because finding
+    the distinct ones and labelling all would scan every text twice."""
+    return label_tokens(cut(extract_ids(texts, keys, text_col)), index, active)
+
+
 def token_stats(tokens: DataFrame, doc_col: str) -> DataFrame:
     """(token, kind, hits, docs)."""
     return tokens.groupBy("token", "kind").agg(
