@@ -441,7 +441,7 @@ def diff(spark, sf):
 
 
 @query("diff_status", DIFF + """
-SELECT p_brand, count_if(side = 'removed')::BIGINT AS removed, count_if(side = 'added')::BIGINT AS added,
+SELECT p_brand, CAST(coalesce(count_if(side = 'removed'), 0) AS BIGINT) AS removed, CAST(coalesce(count_if(side = 'added'), 0) AS BIGINT) AS added,
   CASE WHEN count(side) = 0 THEN 'identical' ELSE 'different' END AS status
 FROM (SELECT DISTINCT p_brand FROM b) LEFT JOIN d USING (p_brand) GROUP BY p_brand""")
 def diff_status(spark, sf):

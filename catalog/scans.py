@@ -101,7 +101,7 @@ def unknown_tokens(spark, sf):
 
 
 @query("annotate_text", lifted("entities lines", TOK + LAB + f"""
-SELECT place AS doc, l_partkey AS part, 'see ' || coalesce('[[#part:P' || l_partkey || '][' || a.label || ']]', 'part:P' || l_partkey)
+SELECT DISTINCT place AS doc, l_partkey AS part, 'see ' || coalesce('[[#part:P' || l_partkey || '][' || a.label || ']]', 'part:P' || l_partkey)
   || ' from ' || '[[#{D}supplier/S' || l_suppkey || '][' || b.label || ']]'
   || ' via ' || '[[#{D}nation/N' || (l_suppkey % 25) || '][' || c.label || ']]'
   || ', not part:12 or ex:http://a/b, line ' || l_linenumber AS text
@@ -109,7 +109,7 @@ FROM lines LEFT JOIN lab a ON a.token = 'part:P' || l_partkey
 LEFT JOIN lab b ON b.token = '{D}supplier/S' || l_suppkey
 LEFT JOIN lab c ON c.token = '{D}nation/N' || (l_suppkey % 25)"""))
 def annotate_text(spark, sf):
-    texts = lift.remarks(spark, sf)
+    texts = lift.remarks(spark, sf).dropDuplicates(["doc", "part"])
     labels = L.resolve_labels(tokens(spark, sf), lift.index(spark, sf), PAIRS)
     return S.annotate_text(texts, ["doc", "part"], "text", labels)
 
@@ -183,13 +183,13 @@ def mentions(spark, sf):
 , lab AS (SELECT id, CASE WHEN contains(label, ' ') THEN '''' || label || '''' ELSE label END AS q FROM entities
     WHERE source IN ('part', 'supply') AND label IS NOT NULL AND id <> 'ex:note')
 , w AS (SELECT id, ord, value, string_split(value, ' ') AS ws FROM axioms WHERE value <> '')
-SELECT w.id, w.ord, coalesce(a.q, w.ws[1]) || coalesce(' ' || CASE WHEN starts_with(ws[2], '(') THEN '(' ELSE '' END
+SELECT DISTINCT w.id, w.ord, coalesce(a.q, w.ws[1]) || coalesce(' ' || CASE WHEN starts_with(ws[2], '(') THEN '(' ELSE '' END
     || coalesce(b.q, ltrim(ws[2], '(')), '') || coalesce(' ' || coalesce(c.q, ws[3]), '') AS value,
   CAST((a.q IS NOT NULL) AS BIGINT) + CAST((b.q IS NOT NULL) AS BIGINT) + CAST((c.q IS NOT NULL) AS BIGINT) AS substitutions
 FROM w LEFT JOIN lab a ON a.id = ws[1] LEFT JOIN lab b ON b.id = ltrim(ws[2], '(') LEFT JOIN lab c ON c.id = ws[3]"""))
 def axiom_to_labels(spark, sf):
     labels = lift.entities(spark, sf).where(
         "source in ('part', 'supply') and id <> 'ex:note'").select("id", "label")
-    rows = lift.axioms(spark, sf).where("value <> ''")
+    rows = lift.axioms(spark, sf).where("value <> ''").dropDuplicates(["id", "ord"])
     table = lift.prefixes(spark, sf).where("source = 'part'").select("prefix", "expansion")
     return S.axiom_to_labels(rows, ["id", "ord"], "value", labels, table)

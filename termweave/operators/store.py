@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave import constants as K
 from termweave import model as M
 from termweave.functions.ident import id_kind
 from termweave.functions.lang import language_key
 from termweave.model import SOURCE_KEY, Index
 from termweave.plans.cut import cut
+from termweave.sources.readers import DEFAULT_READERS, Reader, list_files
 
 BUCKETS = 256
 SEQ_BITS = 12
@@ -46,12 +48,13 @@ def source_batch(rows: DataFrame, kind: str, mtimes: DataFrame, now: Column,
     """New content of many sources from long rows keyed by (source, data_source).
 
     `mtimes` has (source, data_source, last_modified) of every source to replace, also of
-    those that turned out empty.
+    those that turned out empty; its column `type`, if any, stands before `kind`.
     """
     entities, attributes = coalesce_entries(rows, SOURCE_KEY, prefs)
     spark = rows.sparkSession
     return Index(
-        sources=mtimes.select(*SOURCE_KEY, F.lit(kind).alias("type"), "last_modified",
+        sources=mtimes.select(*SOURCE_KEY, (F.col("type") if "type" in mtimes.columns
+                                            else F.lit(kind)).alias("type"), "last_modified",
                               now.cast("double").alias("last_updated")),
         entities=_conform(entities, "entities"),
         attributes=_conform(attributes, "attributes"),
@@ -173,6 +176,13 @@ def save_index(index: Index, path: str) -> None:
     index.global_prefixes.write.mode("overwrite").parquet(f"{path}/global_prefixes")
 
 
+def create_index(spark: SparkSession, path: str) -> None:
+    """An empty stored index with the default global prefixes."""
+    empty = [spark.createDataFrame([], SCHEMAS[t]) for t in TABLES]
+    defaults = M.literal_table(spark, K.GLOBAL_PREFIXES, ["prefix", "expansion"])
+    save_index(Index(*empty, defaults.withColumn("trust", F.lit(1))), path)
+
+
 def load_index(spark: SparkSession, path: str) -> Index:
     def read(table: str) -> DataFrame:
         return spark.read.schema(SCHEMAS[table] + (", bucket int" if table != "global_prefixes" else "")
@@ -235,6 +245,39 @@ def register_files(spark: SparkSession, path: str, listing: DataFrame, rows: Dat
         *SOURCE_KEY, status.alias("status"), F.coalesce("entities", F.lit(0).cast("long")).alias("entities"))
 
 
+def register_folder(spark: SparkSession, path: str, folder: str,
+                    readers: dict[str, Reader] | None = None, force: bool = False) -> DataFrame:
+    """Index a folder's new and modified files; (source, status, entities) of all its files.
+
+    Only stale files are read, one reader call per extension; the driver sees their names.
+    Files without a reader fail and do not stop the others. `force` refreshes all.
+    """
+    known = readers or DEFAULT_READERS
+    now = F.unix_timestamp()
+    files = list_files(spark, folder).withColumnRenamed("doc", "source").withColumn("data_source", F.lit(""))
+    state = needs_update(files, load_index(spark, path).sources)
+    if force:
+        state = state.withColumn("stale", F.lit(True))
+    state = cut(state.withColumn("readable", F.col("ext").isin(list(known))))
+    due = state.where("stale AND readable")
+    by_ext: dict[str, list[str]] = {}
+    for row in due.select("ext", "path").toLocalIterator():
+        by_ext.setdefault(row.ext, []).append(row.path)
+    if by_ext:
+        frames = [known[ext](spark, paths, None) for ext, paths in sorted(by_ext.items())]
+        rows = frames[0]
+        for frame in frames[1:]:
+            rows = rows.unionByName(frame)
+        rows = rows.withColumnRenamed("doc", "source").withColumn("data_source", F.lit(""))
+        mtimes = due.select(*SOURCE_KEY, F.col("ext").alias("type"), F.col("mtime").alias("last_modified"))
+        update_stored(spark, path, source_batch(rows, "file", mtimes, now))
+    counts = list_sources(load_index(spark, path)).select(*SOURCE_KEY, "entities")
+    status = (F.when(~F.col("readable"), "failed").when(~F.col("stale"), "up to date")
+              .when(F.col("last_modified").isNull(), "registered").otherwise("refreshed"))
+    return state.join(counts, SOURCE_KEY, "left").select(
+        "source", status.alias("status"), F.coalesce("entities", F.lit(0).cast("long")).alias("entities"))
+
+
 def refresh_report(statuses: DataFrame, errors: DataFrame) -> DataFrame:
     """(status, n): how many sources went well and how many failed."""
     done = statuses.select("status").unionByName(errors.select(F.lit("failed").alias("status")))

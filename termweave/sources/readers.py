@@ -145,9 +145,13 @@ def ntriples(lines: DataFrame) -> DataFrame:
 
 
 def list_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, mtime, ext, length) of a folder tree; file contents are not read."""
+    """(doc, path, mtime, ext, length) of a folder tree; file contents are not read.
+
+    `doc` is the name the readers give to the file.
+    """
     return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select("path", F.col("modificationTime").cast("double").alias("mtime"),
+            .select(F.col("_metadata.file_path").alias("doc"), "path",
+                    F.col("modificationTime").cast("double").alias("mtime"),
                     F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "length"))
 
 
