@@ -102,11 +102,18 @@ def _blank(value: Column) -> Column:
     return F.trim(F.coalesce(value, F.lit(""))) == ""
 
 
-def frames(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(doc, node_id, uri, text): one frame per declared term."""
+# Parts of a block, in order of output.
+HEAD, NOTES, NOTE, AXIOM, GAP = range(5)
+
+
+def frame_parts(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(doc, node_id, rank, o, text): the frames of the declared terms, a row per part.
+
+    A frame is never one value: a term with very many rows is very many parts.
+    """
     terms = nodes.where("uri IS NOT NULL AND NOT tagged_nodeclare")
     top = _with_meta(rows, prefixes).join(terms.select("doc", "node_id"), ["doc", "node_id"], "left_semi")
-    top = top.select("doc", "node_id", F.col("row_id").alias("o"), "tag", "value", "shown", "meta")
+    top = cut(top.select("doc", "node_id", F.col("row_id").alias("o"), "tag", "value", "shown", "meta"))
 
     written = top.where("tag = 'rdfs:label'").select("doc", "node_id", F.col("value").alias("label"))
     derived = terms.where(F.col("label").isNotNull() & (F.col("label") != F.col("uri"))).select(
@@ -115,27 +122,43 @@ def frames(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
         F.col("label").alias("value"))
     derived = literal_text(derived, "value", prefixes, "shown", ["doc"]).withColumn(
         "meta", F.lit(None).cast("array<string>"))
-    notes = top.where(~F.col("tag").isin([*K.ALL_KEYWORDS, "rdf:type"])).unionByName(derived)
+    notes = cut(top.where(~F.col("tag").isin([*K.ALL_KEYWORDS, "rdf:type"])).unionByName(derived))
+    last = cut(notes.groupBy("doc", "node_id").agg(F.max("o").alias("_last")))
     lead = " " * 8
     note = F.concat(
         F.when(F.col("meta").isNotNull(), F.concat(F.lit(lead + "Annotations: \n"), _meta_text(12), F.lit("\n")))
-        .otherwise(""), F.lit(lead), "tag", F.lit(" "), "shown")
-    note_text = notes.withColumn("t", note).groupBy("doc", "node_id").agg(
-        F.concat(F.lit("    Annotations: \n"), _joined("o", "t", ",\n")).alias("notes"))
+        .otherwise(""), F.lit(lead), "tag", F.lit(" "), "shown",
+        F.when(F.col("o") < F.col("_last"), ",").otherwise(""))
+    note_rows = notes.join(last, ["doc", "node_id"])
 
     axioms = top.where(F.col("tag").isin(K.FRAME_KEYWORDS) & ~_blank(F.col("value")))
-    last = F.lit((1 << 62)).alias("o")
+    end = F.lit(1 << 62).alias("o")
     none = [F.lit(None).cast("string").alias("shown"), F.lit(None).cast("array<string>").alias("meta")]
     nested = parent_edges(nodes, rows).select(
-        "doc", "node_id", last, F.col("keyword").alias("tag"), F.col("parent").alias("value"), *none)
+        "doc", "node_id", end, F.col("keyword").alias("tag"), F.col("parent").alias("value"), *none)
     facts = relation_facts(nodes, rows).select(
-        "doc", "node_id", last, F.col("keyword").alias("tag"), "value", *none)
-    axiom_text = axioms.unionByName(nested).unionByName(facts).withColumn("t", _axiom_line(4)).groupBy(
-        "doc", "node_id").agg(_joined("o", "t", "\n").alias("axioms"))
+        "doc", "node_id", end, F.col("keyword").alias("tag"), "value", *none)
+    axiom_rows = axioms.unionByName(nested).unionByName(facts)
+
+    def part(frame: DataFrame, rank: int, text: Column, o: Column) -> DataFrame:
+        return frame.select("doc", "node_id", F.lit(rank).alias("rank"), o.cast("long").alias("o"), text.alias("text"))
+
+    zero = F.lit(0)
+    return (
+        part(terms, HEAD, F.concat(frame_type(F.col("rdf_type")), F.lit(": "), "uri"), zero)
+        .unionByName(part(last, NOTES, F.lit("    Annotations: "), zero))
+        .unionByName(part(note_rows, NOTE, note, F.col("o")))
+        .unionByName(part(axiom_rows, AXIOM, _axiom_line(4), F.col("o"))))
+
 
-    head = F.concat(frame_type(F.col("rdf_type")), F.lit(": "), "uri")
-    return terms.join(note_text, ["doc", "node_id"], "left").join(axiom_text, ["doc", "node_id"], "left").select(
-        "doc", "node_id", "uri", F.concat_ws("\n", head, "notes", "axioms").alias("text"))
+def frames(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """(doc, node_id, uri, text): one frame text per declared term, for terms of usual size.
+
+    `publish` works on the parts instead.
+    """
+    parts = frame_parts(nodes, rows, prefixes).groupBy("doc", "node_id").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", "o", "text"))), lambda p: p["text"]), "\n").alias("text"))
+    return nodes.select("doc", "node_id", "uri").join(parts, ["doc", "node_id"])
 
 
 def misc_frames(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
@@ -145,28 +168,43 @@ def misc_frames(rows: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 
 def blocks(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """(doc, ord, source_line, text): prefix block, then frames in document order."""
-    clean = F.when(F.endswith("prefix", F.lit(":")), F.col("prefix")).otherwise(F.concat("prefix", F.lit(":")))
-    lines = prefixes.select("doc", "ord", F.format_string("Prefix: %-5s <%s>", clean, F.col("expansion")).alias("t"))
-    head = lines.groupBy("doc").agg(F.concat(F.lit("## Prefixes\n"), _joined("ord", "t", "\n")).alias("text"))
-    head = head.select("doc", F.lit(-1).cast("long").alias("ord"), F.lit(None).cast("long").alias("source_line"), "text")
-    terms = frames(nodes, rows, prefixes).select(
-        "doc", (F.col("node_id") * 2).alias("ord"), F.col("node_id").alias("source_line"), "text")
-    misc = misc_frames(rows, prefixes).select(
-        "doc", (F.col("ord") * 2 + 1).alias("ord"), F.col("node_id").alias("source_line"), "text")
-    return head.unionByName(terms).unionByName(misc)
+    """(doc, ord, rank, o, source_line, text): a document's parts, block after block.
+
+    Blocks are the prefixes, then frames in document order, each followed by a blank line.
+    """
+    def block(frame: DataFrame, ord_: Column, rank: Column, o: Column, line: Column, text: Column) -> DataFrame:
+        return frame.select("doc", ord_.cast("long").alias("ord"), rank.alias("rank"), o.cast("long").alias("o"),
+                            line.cast("long").alias("source_line"), text.alias("text"))
+
+    name = F.when(F.endswith("prefix", F.lit(":")), F.col("prefix")).otherwise(F.concat("prefix", F.lit(":")))
+    zero, no_line = F.lit(0), F.lit(None)
+    heads = block(prefixes.select("doc").distinct(), F.lit(-1), F.lit(HEAD), zero, no_line, F.lit("## Prefixes"))
+    names = block(prefixes, F.lit(-1), F.lit(NOTE), F.col("ord"), no_line,
+                  F.format_string("Prefix: %-5s <%s>", name, F.col("expansion")))
+    node = F.col("node_id")
+    terms = block(frame_parts(nodes, rows, prefixes), node * 2, F.col("rank"), F.col("o"), node, F.col("text"))
+    misc = block(misc_frames(rows, prefixes), F.col("ord") * 2 + 1, F.lit(HEAD), zero, node, F.col("text"))
+    opened = heads.unionByName(terms.where(F.col("rank") == HEAD)).unionByName(misc)
+    gaps = opened.withColumn("rank", F.lit(GAP)).withColumn("text", F.lit(""))
+    return heads.unionByName(names).unionByName(terms).unionByName(misc).unionByName(gaps)
 
 
 def published_lines(parts: DataFrame) -> DataFrame:
-    """(doc, line, text): numbered output lines; a blank line stands between blocks.
+    """(doc, line, source_line, text): numbered output lines.
 
-    A document is never one value: blocks are numbered by a running sum of their lengths.
+    Line numbers are sums in three steps: over the blocks of a document, over the ranks of a
+    block, over the parts of a rank. So neither a document nor a term is one value or task.
     """
     sized = cut(parts.withColumn("_n", F.size(F.split("text", "\n"))))
-    placed = running_sum(sized, ["doc"], "ord", F.col("_n") + 1, "_end", ties=["text"])
-    rows = placed.select("doc", "ord", "source_line", (F.col("_end") - F.col("_n")).alias("_start"),
-                         F.posexplode(F.split(F.concat("text", F.lit("\n")), "\n")).alias("_at", "text"))
-    return rows.select("doc", (F.col("_start") + F.col("_at")).alias("line"), "source_line", "text")
+    before = [F.coalesce(F.sum(F.when(F.col("rank") < r, F.col("_n"))), F.lit(0)) for r in range(GAP + 1)]
+    totals = cut(sized.groupBy("doc", "ord").agg(F.sum("_n").alias("_t"), F.array(*before).alias("_ranks")))
+    starts = running_sum(totals, ["doc"], "ord", F.col("_t"), "_end").select(
+        "doc", "ord", (F.col("_end") - F.col("_t")).alias("_block"), "_ranks")
+    placed = running_sum(sized, ["doc", "ord", "rank"], "o", F.col("_n"), "_upto", ties=["text"])
+    first = F.col("_block") + F.get("_ranks", F.col("rank")) + F.col("_upto") - F.col("_n") + 1
+    rows = placed.join(starts, ["doc", "ord"]).select(
+        "doc", "source_line", first.alias("_at"), F.posexplode(F.split("text", "\n")).alias("_i", "text"))
+    return rows.select("doc", (F.col("_at") + F.col("_i")).alias("line"), "source_line", "text")
 
 
 def publish(parts: DataFrame, path: str) -> None:
