@@ -30,7 +30,7 @@ FREQUENT = 50_000  # words whose counts every task knows; counts of rarer ones a
 ROUNDS = 4
 SEEDS = 256  # texts that the first states are drawn from
 FOLDS, HELD_OUT = 7, 2
-CELLS = 100_000  # tokens that one block of texts may have, padding included
+CELLS = 200_000  # tokens that one block of texts may have, padding included
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -96,54 +96,65 @@ def _grid(texts: list[np.ndarray], rows: list[int]) -> tuple[np.ndarray, np.ndar
     return grid, lengths
 
 
+def _live(lengths: np.ndarray, steps: int) -> list[int]:
+    """At each step, how many texts have not ended; texts are sorted, longest first."""
+    return np.searchsorted(-lengths, -np.arange(steps)).tolist()
+
+
+def _forward(model: Model, seen: np.ndarray, live: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Scaled forward values for emissions (step, text, state), and the scales."""
+    alphas, scales = np.zeros_like(seen), np.ones(seen.shape[:2], seen.dtype)
+    move, ones = model.move.astype(seen.dtype), np.ones(seen.shape[2], seen.dtype)
+    for t, many in enumerate(live):
+        now = alphas[t, :many]
+        if t:
+            np.dot(alphas[t - 1, :many], move, out=now)
+        else:
+            now[:] = model.start
+        now *= seen[t, :many]
+        scale = scales[t, :many]
+        np.dot(now, ones, out=scale)
+        now /= scale[:, None]
+    return alphas, scales
+
+
 def log_likelihoods(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     """Natural logarithm of the probability of each sequence of symbols."""
     out = np.zeros(len(texts))
     by_symbol = np.ascontiguousarray(model.emit.T)
     for rows in _blocks(texts):
         grid, lengths = _grid(texts, rows)
-        alpha, total = None, np.zeros(len(rows))
-        for t in range(len(grid)):
-            live = int(np.searchsorted(-lengths, -t))  # texts are sorted, longest first
-            ahead = np.tile(model.start, (live, 1)) if alpha is None else alpha[:live] @ model.move
-            alpha = ahead * by_symbol[grid[t, :live]]
-            scale = alpha.sum(axis=1)
-            total[:live] += np.log(scale)
-            alpha /= scale[:, None]
-        out[rows] = total
+        _alphas, scales = _forward(model, by_symbol[grid], _live(lengths, len(grid)))
+        out[rows] = np.log(scales).sum(axis=0)
     return out
 
 
 def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions over the texts."""
+    """Expected starts, moves and emissions over the texts; values of a text in single
+    precision, sums over texts in double."""
     states, symbols = model.emit.shape
     start, move, emit = np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))
-    by_symbol = np.ascontiguousarray(model.emit.T)
-    back_move = np.ascontiguousarray(model.move.T)
+    by_symbol = np.ascontiguousarray(model.emit.T).astype(np.float32)
+    back = np.ascontiguousarray(model.move.T).astype(np.float32)
     for rows in _blocks(texts):
         grid, lengths = _grid(texts, rows)
-        steps, many = grid.shape
-        alphas, scales = np.zeros((steps, many, states)), np.ones((steps, many))
-        for t in range(steps):
-            live = int(np.searchsorted(-lengths, -t))
-            ahead = np.tile(model.start, (live, 1)) if t == 0 else alphas[t - 1, :live] @ model.move
-            a = ahead * by_symbol[grid[t, :live]]
-            scales[t, :live] = a.sum(axis=1)
-            alphas[t, :live] = a / scales[t, :live, None]
-        beta = np.ones((many, states))
-        for t in range(steps - 1, -1, -1):
-            live = int(np.searchsorted(-lengths, -t))
-            gamma = alphas[t, :live] * beta[:live]
-            if t:
-                onward = by_symbol[grid[t, :live]] * beta[:live] / scales[t, :live, None]
-                move += alphas[t - 1, :live].T @ onward
-                beta[:live] = onward @ back_move
-            alphas[t, :live] = gamma
+        live, onward = _live(lengths, len(grid)), by_symbol[grid]
+        alphas, scales = _forward(model, onward, live)
+        betas = np.ones_like(alphas)
+        onward /= scales[:, :, None]
+        for t in range(len(grid) - 1, 0, -1):
+            many = live[t]
+            now = onward[t, :many]
+            now *= betas[t, :many]
+            np.dot(now, back, out=betas[t - 1, :many])
+        for t, many in enumerate(live):
+            onward[t, many:] = 0
+        move += alphas[:-1].reshape(-1, states).T @ onward[1:].reshape(-1, states)
+        alphas *= betas
         start += alphas[0].sum(axis=0)
-        flat, seen = grid.ravel(), (np.arange(steps)[:, None] < lengths[None, :]).ravel()
-        weights = alphas.reshape(-1, states)
+        flat, weights = grid.ravel(), np.ascontiguousarray(alphas.reshape(-1, states).T)
         for k in range(states):
-            emit[k] += np.bincount(flat[seen], weights[seen, k], minlength=symbols)
+            emit[k] += np.bincount(flat, weights[k], minlength=symbols)
     return start, move * model.move, emit
 
 
@@ -188,6 +199,26 @@ def _counts(docs: DataFrame) -> DataFrame:
             .groupBy("word").agg(F.count("*").alias("c")))
 
 
+def _frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words above the least count that at most `most` words exceed. Only words that are
+    taken leave their task, where a limit would bring `most` rows from each task."""
+    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).groupBy(F.log2("c").cast("int").alias("k")).agg(
+        F.sum("n").alias("n"), F.min("c").alias("c")).orderBy(F.desc("k")).collect()
+    least, taken = None, 0
+    for r in sizes:
+        # Counts of one power of two; the power that does not fit is looked at count by count.
+        if taken + r["n"] > most:
+            inner = (counts.where((F.log2("c").cast("int") == r["k"])).groupBy("c").agg(F.count("*").alias("n"))
+                     .orderBy(F.desc("c")).limit(most + 1).collect())
+            for x in inner:
+                if taken + x["n"] > most:
+                    break
+                least, taken = x["c"], taken + x["n"]
+            break
+        least, taken = r["c"], taken + r["n"]
+    return counts.where(F.col("c") >= least) if least is not None else counts.limit(0)
+
+
 def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, buckets: int = BUCKETS,
                 frequent: int = FREQUENT) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -202,7 +233,7 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own
     ends = docs.where(~held_out(F.col("doc_id"))).count()
     sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    top = counts.orderBy(F.desc("c"), "word").limit(frequent).collect()
+    top = sorted(_frequent(counts, frequent).collect(), key=lambda r: (-r["c"], r["word"]))
     vocabulary = Vocabulary([(r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in top], own, buckets)
     coded = written(_coded(docs, vocabulary, ends))
     model, sizes = _first_model(spark, coded, counts, vocabulary, ends, states)
@@ -227,17 +258,20 @@ def _coded(docs: DataFrame, vocabulary: Vocabulary, ends: int) -> DataFrame:
 
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = shared.value
-        logs = {w: float(np.log10(c + 1.0)) for w, (c, _) in own.known.items()}
-        kinds = {w: k for w, (_, k) in own.known.items()}
+        places = {w: i for i, w in enumerate(own.known)}
+        logs = np.log10([*(c + 1.0 for c, _ in own.known.values()), 1.0])
+        kinds = np.array([*(k for _, k in own.known.values()), 0], "<u2")
         for batch in batches:
             out = []
             for text in batch["text"]:
                 found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                symbols = [kinds[w] if w in kinds else own.bucket(w) for w in found]
-                rare = [w.decode("utf-8", "surrogatepass") for w in found if w not in kinds]
-                total = sum([logs[w] for w in found if w in logs]) + float(np.log10(ends + 1.0))
-                out.append((len(found) + 1, len(found) - len(rare) + (ends > 0), total,
-                            np.array([*symbols, 0], "<u2").tobytes(), rare))
+                # The last entry of logs and kinds stands for rare words.
+                ids = np.fromiter((places.get(w, -1) for w in found), np.int64, len(found))
+                symbols, at = kinds[ids], np.flatnonzero(ids < 0)
+                rare = [found[i] for i in at]
+                symbols[at] = [own.bucket(w) for w in rare]
+                out.append((len(found) + 1, len(found) - len(rare) + (ends > 0), logs[ids].sum() + np.log10(ends + 1.0),
+                            symbols.tobytes() + b"\0\0", [w.decode("utf-8", "surrogatepass") for w in rare]))
             frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "symbols", "rare"])
             frame["doc_id"], frame["held_out"], frame["uid"] = batch["doc_id"].astype("Int64"), batch["held_out"], batch["uid"]
             yield frame[["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "symbols", "rare"]]
