@@ -9,6 +9,7 @@ are packed by the same rule, until one task is left. No step holds more than its
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import cache
 from typing import Any
@@ -25,7 +26,7 @@ OPEN = 16
 GROUP = 32
 LEAST_PIECE = 16  # a window with less room than this is not topped up with a cut piece
 END_ID = 1
-CACHED = 400_000
+CACHED = 600_000  # words whose ids a task keeps
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, open boolean")
@@ -34,29 +35,55 @@ COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "off
 
 class WordTokenizer:
     """Ids of a text as bytes (little-endian, 32 bit) by a tokenizer that never joins characters
-    across white space, so that the ids of a word can be kept for the next time."""
+    across white space, nor letters with the punctuation after them, so that the ids of a word
+    can be kept for the next time."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, "<u4")
 
     def ids(self, text: str) -> bytes:
-        words = text.translate(_SPACES).split(" ")
-        known = self.known
-        missing = list({w for w in words if w not in known})
-        if len(known) + len(missing) > CACHED:
-            known.clear()
-            missing = list(set(words))
-        for at in range(0, len(missing), 4096):
-            part = missing[at:at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
-
-
-_SPACES = str.maketrans("\t\n\x0b\x0c\r", "     ")
+        if ODD.search(text) or len(self.mark) != 1:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = text.split()
+        missing = set(words).difference(self.known)
+        if missing:
+            if len(self.known) + len(missing) > CACHED:
+                self.known.clear()
+                self.parts.clear()
+                missing = set(words)
+            self._learn(list(missing))
+        return b"".join(map(self.known.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
+        split = []
+        for word in words:
+            stem = word.rstrip(PUNCTUATION)
+            if stem.isalpha():
+                split.append((word, stem.lower() if stem.isascii() else stem, word[len(stem):]))
+            else:
+                split.append((word, word, ""))
+        new = list({p for _, a, b in split for p in (a, b) if p and p not in self.parts})
+        for at in range(0, len(new), 1024):
+            part = new[at:at + 1024]
+            # One text, with a mark between the parts whose id no part can have.
+            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = 4 * np.flatnonzero(ids == self.mark[0])
+            data = ids.tobytes()
+            for p, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]):
+                self.parts[p] = data[a:b]
+        for word, stem, tail in split:
+            self.known[word] = self.parts[stem] + self.parts[tail] if tail else self.parts[stem]
+
+
+MARK = "\x01"
+# Characters that str.split() takes for white space and the tokenizer does not, and the mark.
+ODD = re.compile("[\x01\x1c-\x1f]")
+PUNCTUATION = ".,!?;:|*#$%&-\"()"
 
 
 @cache
