@@ -8,9 +8,10 @@ of PASSAGE words or more is found, and so is a passage that shares no newline wi
    equal runs select the same one, so a repeated passage of PASSAGE words is guaranteed to share
    a fingerprint, while only about one line in sixteen is selected.
 2. Join. Fingerprints that occur in two texts, or twice in one, are looked up; all others go.
-3. Extension. Around each occurrence of these, all runs of PASSAGE words that selected it, to
-   the left and to the right, are compared by a 128-bit hash of their words. A run that occurs
-   at an earlier place (doc_id, then position) is repeated.
+3. Extension. A match at an occurrence is extended to the left and right over all runs of
+   PASSAGE words that selected it. These are compared by 128-bit hashes of their words, first
+   all together and then, where only some can match, one by one. A run that occurs at an
+   earlier place (doc_id, then position) is repeated.
 4. Later repeated runs that touch are merged and deleted; the first occurrence stays.
 
 So a word is deleted exactly if it lies in a run of PASSAGE words that occurs earlier.
@@ -81,6 +82,14 @@ def window_minima(lines: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(least[:len(least) - rest], least[rest:]) if rest else least
 
 
+def _of_all(hashes: np.ndarray) -> int:
+    """A signed 64-bit hash of a row of hashes."""
+    import xxhash
+
+    value = xxhash.xxh3_64_intdigest(hashes.tobytes())
+    return value - (1 << 64) * (value >> 63)
+
+
 def selected(words: np.ndarray, line: int, passage: int) -> np.ndarray:
     """For each run of `passage` words the line hash it selects."""
     return window_minima(run_hashes(words, line, _BASES[0]), passage - line + 1)
@@ -103,11 +112,13 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
             for text in batch["text"]:
                 words = word_hashes(text)
                 lines = run_hashes(words, line, _BASES[0])
-                minima = np.unique(window_minima(lines, passage - line + 1))
-                values, counts = np.unique(lines[np.isin(lines, minima)], return_counts=True)
+                values = np.unique(window_minima(lines, passage - line + 1))
+                ordered = np.sort(lines)
+                again = ordered[1:][ordered[1:] == ordered[:-1]]
+                counts = np.isin(values, again) if len(again) else np.zeros(len(values), bool)
                 sizes.append(len(words))
                 prints.append(values.view(np.int64))
-                twice.append(counts > 1)
+                twice.append(counts)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_key": batch["text_key"], "n_words": sizes,
                                 "prints": prints, "twice": twice})
 
@@ -133,31 +144,56 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
 
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for doc, key, text, held in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], batch["prints"]):
                 words = word_hashes(text)
-                own = np.flatnonzero(np.isin(selected(words, line, passage), np.asarray(held).view(np.uint64)))
-                a, b = (run_hashes(words, passage, base)[own].view(np.int64) for base in _BASES)
-                yield pd.DataFrame({"a": a, "b": b, "doc_id": pd.Series([doc] * len(own), dtype="Int64"), "text_key": key, "start": own})
-
-    runs = written(again.select("doc_id", "text_key", "text", "prints").mapInPandas(
-        extend, "a long, b long, doc_id long, text_key long, start long"))
+                least = selected(words, line, passage)
+                heads = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                ends = np.r_[heads[1:], len(least)]
+                wanted = np.isin(least[heads], np.asarray(held).view(np.uint64))
+                runs_ = [run_hashes(words, passage, base) for base in _BASES]
+                for h, e in zip(heads[wanted].tolist(), ends[wanted].tolist()):
+                    a, b = (r[h:e] for r in runs_)
+                    out.append((int(least[h]) - (1 << 64) * (int(least[h]) >> 63), _of_all(a), _of_all(b), doc, key, h, e - 1,
+                                len(np.unique(a)) < len(a), a.view(np.int64), b.view(np.int64)))
+            frame = pd.DataFrame(out, columns=["print", "a", "b", "doc_id", "text_key", "start", "last", "inner", "wa", "wb"])
+            yield frame.astype({"doc_id": "Int64"})
+
+    # A span is what the runs around one occurrence cover: all runs in a row that selected it.
+    spans = written(again.select("doc_id", "text_key", "text", "prints").mapInPandas(
+        extend, "print long, a long, b long, doc_id long, text_key long, start long, last long, inner boolean, wa array<long>, wb array<long>"))
     place = F.struct("doc_id", "text_key", "start")
-    earliest = runs.groupBy("a", "b").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("a", "b", "f")
-    repeated = runs.join(earliest, ["a", "b"]).where(F.col("f") < place).select(
-        "doc_id", "text_key", "start", F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start"))
-    by_doc = repeated.groupBy("doc_id", "text_key").agg(
-        F.array_sort(F.collect_set(F.struct("start", "first_doc", "first_start"))).alias("r"))
-    by_doc = by_doc.select("doc_id", "text_key", F.col("r.start").alias("starts"), F.col("r.first_doc").alias("docs"),
-                           F.col("r.first_start").alias("places"))
+    earliest = written(spans.groupBy("a", "b").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("a", "b", "f"))
+    same = spans.join(earliest, ["a", "b"], "left")
+    repeated = written(same.where(F.col("f") < place).select(
+        "doc_id", "text_key", "start", "last", F.col("f.doc_id").alias("first_doc"), F.col("f.start").alias("first_start")))
+    # The earliest place of a run lies in a span that is the first of its kind, so only these are
+    # compared run by run, and only where different spans hold the same fingerprint or one holds
+    # a run twice.
+    leading = written(same.where(F.col("f").isNull() | (F.col("f") == place)).select(
+        "print", "doc_id", "text_key", "start", "inner", F.arrays_zip("wa", "wb").alias("w")))
+    shared = written(leading.groupBy("print").agg(F.count("*").alias("n"), F.max("inner").alias("i"))
+                     .where("n > 1 or i").select("print"))
+    runs = written(leading.join(shared, "print").select("doc_id", "text_key", F.col("start").alias("from"), F.posexplode("w").alias("k", "w"))
+                   .select("doc_id", "text_key", (F.col("from") + F.col("k")).alias("start"), "w.wa", "w.wb"))
+    before = written(runs.groupBy("wa", "wb").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("wa", "wb", "f"))
+    single = runs.join(before, ["wa", "wb"]).where(F.col("f") < place).select(
+        "doc_id", "text_key", "start", F.col("start").alias("last"), F.col("f.doc_id").alias("first_doc"),
+        F.col("f.start").alias("first_start"))
+    by_doc = repeated.unionByName(single).groupBy("doc_id", "text_key").agg(
+        F.array_sort(F.collect_set(F.struct("start", "last", "first_doc", "first_start"))).alias("r"))
+    by_doc = by_doc.select("doc_id", "text_key", F.col("r.start").alias("starts"), F.col("r.last").alias("lasts"),
+                           F.col("r.first_doc").alias("docs"), F.col("r.first_start").alias("places"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for doc, key, starts, docs_, places in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["starts"],
-                                                       batch["docs"], batch["places"]):
-                heads = np.flatnonzero(np.r_[True, np.diff(starts) > passage])
+            for doc, key, starts, lasts, docs_, places in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["starts"],
+                                                              batch["lasts"], batch["docs"], batch["places"]):
+                upto = np.maximum.accumulate(lasts)
+                heads = np.flatnonzero(np.r_[True, starts[1:] - upto[:-1] > passage])
                 ends = np.r_[heads[1:] - 1, len(starts) - 1]
-                out += [(doc, int(starts[h]), int(starts[e] - starts[h] + passage), docs_[h], int(places[h]), key)
+                out += [(doc, int(starts[h]), int(upto[e] - starts[h] + passage), docs_[h], int(places[h]), key)
                         for h, e in zip(heads, ends)]
             frame = pd.DataFrame(out, columns=["doc_id", "start", "words", "first_doc", "first_start", "text_key"])
             yield frame.astype({"doc_id": "Int64", "first_doc": "Int64"})

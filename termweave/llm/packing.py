@@ -71,7 +71,8 @@ class WordTokenizer:
         for at in range(0, len(new), 1024):
             part = new[at:at + 1024]
             # One text, with a mark between the parts whose id no part can have.
-            ids = np.array(self.tokenizer.encode(f" {MARK} ".join(part), add_special_tokens=False).ids, "<u4")
+            found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
             cuts = 4 * np.flatnonzero(ids == self.mark[0])
             data = ids.tobytes()
             for p, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]):
