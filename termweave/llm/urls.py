@@ -95,11 +95,11 @@ class UrlJudge:
         good = np.sort([self.score(u) for u in part(accepted, True)])
         bad = np.sort([self.score(u) for u in part(rejected, True)])
         if len(good) and len(bad):
-            # The middle of the limits with the least sum of both error rates.
+            # The middle of the scores between which the sum of both error rates is least.
             cuts = np.unique(np.r_[good, bad, good[-1] + 1e-9])
             errors = np.searchsorted(good, cuts) / len(good) + 1 - np.searchsorted(bad, cuts) / len(bad)
-            best = cuts[errors == errors.min()]
-            self.limit = float((best[0] + best[-1]) / 2)
+            best = np.flatnonzero(errors == errors.min())
+            self.limit = float((cuts[max(best[0] - 1, 0)] + cuts[best[-1]]) / 2)
 
     def score(self, url: str) -> float:
         """Difference of the log-likelihoods per character; 0 if a model has seen no URL."""
