@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.files import written
 from catalog.store import doc_rows
-from termweave.model import Index
+from termweave.model import SOURCE_KEY
 from termweave.operators import store as W
 from termweave.plans.cut import cut, ensure_checkpoint_dir
 from termweave.sources import lift
@@ -34,15 +34,16 @@ WITH d AS (SELECT source, 'doc:' || (doc_id % 40) AS id, n_chars, doc_id FROM do
   QUALIFY (doc_id // 20) % 2 = max((doc_id // 20) % 2) OVER (PARTITION BY source))
 SELECT id, source, CAST(n_chars AS VARCHAR) AS value, doc_id * 4096 AS ord FROM d""")
 def index_stream(spark, sf):
-    """Both versions arrive as files; the stored index ends with the newest of each source."""
+    """Both versions arrive in two batches, over an index that holds an older state of every
+    source; the stored index ends with the newest version of each, whole."""
     rows = versioned(spark, sf).where("prop = 'ex:chars'")
-    folder = written(spark, f"stream:{sf}", lambda f: rows.repartition(4).write.parquet(f))
+    folder = written(spark, f"stream:{sf}", lambda f: rows.repartition(2).write.parquet(f))
     base = ensure_checkpoint_dir(spark)
-    idx = lift.index(spark, sf)
     path = f"{base}/index-{uuid.uuid4().hex}"
-    W.save_index(Index(idx.sources.limit(0), idx.entities.limit(0), idx.attributes.limit(0),
-                       idx.prefixes.limit(0), idx.global_prefixes), path)
-    stream = spark.readStream.schema(rows.schema).parquet(folder)
+    older = rows.select(*SOURCE_KEY).distinct().withColumn("last_modified", F.lit(-1.0))
+    first = rows.drop("version").withColumn("value", F.lit("outdated"))
+    W.save_index(W.source_batch(first, "stream", older, F.lit(0.0)), path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
     live.index_stream(stream, path, f"{base}/stream-{uuid.uuid4().hex}").awaitTermination()
     return W.load_index(spark, path).attributes.select("id", "source", "value", "ord")
 

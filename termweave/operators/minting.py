@@ -17,7 +17,8 @@ TYPE_LETTERS = {"class": "C", "annotation-property": "A", "object-property": "R"
 # Fixed value: place of a character is its checksum value (base 32, then a-z, then I L O U).
 CHECK_VALUES = K.BASE32 + "abcdefghijklmnopqrstuvwxyz" + "ILOU"
 EPOCH = "2020-01-01"
-RETRIES = 8
+SPACE = 1 << 20  # names of four drawn characters
+STEP = 648_391  # odd, so that multiples of it run through all of the space
 
 
 def mint_slug(labels: DataFrame, prefix: str, existing: DataFrame) -> DataFrame:
@@ -113,35 +114,37 @@ def slug5(label: Column) -> Column:
 
 
 def mint_checked(labels: DataFrame, prefix: str, kind: str, existing: DataFrame, day: Column,
-                 salt: str = "", with_slug: bool = False, retries: int = RETRIES) -> DataFrame:
+                 salt: str = "", with_slug: bool = False) -> DataFrame:
     """(ord, id): type letter, optional slug, day, four drawn characters, check character.
 
-    Four characters are a million names a day, letter and slug, so collisions are expected:
-    the first row of a name keeps it, the others draw again, up to `retries` rounds.
+    Four characters are a million names a day, letter and slug; all of them can be given out.
     """
     letter = TYPE_LETTERS.get(kind)
     if letter is None:
         raise ValueError(f"no type letter for kind {kind!r}")
     days = F.datediff(day, F.lit(EPOCH).cast("date"))
     taken = existing.where(I.curie_prefix(F.col("id")) == prefix).select("id")
-    open_, done = labels.select("ord", "label"), None
-    for attempt in range(retries + 1):
-        draw = F.pmod(F.xxhash64(F.lit(salt), F.lit(attempt), "ord", "label"), F.lit(1 << 20))
-        core = F.concat(F.lit(letter + "_"), slug5(F.col("label")) if with_slug else F.lit(""),
-                        base32(days, 4), base32(draw, 4))
+    # Numbers are dealt without replacement: the rows of a slug are numbered, and the numbers
+    # run through the space in an order of their own, so only ids that exist make a row draw again.
+    slug = slug5(F.col("label")) if with_slug else F.lit("")
+    open_ = cut(labels.select("ord", "label", slug.alias("_slug"), F.lit(0).cast("long").alias("_base")))
+    done = None
+    while not open_.isEmpty():
+        placed = running_number(open_, ["_slug"], "ord", "_n", ["label"])
+        place = F.col("_base") + F.col("_n") - 1
+        draw = F.pmod(place * STEP + F.pmod(F.xxhash64(F.lit(salt), "_slug"), F.lit(SPACE)), F.lit(SPACE))
+        core = F.concat(F.lit(letter + "_"), F.col("_slug"), base32(days, 4), base32(draw, 4))
         last = F.substring(F.lit(K.BASE32), F.pmod(-check_sum(F.col("_core")), F.lit(32)) + 1, F.lit(1))
-        drawn = open_.withColumn("_core", core).withColumn(
-            "id", F.concat(F.lit(prefix + ":"), "_core", last)).drop("_core")
-        keepers = drawn.groupBy("id").agg(F.min("ord").alias("ord"))
-        keepers = keepers.join(taken, "id", "left_anti")
-        if done is not None:
-            keepers = keepers.join(done.select("id"), "id", "left_anti")
-        won = cut(keepers.select("ord", "id"))
-        done = won if done is None else cut(done.unionByName(won))
-        open_ = cut(open_.join(won.select("ord"), "ord", "left_anti"))
-        if open_.isEmpty():
-            return done
-    raise RuntimeError("collision budget exhausted; use slugs or another day")
+        drawn = cut(placed.withColumn("_place", place).withColumn("_core", core).withColumn(
+            "id", F.concat(F.lit(prefix + ":"), "_core", last)).drop("_core", "_n"))
+        if not drawn.where(F.col("_place") >= SPACE).isEmpty():
+            raise RuntimeError("more terms of one slug than numbers; use slugs or another day")
+        won = drawn.join(taken, "id", "left_anti").select("ord", "id")
+        done = won if done is None else done.unionByName(won)
+        used = drawn.groupBy("_slug").agg(F.count("*").alias("_used"))
+        open_ = cut(drawn.join(taken, "id", "left_semi").join(used, "_slug").select(
+            "ord", "label", "_slug", (F.col("_base") + F.col("_used")).alias("_base")))
+    return done if done is not None else labels.select("ord", F.lit(None).cast("string").alias("id")).limit(0)
 
 
 def placeholder_labels(spark, n: int, kind: str | None = None) -> DataFrame:

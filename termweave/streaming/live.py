@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from termweave.model import SOURCE_KEY
 from termweave.operators.store import load_index, source_batch, update_stored
+from termweave.plans.cut import cut
 
 
 def latest_versions(rows: DataFrame) -> DataFrame:
@@ -19,27 +21,44 @@ def latest_versions(rows: DataFrame) -> DataFrame:
 
 
 def index_stream(rows: DataFrame, store_path: str, checkpoint: str, kind: str = "stream",
-                 now: Callable[[], Column] = F.current_timestamp) -> StreamingQuery:
+                 now: Callable[[], Column] = F.current_timestamp, interval: str | None = None) -> StreamingQuery:
     """Keep a stored index up to date from a stream of long rows.
 
-    `rows` streams (source, data_source, version, <long row>); each micro-batch replaces the
-    sources it carries, by their newest version. A replayed batch writes the same content,
-    and a version older than the stored one is left out, so restarts are safe.
+    `rows` streams (source, data_source, version, <long row>). A version newer than the stored
+    one replaces its source; rows of the stored version are added to it, so a version may come
+    in several batches; an older one is left out. Rows that are there already are not added
+    again, so a replayed batch changes nothing. Without `interval` (such as "1 minute") what is
+    there now is read and the stream ends.
     """
     def apply(batch: DataFrame, _batch_id: int) -> None:
         spark = batch.sparkSession
-        newest = latest_versions(batch)
-        stored = load_index(spark, store_path).sources.select(*SOURCE_KEY, "last_modified")
-        mtimes = newest.groupBy(SOURCE_KEY).agg(
-            F.max("version").cast("double").alias("mtime")).join(stored, SOURCE_KEY, "left")
-        due = mtimes.where("last_modified IS NULL OR mtime >= last_modified").select(
-            *SOURCE_KEY, F.col("mtime").alias("last_modified"))
-        kept = newest.join(due.select(SOURCE_KEY), SOURCE_KEY, "left_semi")
-        update_stored(spark, store_path, source_batch(
-            kept.drop("version"), kind, due, now().cast("double")))
+        newest = cut(latest_versions(batch))
+        stored = load_index(spark, store_path)
+        known = stored.sources.select(*SOURCE_KEY, "last_modified")
+        # Written out before the store is touched: a lazy frame would read what is overwritten.
+        due = cut(newest.groupBy(SOURCE_KEY).agg(F.max("version").cast("double").alias("mtime"))
+                  .join(known, SOURCE_KEY, "left").where("last_modified IS NULL OR mtime >= last_modified")
+                  .select(*SOURCE_KEY, F.col("mtime").alias("last_modified"),
+                          F.coalesce(F.col("mtime") == F.col("last_modified"), F.lit(False)).alias("_same")))
+        kept = newest.join(due.select(SOURCE_KEY), SOURCE_KEY, "left_semi").drop("version")
+        new = source_batch(kept, kind, due.drop("_same"), now().cast("double"))
+        same = due.where("_same").select(SOURCE_KEY)
 
+        # Each table grows from its own stored rows and the tables written above only.
+        def grown(table: str, keys: list[str] | None) -> DataFrame:
+            fresh = getattr(new, table)
+            old = getattr(stored, table).select(*fresh.columns).join(same, SOURCE_KEY, "left_semi")
+            if keys is None:
+                return old.unionByName(fresh).distinct()
+            return old.unionByName(fresh.join(old.select(keys), keys, "left_anti"))
+
+        update_stored(spark, store_path, replace(
+            new, entities=grown("entities", [*SOURCE_KEY, "id"]),
+            attributes=grown("attributes", None), prefixes=grown("prefixes", None)))
+
+    trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return (rows.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+            .trigger(**trigger).start())
 
 
 def incremental_results(index_rows: DataFrame, results: dict[str, DataFrame],
