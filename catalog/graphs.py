@@ -168,6 +168,6 @@ def restrictions(spark, sf):
 , l AS (SELECT DISTINCT s, o AS label FROM tri WHERE p = 'rdfs:label' AND lang IN ('', 'en'))
 , pr AS (SELECT s, string_agg(t, ';;' ORDER BY t) AS plist FROM (SELECT DISTINCT s, p || ';;' || o AS t FROM tri
     WHERE p IN ('rdf:type', 'skos:definition') AND lang IN ('', 'en')) GROUP BY s)
-SELECT s, label, plist FROM l LEFT JOIN pr USING (s) ORDER BY s, label LIMIT 500"""))
+SELECT s, label, plist FROM l LEFT JOIN pr USING (s)"""))
 def label_harvest(spark, sf):
-    return Q.label_harvest(graph(spark, sf), limit=500)
+    return Q.label_harvest(graph(spark, sf))

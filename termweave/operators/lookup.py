@@ -372,14 +372,15 @@ def resolve_subjects(subjects: DataFrame, entities: DataFrame) -> DataFrame:
     return by_id.unionByName(by_label.select("subject", "id", "source"))
 
 
-def sql(index: Index, query: str, limit: int = 200) -> DataFrame:
-    """Ad-hoc read query over the index views; at most 5000 rows come back.
+def sql(index: Index, query: str, limit: int | None = None) -> DataFrame:
+    """Ad-hoc read query over the index views, all rows or the first `limit`.
 
     Every row shown carries the number of rows the limit left out.
     """
     index.views()
     spark = index.entities.sparkSession
     rows = spark.sql(query)
-    shown = min(limit, 5000)
-    left_out = rows.agg(F.greatest(F.count(F.lit(1)) - shown, F.lit(0))).scalar()
-    return rows.limit(shown).withColumn("omitted", left_out)
+    if limit is None:
+        return rows.withColumn("omitted", F.lit(0).cast("long"))
+    left_out = rows.agg(F.greatest(F.count(F.lit(1)) - limit, F.lit(0))).scalar()
+    return rows.limit(limit).withColumn("omitted", left_out)

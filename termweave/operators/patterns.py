@@ -11,7 +11,6 @@ from termweave.operators.closure import closure
 # Axiom keywords and the RDF properties they stand for.
 SPELLINGS = {"SubClassOf": "rdfs:subClassOf", "SubPropertyOf": "rdfs:subPropertyOf",
              "Types": "rdf:type"}
-DEFAULT_LIMIT, MAX_LIMIT = 200, 5000
 
 Pattern = tuple[str, str, str]
 
@@ -134,8 +133,8 @@ def concat_by(solutions: DataFrame, key: str, parts: list[str], sep: str = ";;",
         F.array_join(F.sort_array(F.collect_list("_t")), sep).alias(name))
 
 
-def top(solutions: DataFrame, order: list[Column | str], limit: int = DEFAULT_LIMIT) -> DataFrame:
-    return solutions.distinct().orderBy(*order).limit(min(limit, MAX_LIMIT))
+def top(solutions: DataFrame, order: list[Column | str], limit: int) -> DataFrame:
+    return solutions.distinct().orderBy(*order).limit(limit)
 
 
 def construct(solutions: DataFrame, template: list[Pattern]) -> DataFrame:
