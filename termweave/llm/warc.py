@@ -92,6 +92,10 @@ def _parsed(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             buffer += piece
             buffer += b"\r\n\r\n"
             while True:
+                # No record begins with a line end; at the end of a file, where the last piece has
+                # no separator after it, the one added above is too many.
+                while buffer[:2] == b"\r\n":
+                    del buffer[:2]
                 at = buffer.find(b"\r\n\r\n")
                 if at < 0:
                     break
