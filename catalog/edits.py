@@ -55,6 +55,15 @@ def rename_nodes(spark, sf):
     return K.rename_terms(mapping(spark, sf), nodes, rows)[0].select("doc", "node_id", "title", "uri")
 
 
+@query("rename_inherited", lifted("nodes", f"""
+SELECT n.doc, n.node_id, n.level, {renamed('p.uri')} AS parent_uri, coalesce(n.label, {renamed('n.uri')}) AS label
+FROM nodes n LEFT JOIN nodes p ON p.doc = n.doc AND p.node_id = n.parent_id"""))
+def rename_inherited(spark, sf):
+    """Children name their renamed parents."""
+    nodes, rows, _parsed = parts(spark, sf)
+    return K.rename_terms(mapping(spark, sf), nodes, rows)[0].select("doc", "node_id", "level", "parent_uri", "label")
+
+
 @query("rename_rows", lifted("rows", f"SELECT doc, row_id, tag, {renamed('value')} AS value FROM rows"))
 def rename_rows(spark, sf):
     nodes, rows, _parsed = parts(spark, sf)
@@ -128,6 +137,30 @@ def merge_terms(spark, sf):
     return K.merge_terms(pairs, nodes, rows)[0].select("doc", "node_id", "parent_id")
 
 
+WITHOUT = """
+, gone AS (SELECT doc, node_id, parent_id FROM nodes WHERE node_id >= 1000 AND (node_id - 1000) // 10 % 10 = 4 AND uri IS NOT NULL)
+, kept AS (SELECT n.* EXCLUDE (parent_id, level), CASE WHEN g.doc IS NOT NULL THEN g.parent_id ELSE n.parent_id END AS parent_id,
+    CASE WHEN g.doc IS NOT NULL THEN 3 ELSE n.level END AS level FROM nodes n LEFT JOIN gone g ON g.doc = n.doc AND g.node_id = n.parent_id
+  WHERE (n.doc, n.node_id) NOT IN (SELECT (doc, node_id) FROM gone))
+SELECT n.doc, n.node_id, n.parent_id, n.level, n.uri, n.rdf_type, n.section_id, p.uri AS parent_uri
+FROM kept n LEFT JOIN nodes p ON p.doc = n.doc AND p.node_id = n.parent_id"""
+STATE = ["doc", "node_id", "parent_id", "level", "uri", "rdf_type", "section_id", "parent_uri"]
+
+
+@query("merge_inherited", lifted("nodes", WITHOUT))
+def merge_inherited(spark, sf):
+    nodes, rows, _parsed = parts(spark, sf)
+    pairs = part_ids(spark, sf, lambda k: k % 10 == 4).select(F.col("id").alias("old"), F.lit("ex:Tb1").alias("new"))
+    return K.merge_terms(pairs, nodes, rows)[0].select(*STATE)
+
+
+@query("delete_reparent", lifted("nodes", WITHOUT))
+def delete_reparent(spark, sf):
+    """What was below a deleted term inherits from what is above it."""
+    ids = part_ids(spark, sf, lambda k: k % 10 == 4)
+    return K.delete_terms(ids, "reparent", *parts(spark, sf))[0].select(*STATE)
+
+
 @query("merge_climbs", lifted("edges_acyclic", """
 , keep AS (SELECT p_partkey AS k, p_partkey // 2 AS up, CAST(1 AS BIGINT) AS hops FROM part WHERE p_partkey % 5 <> 1 OR p_partkey = 0)
 , w(k, up) AS (SELECT k, up FROM keep WHERE k > 0 UNION ALL SELECT k, up // 2 FROM w WHERE up % 5 = 1 AND up > 0)
@@ -219,6 +252,17 @@ def move_terms(spark, sf):
     return K.move_terms(moves(spark, sf), outlines.nodes(spark, sf))[0].select("doc", "node_id", "parent_id")
 
 
+@query("move_inherited", lifted("nodes", MOVES + """
+, x AS (SELECT n.* EXCLUDE (parent_id), coalesce(r.bn, n.parent_id) AS parent_id, r.bn IS NOT NULL AS moved FROM nodes n
+  LEFT JOIN r ON r.reason IS NULL AND r.ad = n.doc AND r.an = n.node_id)
+SELECT x.doc, x.node_id, x.parent_id, CASE WHEN x.moved OR coalesce(p.moved, false) THEN x.level + 1 ELSE x.level END AS level,
+  x.uri, x.rdf_type, x.section_id, p.uri AS parent_uri
+FROM x LEFT JOIN x p ON p.doc = x.doc AND p.node_id = x.parent_id"""))
+def move_inherited(spark, sf):
+    """A moved term and all below it change their levels; it names its new parent."""
+    return K.move_terms(moves(spark, sf), outlines.nodes(spark, sf))[0].select(*STATE)
+
+
 FOLD = """
 , above AS (SELECT uri AS id, parent_uri AS p FROM up WHERE uri IS NOT NULL AND parent_uri IS NOT NULL
   UNION SELECT uri, value FROM nodes n JOIN rows r USING (doc, node_id) WHERE tag = 'SubClassOf' AND uri IS NOT NULL)

@@ -115,18 +115,48 @@ def read_json_map(spark, sf):
 
 
 @query("ingest_triples_json", """
-SELECT 'src' || n_regionkey AS source, '' AS data_source, 'nation:N' || n_nationkey AS id, n_name AS label,
-  'curie' AS kind, 'ex:key' AS prop, CAST(n_nationkey AS VARCHAR) AS value FROM nation""")
+WITH t AS (SELECT 'src' || n_regionkey AS source, 'd' || n_regionkey AS data_source, 'nation:N' || n_nationkey AS id, n_name AS label,
+  'curie' AS kind, n_nationkey AS k FROM nation)
+SELECT source, data_source, id, label, kind, 'ex:key' AS prop, CAST(k AS VARCHAR) AS value, '' AS lang FROM t WHERE k % 4 <> 0
+UNION ALL SELECT source, data_source, id, label, kind, 'rdfs:label', label || ' "q"', 'en' FROM t WHERE k % 4 <> 0
+UNION ALL SELECT source, data_source, id, label, kind, 'rdfs:label', label, '' FROM t WHERE k % 4 <> 0
+UNION ALL SELECT source, data_source, id, label, kind, NULL, NULL, NULL FROM t WHERE k % 4 = 0""")
 def ingest_triples_json(spark, sf):
-    key = F.col("n_nationkey").cast("string")
-    term = F.struct(F.concat(F.lit("nation:N"), key).alias("id"), F.col("n_name").alias("label"),
-                    F.lit("curie").alias("kind"), F.create_map(F.lit("ex:key"), key).alias("attrs"))
-    docs = lift.read(spark, sf, "nation").groupBy("n_regionkey").agg(F.collect_list(term).alias("data")).select(
-        F.concat(F.lit("src"), F.col("n_regionkey").cast("string")).alias("source"),
-        F.lit("").alias("data_source"), F.lit("ttl").alias("type"), "data")
-    folder = written(spark, f"termjson:{sf}", lambda f: docs.withColumn(
-        "file", F.col("source")).repartition("file").write.partitionBy("file").json(f))
-    return readers.read_triples_json(spark, folder).drop("ord")
+    return readers.read_triples_json(spark, term_files(spark, sf)).drop("ord", "seq")
+
+
+@query("ingest_triples_prefixes", """
+SELECT DISTINCT 'src' || n_regionkey AS source, 'd' || n_regionkey AS data_source, p AS prefix, e AS expansion
+FROM nation, (VALUES ('nation', 'http://n.example.org/'), ('ex', 'http://ex.example.org/')) v(p, e)""")
+def ingest_triples_prefixes(spark, sf):
+    return readers.read_triples_prefixes(spark, term_files(spark, sf))
+
+
+def term_files(spark, sf):
+    """A file per region: attributes as pairs, with and without language; a fourth has none."""
+    key, quoted = F.col("n_nationkey").cast("string"), F.to_json(F.struct(F.concat("n_name", F.lit(' "q"')).alias("value"), F.lit("en").alias("lang")))
+    attrs = F.when(F.col("n_nationkey") % 4 == 0, "[]").otherwise(F.concat(
+        F.lit('[["ex:key", "'), key, F.lit('"], ["rdfs:label", '), quoted, F.lit('], ["rdfs:label", {"value": "'), "n_name", F.lit('"}]]')))
+    kind = F.when(F.col("n_nationkey") % 2 == 0, '"kind": "curie", ').otherwise("")
+    term = F.concat(F.lit('{"id": "nation:N'), key, F.lit('", "label": "'), "n_name", F.lit('", '), kind, F.lit('"attrs": '), attrs, F.lit("}"))
+    region = F.col("n_regionkey").cast("string")
+    docs = lift.read(spark, sf, "nation").groupBy(F.concat(F.lit("src"), region).alias("file")).agg(
+        F.max(region).alias("r"), F.array_join(F.collect_list(term), ",\n").alias("data"))
+    text = F.concat(F.lit('{"source": "'), "file", F.lit('", "dataSource": "d'), "r", F.lit('", "type": "json",\n"data": ['), "data",
+                    F.lit('],\n"prefixes": [["nation", "http://n.example.org/"], ["ex", "http://ex.example.org/"], ["ex", "http://no.example.org/"]]}'))
+    return written(spark, f"termjson:{sf}", lambda f: docs.select("file", text.alias("text")).repartition("file").write.partitionBy("file").text(f))
+
+
+@query("unescaped_triples", """
+SELECT 'http://data.example.org/café/P' || p_partkey AS s, p_name || ' café ' || chr(128512) || chr(128512) || ' "q" ' || chr(92) || 'n' || chr(9)
+  || chr(92) || 'uD83D' || chr(13) AS o FROM part""")
+def unescaped_triples(spark, sf):
+    """Escapes of every kind; an escaped backslash before n is no line break."""
+    line = F.concat(F.lit("<http://data.example.org/caf\\u00E9/P"), F.col("p_partkey").cast("string"),
+                    F.lit('> <http://www.w3.org/2000/01/rdf-schema#label> "'), "p_name",
+                    F.lit(r' caf\u00e9 \U0001F600\uD83D\uDE00 \"q\" \\n\t\uD83D\r" .'))
+    lines = lift.read(spark, sf, "part").select(F.col("p_type").alias("doc"), F.col("p_partkey").alias("ord"), line.alias("text"))
+    return readers.ntriples(lines).select("s", "o")
 
 
 NT = """

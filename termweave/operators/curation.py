@@ -14,14 +14,15 @@ from pyspark.sql import functions as F
 from termweave import constants as K
 from termweave.functions import ident as I
 from termweave.functions.pieces import applied_changes, occurrences, pieces, rewritten
-from termweave.functions.text import normal_space
+from termweave.functions.text import heading_label, normal_space
 from termweave.operators import checks as C
 from termweave.operators.closure import MAX_ROUNDS, closure, cycle_nodes
 from termweave.operators.identifiers import expand_with
+from termweave.operators.inheritance import inherited
 from termweave.operators.minting import mint_batch
 from termweave.operators.taxonomy import immediate_parents
 from termweave.plans.cut import cut
-from termweave.plans.ordered import carry_forward, running_sum
+from termweave.plans.ordered import carry_forward, running_number, running_sum
 
 STRICT_CURIE = r"^[A-Za-z_][A-Za-z0-9_-]*:[A-Za-z_][A-Za-z0-9_.-]*$"
 CODE_LANGS = ["omn", "sparql"]
@@ -113,11 +114,16 @@ def rewrite_column(frame: DataFrame, keys: list[str], col: str, changes: DataFra
 
 def rename_terms(mapping: DataFrame, nodes: DataFrame, rows: DataFrame,
                  prefixes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and rows with every reference rewritten. Prose is left alone (see the scan)."""
+    """Nodes and rows with every reference rewritten. Prose is left alone (see the scan).
+
+    A node's `parent_uri` is the parent's `uri`, so it is rewritten like it.
+    """
     changes = rewrite_map(mapping, prefixes)
     key = ["doc", "node_id"]
-    titled = rewrite_column(nodes, key, "title", changes).drop("_changed")
-    named = rewrite_column(titled, key, "uri", changes).drop("_changed")
+    named = nodes
+    for col in ("title", "uri", "parent_uri"):
+        named = rewrite_column(named, key, col, changes).drop("_changed")
+    named = named.withColumn("label", heading_label(F.col("title"), F.col("uri"))).select(*nodes.columns)
     row_key = ["doc", "node_id", "row_id"]
     tagged = rewrite_column(rows, row_key, "tag", changes).drop("_changed")
     return named, rewrite_column(tagged, row_key, "value", changes).drop("_changed")
@@ -168,6 +174,8 @@ def relabel(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     new = labels.select(F.col("id").alias("_id"), "new_label")
     out = nodes.withColumn("_id", I.first_id_token(F.col("uri"))).join(new, "_id", "left")
     tail = F.regexp_extract("title", r"( \([^()]*\).*)$", 1)
+    # A heading that is a bare name keeps it in parentheses.
+    tail = F.when(tail == "", F.concat(F.lit(" ("), "uri", F.lit(")"))).otherwise(tail)
     return out.withColumn("title", F.when(F.col("new_label").isNotNull(), F.concat("new_label", tail))
                           .otherwise(F.col("title"))).withColumn(
         "label", F.coalesce("new_label", "label")).drop("_id", "new_label")
@@ -189,6 +197,8 @@ def surviving_parents(nodes: DataFrame, gone: DataFrame) -> DataFrame:
         jump = longer.drop("_hit")
         if longer.where("_hit").isEmpty():
             break
+    else:
+        raise ValueError("parents form a cycle")
     stay = nodes.join(gone.select("doc", "node_id"), ["doc", "node_id"], "left_anti")
     climb = jump.select("doc", F.col("at").alias("parent_id"), F.col("up").alias("_up"), F.lit(True).alias("_c"))
     return stay.join(climb, ["doc", "parent_id"], "left").select(
@@ -196,10 +206,11 @@ def surviving_parents(nodes: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def without_nodes(nodes: DataFrame, rows: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Tables without the removed nodes and their rows; children attach to what is above."""
+    """Tables without the removed nodes and their rows; children attach to what is above and
+    inherit from there."""
     parents = surviving_parents(nodes, gone)
-    kept = nodes.drop("parent_id").join(parents, ["doc", "node_id"]).select(*nodes.columns)
-    return kept, rows.join(gone.select("doc", "node_id"), ["doc", "node_id"], "left_anti")
+    kept = cut(nodes.drop("parent_id").join(parents, ["doc", "node_id"]).select(*nodes.columns))
+    return inherited(kept, nodes), rows.join(gone.select("doc", "node_id"), ["doc", "node_id"], "left_anti")
 
 
 def merge_terms(mapping: DataFrame, nodes: DataFrame, rows: DataFrame,
@@ -262,10 +273,12 @@ def delete_terms(ids: DataFrame, cascade: str, nodes: DataFrame, rows: DataFrame
 # --- moving and folding -------------------------------------------------------------
 
 def move_terms(moves: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, refusals) for moves (id, target): the term goes below the target.
+    """(nodes, refusals) for moves (id, target): the term goes below the target, with all that
+    is nested below it, and inherits from there.
 
-    Refused: unknown or ambiguous names, another kind, the term itself, no change, a place
-    below the term (also by several moves together), nesting of datatypes.
+    Refused: unknown or ambiguous names, another kind, the term itself, no change, several
+    targets, a place below the term (also by several moves together), nesting of datatypes.
+    Refused moves are not made; if moves lead below the term itself, none is.
     """
     names = declared(nodes).join(nodes.select("doc", "node_id", "parent_id", "rdf_type"), ["doc", "node_id"])
     several = names.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("doc").alias("_doc"),
@@ -286,15 +299,17 @@ def move_terms(moves: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
         F.col("a_doc").alias("doc"), F.col("a_node").alias("node_id"), F.col("b_node").alias("_to"), "id")
     twice = _refusal(fine.groupBy("id").agg(F.countDistinct("_to").alias("_k")), "id",
                      F.when(F.col("_k") > 1, "several targets"))
-    moved = nodes.join(fine.groupBy("doc", "node_id").agg(F.min("_to").alias("_to")), ["doc", "node_id"], "left")
-    moved = moved.withColumn("parent_id", F.coalesce("_to", "parent_id"))
+    one = fine.groupBy("doc", "node_id").agg(F.min("_to").alias("_to"), F.max("_to").alias("_l")).where("_to = _l").drop("_l")
+    moved = nodes.join(one, ["doc", "node_id"], "left")
+    moved = cut(moved.withColumn("parent_id", F.coalesce("_to", "parent_id")).select(*nodes.columns))
     key = [F.concat_ws("\u001f", "doc", F.col(c).cast("string")).alias(n) for c, n in (
         ("node_id", "child"), ("parent_id", "parent"))]
-    loops = cycle_nodes(moved.where("parent_id IS NOT NULL").select(*key)).select("child")
+    loops = cut(cycle_nodes(moved.where("parent_id IS NOT NULL").select(*key)).select("child"))
     looping = fine.withColumn("child", F.concat_ws("\u001f", "doc", F.col("node_id").cast("string"))).join(
         loops, "child", "left_semi")
     circular = _refusal(looping, "id", F.lit("target lies below the term"))
-    return moved.select(*nodes.columns), _union([refused, twice, circular])
+    made = inherited(moved, nodes) if loops.isEmpty() else nodes
+    return made, _union([refused, twice, circular])
 
 
 def fold_into_parent(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -479,6 +494,22 @@ def insert_terms(wanted: DataFrame, nodes: DataFrame, scheme: str, prefix: str,
         F.col("a.rdf_type").alias("rdf_type"), "anchor"), refusals
 
 
+def with_inserted(new: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Nodes with the new terms of `insert_terms`: each is the last below its parent, in the
+    order of the request, and inherits from there. Their places follow all places of the
+    document; the blank rows of `row_template` may be added below them.
+    """
+    places = nodes.select("doc", F.col("node_id").alias("p")).union(rows.select("doc", F.col("row_id").alias("p")))
+    last = places.groupBy("doc").agg(F.max("p").alias("_last"))
+    numbered = running_number(new, ["doc"], "ord", "_n").join(last, "doc")
+    given = {"doc": F.col("doc"), "node_id": F.col("_last") + F.col("_n"), "parent_id": F.col("parent_id"), "uri": F.col("id"),
+             "label": F.col("label"), "title": F.concat("label", F.lit(" ("), "id", F.lit(")")), "tags": F.array(),
+             "resourcedefs": F.lit(False), "prefixdefs": F.lit(False), "tagged_nodeclare": F.lit(False),
+             "props": F.map_from_arrays(F.array(), F.array())}
+    added = numbered.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in nodes.schema])
+    return inherited(cut(nodes.unionByName(added)), nodes)
+
+
 def row_template(new: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(id, tag, value) blank rows of new terms: one per tag of the anchor, in its order."""
     names = declared(nodes).withColumnRenamed("id", "anchor")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termweave.functions.ident import id_kind
 from termweave.plans.cut import cut
 from termweave.sources.tables import ingest_json_map
 
@@ -97,20 +98,41 @@ def read_json_map(spark: SparkSession, path: str | list[str], glob: str | None =
     return ingest_json_map(texts, "value", F.lit(0), ["doc"])
 
 
-TRIPLES_JSON = ("source string, data_source string, type string, "
-                "data array<struct<id:string,label:string,kind:string,attrs:map<string,string>>>, "
-                "prefixes map<string,string>")
+# The documented shape: attributes and prefixes are pairs, and the second of an attribute is a
+# text or an object with a text and its language. Mixed arrays are read as texts.
+TRIPLES_JSON = ("source string, dataSource string, type string, "
+                "data array<struct<id:string,label:string,kind:string,attrs:array<array<string>>>>, "
+                "prefixes array<array<string>>")
+ATTRIBUTE_VALUE = "value string, lang string"
+
+
+def _term_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    return spark.read.schema(TRIPLES_JSON).json(path, multiLine=True).select(
+        "source", F.coalesce("dataSource", F.lit("")).alias("data_source"), "data", "prefixes")
 
 
 def read_triples_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source, data_source, id, label, kind, prop, value, ord) from term JSON files."""
-    rows = spark.read.schema(TRIPLES_JSON).json(path, multiLine=True)
-    terms = rows.select("source", F.coalesce("data_source", F.lit("")).alias("data_source"),
-                        F.posexplode("data").alias("ord", "t"))
-    return terms.select("source", "data_source", "t.id", "t.label", "t.kind", F.col("ord").cast("long"),
-                        F.explode_outer(F.map_entries("t.attrs")).alias("a")).select(
-        "source", "data_source", "id", "label", "kind", F.col("a.key").alias("prop"),
-        F.col("a.value").alias("value"), "ord")
+    """(source, data_source, id, label, kind, prop, value, lang, ord, seq) from term JSON files.
+
+    A term without attributes keeps one row with a NULL prop. `kind` follows the form of the id
+    where it is missing. `read_triples_prefixes` reads the prefixes of the same files.
+    """
+    terms = _term_files(spark, path).select("source", "data_source", F.posexplode("data").alias("ord", "t"))
+    rows = terms.select("source", "data_source", "t.id", "t.label", F.coalesce("t.kind", id_kind(F.col("t.id"))).alias("kind"),
+                        F.col("ord").cast("long"), F.posexplode_outer("t.attrs").alias("seq", "a"))
+    raw = F.get("a", F.lit(1))
+    rows = rows.withColumn("raw", raw).withColumn("o", F.when(raw.rlike(r"^\s*\{"), F.from_json(raw, ATTRIBUTE_VALUE)))
+    return rows.select("source", "data_source", "id", "label", "kind", F.get("a", F.lit(0)).alias("prop"),
+                       F.coalesce("o.value", "raw").alias("value"),
+                       F.when(F.col("a").isNotNull(), F.coalesce("o.lang", F.lit(""))).alias("lang"),
+                       "ord", F.coalesce("seq", F.lit(0)).alias("seq"))
+
+
+def read_triples_prefixes(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(source, data_source, prefix, expansion) of term JSON files; the first of a name wins."""
+    pairs = _term_files(spark, path).select("source", "data_source", F.posexplode("prefixes").alias("at", "p"))
+    pairs = pairs.select("source", "data_source", "at", F.get("p", F.lit(0)).alias("prefix"), F.get("p", F.lit(1)).alias("expansion"))
+    return pairs.groupBy("source", "data_source", "prefix").agg(F.min_by("expansion", "at").alias("expansion"))
 
 
 # Fixed pattern: one statement of the line-based RDF syntax.
@@ -118,6 +140,27 @@ NTRIPLE = (r'^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+'
            r'(?:(<[^>]*>|_:\S+)|"((?:[^"\\]|\\.)*)"(?:@([A-Za-z][-A-Za-z0-9]*)|\^\^<([^>]*)>)?)\s*\.\s*$')
 
 
+# Fixed patterns and values: the escapes of that syntax. Code units may come as a pair; a half of
+# a pair and a number that is no character are no escapes.
+UNITS = r"(?:\\u(?![dD][89a-fA-F])[0-9A-Fa-f]{4}|\\u[dD][89abAB][0-9A-Fa-f]{2}\\u[dD][c-fC-F][0-9A-Fa-f]{2})"
+POINT = r"\\U(?:0000(?![dD][89a-fA-F])|000[1-9a-fA-F]|0010)[0-9A-Fa-f]{4}"
+ESCAPES = {"t": "\t", "b": "\b", "n": "\n", "r": "\r", "f": "\f", '"': '"', "'": "'", "\\": "\\"}
+
+
+def unescaped(text: Column) -> Column:
+    """Text with its escapes resolved, each once, from left to right; others stay as written."""
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){UNITS}+|{POINT}|\\.|[^\\]+|\\$"), F.lit(0))
+
+    def one(part: Column) -> Column:
+        out = F.when(part.rlike(f"^{UNITS}+$"), F.decode(F.unhex(F.replace(part, F.lit("\\u"), F.lit(""))), "UTF-16BE"))
+        out = out.when(part.rlike(f"^{POINT}$"), F.decode(F.unhex(F.substring(part, 3, 8)), "UTF-32"))
+        for letter, shown in ESCAPES.items():
+            out = out.when(part == "\\" + letter, shown)
+        return out.otherwise(part)
+
+    return F.when(F.contains(text, F.lit("\\")), F.array_join(F.transform(parts, one), "")).otherwise(text)
+
+
 def read_ntriples(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return ntriples(read_lines(spark, path))
 
@@ -132,15 +175,12 @@ def ntriples(lines: DataFrame) -> DataFrame:
     def unwrap(col: Column) -> Column:
         return F.regexp_replace(col, r"^<(.*)>$", "$1")
 
-    literal = group(4)
-    for raw, shown in ((r"\\\\n", "\n"), (r"\\\\t", "\t"), (r'\\\\"', '"')):
-        literal = F.regexp_replace(literal, raw.replace("\\\\\\\\", "\\\\"), shown)
     node = group(3)
     kind = (F.when(F.startswith(node, F.lit("<")), "iri")
             .when(F.startswith(node, F.lit("_:")), "blank").otherwise("literal"))
     return rows.select(
-        "doc", "ord", unwrap(group(1)).alias("s"), group(2).alias("p"),
-        F.when(node != "", unwrap(node)).otherwise(literal).alias("o"), kind.alias("o_kind"),
+        "doc", "ord", unescaped(unwrap(group(1))).alias("s"), unescaped(group(2)).alias("p"),
+        unescaped(F.when(node != "", unwrap(node)).otherwise(group(4))).alias("o"), kind.alias("o_kind"),
         group(5).alias("lang"), group(6).alias("datatype"))
 
 
