@@ -1,19 +1,24 @@
 """Hidden Markov language model over the words of a text.
 
-A state emits a symbol, and a symbol emits a word. The `OWN` most frequent words are symbols of
-their own; all others are dealt to `BUCKETS` symbols by hash, and within such a symbol a word
-has its smoothed share of the symbol's training tokens. So the states have a bounded number of
-parameters, while every word of the corpus has a probability from its own count.
-
-Training is Baum-Welch: every task runs forward and backward over its training texts and adds up
-expected counts, the counts of all tasks are added by a shuffle, and the next round starts from
-them. Scores come from the scaled forward recursion, which is exact.
+A state emits words. Every training word has expected counts of its own in every state, whatever
+the size of the corpus; they lie in a table (word, state) that grows with the vocabulary and that
+no task and not the driver holds as a whole. One end follows each text, and one symbol stands for
+words that training has not seen. Emissions are the expected counts plus a prior that is shared
+out by the smoothed unigram model, so they add up to one over all training words, the end and the
+unseen word.
+
+Texts are dealt to blocks of bounded size, each with a list of its own distinct words. Training is
+Baum-Welch: in every round the emissions of a block's words are joined to the block, forward and
+backward run over its training texts, and the expected counts of all blocks are added per word by
+a shuffle. Scores come from the scaled forward recursion, which is exact.
 """
 
 from __future__ import annotations
 
+import gc
+from collections import defaultdict
 from collections.abc import Iterator
-from zlib import crc32
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,33 +26,23 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termweave.llm.tables import written
-from termweave.llm.words import lower_ascii, words
 
 STATES = 8
-OWN = 2000
-BUCKETS = 500
-FREQUENT = 50_000  # words whose counts every task knows; counts of rarer ones are joined
 ROUNDS = 4
 SEEDS = 256  # texts that the first states are drawn from
 FOLDS, HELD_OUT = 7, 2
-CELLS = 200_000  # tokens that one block of texts may have, padding included
+CELLS = 200_000  # tokens that texts computed at a time may have, padding included
+BLOCK = 1 << 20  # tokens after which a block of texts is closed
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_START, _END, _MOVE = -1, -2, -3  # ids of rows that hold starts, ends and, from _MOVE down, moves
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
 
 
-class Vocabulary:
-    """Counts of frequent words, and the symbol of every word. Symbol 0 is the end of a text."""
-
-    def __init__(self, frequent: list[tuple[bytes, int]], own: int, buckets: int):
-        self.buckets, self.own = buckets, min(own, len(frequent))
-        self.symbols = 1 + self.own + buckets
-        self.known = {w: (c, 1 + i if i < own else self.bucket(w)) for i, (w, c) in enumerate(frequent)}
-
-    def bucket(self, word: bytes) -> int:
-        return 1 + self.own + crc32(word) % self.buckets
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
 class Model:
@@ -56,26 +51,34 @@ class Model:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    @classmethod
-    def seeded(cls, symbols: int, histograms: np.ndarray, whole: np.ndarray, states: int) -> Model:
-        """Each state leans to a text unlike those of the other states (farthest first), mixed
-        with the symbols of all texts; states are kept for a while."""
-        floor = (whole + 0.5) / (whole + 0.5).sum()
-        emit = np.tile(floor, (states, 1))
-        if len(histograms):
-            unit = np.sqrt(histograms / histograms.sum(axis=1, keepdims=True))
-            picked = [int(np.argmax(histograms.sum(axis=1)))]
-            while len(picked) < min(states, len(unit)):
-                picked.append(int(np.argmin((unit @ unit[picked].T).max(axis=1))))
-            group = (unit @ unit[picked].T).argmax(axis=1)
-            for k in range(states):
-                own = histograms[group == k].sum(axis=0) if k < len(picked) else np.zeros(symbols)
-                tilt = 1 + 0.1 * np.cos(np.arange(symbols) * (k + 1.0))
-                emit[k] = 0.5 * floor * tilt + 0.5 * (own / own.sum() if own.sum() else floor)
-                emit[k] /= emit[k].sum()
-        move = np.full((states, states), 0.1 / max(states - 1, 1))
-        np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-        return cls(np.full(states, 1 / states), move, emit)
+
+@dataclass
+class Chain:
+    """What every task knows of the model: all but the expected counts of words."""
+
+    start: np.ndarray
+    move: np.ndarray
+    end: np.ndarray  # expected counts of the end
+    total: np.ndarray  # of all words and the end
+    prior: float  # weight of the unigram model in each state
+    ends: int  # training texts
+    whole: float  # training tokens, their kinds and one
+
+    def of_block(self, size: int, given: pd.DataFrame) -> tuple[Model, np.ndarray]:
+        """The model over the symbols of a block, and their training counts. Symbols that `given`
+        (place, c and a column per state) does not list are unseen words."""
+        states = len(self.start)
+        counts, seen = np.zeros((size, states)), np.zeros(size)
+        own = given[given["place"] < size]
+        counts[own["place"]] = own[_columns(states)].fillna(0.0)
+        seen[own["place"]] = own["c"]
+        counts[0], seen[0] = self.end, self.ends
+        share = (seen + 1.0)[:, None] / self.whole
+        return Model(self.start, self.move, ((counts + self.prior * share) / (self.total + self.prior)).T), seen
+
+
+def _columns(states: int) -> list[str]:
+    return [f"e{k}" for k in range(states)]
 
 
 def _blocks(texts: list[np.ndarray]) -> Iterator[list[int]]:
@@ -158,165 +161,177 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     return start, move * model.move, emit
 
 
-def _decoded(cells: pd.Series) -> list[np.ndarray]:
-    return [np.frombuffer(c, "<u2").astype(np.int64) for c in cells]
-
-
-def train(coded: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training texts; per round a task gives back one row for each state
-    and symbol, start or move it has seen, and these are added up by a shuffle."""
-    spark = coded.sparkSession
-    states, symbols = model.emit.shape
-    texts = coded.where("not held_out").select("symbols")
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(model)
-
-        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            own = shared.value
-            parts = [np.zeros(states), np.zeros((states, states)), np.zeros((states, symbols))]
-            for batch in batches:
-                for total, part in zip(parts, expected_counts(own, _decoded(batch["symbols"]))):
-                    total += part
-            flat = np.concatenate([p.ravel() for p in parts])
-            places = np.flatnonzero(flat)
-            yield pd.DataFrame({"place": places, "n": flat[places]})
-
-        rows = texts.mapInPandas(count, "place long, n double").groupBy("place").agg(F.sum("n").alias("n"))
-        flat = np.zeros(states + states * states + states * symbols)
-        got = rows.toPandas()
-        flat[got["place"].to_numpy(np.int64)] = got["n"].to_numpy()
-        start, move, emit = np.split(flat, [states, states + states * states])
-        start, move, emit = start + 0.1, move.reshape(states, states) + 0.1, emit.reshape(states, symbols) + 0.01
-        model = Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-        shared.unpersist()
-    return model
-
-
-def _counts(docs: DataFrame) -> DataFrame:
-    """(word, c) over all training texts, without the ends."""
-    train = docs.where(~held_out(F.col("doc_id")))
-    return (train.select(F.explode(words(lower_ascii(F.col("text")))).alias("word"))
-            .groupBy("word").agg(F.count("*").alias("c")))
-
-
-def _frequent(counts: DataFrame, most: int) -> DataFrame:
-    """The words above the least count that at most `most` words exceed. Only words that are
-    taken leave their task, where a limit would bring `most` rows from each task."""
-    sizes = counts.groupBy("c").agg(F.count("*").alias("n")).groupBy(F.log2("c").cast("int").alias("k")).agg(
-        F.sum("n").alias("n"), F.min("c").alias("c")).orderBy(F.desc("k")).collect()
-    least, taken = None, 0
-    for r in sizes:
-        # Counts of one power of two; the power that does not fit is looked at count by count.
-        if taken + r["n"] > most:
-            inner = (counts.where((F.log2("c").cast("int") == r["k"])).groupBy("c").agg(F.count("*").alias("n"))
-                     .orderBy(F.desc("c")).limit(most + 1).collect())
-            for x in inner:
-                if taken + x["n"] > most:
-                    break
-                least, taken = x["c"], taken + x["n"]
-            break
-        least, taken = r["c"], taken + r["n"]
-    return counts.where(F.col("c") >= least) if least is not None else counts.limit(0)
-
-
-def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, own: int = OWN, buckets: int = BUCKETS,
-                frequent: int = FREQUENT) -> DataFrame:
+def _coded(docs: DataFrame) -> DataFrame:
+    """Rows of two kinds. A text: its block, id, whether held out, and its symbols, which are places
+    in the list of words of the block, 0 the end. A block: its words, and their counts in the
+    training texts of the block."""
+    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        places: defaultdict = defaultdict()
+        places.default_factory = places.__len__
+        texts, tokens, number = [], 0, 0
+
+        def closed() -> pd.DataFrame:
+            kind = "<u2" if len(places) <= 1 << 16 else "<u4"
+            trained = [ids for _, held, ids in texts if not held]
+            counts = np.bincount(np.concatenate([np.empty(0, np.int64), *trained]), minlength=len(places))
+            frame = pd.DataFrame([(d, held, ids.astype(kind).tobytes()) for d, held, ids in texts], columns=["doc_id", "held_out", "symbols"])
+            listed = pd.DataFrame({"words": [[w.decode("utf-8", "surrogatepass") for w in places]], "counts": [counts]})
+            out = pd.concat([frame, listed], ignore_index=True).assign(block=(part << 32) + number, wide=kind == "<u4")
+            return out.astype(object).where(out.notna(), None)[["block", "wide", "doc_id", "held_out", "symbols", "words", "counts"]]
+
+        part = 0
+        for batch in batches:
+            for part, doc, held, text in zip(batch["part"], batch["doc_id"], batch["held_out"], batch["text"]):
+                if not places:
+                    places[b""] = 0
+                found = _words(text)
+                found.append(b"")
+                texts.append((doc, held, np.fromiter(map(places.__getitem__, found), np.int64, len(found))))
+                tokens += len(found)
+                if tokens >= BLOCK:
+                    yield closed()
+                    places.clear()
+                    texts, tokens, number = [], 0, number + 1
+        if texts:
+            yield closed()
+
+    rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").cast("string").alias("doc_id"),
+                       held_out(F.col("doc_id")).alias("held_out"), "text")
+    return rows.mapInPandas(code, "block long, wide boolean, doc_id string, held_out boolean, symbols binary, "
+                                  "words array<string>, counts array<long>")
+
+
+def _decoded(texts: pd.DataFrame) -> list[np.ndarray]:
+    return [np.frombuffer(s, "<u4" if w else "<u2").astype(np.int64) for s, w in zip(texts["symbols"], texts["wide"])]
+
+
+def _seeded(docs: DataFrame, words: DataFrame, states: int) -> tuple[DataFrame, np.ndarray]:
+    """Shares of words and of the end in the first states. Each state leans to a text unlike those
+    of the other states (farthest first), among the training texts that come first by hash, copies
+    counted once."""
+    texts = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    first = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(SEEDS).collect()]
+    found = texts.where(F.col("h").isin(first)).groupBy("h").agg(F.min("text").alias("text")).collect() if first else []
+    seeds = [[*_words(r["text"]), b""] for r in sorted(found, key=lambda r: r["h"])]
+    kinds = sorted({w for text in seeds for w in text} | {b""})
+    places = {w: i for i, w in enumerate(kinds)}
+    histograms = np.zeros((len(seeds), len(kinds)))
+    for row, text in zip(histograms, seeds):
+        np.add.at(row, [places[w] for w in text], 1)
+    own = np.tile(histograms.sum(axis=0) + (0 if seeds else 1), (states, 1))
+    own *= 1 + 0.1 * np.cos(np.arange(len(kinds)) * np.arange(1.0, states + 1)[:, None])
+    if seeds:
+        unit = np.sqrt(histograms / histograms.sum(axis=1, keepdims=True))
+        picked = [int(np.argmax(histograms.sum(axis=1)))]
+        while len(picked) < min(states, len(unit)):
+            picked.append(int(np.argmin((unit @ unit[picked].T).max(axis=1))))
+        group = (unit @ unit[picked].T).argmax(axis=1)
+        for k in range(len(picked)):
+            if (group == k).any():
+                own[k] = histograms[group == k].sum(axis=0)
+    own /= own.sum(axis=1, keepdims=True)
+    table = pd.DataFrame(own.T.astype(np.float32), columns=_columns(states)).assign(word=[w.decode("utf-8", "surrogatepass") for w in kinds])
+    shares = docs.sparkSession.createDataFrame(table, ", ".join([*(f"{c} float" for c in _columns(states)), "word string"]))
+    return words.join(F.broadcast(shares), "word").select("id", *_columns(states)), own[:, places[b""]]
+
+
+def _next(spoken: DataFrame, listed: DataFrame, table: DataFrame, chain: Chain) -> DataFrame:
+    """Expected counts (id, a column per state): one row per word with any, and rows for starts,
+    ends and moves."""
+    states = len(chain.start)
+    columns = _columns(states)
+    shared = spoken.sparkSession.sparkContext.broadcast(chain)
+
+    def count(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        if not len(texts):
+            return pd.DataFrame(columns=["id", *columns])
+        decoded = _decoded(texts)
+        model, _ = shared.value.of_block(1 + max(int(t.max()) for t in decoded), given)
+        start, move, emit = expected_counts(model, decoded)
+        given = given[given["place"] < emit.shape[1]]
+        flat = np.vstack([start, emit[:, 0], move, emit.T[given["place"]]])
+        ids = np.r_[_START, _END, _MOVE - np.arange(states), given["id"].to_numpy(np.int64)]
+        kept = flat.any(axis=1)
+        return pd.DataFrame(flat[kept], columns=columns).assign(id=ids[kept])[["id", *columns]]
+
+    schema = ", ".join(["id long", *(f"{c} float" for c in columns)])
+    counted = _joined(spoken.select("block", "wide", "symbols"), listed, table).applyInPandas(count, schema)
+    return counted.groupBy("id").agg(*[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns])
+
+
+def _joined(texts: DataFrame, listed: DataFrame, table: DataFrame):
+    """Texts of a block beside its words and their expected counts."""
+    return texts.groupBy("block").cogroup(listed.join(table, "id", "left").groupBy("block"))
+
+
+def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, prior: float | None = None) -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the words of the text in lower case (A-Z) and one end. base_score is the unigram
     score with one added to every count; score is the model's log10 probability of the tokens.
     NULL, empty and blank texts are an end alone. Rows with a NULL doc_id are training texts.
-    Repeated rows each get a row; an empty table gives none.
+    Repeated rows each get a row; an empty table gives none. The unigram model has the weight
+    `prior` in each state, the mean number of kinds a state has if it is not given.
     """
     spark = docs.sparkSession
-    counts = written(_counts(docs))
-    ends = docs.where(~held_out(F.col("doc_id"))).count()
-    sums = counts.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
+    coded = written(_coded(docs))
+    texts, blocks = coded.where("symbols is not null"), coded.where("words is not null")
+    spoken = texts.where("not held_out")
+    counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(
+        F.sum("x.counts").alias("c")).where("c > 0 and word <> ''")
+    words = written(counted.withColumn("id", F.monotonically_increasing_id()))
+    listed = written(blocks.select("block", F.posexplode("words").alias("place", "word")).join(words, "word").select("block", "place", "id", "c"))
+    _sweep(spark)
+    ends = spoken.count()
+    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
     tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
-    top = sorted(_frequent(counts, frequent).collect(), key=lambda r: (-r["c"], r["word"]))
-    vocabulary = Vocabulary([(r["word"].encode("utf-8", "surrogatepass"), r["c"]) for r in top], own, buckets)
-    coded = written(_coded(docs, vocabulary, ends))
-    model, sizes = _first_model(spark, coded, counts, vocabulary, ends, states)
-    model = train(coded, model, rounds)
-
-    # What rare words add: their counts are joined; no rare word is frequent, so none is hot.
-    rare = coded.select("uid", F.explode("rare").alias("word")).join(counts, "word", "left")
-    rare = rare.groupBy("uid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1.0)).alias("_s"), F.count("c").alias("_k"))
-    scored = _scored(coded, model, sizes)
-    whole = F.log10(F.lit(float(tokens + kinds + 1)))
-    joined = scored.join(rare, "uid", "left")
-    logs = F.col("logs") + F.coalesce("_s", F.lit(0.0))
-    return joined.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("_k", F.lit(0))).alias("n_known"),
-        F.lit(tokens).cast("long").alias("train_tokens"),
-        (logs - F.col("n_tokens") * whole).alias("base_score"), (logs + F.col("inner")).alias("score"))
-
-
-def _coded(docs: DataFrame, vocabulary: Vocabulary, ends: int) -> DataFrame:
-    """Symbols of each text, its sum of log10(c + 1) over frequent words and the end, and its rare words."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = shared.value
-        places = {w: i for i, w in enumerate(own.known)}
-        logs = np.log10([*(c + 1.0 for c, _ in own.known.values()), 1.0])
-        kinds = np.array([*(k for _, k in own.known.values()), 0], "<u2")
-        for batch in batches:
-            out = []
-            for text in batch["text"]:
-                found = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-                # The last entry of logs and kinds stands for rare words.
-                ids = np.fromiter((places.get(w, -1) for w in found), np.int64, len(found))
-                symbols, at = kinds[ids], np.flatnonzero(ids < 0)
-                rare = [found[i] for i in at]
-                symbols[at] = [own.bucket(w) for w in rare]
-                out.append((len(found) + 1, len(found) - len(rare) + (ends > 0), logs[ids].sum() + np.log10(ends + 1.0),
-                            symbols.tobytes() + b"\0\0", [w.decode("utf-8", "surrogatepass") for w in rare]))
-            frame = pd.DataFrame(out, columns=["n_tokens", "n_known", "logs", "symbols", "rare"])
-            frame["doc_id"], frame["held_out"], frame["uid"] = batch["doc_id"].astype("Int64"), batch["held_out"], batch["uid"]
-            yield frame[["uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "symbols", "rare"]]
-
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"),
-                       held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(code, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, "
-                                  "symbols binary, rare array<string>")
-
-
-def _first_model(spark: SparkSession, coded: DataFrame, counts: DataFrame, vocabulary: Vocabulary, ends: int,
-                 states: int) -> tuple[Model, np.ndarray]:
-    """Seeded states, and per symbol the number that a word's count + 1 is divided by."""
-    known = pd.DataFrame([(w.decode("utf-8", "surrogatepass"), k) for w, (_, k) in vocabulary.known.items()
-                          if k <= vocabulary.own], columns=["word", "own"])
-    bucket = F.lit(1 + vocabulary.own) + F.crc32(F.col("word").cast("binary")) % vocabulary.buckets
-    rows = counts
-    symbol = bucket
-    if len(known):
-        # At most OWN rows.
-        rows = counts.join(F.broadcast(spark.createDataFrame(known)), "word", "left")
-        symbol = F.coalesce("own", bucket)
-    sums = rows.groupBy(symbol.cast("int").alias("symbol")).agg(F.sum("c").alias("c"), F.count("*").alias("v")).collect()
-    whole, sizes = np.zeros(vocabulary.symbols), np.ones(vocabulary.symbols)
-    whole[0], sizes[0] = ends, ends + 1.0
-    for r in sums:
-        whole[r["symbol"]] = r["c"]
-        # A word of one's own is sure; a bucket keeps a share for one word that was not seen.
-        sizes[r["symbol"]] = r["c"] + 1.0 if r["symbol"] <= vocabulary.own else r["c"] + r["v"] + 1.0
-    seeds = coded.where("not held_out").orderBy(F.xxhash64("symbols"), "uid").select("symbols").limit(SEEDS).collect()
-    histograms = np.array([np.bincount(np.frombuffer(r["symbols"], "<u2"), minlength=vocabulary.symbols) for r in seeds], float)
-    return Model.seeded(vocabulary.symbols, histograms.reshape(len(seeds), vocabulary.symbols), whole, states), sizes
-
-
-def _scored(coded: DataFrame, model: Model, sizes: np.ndarray) -> DataFrame:
-    """Adds `inner`: log10 of the symbols' probability less that of the symbols' sizes."""
-    shared = coded.sparkSession.sparkContext.broadcast((model, np.log10(sizes)))
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, logs = shared.value
-        for batch in batches:
-            texts = _decoded(batch["symbols"])
-            chain = log_likelihoods(own, texts) / np.log(10)
-            yield batch.drop(columns="symbols").assign(doc_id=batch["doc_id"].astype("Int64"),
-                                                       inner=chain - np.array([logs[t].sum() for t in texts]))
 
-    rows = coded.select("uid", "doc_id", "held_out", "n_tokens", "n_known", "logs", "symbols")
-    return rows.mapInPandas(score, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, inner double")
+    move = np.full((states, states), 0.1 / max(states - 1, 1))
+    np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
+    table, end = _seeded(docs, words, states)
+    table = written(table)
+    chain = Chain(np.full(states, 1 / states), move, end, np.ones(states), 1.0, ends, float(tokens + kinds + 1))
+    for _ in range(rounds):
+        table = written(_next(spoken, listed, table, chain))
+        chain = _updated(table, chain, (kinds + 1) / states if prior is None else prior)
+        _sweep(spark)
+    return _scored(texts, listed, table, chain, tokens)
+
+
+def _sweep(spark: SparkSession) -> None:
+    """Shuffle files of what is written go once the JVM finds that nothing refers to them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def _updated(table: DataFrame, chain: Chain, prior: float) -> Chain:
+    columns = _columns(len(chain.start))
+    few = {r["id"]: np.array(r[1:], float) for r in table.where("id < 0").select("id", *columns).collect()}
+    none = np.zeros(len(columns))
+    of_words = table.where(f"id >= 0 or id = {_END}").agg(*[F.sum(F.col(c).cast("double")) for c in columns]).first()
+    start = few.get(_START, none) + 0.1
+    # A row of moves that is kept is that of the state that is left.
+    move = np.array([few.get(_MOVE - k, none) for k in range(len(columns))]) + 0.1
+    return Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), few.get(_END, none),
+                 np.array([x or 0.0 for x in of_words]), prior, chain.ends, chain.whole)
+
+
+def _scored(texts: DataFrame, listed: DataFrame, table: DataFrame, chain: Chain, tokens: int) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(chain)
+
+    def score(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
+        if not len(own):
+            return pd.DataFrame(columns=columns)
+        decoded = _decoded(own)
+        model, seen = shared.value.of_block(1 + max(int(t.max()) for t in decoded), given)
+        lengths, known, logs = np.array([len(t) for t in decoded]), seen > 0, np.log10(seen + 1.0)
+        base = np.array([logs[t].sum() for t in decoded]) - lengths * np.log10(shared.value.whole)
+        return pd.DataFrame({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": lengths,
+                             "n_known": [int(known[t].sum()) for t in decoded], "base_score": base,
+                             "score": log_likelihoods(model, decoded) / np.log(10)})[columns]
+
+    rows = _joined(texts.select("block", "wide", "doc_id", "held_out", "symbols"), listed, table).applyInPandas(
+        score, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known",
+                       F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

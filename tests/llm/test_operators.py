@@ -326,6 +326,33 @@ def test_forward_and_counts_are_exact():
     assert np.allclose(start, starts, atol=1e-4) and np.allclose(emit, emits, atol=1e-4)
 
 
+def test_every_word_has_its_own_emissions(spark):
+    """Two rare words of one count, of unlike topics and of one hash class of 500, below 2,100 frequent ones."""
+    draw = np.random.default_rng(5)
+    free, unseen = [[d for d in range(20_000) if (zlib.crc32(str(d).encode()) % 7 == 2) == held] for held in (False, True)]
+    texts = []
+    for topic in "ab":
+        names = [f"{topic}{i}" for i in range(1500)] * 6
+        draw.shuffle(names)
+        frequent = [f"{topic}f{i}" for i in range(1050)] * 20
+        draw.shuffle(frequent)
+        texts += [" ".join([*names[k::300], *frequent[k::300]]) for k in range(300)]
+    classes = collections.defaultdict(dict)
+    for i in range(1500):
+        for topic in "ab":
+            classes[zlib.crc32(f"{topic}{i}".encode()) % 500].setdefault(topic, f"{topic}{i}")
+    pairs = [(c["a"], c["b"]) for c in classes.values() if len(c) == 2][:20]
+    assert len(pairs) == 20
+    stem = " ".join(f"af{i}" for i in range(30))
+    held = [f"{stem} {word}" for pair in pairs for word in pair]
+    table = spark.createDataFrame([*zip(free, texts), *zip(unseen, held)], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in hidden_markov.score_texts(table.repartition(5)).collect()}
+    scores = [got[d] for d, _ in zip(unseen, held)]
+    assert all(own > other + 0.3 for own, other in zip(scores[::2], scores[1::2]))
+    again = {r.doc_id: r.score for r in hidden_markov.score_texts(table.repartition(1)).collect()}
+    assert all(again[d] == pytest.approx(got[d], rel=1e-3) for d in got)
+
+
 # --- 9 repeated passages -------------------------------------------------------------
 
 def test_repeated_runs(spark, docs, none):
