@@ -108,15 +108,18 @@ def held_out(doc_id: Column, folds: int = FOLDS, fold: int = HELD_OUT) -> Column
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> KernelClassifier:
-    """Learnt from the `sample` texts of each language that come first by hash, among rows that
-    are not held out and have text and language: a bounded sample, the same however rows lie."""
+    """Learnt from the `sample` distinct texts of each language that come first by hash, among rows
+    that are not held out and have text and language: a bounded sample, the same however rows lie
+    and however often a text is repeated."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     # The rank limit is applied in every task before rows of a language meet.
-    first = Window.partitionBy("lang").orderBy("_h", "doc_id")
+    first = Window.partitionBy("lang").orderBy("_h")
     rows = rows.select("doc_id", "lang", "text", F.xxhash64("text").alias("_h"))
-    ids = (rows.select("doc_id", "lang", "_h").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
-           .select(F.col("doc_id").alias("_d"), F.col("_h").alias("_g"), "_n"))
-    taken = rows.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_g"))).select("lang", "_n", "text")
+    distinct = rows.groupBy("lang", "_h").agg(F.min("doc_id").alias("doc_id"))
+    ids = (distinct.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= sample)
+           .select(F.col("doc_id").alias("_d"), F.col("lang").alias("_l"), F.col("_h").alias("_g"), "_n"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("lang") == F.col("_l")) & (F.col("_h") == F.col("_g"))
+    taken = rows.join(F.broadcast(ids), same).select("lang", "_n", "text")
     got = sorted((r["lang"], r["_n"], r["text"]) for r in taken.dropDuplicates(["lang", "_n"]).collect())
     return KernelClassifier([g[2] for g in got], [g[0] for g in got], landmarks)
 

@@ -285,6 +285,15 @@ def test_language(spark, docs, none):
     assert language.identify(none).count() == 0
 
 
+def test_copies_do_not_fill_the_sample(spark):
+    table = sample(spark).where("doc_id is not null").select("doc_id", "text", "lang")
+    first = table.where(~language.held_out(F.col("doc_id"))).orderBy(F.xxhash64("text")).groupBy("lang").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"))
+    copies = first.crossJoin(spark.range(10**9, 10**9 + 200)).selectExpr("id as doc_id", "text", "lang")
+    plain, hot = (language.fit(t, sample=40, landmarks=8) for t in (table, table.union(copies)))
+    assert plain.langs == hot.langs and np.allclose(plain.matrix, hot.matrix) and np.allclose(plain.bias, hot.bias)
+
+
 # --- 8 language model ----------------------------------------------------------------
 
 def test_hidden_markov(spark, docs, none):
