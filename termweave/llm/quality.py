@@ -22,11 +22,10 @@ WINDOW = 5
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
 
-# Measures that are judged, and the spread below which two values count as alike: a group
-# whose documents are all clean has no spread of its own, and there a limit at the median
-# would reject documents for one symbol.
-MEASURES = {"mean_word": 1.0, "symbol_share": 0.05, "dup_line_share": 0.1, "repeat_share": 0.05}
+# Measures that are judged.
+MEASURES = ("mean_word", "symbol_share", "dup_line_share", "repeat_share")
 FENCE = 4.0
+OUTER = 0.99
 LEAST_GROUP = 50
 
 
@@ -107,39 +106,52 @@ def quantiles(sketches: DataFrame, keys: list[str], at: dict[str, float]) -> Dat
         *[F.min(F.when(F.col("upto") >= F.lit(q) * F.col("total"), middle)).alias(n) for n, q in at.items()])
 
 
+def _units() -> dict[str, Column]:
+    """What a single symbol, line or repeated window adds to a document's value. The mean length
+    of words has no such unit."""
+    per = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    return {"mean_word": F.lit(0.0), "symbol_share": 1 / per,
+            "dup_line_share": 1 / F.greatest(F.col("n_lines"), F.lit(1)).cast("double"), "repeat_share": 2 * WINDOW / per}
+
+
 def limits(rows: DataFrame, fence: float = FENCE, least: int = LEAST_GROUP) -> DataFrame:
     """Per (lang, source): the least and greatest accepted value of every measure.
 
-    The middle is the median, the spread the distance between the quartiles, at least the
-    resolution in MEASURES. Groups of fewer than `least` documents take the limits of their
-    language over all sources, and languages of fewer than `least` those of all documents.
+    They lie `fence` times the distance of the quartiles below and above the median; that distance
+    is at least the error with which the sketch tells it. Outer quantiles would lie among the
+    documents to be found where these are more than a few hundredths. Documents that fail the base
+    rule are not counted; it has taken out what repeats itself most, so the limit of repeat_share
+    may be the quantile at `OUTER`. Groups of fewer than `least` documents take the limits of their language
+    over all sources, and languages of fewer than `least` those of all documents.
     """
-    fine = written(sketch(rows, ["lang", "source"]))
-    at = {"q1": 0.25, "q2": 0.5, "q3": 0.75}
+    fine = written(sketch(rows.where("not base_failed"), ["lang", "source"]))
+    at = {"q1": 0.25, "q2": 0.5, "q3": 0.75, "outer": OUTER}
     own = quantiles(fine, ["lang", "source"], at)
     lang = quantiles(merge(fine, ["lang"]), ["lang"], at)
     whole = quantiles(merge(fine, []), [], at)
     level = lambda frame, n: frame.select(*[c for c in ("lang", "source", "measure") if c in frame.columns],
-                                          F.struct("total", "q1", "q2", "q3").alias(n))
+                                          F.struct("total", "q1", "q2", "q3", "outer").alias(n))
     same_lang = F.col("l.lang").eqNullSafe(F.col("o.lang")) & (F.col("l.measure") == F.col("o.measure"))
     chosen = (level(own, "own").alias("o").join(level(lang, "by_lang").alias("l"), same_lang)
               .select("o.lang", "o.source", "o.measure", "own", "by_lang")
               .join(level(whole, "by_all"), "measure"))
     pick = (F.when(F.col("own.total") >= least, F.col("own"))
             .when(F.col("by_lang.total") >= least, F.col("by_lang")).otherwise(F.col("by_all")))
-    resolution = F.element_at(F.create_map(*[F.lit(x) for kv in MEASURES.items() for x in kv]), F.col("measure"))
-    width = F.greatest(F.col("q.q3") - F.col("q.q1"), resolution) * fence
+    width = F.greatest(F.col("q.q3") - F.col("q.q1"), 2 * ACCURACY * F.col("q.q2")) * fence
+    high = F.col("q.q2") + width
+    high = F.when(F.col("measure") == "repeat_share", F.greatest(high, F.col("q.outer"))).otherwise(high)
     bounds = chosen.select("lang", "source", "measure", pick.alias("q")).select(
-        "lang", "source", "measure", (F.col("q.q2") - width).alias("low"), (F.col("q.q2") + width).alias("high"))
+        "lang", "source", "measure", (F.col("q.q2") - width).alias("low"), high.alias("high"))
     return bounds.groupBy("lang", "source").agg(*[
         F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("low", "high")])
 
 
 def quality_filter(docs: DataFrame, fence: float = FENCE, least: int = LEAST_GROUP) -> DataFrame:
-    """Every document with its measures, `base_failed`, and `kept`.
+    """Every document with its measures, `base_failed`, `outside` and `kept`.
 
-    Kept is false if the base rule fails or some measure lies outside the limits of the
-    document's (lang, source). A NULL language or source is a group of its own. Repeated rows
+    `outside` names the measures that lie outside the limits of the document's (lang, source) by
+    more than a single symbol, line or repeated window. Kept is false if the base rule fails or
+    there are any. A NULL language or source is a group of its own. Repeated rows
     each get a row. An empty table gives no rows. Other columns are not returned.
     """
     if not {"lang", "source"} <= set(docs.columns):
@@ -149,9 +161,8 @@ def quality_filter(docs: DataFrame, fence: float = FENCE, least: int = LEAST_GRO
     joined = rows.alias("r").join(
         bounds.alias("b"),
         F.col("r.lang").eqNullSafe(F.col("b.lang")) & F.col("r.source").eqNullSafe(F.col("b.source")), "left")
-    share = _shares()
-    inside = F.lit(True)
-    for name in MEASURES:
-        inside = inside & share[name].between(F.col(f"b.{name}_low"), F.col(f"b.{name}_high"))
-    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(False))
-    return joined.select(*[F.col(f"r.`{c}`") for c in rows.columns], kept.alias("kept"))
+    share, unit = _shares(), _units()
+    outside = F.array_compact(F.array(*[
+        F.when(~share[m].between(F.col(f"b.{m}_low") - unit[m], F.col(f"b.{m}_high") + unit[m]), F.lit(m)) for m in MEASURES]))
+    kept = ~F.col("base_failed") & (F.size(outside) == 0)
+    return joined.select(*[F.col(f"r.`{c}`") for c in rows.columns], outside.alias("outside"), kept.alias("kept"))

@@ -105,6 +105,21 @@ def test_quantile_sketch(spark):
     assert next(r.q for r in merged if r.measure == "mean_word") == pytest.approx(exact, rel=0.021)
 
 
+def test_limits_follow_the_spread_of_a_group(spark):
+    """One document of 12 symbols in 100 words is far out in a source without symbols, and common in another."""
+    def text(n, symbols, size=4):
+        return " ".join(f"{i:0{size}d}" + "#" * (i < symbols) for i in range(n))
+
+    plain = [text(100 + k, k % 2) for k in range(200)] + [text(100, 12), text(100, 0, 7)]
+    mixed = [text(100 + k, k % 30, 4 + k % 5) for k in range(200)] + [text(100, 12), text(100, 0, 7)]
+    table = spark.createDataFrame([(k, t, "en", s) for s, texts in (("plain", plain), ("mixed", mixed))
+                                   for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    got = {(r.source, r.doc_id): r for r in quality.quality_filter(table).collect()}
+    assert "symbol_share" in got["plain", 200].outside and not got["plain", 200].kept and got["mixed", 200].kept
+    assert got["plain", 201].outside == ["mean_word"] and got["mixed", 201].kept
+    assert all(got["plain", k].kept for k in range(200))
+
+
 # --- 3 near duplicates ---------------------------------------------------------------
 
 def brute_print(text):
