@@ -278,7 +278,8 @@ def move_terms(moves: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
 
     Refused: unknown or ambiguous names, another kind, the term itself, no change, several
     targets, a place below the term (also by several moves together), nesting of datatypes.
-    Refused moves are not made; if moves lead below the term itself, none is.
+    Refused moves are not made, all others are. Moves that lead below the term itself are taken out
+    until none does; in a document with a cycle of its own no move is made.
     """
     names = declared(nodes).join(nodes.select("doc", "node_id", "parent_id", "rdf_type"), ["doc", "node_id"])
     several = names.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("doc").alias("_doc"),
@@ -300,16 +301,32 @@ def move_terms(moves: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame
     twice = _refusal(fine.groupBy("id").agg(F.countDistinct("_to").alias("_k")), "id",
                      F.when(F.col("_k") > 1, "several targets"))
     one = fine.groupBy("doc", "node_id").agg(F.min("_to").alias("_to"), F.max("_to").alias("_l")).where("_to = _l").drop("_l")
-    moved = nodes.join(one, ["doc", "node_id"], "left")
-    moved = cut(moved.withColumn("parent_id", F.coalesce("_to", "parent_id")).select(*nodes.columns))
+    one, circular = cut(one), []
     key = [F.concat_ws("\u001f", "doc", F.col(c).cast("string")).alias(n) for c, n in (
         ("node_id", "child"), ("parent_id", "parent"))]
-    loops = cut(cycle_nodes(moved.where("parent_id IS NOT NULL").select(*key)).select("child"))
-    looping = fine.withColumn("child", F.concat_ws("\u001f", "doc", F.col("node_id").cast("string"))).join(
-        loops, "child", "left_semi")
-    circular = _refusal(looping, "id", F.lit("target lies below the term"))
-    made = inherited(moved, nodes) if loops.isEmpty() else nodes
-    return made, _union([refused, twice, circular])
+
+    def withheld(some: DataFrame, reason: str) -> DataFrame:
+        some = cut(some.select("doc", "node_id"))
+        circular.append(_refusal(fine.join(some, ["doc", "node_id"], "left_semi"), "id", F.lit(reason)))
+        return cut(one.join(some, ["doc", "node_id"], "left_anti"))
+
+    # A move that is taken out puts its term back, which can close a cycle with another move.
+    while True:
+        moved = nodes.join(one, ["doc", "node_id"], "left")
+        moved = cut(moved.withColumn("parent_id", F.coalesce("_to", "parent_id")).select(*nodes.columns))
+        loops = cut(cycle_nodes(moved.where("parent_id IS NOT NULL").select(*key)).select("child"))
+        if loops.isEmpty():
+            return inherited(moved, nodes), _union([refused, twice, *circular])
+        looping = cut(one.select("doc", "node_id", key[0]).join(loops, "child", "left_semi"))
+        if looping.isEmpty():
+            break
+        one = withheld(looping, "target lies below the term")
+    # Cycles that no move is part of: such a document can't be inherited anew and stays as it was.
+    held = cut(nodes.select("doc", key[0]).join(loops, "child", "left_semi").select("doc").distinct())
+    withheld(one.join(held, "doc", "left_semi"), "document has a cycle")
+    made = inherited(moved.join(held, "doc", "left_anti"), nodes.join(held, "doc", "left_anti"))
+    made = made.unionByName(nodes.join(held, "doc", "left_semi"))
+    return made, _union([refused, twice, *circular])
 
 
 def fold_into_parent(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

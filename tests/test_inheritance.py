@@ -73,6 +73,28 @@ def test_refused_moves_are_not_made(spark, pairs):
     assert state(got) == state(nodes)
 
 
+def test_one_circular_move_leaves_the_others(spark):
+    nodes, _rows, _parsed = read(spark, TOP, MID, LEAF, "*** Other (ex:Other)", "*** Third (ex:Third)")
+    moves = spark.createDataFrame([("ex:Top", "ex:Leaf"), ("ex:Third", "ex:Other")], "id string, target string")
+    got, refusals = K.move_terms(moves, nodes)
+    assert [(r["id"], r["reason"]) for r in refusals.collect()] == [("ex:Top", "target lies below the term")]
+    assert state(got) == state(read(spark, TOP, MID, LEAF, "*** Other (ex:Other)", "**** Third (ex:Third)")[0])
+
+
+def test_a_cycle_elsewhere_leaves_the_moves(spark):
+    nodes, _rows, _parsed = read(spark, TOP, MID, LEAF, OTHER.replace(" :nodeclare:", ""))
+    ring = nodes.where("uri IN ('ex:Top', 'ex:Mid')").withColumn("doc", F.lit("ring"))
+    ids = {r["uri"]: r["node_id"] for r in ring.collect()}
+    ring = ring.withColumn("parent_id", F.when(F.col("uri") == "ex:Top", ids["ex:Mid"]).otherwise(ids["ex:Top"])).withColumn(
+        "uri", F.concat("uri", F.lit("Ring")))
+    moves = spark.createDataFrame([("ex:Mid", "ex:Other")], "id string, target string")
+    got, refusals = K.move_terms(moves, nodes.unionByName(ring.select(*nodes.columns)))
+    assert refusals.collect() == []
+    want = read(spark, TOP, "*** Other (ex:Other)", "**** Mid (ex:Mid)", "***** Leaf (ex:Leaf)")[0]
+    assert state(got.where("doc = 'd'")) == state(want)
+    assert got.where("doc = 'ring'").count() == 2
+
+
 def test_inserted_terms_are_nodes(spark):
     nodes, rows, _parsed = read(spark, TOP, MID, " - rdfs:comment :: text", OTHER)
     wanted = spark.createDataFrame([(1, "ex:Mid", "New one"), (2, "ex:Top", "New two")], "ord long, anchor string, label string")
