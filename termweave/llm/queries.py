@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import (decontamination, hidden_markov, language, lines, packing, personal, quality, simhash, urls,
+from termweave.llm import (centroids, decontamination, hidden_markov, language, lines, packing, personal, quality, simhash, urls,
                            warc)
 from termweave.llm.tables import table
 
@@ -72,6 +72,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,9 +84,31 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_simhash, op4_warc, op5_personal_data, op6_decontamination, op7_language_id,
-    op8_hidden_markov, op9_line_dedup, op10_url_filter, pipeline)}
+    op8_hidden_markov, op9_line_dedup, op10_url_filter, op11_centroids, pipeline)}
+
+
+
+def _centroid_sql(k: int = 40, rounds: int = 5, dimension: int = 64) -> str:
+    steps = [f"""k AS MATERIALIZED (SELECT vec_id, sha256('2:' || vec_id) AS h,
+  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = {dimension} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM k ORDER BY h LIMIT {k})"""]
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(k.v) AS v, min({{'d': list_inner_product(k.v, k.v)
+  - 2 * list_inner_product(k.v, c.v) + list_inner_product(c.v, c.v), 'c': c.c}}) AS m FROM k, c{r} AS c GROUP BY vec_id)""")
+        if r < rounds:
+            steps.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY j) AS v FROM (
+  SELECT m.c AS c, j, CAST(sum(v[j]) AS BIGINT) AS s, count(*) AS n FROM a{r}, range(1, {dimension + 1}) t(j) GROUP BY 1, 2) GROUP BY c
+  UNION ALL SELECT c, v FROM c{r} WHERE c NOT IN (SELECT m.c FROM a{r}))""")
+    return f"""WITH {", ".join(steps)}
+SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
+  CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c.v, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} AS c ON c.c = m.c"""
+
 
 ORACLES: dict[str, str] = {
+    "op11_centroids": _centroid_sql(),
     "op4_warc": """
 WITH p AS (SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes,
              sha1(coalesce(html, '')) AS payload_digest FROM pages),

@@ -43,16 +43,21 @@ def written(frame: DataFrame) -> DataFrame:
 def drop_written(spark: SparkSession, keep: int = 0) -> int:
     """Delete the tables written so far in this session but for the first `keep`; for callers
     that have written out what they computed from them."""
-    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    gone = paths[keep:]
+    gone = _WRITTEN.get(spark.sparkContext.applicationId, [])[keep:]
     for path in gone:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(conf).delete(folder, True)
-    del paths[keep:]
+        drop_path(spark, path)
     return len(gone)
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what lies at a path made by `new_path`."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    paths = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    if path in paths:
+        paths.remove(path)
+
+
 def written_count(spark: SparkSession) -> int:
     return len(_WRITTEN.get(spark.sparkContext.applicationId, []))
 
