@@ -90,8 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 def _centroid_sql(k: int = 40, rounds: int = 5, dimension: int = 64) -> str:
     steps = [f"""k AS MATERIALIZED (SELECT vec_id, sha256('2:' || vec_id) AS h,
-  list_transform(embedding, x -> floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
-  WHERE len(embedding) = {dimension} AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = {dimension} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM k ORDER BY h LIMIT {k})"""]
     for r in range(rounds + 1):
         steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(k.v) AS v, min({{'d': list_inner_product(k.v, k.v)
@@ -103,7 +103,7 @@ c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v FROM k ORD
     return f"""WITH {", ".join(steps)}
 SELECT vec_id, CAST(m.c AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance,
   CAST(sum(m.d) OVER (PARTITION BY m.c) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
-  sha256(array_to_string(list_transform(c.v, x -> CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+  sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
 FROM a{rounds} JOIN c{rounds} AS c ON c.c = m.c"""
 
 
