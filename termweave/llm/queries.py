@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import (centroids, decontamination, hidden_markov, language, lines, packing, personal, quality, simhash, urls,
-                           warc)
+from termweave.llm import (centroids, decontamination, hidden_markov, language, lines, packing, personal, quality, simhash, spelling,
+                           urls, warc)
 from termweave.llm.tables import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -76,6 +76,10 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clusters(table(spark, sf_dir, "embeddings"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_simhash, op4_warc, op5_personal_data, op6_decontamination, op7_language_id,
-    op8_hidden_markov, op9_line_dedup, op10_url_filter, op11_centroids, pipeline)}
+    op8_hidden_markov, op9_line_dedup, op10_url_filter, op11_centroids, op12_spelling, pipeline)}
 
 
 
