@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm import (centroids, decontamination, hidden_markov, language, lines, packing, personal, quality, simhash, spelling,
-                           urls, warc)
-from termweave.llm.tables import table
+from termweave.llm import (centroids, decontamination, hidden_markov, keyed_ids, language, lines, packing, personal,
+                           quality, simhash, spelling, urls, warc)
+from termweave.llm.tables import new_path, table
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -80,6 +81,11 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = keyed_ids.round_trip(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), new_path(spark, "ids"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,7 +94,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_packing, op2_quality_rules, op3_simhash, op4_warc, op5_personal_data, op6_decontamination, op7_language_id,
-    op8_hidden_markov, op9_line_dedup, op10_url_filter, op11_centroids, op12_spelling, pipeline)}
+    op8_hidden_markov, op9_line_dedup, op10_url_filter, op11_centroids, op12_spelling, op13_token_ids, pipeline)}
 
 
 
