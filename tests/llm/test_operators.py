@@ -34,7 +34,7 @@ def test_registered():
     import __spark_entry__
 
     assert set(queries.QUERIES) <= set(__spark_entry__.queries())
-    assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in queries.QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in queries.QUERIES}
 
 
 # --- 1 packing -----------------------------------------------------------------------
