@@ -12,9 +12,9 @@ from functools import cache
 
 import numpy as np
 
-WORDS = 400_000  # of a generation; two are kept
-SYMBOLS = 16_000_000
-MARK = "\x01"
+WORDS = 600_000  # of a generation; two are kept
+SYMBOLS = 12_000_000
+SPACE = "Ġ"  # how a byte-level vocabulary spells a space
 PUNCTUATION = ".,!?;:|*#$%&-\"()<>[]{}/=+~"
 ENDS = frozenset(PUNCTUATION)
 
@@ -30,13 +30,15 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word it gets is new
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values(), default=0) < 1 << 16 else 4
         self.kind = f"<u{self.width}"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False)
-        # The mark must be an id of its own that no merge takes in.
-        self.mark = mark.ids[0] if len(mark.ids) == 1 and sum(mark.tokens[0] in t for t in vocabulary) == 1 else None
+        # Ids that begin with a space: the first of each word, and of no other part of a word.
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -48,7 +50,7 @@ class WordIds:
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.mark is None or MARK in text or any(a in text for a in self.added):
+        if any(a in text for a in self.added):
             return self.whole(text)
         if len(self.young) > WORDS or self.size > SYMBOLS:
             self.old, self.young, self.size = self.young, {}, 0
@@ -88,12 +90,11 @@ class WordIds:
         stems = list(unknown)
         for at in range(0, len(stems), 1024):
             part = stems[at:at + 1024]
-            text = " " + f"{MARK} ".join(part) + MARK
+            text = " " + " ".join(part)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
-            ends = self.width * np.flatnonzero(ids == self.mark)
-            starts = np.concatenate(([0], ends[:-1] + self.width))
+            cuts = (self.width * np.flatnonzero(self.opens[ids])).tolist()
             data = ids.tobytes()
-            young.update(zip(part, map(data.__getitem__, map(slice, starts.tolist(), ends.tolist()))))
+            young.update(zip(part, map(data.__getitem__, map(slice, cuts, [*cuts[1:], len(data)]))))
             self.size += len(text)
         for word, stem in cut:
             tail = word[len(stem):]
