@@ -22,7 +22,7 @@ from termweave.operators.inheritance import inherited
 from termweave.operators.minting import mint_batch
 from termweave.operators.taxonomy import immediate_parents
 from termweave.plans.cut import cut
-from termweave.plans.ordered import carry_forward, running_number, running_sum
+from termweave.plans.ordered import running_number, running_sum, running_values
 
 STRICT_CURIE = r"^[A-Za-z_][A-Za-z0-9_-]*:[A-Za-z_][A-Za-z0-9_.-]*$"
 CODE_LANGS = ["omn", "sparql"]
@@ -376,7 +376,7 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.col("_k").isNull() | (F.col("_k") == F.col("keyword"))).drop("_k")
     e = e.where("op <> 'delete-empty'").unionByName(sweeps)
     e = running_sum(e, key, "edit_no", F.col("loose").cast("int"), "_seg")
-    e = cut(e.withColumn("seg", F.when(F.col("loose"), F.col("_seg") - 1).otherwise(F.col("_seg"))))
+    e = e.withColumn("seg", F.when(F.col("loose"), F.col("_seg") - 1).otherwise(F.col("_seg")))
 
     def event(frame: DataFrame, seg: Column, value: Column, at: Column, delta: int, token: Column) -> DataFrame:
         return frame.select(*key, seg.cast("long").alias("seg"), normal_space(value).alias("v"),
@@ -386,8 +386,7 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     no = F.col("edit_no")
     own = F.concat(F.lit("e"), no.cast("string"))
     row_token = F.concat_ws("\u001f", F.lit("r"), "id", F.col("row_id").cast("string"))
-    # Rows start before all edits, each at its own time, so that a value held by very many
-    # rows is still spread over chunks.
+    # Rows start before all edits.
     start = event(rows, F.lit(0), F.col("value"), F.shiftright("row_id", 2) - (1 << 61), 1, row_token)
     made = event(e.where("op = 'add' OR (op = 'replace' AND NOT loose)"), F.col("seg"), F.col("fragment"),
                  no * 2 + 1, 1, own)
@@ -396,14 +395,11 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                   F.lit(None).cast("string")).withColumn("taker", F.shiftright("t", 1))
     marks = event(e.where("op = 'delete-empty'"), F.col("seg"), F.lit(""), no * 2, 0,
                   F.lit(None).cast("string"))
-    # A running sum reads its input twice, so each stage is written out.
-    events = cut(_union([start, made, opened, taken, marks]))
     live = [*key, "seg", "v"]
-    events = running_sum(events, live, "t", (F.col("delta") == 0).cast("int"), "epoch", ties=["delta", "token"])
-    live = [*live, "epoch"]
-    events = running_sum(cut(events), live, "t", F.col("delta"), "alive", ties=["delta", "token"])
-    events = cut(events)
-    before = carry_forward(events, live, "t", {"maker": F.col("token")})
+    events = running_sum(_union([start, made, opened, taken, marks]), live, "t", (F.col("delta") == 0).cast("int"),
+                         "epoch", ties=["delta", "token"])
+    before = running_values(events, [*live, "epoch"], "t", {"alive": F.col("delta")}, {"maker": F.col("token")},
+                            ties=["delta", "token"])
 
     takers = before.where("taker IS NOT NULL")
     wrong = takers.where("alive <> 0").select(F.col("taker").alias("edit_no"), "alive")

@@ -192,18 +192,13 @@ def blocks(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame) -> DataFrame:
 def published_lines(parts: DataFrame) -> DataFrame:
     """(doc, line, source_line, text): numbered output lines.
 
-    Line numbers are sums in three steps: over the blocks of a document, over the ranks of a
-    block, over the parts of a rank. So neither a document nor a term is one value or task.
+    A part's first line follows from a running sum over the parts of its document, in the order
+    of blocks, ranks and places, so neither a document nor a term is one value or task.
     """
-    sized = cut(parts.withColumn("_n", F.size(F.split("text", "\n"))))
-    before = [F.coalesce(F.sum(F.when(F.col("rank") < r, F.col("_n"))), F.lit(0)) for r in range(GAP + 1)]
-    totals = cut(sized.groupBy("doc", "ord").agg(F.sum("_n").alias("_t"), F.array(*before).alias("_ranks")))
-    starts = running_sum(totals, ["doc"], "ord", F.col("_t"), "_end").select(
-        "doc", "ord", (F.col("_end") - F.col("_t")).alias("_block"), "_ranks")
-    placed = running_sum(sized, ["doc", "ord", "rank"], "o", F.col("_n"), "_upto", ties=["text"])
-    first = F.col("_block") + F.get("_ranks", F.col("rank")) + F.col("_upto") - F.col("_n") + 1
-    rows = placed.join(starts, ["doc", "ord"]).select(
-        "doc", "source_line", first.alias("_at"), F.posexplode(F.split("text", "\n")).alias("_i", "text"))
+    sized = running_sum(cut(parts.withColumn("_n", F.size(F.split("text", "\n")))), ["doc"], "ord", F.col("_n"), "_end",
+                        ties=["rank", "o", "text"])
+    rows = sized.select("doc", "source_line", (F.col("_end") - F.col("_n") + 1).alias("_at"),
+                        F.posexplode(F.split("text", "\n")).alias("_i", "text"))
     return rows.select("doc", (F.col("_at") + F.col("_i")).alias("line"), "source_line", "text")
 
 

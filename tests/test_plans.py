@@ -22,9 +22,13 @@ def plan_of(spark, name):
 def test_no_products_and_bounded_windows(spark, name):
     plan = plan_of(spark, name)
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    for window in re.findall(r"^\W*Window (.*)$", plan, re.M):
-        # A window runs over a chunk of a group, or under a rank limit taken in every task.
-        assert "_chunk" in window or "WindowGroupLimit" in plan, window
+    lines = plan.splitlines()
+    for at, line in enumerate(lines):
+        if re.match(r"^\W*(?:\*\(\d+\) )?Window ", line):
+            # A window runs over a salted part of a group, or over what a rank limit left of it
+            # in every task: the limit stands below it, with only sorts and exchanges between.
+            below = [x for x in lines[at + 1:at + 8] if not re.search(r"Sort|Exchange|Project|AQEShuffleRead|ShuffleQueryStage", x)]
+            assert "_salt" in line or "WindowGroupLimit" in below[0] or "Filter (_p" in below[0], "\n".join(lines[at:at + 8])
 
 
 def test_filters_and_columns_reach_the_scan(spark):
