@@ -26,7 +26,8 @@ OPEN = 16
 GROUP = 32
 LEAST_PIECE = 16  # a window with less room than this is not topped up with a cut piece
 END_ID = 1
-CACHED = 600_000  # words whose ids a task keeps
+CACHED = 500_000  # words of a generation whose ids a task keeps; there are two
+CACHED_SYMBOLS = 12_000_000
 
 PIECES = ("doc_id long, start long, length long, ids binary, doc_tokens long, "
           "sequence_id long, offset long, open boolean")
@@ -42,49 +43,74 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(0)  # every word it gets is new
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
+        self.size = 0
         self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, "<u4")
 
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         if ODD.search(text) or len(self.mark) != 1:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self.whole(text)
+        if len(self.known) > CACHED or self.size > CACHED_SYMBOLS:
+            # Words in use move over from the old store; those not seen again go with it.
+            self.old, self.known, self.size = self.known, {}, 0
         words = text.split()
         missing = set(words).difference(self.known)
         if missing:
-            if len(self.known) + len(missing) > CACHED:
-                self.known.clear()
-                self.parts.clear()
-                missing = set(words)
-            self._learn(list(missing))
+            self._learn(missing)
         return b"".join(map(self.known.__getitem__, words))
 
-    def _learn(self, words: list[str]) -> None:
-        split = []
+    def _learn(self, words: set[str]) -> None:
+        known, old, new, split = self.known, self.old, set(), []
         for word in words:
-            stem = word.rstrip(PUNCTUATION)
-            if stem.isalpha():
-                split.append((word, stem.lower() if stem.isascii() else stem, word[len(stem):]))
+            held = old.get(word)
+            if held is not None:
+                known[word] = held
+                continue
+            stem = word.rstrip(PUNCTUATION) if word[-1] in ENDS else word
+            # The lower case of a letter may end in a mark, which meets the punctuation after it.
+            if stem.isalpha() and (stem.isascii() or stem.lower().isalpha()):
+                low = stem.lower() if stem.isascii() else stem
+                if low != word:
+                    split.append((word, low, word[len(stem):]))
             else:
-                split.append((word, word, ""))
-        new = list({p for _, a, b in split for p in (a, b) if p and p not in self.parts})
-        for at in range(0, len(new), 1024):
-            part = new[at:at + 1024]
+                low = word
+            if low not in known:
+                held = old.get(low)
+                if held is not None:
+                    known[low] = held
+                else:
+                    new.add(low)
+        stems = list(new)
+        for at in range(0, len(stems), 1024):
+            part = stems[at:at + 1024]
             # One text, with a mark between the parts whose id no part can have.
             found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0]
             ids = np.array(found.ids, "<u4")
             cuts = 4 * np.flatnonzero(ids == self.mark[0])
             data = ids.tobytes()
-            for p, a, b in zip(part, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]):
-                self.parts[p] = data[a:b]
+            known.update(zip(part, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]))))
+            self.size += sum(map(len, part))
         for word, stem, tail in split:
-            self.known[word] = self.parts[stem] + self.parts[tail] if tail else self.parts[stem]
+            if tail not in self.tails:
+                if len(self.tails) > CACHED:
+                    self.tails = {}
+                self.tails[tail] = self.whole(tail) if tail else b""
+            known[word] = known[stem] + self.tails[tail]
+            self.size += len(word)
 
 
 MARK = "\x01"
 # Characters that str.split() takes for white space and the tokenizer does not, and the mark.
 ODD = re.compile("[\x01\x1c-\x1f]")
 PUNCTUATION = ".,!?;:|*#$%&-\"()"
+ENDS = frozenset(PUNCTUATION)
 
 
 @cache
