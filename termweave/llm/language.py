@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.tables import boxed, unboxed
+from termweave.llm.tables import boxed, unused
 
 NGRAM = 4
 BITS = 18  # n-grams are told apart by a hash of so many bits
@@ -124,14 +124,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> Ke
     return KernelClassifier([g[2] for g in got], [g[0] for g in got], landmarks)
 
 
-def identify(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
-    """Per row: row_ (its columns as a struct), doc_id, held_out, lang_pred and score.
-
-    The prediction uses the text alone. `und` with score 0 if the text is NULL or has no letter,
-    or if there was nothing to learn from. The score is the regression's value for the predicted
-    language, cut to 0 to 1; of languages that tie the first by name is predicted. Repeated rows
-    each get a row, an empty table gives none.
-    """
+def predictor(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS):
+    """A column function of a text, learnt from `docs`: a struct of lang_pred and score."""
     model = fit(docs, sample, landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -149,6 +143,18 @@ def identify(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS)
                     scores[rows] = np.clip(values[np.arange(len(rows)), best], 0, 1)
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    return predict
+
+
+def identify(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:
+    """Per row: row_ (its columns as a struct), doc_id, held_out, lang_pred and score.
+
+    The prediction uses the text alone. `und` with score 0 if the text is NULL or has no letter,
+    or if there was nothing to learn from. The score is the regression's value for the predicted
+    language, cut to 0 to 1; of languages that tie the first by name is predicted. Repeated rows
+    each get a row, an empty table gives none.
+    """
+    predict = predictor(docs, sample, landmarks)
     marked = boxed(docs, "doc_id", "text").select("row_", F.col("doc_id").cast("long").alias("doc_id"),
                                                   held_out(F.col("doc_id")).alias("held_out"), predict("text").alias("p"))
     return marked.select("row_", "doc_id", "held_out", "p.lang_pred", "p.score")
@@ -160,5 +166,8 @@ LEAST_SCORE = 0.2
 def keep_identified(docs: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
     """The documents whose language is found with a score of `least` or more; others go. The
     columns are those of `docs`."""
-    found = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    return unboxed(found, docs.columns)
+    # The rows wait beside the Python worker for their verdict: they hold their text once.
+    name, = unused(docs.columns, "_language")
+    found = docs.withColumn(name, predictor(docs)("text"))
+    return found.where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["score"] >= least)).select(
+        *[F.col(f"`{c}`") for c in docs.columns])

@@ -27,10 +27,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.tables import boxed, unboxed, written
+from termweave.llm.tables import unused, written
 
 LINE = 20
 PASSAGE = 50
+SLICE = 256  # texts
+HELD = 500_000  # numbers handed on at once
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
@@ -95,6 +97,13 @@ def selected(words: np.ndarray, line: int, passage: int) -> np.ndarray:
     return window_minima(run_hashes(words, line, _BASES[0]), passage - line + 1)
 
 
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Few texts at a time, so that what is made of them stays small beside the texts."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at:at + SLICE]
+
+
 def _text_key() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
@@ -107,7 +116,7 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     text count as one. A NULL doc_id comes before all others. Words are compared exactly.
     """
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in _slices(batches):
             sizes, prints, twice = [], [], []
             for text in batch["text"]:
                 words = word_hashes(text)
@@ -142,9 +151,13 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     again = keyed.join(wanted.select(F.col("text_key").alias("_k"), F.col("first").alias("_f"), "prints"),
                        (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_f")))
 
+    def rows_of(out: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=["print", "a", "b", "doc_id", "text_key", "start", "last", "inner", "wa", "wb"])
+        return frame.astype({"doc_id": "Int64"})
+
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
+        for batch in _slices(batches):
+            out, size = [], 0
             for doc, key, text, held in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], batch["prints"]):
                 words = word_hashes(text)
                 least = selected(words, line, passage)
@@ -154,10 +167,14 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
                 runs_ = [run_hashes(words, passage, base) for base in _BASES]
                 for h, e in zip(heads[wanted].tolist(), ends[wanted].tolist()):
                     a, b = (r[h:e] for r in runs_)
+                    # Copies, so that the hashes of a whole text go when the text is done.
                     out.append((int(least[h]) - (1 << 64) * (int(least[h]) >> 63), _of_all(a), _of_all(b), doc, key, h, e - 1,
-                                len(np.unique(a)) < len(a), a.view(np.int64), b.view(np.int64)))
-            frame = pd.DataFrame(out, columns=["print", "a", "b", "doc_id", "text_key", "start", "last", "inner", "wa", "wb"])
-            yield frame.astype({"doc_id": "Int64"})
+                                len(np.unique(a)) < len(a), a.view(np.int64).copy(), b.view(np.int64).copy()))
+                    size += 2 * (e - h)
+                    if size > HELD:
+                        yield rows_of(out)
+                        out, size = [], 0
+            yield rows_of(out)
 
     # A span is what the runs around one occurrence cover: all runs in a row that selected it.
     spans = written(again.select("doc_id", "text_key", "text", "prints").mapInPandas(
@@ -220,20 +237,19 @@ def delete_repeats(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     word is left are dropped. The columns are those of `docs`; `n_chars` is counted anew where
     the text changed. Documents without repeats pass as they are, NULL and empty texts too."""
     runs = repeated_runs(docs, line, passage)
-    cuts = written(runs.groupBy(F.col("doc_id").alias("_d"), F.col("text_key").alias("_k")).agg(
-        F.array_sort(F.collect_set(F.struct("start", "words"))).alias("_runs")))
-    rows = boxed(docs, "doc_id", "text")
-    joined = rows.join(cuts, F.col("doc_id").eqNullSafe(F.col("_d")) & (_text_key() == F.col("_k")), "left")
+    id_, key, cut = unused(docs.columns, "_doc", "_key", "_runs")
+    cuts = written(runs.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(
+        F.array_sort(F.collect_set(F.struct("start", "words"))).alias(cut)))
+    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(id_)) & (_text_key() == F.col(key)), "left")
 
     @F.pandas_udf("string")
     def remaining(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
         return pd.Series([cut_text(t, [(int(a), int(n)) for a, n in zip(s, k)])
                           for t, s, k in zip(texts, starts, lengths)], dtype=object)
 
-    new = joined.where("_runs is not null").select("row_", remaining("text", F.col("_runs.start"), F.col("_runs.words")).alias("new"))
-    new = new.where(F.col("new").rlike(r"[^\x20\x09-\x0D]"))
-    values = {c: F.col("row_").getField(c) for c in docs.columns} | {"text": F.col("new")}
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    new = joined.where(F.col(cut).isNotNull()).withColumn("text", remaining("text", F.col(cut)["start"], F.col(cut)["words"]))
+    new = new.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
-        values["n_chars"] = F.length("new").cast(docs.schema["n_chars"].dataType)
-    changed = new.select(*[v.alias(c) for c, v in values.items()])
-    return unboxed(joined.where("_runs is null"), docs.columns).unionByName(changed)
+        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return joined.where(F.col(cut).isNull()).select(*columns).unionByName(new.select(*columns))

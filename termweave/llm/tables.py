@@ -66,6 +66,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(columns: list[str], *stems: str) -> list[str]:
+    """Column names that a table does not have, one for each stem."""
+    out = []
+    for stem in stems:
+        while stem in columns:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
 def boxed(docs: DataFrame, *names: str) -> DataFrame:
     """All columns of a row as one struct, `row_`, beside the columns an operator reads: its own
     columns then clash with none that the table happens to have."""

@@ -72,7 +72,19 @@ def test_packing_round_trip(spark, docs, none):
 @pytest.mark.parametrize("text", ["a\xa0b", "x\x1cy z", "don't I'LL", "<|endoftext|> a", "ΣΑΣ.", "é Ǻ,", "日本語、 한국어.", "\x01 a"])
 def test_words_of_the_tokenizer(text):
     own = packing.WordTokenizer(queries.tokenizer_path())
-    assert own.ids(text) == np.array(own.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert own.ids(text) == own.whole(text)
+
+
+def test_word_store_on_a_whole_table(spark, monkeypatch):
+    """The ids of every text are the tokenizer's, also when the store turns over many times."""
+    monkeypatch.setattr(packing, "CACHED", 3000)
+    own, turned = packing.WordTokenizer(queries.tokenizer_path()), 0
+    for text in ["İ.", "sİ, ß.", *[r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]]:
+        before = own.old
+        assert own.ids(text) == own.whole(text)
+        turned += own.old is not before
+        assert len(own.known) <= 3000 + 2 * len(text.split())
+    assert turned > 3
 
 
 # --- 2 quality -----------------------------------------------------------------------
