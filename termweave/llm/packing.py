@@ -50,6 +50,9 @@ class WordTokenizer:
         self.tails: dict[str, bytes] = {}
         self.size = 0
         self.mark = np.array(self.tokenizer.encode(MARK, add_special_tokens=False).ids, "<u4")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(WORD_END)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -66,6 +69,13 @@ class WordTokenizer:
             self._learn(missing)
         return b"".join(map(self.known.__getitem__, words))
 
+    def _encoded(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _keep(self, words: list[str], data: bytes, starts: list[int], ends: list[int]) -> None:
+        self.known.update(zip(words, map(data.__getitem__, map(slice, starts, ends))))
+        self.size += sum(map(len, words))
+
     def _learn(self, words: set[str]) -> None:
         known, old, new, split = self.known, self.old, set(), []
         for word in words:
@@ -87,16 +97,23 @@ class WordTokenizer:
                     known[low] = held
                 else:
                     new.add(low)
-        stems = list(new)
-        for at in range(0, len(stems), 1024):
-            part = stems[at:at + 1024]
+        letters = [w for w in new if w.isalpha()]
+        for at in range(0, len(letters), 1024):
+            part = letters[at:at + 1024]
+            # Letters in a row are one piece, and only its last id ends a piece.
+            ids = self._encoded(" ".join(part))
+            ends = 4 * np.flatnonzero(self.closes[ids]) + 4
+            if len(ends) == len(part):
+                self._keep(part, ids.tobytes(), [0, *ends[:-1].tolist()], ends.tolist())
+            else:
+                known.update((w, self.whole(w)) for w in part)
+        others = [w for w in new if not w.isalpha()]
+        for at in range(0, len(others), 1024):
+            part = others[at:at + 1024]
             # One text, with a mark between the parts whose id no part can have.
-            found = self.tokenizer.encode_batch_fast([f" {MARK} ".join(part)], add_special_tokens=False)[0]
-            ids = np.array(found.ids, "<u4")
+            ids = self._encoded(f" {MARK} ".join(part))
             cuts = 4 * np.flatnonzero(ids == self.mark[0])
-            data = ids.tobytes()
-            known.update(zip(part, map(data.__getitem__, map(slice, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(data)]))))
-            self.size += sum(map(len, part))
+            self._keep(part, ids.tobytes(), [0, *(cuts + 4).tolist()], [*cuts.tolist(), 4 * len(ids)])
         for word, stem, tail in split:
             if tail not in self.tails:
                 if len(self.tails) > CACHED:
@@ -107,6 +124,7 @@ class WordTokenizer:
 
 
 MARK = "\x01"
+WORD_END = "</w>"  # how the vocabulary spells the end of a piece
 # Characters that str.split() takes for white space and the tokenizer does not, and the mark.
 ODD = re.compile("[\x01\x1c-\x1f]")
 PUNCTUATION = ".,!?;:|*#$%&-\"()"
