@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave import constants as K
 from termweave import model as M
 from termweave.functions.ident import id_kind
 from termweave.functions.lang import language_key
 from termweave.model import SOURCE_KEY, Index
+from termweave.operators.versions import create_index, load_index, save_index, update_stored  # noqa: F401
 from termweave.plans.cut import cut
 from termweave.sources.readers import DEFAULT_READERS, Reader, list_files
 
-BUCKETS = 256
 SEQ_BITS = 12
 TABLES = ["sources", "entities", "attributes", "prefixes"]
 SCHEMAS = {"sources": M.SOURCES_SCHEMA, "entities": M.ENTITIES_SCHEMA,
@@ -155,70 +154,7 @@ def canonical_dump(index: Index) -> DataFrame:
     return out
 
 
-# --- tables on disk -----------------------------------------------------------------
-
-def _bucketed(frame: DataFrame) -> DataFrame:
-    return frame.withColumn("bucket", F.pmod(F.xxhash64(*SOURCE_KEY), F.lit(BUCKETS)).cast("int"))
-
-
-def _write(frame: DataFrame, path: str, table: str, mode: str) -> None:
-    """One bucket per group of sources. Terms of one source spread over tasks by id."""
-    spread = ["bucket", "id"] if "id" in frame.columns else ["bucket"]
-    rows = _bucketed(frame).repartition(*[F.col(c) for c in spread])
-    (rows.sortWithinPartitions(*spread).write.mode(mode)
-     .option("partitionOverwriteMode", "dynamic")
-     .partitionBy("bucket").parquet(f"{path}/{table}"))
-
-
-def save_index(index: Index, path: str) -> None:
-    for table in TABLES:
-        _write(getattr(index, table), path, table, "overwrite")
-    index.global_prefixes.write.mode("overwrite").parquet(f"{path}/global_prefixes")
-
-
-def create_index(spark: SparkSession, path: str) -> None:
-    """An empty stored index with the default global prefixes."""
-    empty = [spark.createDataFrame([], SCHEMAS[t]) for t in TABLES]
-    defaults = M.literal_table(spark, K.GLOBAL_PREFIXES, ["prefix", "expansion"])
-    save_index(Index(*empty, defaults.withColumn("trust", F.lit(1))), path)
-
-
-def load_index(spark: SparkSession, path: str) -> Index:
-    def read(table: str) -> DataFrame:
-        return spark.read.schema(SCHEMAS[table] + (", bucket int" if table != "global_prefixes" else "")
-                                 ).parquet(f"{path}/{table}").drop("bucket")
-    return Index(*[read(t) for t in [*TABLES, "global_prefixes"]])
-
-
-def update_stored(spark: SparkSession, path: str, batch: Index) -> None:
-    """Replace the batch's sources in a stored index.
-
-    Only buckets of affected sources are read and overwritten. The new content is written
-    to the shared folder first, because a job must not overwrite what it reads.
-    """
-    buckets = [r.bucket for r in _bucketed(batch.sources).select("bucket").distinct().collect()]
-    if not buckets:
-        return
-    for table in TABLES:
-        stored_rows = spark.read.schema(SCHEMAS[table] + ", bucket int").parquet(f"{path}/{table}")
-        old = stored_rows.where(F.col("bucket").isin(buckets)).drop("bucket")
-        gone = batch.sources.select(SOURCE_KEY)
-        merged = cut(old.join(gone, SOURCE_KEY, "left_anti").unionByName(
-            getattr(batch, table).select(*old.columns)))
-        _write(merged, path, table, "overwrite")
-        # A bucket whose last rows went keeps no files of its own: dynamic overwrite only
-        # touches buckets that have rows, so the emptied ones are rewritten as empty.
-        left = {r.bucket for r in _bucketed(merged).select("bucket").distinct().collect()}
-        _clear(spark, path, table, [b for b in buckets if b not in left])
-
-
-def _clear(spark: SparkSession, path: str, table: str, buckets: list[int]) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for bucket in buckets:
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/bucket={bucket}")
-        folder.getFileSystem(conf).delete(folder, True)
-
+# --- registering ---------------------------------------------------------------------
 
 def register_files(spark: SparkSession, path: str, listing: DataFrame, rows: DataFrame, kind: str,
                    now: Column, force: bool = False, prefixes: DataFrame | None = None) -> DataFrame:
