@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +29,7 @@ SAMPLE = 400  # labelled texts of a language that are learnt from, at most
 LANDMARKS = 48  # of these, per language
 RIDGE = 1e-3
 FOLDS, HELD_OUT = 5, 0
+BLOCK = 64  # texts scored at a time
 UNKNOWN = "und"
 
 
@@ -129,19 +130,21 @@ def predictor(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS)
     model = fit(docs, sample, landmarks)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    # Arrow arrays, so that only the texts of a block are Python strings at a time.
+    @F.arrow_udf("lang_pred string, score double")
+    def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in parts:
             langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
-            for at in range(0, len(texts), 256):
-                grams = {i: g for i, t in enumerate(texts.iloc[at:at + 256], at) if t and len(g := ngrams(t))}
+            for at in range(0, len(texts), BLOCK):
+                block = texts.slice(at, BLOCK).to_pylist()
+                grams = {i: g for i, t in enumerate(block, at) if t and len(g := ngrams(t))}
                 if grams and own.langs:
                     values = own.scores(list(grams.values()))
                     best, rows = values.argmax(axis=1), list(grams)
                     langs[rows] = np.array(own.langs, object)[best]
                     scores[rows] = np.clip(values[np.arange(len(rows)), best], 0, 1)
-            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
     return predict
 
