@@ -11,7 +11,7 @@ from termweave.functions.lang import language_key
 from termweave.model import SOURCE_KEY, Index
 from termweave.operators.versions import create_index, load_index, save_index, update_stored  # noqa: F401
 from termweave.plans.cut import cut
-from termweave.sources.readers import DEFAULT_READERS, Reader, list_files
+from termweave.sources.readers import kinds_of, list_files, read_files
 
 SEQ_BITS = 12
 TABLES = ["sources", "entities", "attributes", "prefixes"]
@@ -181,16 +181,24 @@ def register_files(spark: SparkSession, path: str, listing: DataFrame, rows: Dat
         *SOURCE_KEY, status.alias("status"), F.coalesce("entities", F.lit(0).cast("long")).alias("entities"))
 
 
-def register_folder(spark: SparkSession, path: str, folder: str,
-                    readers: dict[str, Reader] | None = None, force: bool = False) -> DataFrame:
-    """Index a folder's new and modified files; (source, status, entities) of all its files.
+def register_folder(spark: SparkSession, path: str, folder: str, readers: dict | None = None,
+                    force: bool = False) -> DataFrame:
+    """Index a folder's new and modified files; (source, status, entities, error) of all its files.
+    See `register_listing`."""
+    return register_listing(spark, path, list_files(spark, folder), readers, force)
 
-    Only stale files are read, one reader call per extension; the driver sees their names.
-    Files without a reader fail and do not stop the others. `force` refreshes all.
+
+def register_listing(spark: SparkSession, path: str, files: DataFrame, readers: dict | None = None,
+                     force: bool = False, commit: str | None = None) -> DataFrame:
+    """Index the new and modified files of a listing (doc, path, mtime, ext).
+
+    Only stale files are read, one reader call per extension; the driver sees their paths. A file
+    without a reader, or one that its reader finds damaged, is `failed` with the error and keeps
+    the rows it had; the others go on. `force` reads all. Prefixes come with the rows.
     """
-    known = readers or DEFAULT_READERS
+    known = kinds_of(readers)
     now = F.unix_timestamp()
-    files = list_files(spark, folder).withColumnRenamed("doc", "source").withColumn("data_source", F.lit(""))
+    files = files.withColumnRenamed("doc", "source").withColumn("data_source", F.lit(""))
     state = needs_update(files, load_index(spark, path).sources)
     if force:
         state = state.withColumn("stale", F.lit(True))
@@ -199,19 +207,22 @@ def register_folder(spark: SparkSession, path: str, folder: str,
     by_ext: dict[str, list[str]] = {}
     for row in due.select("ext", "path").toLocalIterator():
         by_ext.setdefault(row.ext, []).append(row.path)
-    if by_ext:
-        frames = [known[ext](spark, paths, None) for ext, paths in sorted(by_ext.items())]
-        rows = frames[0]
-        for frame in frames[1:]:
-            rows = rows.unionByName(frame)
-        rows = rows.withColumnRenamed("doc", "source").withColumn("data_source", F.lit(""))
-        mtimes = due.select(*SOURCE_KEY, F.col("ext").alias("type"), F.col("mtime").alias("last_modified"))
-        update_stored(spark, path, source_batch(rows, "file", mtimes, now))
+    listing = state.where("stale").select(F.col("source").alias("doc"), "ext")
+    found = read_files(spark, listing, {ext: (paths, None) for ext, paths in by_ext.items()}, readers)
+    errors = cut(found.errors.select(F.col("doc").alias("source"), "error"))
+    if found.rows is not None:
+        def keyed(frame: DataFrame) -> DataFrame:
+            return frame.withColumnRenamed("doc", "source").withColumn("data_source", F.lit(""))
+
+        mtimes = due.join(errors, "source", "left_anti").select(
+            *SOURCE_KEY, F.col("ext").alias("type"), F.col("mtime").alias("last_modified"))
+        update_stored(spark, path, source_batch(
+            keyed(found.rows), "file", mtimes, now, keyed(found.prefixes) if found.prefixes is not None else None), commit)
     counts = list_sources(load_index(spark, path)).select(*SOURCE_KEY, "entities")
-    status = (F.when(~F.col("readable"), "failed").when(~F.col("stale"), "up to date")
+    status = (F.when(F.col("error").isNotNull(), "failed").when(~F.col("stale"), "up to date")
               .when(F.col("last_modified").isNull(), "registered").otherwise("refreshed"))
-    return state.join(counts, SOURCE_KEY, "left").select(
-        "source", status.alias("status"), F.coalesce("entities", F.lit(0).cast("long")).alias("entities"))
+    return state.join(errors, "source", "left").join(counts, SOURCE_KEY, "left").select(
+        "source", status.alias("status"), F.coalesce("entities", F.lit(0).cast("long")).alias("entities"), "error")
 
 
 def refresh_report(statuses: DataFrame, errors: DataFrame) -> DataFrame:

@@ -99,11 +99,11 @@ def ingest_json_map(texts: DataFrame, text_col: str, order: Column,
     )
 
 
-def labels_from_triples(triples: DataFrame) -> DataFrame:
+def labels_from_triples(triples: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Every label triple as a long row, with its language tag."""
     return triples.where(F.col("p").isin(
         "rdfs:label", "http://www.w3.org/2000/01/rdf-schema#label")).select(
-        F.col("s").alias("id"), F.col("o").alias("label"), F.lit("rdfs:label").alias("prop"),
+        *(keep or []), F.col("s").alias("id"), F.col("o").alias("label"), F.lit("rdfs:label").alias("prop"),
         F.col("o").alias("value"), F.coalesce("lang", F.lit("")).alias("lang"), "ord",
         F.lit(0).alias("seq"))
 
