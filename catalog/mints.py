@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
 from catalog.lift_sql import lifted
 from termweave.operators import minting as I
+from termweave.plans.cut import cut
 from termweave.sources import lift
 
 
@@ -55,9 +59,20 @@ def mint_counter(spark, sf):
     return I.mint_counter(labels(spark, sf), "ex", "GO_0000000", existing(spark, sf))
 
 
-@query("mint_uuid")
+def first_uuids(spark, sf):
+    """Ids of an earlier batch, of every third part."""
+    rows = labels(spark, sf)
+    return I.mint_uuid(rows.where("ord % 3 = 0"), "ex", existing(spark, sf), "batch")
+
+
+@query("mint_uuid", LABELS + """
+, raw AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 50 = 0 THEN '  ??' WHEN p_partkey % 9 = 0 THEN p_name || ' ' || (p_partkey % 4)
+    ELSE list_aggregate(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') END AS label FROM part),
+h AS (SELECT ord, sha256('batch' || chr(31) || CASE WHEN ord % 3 = 0 THEN '1' ELSE '0' END || chr(31) || ord || chr(31) || label) AS h FROM raw)
+SELECT ord, 'ex:' || h[1:8] || '-' || h[9:12] || '-4' || h[14:16] || '-a' || h[18:20] || '-' || h[21:32] AS id FROM h""")
 def mint_uuid(spark, sf):
-    return I.mint_uuid(labels(spark, sf), "ex", "batch")
+    """A third of the labels had ids before and draw again."""
+    return I.mint_uuid(labels(spark, sf), "ex", existing(spark, sf).union(first_uuids(spark, sf).select("id")), "batch")
 
 
 def checked(spark, sf):
@@ -71,16 +86,26 @@ def mint_checked(spark, sf):
     return checked(spark, sf)
 
 
-@query("mint_batch_collisions", "SELECT 'x' AS id WHERE false")
+SCHEMES = {"slug": {}, "counter": {"template": "GO_0000000"}, "uuid": {},
+           "acme": {"kind": "class", "with_slug": True}}
+
+
+@query("mint_batch_collisions", f"""
+SELECT scheme, 2 * count(*) AS n, 2 * count(*) AS distinct_ids, CAST(0 AS BIGINT) AS collisions
+FROM part, (VALUES {", ".join(f"('{s}')" for s in SCHEMES)}) v(scheme) GROUP BY scheme""")
 def mint_batch_collisions(spark, sf):
-    """No scheme may collide, within its batch or with existing ids."""
+    """Two batches of the same labels under each scheme: no id is given twice or was in use."""
     rows, known = labels(spark, sf), existing(spark, sf)
-    minted = None
-    for scheme, options in (("slug", {}), ("counter", {"template": "GO_0000000"}), ("uuid", {}),
-                            ("acme", {"kind": "class", "with_slug": True, "day": F.lit("2024-05-17").cast("date")})):
-        batch = I.mint_batch(rows, scheme, "ex", known, **options).select("id")
-        minted = batch if minted is None else minted.union(batch)
-    return I.collisions(minted, known)
+    out = []
+    day = F.lit("2024-05-17").cast("date")
+    for scheme, options in SCHEMES.items():
+        options = options | {"day": day}
+        first = cut(I.mint_batch(rows, scheme, "ex", known, **options).select("id"))
+        both = first.union(I.mint_batch(rows, scheme, "ex", known.union(first), **options).select("id"))
+        counts = both.agg(F.count("*").alias("n"), F.countDistinct("id").alias("distinct_ids"))
+        clashes = I.collisions(both, known).agg(F.count("*").alias("collisions"))
+        out.append(counts.crossJoin(clashes).select(F.lit(scheme).alias("scheme"), "n", "distinct_ids", "collisions"))
+    return reduce(DataFrame.unionByName, out)
 
 
 ALPH = "0123456789ABCDEFGHJKMNPQRSTVWXYZabcdefghijklmnopqrstuvwxyzILOU"
@@ -112,5 +137,5 @@ def verify_ids(spark, sf):
 def verify_minted(spark, sf):
     """What is minted verifies."""
     a = I.verify_ids(checked(spark, sf), "acme").select(F.lit("acme").alias("scheme"), "valid", "id")
-    u = I.verify_ids(I.mint_uuid(labels(spark, sf), "ex"), "uuid").select(F.lit("uuid").alias("scheme"), "valid", "id")
+    u = I.verify_ids(I.mint_uuid(labels(spark, sf), "ex", existing(spark, sf)), "uuid").select(F.lit("uuid").alias("scheme"), "valid", "id")
     return a.union(u).groupBy("scheme").agg(F.countDistinct("id").alias("n"), F.bool_and("valid").alias("valid"))

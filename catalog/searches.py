@@ -16,34 +16,30 @@ TYPES = """
     WHERE prop = 'rdf:type' AND value = 'owl:Ontology' GROUP BY source, data_source)"""
 
 
-def search_sql(queries: str, cap: int | None, where: str = "true", fallback: bool = True) -> str:
-    """Two passes with the same cap, then the cap again."""
-    n = cap if cap is not None else 10**9
-    spare = f"""
+def search_sql(queries: str, cap: int | None = None, where: str = "true", fallback: bool = True) -> str:
+    """Two passes; a cap takes the first of both and counts the rest."""
+    spare = """
 , names AS (SELECT query, lower(substr(query, instr(query, ':') + 1)) AS name FROM q
     WHERE regexp_matches(query, '^[A-Za-z_][A-Za-z0-9_-]*:.+$') AND NOT contains(query, '%'))
 , b0 AS (SELECT DISTINCT query, e.* FROM names JOIN e
     ON lower(substr(id, instr(id, ':') + 1)) = name OR lower(label) = name)
-, b1 AS (SELECT * FROM b0 QUALIFY row_number() OVER (PARTITION BY query
-    ORDER BY source NULLS FIRST, label NULLS FIRST, id) <= {n})
-, b AS (SELECT * FROM b1 ANTI JOIN a USING (query, id, source, data_source))""" if fallback else """
+, b AS (SELECT * FROM b0 ANTI JOIN a USING (query, id, source, data_source))""" if fallback else """
 , b AS (SELECT * FROM a WHERE false)"""
+    place = "row_number() OVER (PARTITION BY query ORDER BY pass, source NULLS FIRST, label NULLS FIRST, id)"
     return f"""
 , q AS ({queries})
 , e AS (SELECT id, label, source, data_source FROM entities WHERE {where})
-, a0 AS (SELECT query, e.* FROM q JOIN e
+, a AS (SELECT query, e.* FROM q JOIN e
     ON lower(label) LIKE lower(CASE WHEN contains(query, '%') THEN query ELSE '%' || query || '%' END)
     OR lower(id) LIKE lower(CASE WHEN contains(query, '%') THEN query ELSE '%' || query || '%' END))
-, a AS (SELECT * FROM a0 QUALIFY row_number() OVER (PARTITION BY query
-    ORDER BY source NULLS FIRST, label NULLS FIRST, id) <= {n})
 {spare}
 , ab AS (SELECT query, id, label, source, data_source, 1 AS pass FROM a
     UNION ALL SELECT query, id, label, source, data_source, 2 FROM b)
-, found AS (SELECT * FROM ab QUALIFY row_number() OVER (PARTITION BY query
-    ORDER BY pass, source NULLS FIRST, label NULLS FIRST, id) <= {n})
+, found AS (SELECT *, {f"greatest(count(*) OVER (PARTITION BY query) - {cap}, 0)" if cap else "CAST(0 AS BIGINT)"} AS omitted
+    FROM ab {f"QUALIFY {place} <= {cap}" if cap else ""})
 , hits AS (SELECT query, f.id, f.label, rdf_type, ontology_iri, f.source, f.data_source,
     CASE WHEN pass = 2 THEN 'local-name' WHEN lower(f.id) = lower(query) THEN 'exact'
-      ELSE 'label-substring' END AS via
+      ELSE 'label-substring' END AS via, omitted
   FROM found f LEFT JOIN ty USING (id, source, data_source) LEFT JOIN ont USING (source, data_source))"""
 
 
@@ -53,11 +49,17 @@ FIXED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{t}')" for t in FIXED) + ")
 
 
 @query("search_entities", lifted("entities attributes",
-                                 TYPES + search_sql(FIXED_SQL, 50) + " SELECT * FROM hits"))
+                                 TYPES + search_sql(FIXED_SQL) + " SELECT * FROM hits"))
 def search_entities(spark, sf):
     return R.search_entities(R.query_table(spark, FIXED), lift.index(spark, sf))
 
 
+@query("search_limited", lifted("entities attributes", TYPES + search_sql(FIXED_SQL, 50) + " SELECT * FROM hits"))
+def search_limited(spark, sf):
+    """The first 50 of each query, and how many are left out."""
+    return R.search_entities(R.query_table(spark, FIXED), lift.index(spark, sf), 50)
+
+
 @query("search_entities_filtered", lifted("entities attributes", TYPES + search_sql(
     FIXED_SQL, None, """id IN (SELECT id FROM attributes t WHERE prop = 'rdf:type'
       AND value = 'owl:NamedIndividual' AND t.source = entities.source)
@@ -73,7 +75,7 @@ NAMES = """SELECT DISTINCT query FROM (SELECT n_name AS query FROM nation UNION
 
 
 @query("search_many", lifted("entities attributes",
-                             TYPES + search_sql(NAMES, 50) + " SELECT * FROM hits"))
+                             TYPES + search_sql(NAMES) + " SELECT * FROM hits"))
 def search_many(spark, sf):
     return R.search_entities(names(spark, sf), lift.index(spark, sf))
 
@@ -121,7 +123,7 @@ def entity_citation(spark, sf):
 
 @query("borrow_candidates", lifted("entities attributes", CITATION.replace(", ont AS", ", ont1 AS").replace(
     " ont ON ont.", " ont1 ON ont1.") + TYPES + search_sql(
-    "SELECT n_name AS query FROM nation UNION SELECT 'R' || p_partkey FROM part WHERE p_partkey < 40", 50,
+    "SELECT n_name AS query FROM nation UNION SELECT 'R' || p_partkey FROM part", None,
     "id IN (SELECT id FROM attributes t WHERE prop = 'rdf:type' AND value = 'owl:Class' AND t.source = entities.source)")
     + """
 , n AS (SELECT query, count(*) AS n FROM hits GROUP BY query)
@@ -131,7 +133,7 @@ SELECT q.query, CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many
 FROM q LEFT JOIN n USING (query) LEFT JOIN hits h ON h.query = q.query LEFT JOIN cite c ON c.id = h.id"""))
 def borrow_candidates(spark, sf):
     labels = lift.read(spark, sf, "nation").select(F.col("n_name").alias("query")).union(
-        lift.read(spark, sf, "part").where("p_partkey < 40").select(
+        lift.read(spark, sf, "part").select(
             F.concat(F.lit("R"), F.col("p_partkey").cast("string"))))
     return R.borrow_candidates(labels, lift.index(spark, sf))
 
@@ -140,9 +142,8 @@ def borrow_candidates(spark, sf):
 , c AS (SELECT CASE WHEN source = 'part' AND starts_with(id, 'part:') THEN substr(id, 5) ELSE id END AS id,
     CASE WHEN source = 'supply' THEN id ELSE label END AS label, source, ontology_iri, ontology_title FROM cite)
 SELECT id, starts_with(id, ':') AS default_prefix, coalesce(label, '') = '' OR label = id AS label_missing,
-  CASE WHEN coalesce(label, '') = '' OR label = id THEN 'TODO-label' ELSE label END AS heading_label,
-  CASE WHEN starts_with(id, ':') THEN 'http://d/' END AS namespace,
-  CASE WHEN starts_with(id, ':') THEN 'the' END AS suggested_prefix, ontology_iri AS is_defined_by FROM c"""))
+  CASE WHEN coalesce(label, '') <> '' AND label <> id THEN label END AS label,
+  CASE WHEN starts_with(id, ':') THEN 'http://d/' END AS namespace, ontology_iri AS is_defined_by FROM c"""))
 def borrow_flags(spark, sf):
     idx = lift.index(spark, sf)
     cited = R.entity_citation(idx.entities.select("id"), idx)

@@ -16,8 +16,8 @@ from termweave.sources import lift
 
 
 def doc_rows(spark, sf):
-    """Documents as long rows: id per (source, lang), label the start of the text."""
-    head = F.substring("text", 1, 40)
+    """Documents as long rows: id per source and number, label the whole text."""
+    head = F.col("text")
     docs = lift.read(spark, sf, "documents")
     key = F.col("doc_id")
     return docs.select(
@@ -34,7 +34,7 @@ def doc_rows(spark, sf):
 
 
 DOCS = f"""
-WITH d AS (SELECT source, '' AS data_source, 'doc:' || (doc_id % 40) AS id, substr(text, 1, 40) AS head, doc_id, lang, n_chars
+WITH d AS (SELECT source, '' AS data_source, 'doc:' || (doc_id % 40) AS id, text AS head, doc_id, lang, n_chars
   FROM documents),
 lab AS (SELECT source, id, head FROM d WHERE doc_id % 4 = 0
   QUALIFY row_number() OVER (PARTITION BY source, id ORDER BY {lang_key([":untagged", "en"], order="doc_id")}) = 1),

@@ -22,21 +22,22 @@ def versioned(spark, sf):
 
 
 @query("latest_versions", """
-SELECT source, 'doc:' || (doc_id % 40) AS id, n_chars AS chars FROM documents
-QUALIFY (doc_id // 20) % 2 = max((doc_id // 20) % 2) OVER (PARTITION BY source)""")
+WITH d AS (SELECT * FROM documents QUALIFY (doc_id // 20) % 2 = max((doc_id // 20) % 2) OVER (PARTITION BY source))
+SELECT source, 'doc:' || (doc_id % 40) AS id, 'ex:chars' AS prop, CAST(n_chars AS VARCHAR) AS value, '' AS lang FROM d
+UNION ALL SELECT source, 'doc:' || (doc_id % 40), 'rdfs:label', text, lang FROM d WHERE doc_id % 4 = 0""")
 def latest_versions(spark, sf):
-    rows = live.latest_versions(versioned(spark, sf).where("prop = 'ex:chars'"))
-    return rows.select("source", "id", F.col("value").cast("long").alias("chars"))
+    return live.latest_versions(versioned(spark, sf)).select("source", "id", "prop", "value", "lang")
 
 
 @query("index_stream", """
-WITH d AS (SELECT source, 'doc:' || (doc_id % 40) AS id, n_chars, doc_id FROM documents
+WITH d AS (SELECT source, 'doc:' || (doc_id % 40) AS id, n_chars, doc_id, text, lang FROM documents
   QUALIFY (doc_id // 20) % 2 = max((doc_id // 20) % 2) OVER (PARTITION BY source))
-SELECT id, source, CAST(n_chars AS VARCHAR) AS value, doc_id * 4096 AS ord FROM d""")
+SELECT id, source, CAST(n_chars AS VARCHAR) AS value, doc_id * 4096 AS ord FROM d
+UNION ALL SELECT id, source, text, doc_id * 4096 + 1 FROM d WHERE doc_id % 4 = 0""")
 def index_stream(spark, sf):
     """Both versions arrive in two batches, over an index that holds an older state of every
     source; the stored index ends with the newest version of each, whole."""
-    rows = versioned(spark, sf).where("prop = 'ex:chars'")
+    rows = versioned(spark, sf)
     folder = written(spark, f"stream:{sf}", lambda f: rows.repartition(2).write.parquet(f))
     base = ensure_checkpoint_dir(spark)
     path = f"{base}/index-{uuid.uuid4().hex}"

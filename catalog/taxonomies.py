@@ -250,7 +250,7 @@ _PROPS = {0: "http://www.w3.org/2000/01/rdf-schema#label", 1: "http://www.w3.org
 
 @query("import_label", IMPORTS + f"""
 , l AS (SELECT 'e' || (doc_id % 50) AS id, 'o' || (doc_id % 7 + 1) AS ontology,
-    CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 4 END AS rank, substr(text, 1, 20) AS value, lang, doc_id FROM documents)
+    CASE doc_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 4 END AS rank, text AS value, lang, doc_id FROM documents)
 SELECT root, id, CASE WHEN lang <> '' THEN '"' || value || '"@' || lang ELSE value END AS label, ontology
 FROM l JOIN ord USING (ontology)
 QUALIFY row_number() OVER (PARTITION BY root, id ORDER BY path, rank, NOT starts_with(lang, 'en'), doc_id) = 1""")
@@ -260,7 +260,7 @@ def import_label(spark, sf):
     labels = lift.read(spark, sf, "documents").select(
         F.concat(F.lit("e"), (key % 50).cast("string")).alias("id"),
         F.concat(F.lit("o"), (key % 7 + 1).cast("string")).alias("ontology"), prop.alias("prop"),
-        F.substring("text", 1, 20).alias("value"), "lang", key.alias("ord"))
+        F.col("text").alias("value"), "lang", key.alias("ord"))
     return G.import_label(labels, imports(spark, sf))
 
 

@@ -79,16 +79,26 @@ def mint_counter(labels: DataFrame, prefix: str, template: str, existing: DataFr
     return rows.select("ord", F.concat(F.lit(start), padded).alias("id"))
 
 
-def mint_uuid(labels: DataFrame, prefix: str, salt: str = "") -> DataFrame:
-    """(ord, id): lower-case UUIDs derived from salt, place and label, so a retry agrees."""
-    h = F.sha2(F.concat_ws("\u001f", F.lit(salt), F.col("ord").cast("string"), "label"), 256)
+def mint_uuid(labels: DataFrame, prefix: str, existing: DataFrame, salt: str = "") -> DataFrame:
+    """(ord, id): lower-case UUIDs derived from salt, draw, place and label, so a retry agrees.
 
-    def part(start: int, length: int) -> Column:
-        return F.substring(h, start, length)
+    A row whose id exists draws again, so that a second batch of the same labels gets other ids.
+    """
+    def drawn(rows: DataFrame, draw: int) -> DataFrame:
+        h = F.sha2(F.concat_ws("\u001f", F.lit(salt), F.lit(str(draw)), F.col("ord").cast("string"), "label"), 256)
+        parts = [F.substring(h, start, length) for start, length in ((1, 8), (9, 4), (14, 3), (18, 3), (21, 12))]
+        return rows.withColumn("id", F.concat(F.lit(prefix + ":"), parts[0], F.lit("-"), parts[1], F.lit("-4"), parts[2],
+                                              F.lit("-a"), parts[3], F.lit("-"), parts[4]))
 
-    return labels.select("ord", F.concat(
-        F.lit(prefix + ":"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-4"), part(14, 3), F.lit("-a"),
-        part(18, 3), F.lit("-"), part(21, 12)).alias("id"))
+    taken = existing.where(I.curie_prefix(F.col("id")) == prefix).select("id")
+    rows, done, draw = labels.select("ord", "label"), None, 0
+    while True:
+        new = cut(drawn(rows, draw))
+        won = new.join(taken, "id", "left_anti").select("ord", "id")
+        done, draw = won if done is None else done.unionByName(won), draw + 1
+        rows = cut(new.join(taken, "id", "left_semi").select("ord", "label"))
+        if rows.isEmpty():
+            return done
 
 
 def base32(number: Column, width: int) -> Column:
@@ -160,7 +170,7 @@ def mint_batch(labels: DataFrame, scheme: str, prefix: str, existing: DataFrame,
     if scheme == "counter":
         return mint_counter(labels, prefix, options.get("template", "0000000"), existing)
     if scheme == "uuid":
-        return mint_uuid(labels, prefix, options.get("salt", ""))
+        return mint_uuid(labels, prefix, existing, options.get("salt", ""))
     if scheme == "acme":
         return mint_checked(labels, prefix, options.get("kind", "class"), existing,
                             options.get("day", F.current_date()), options.get("salt", ""),

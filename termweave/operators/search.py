@@ -12,7 +12,6 @@ from termweave.plans.cut import cut
 from termweave.plans.ordered import top_per_group
 
 CURIE_QUERY = r"^[A-Za-z_][A-Za-z0-9_-]*:.+$"
-DEFAULT_LIMIT = 50
 # Result order; a missing label comes first.
 ORDER = ["source", "label", "id", "data_source"]
 GRAM = 3
@@ -93,13 +92,6 @@ def substring_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
             .select("query", *rows.columns))
 
 
-def _top(rows: DataFrame, limit: int | None) -> DataFrame:
-    """The first `limit` rows per query; the rank limit is applied before the shuffle too."""
-    if limit is None:
-        return rows
-    return top_per_group(rows, ["query"], ORDER, limit, "_n").drop("_n")
-
-
 def local_name_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
     """Rows whose local name or label equals the local name of a CURIE-shaped query."""
     curies = queries.where(F.col("query").rlike(CURIE_QUERY) & ~F.contains("query", F.lit("%")))
@@ -128,28 +120,29 @@ def search_entities(queries: DataFrame, index: Index, limit: int | None = None,
                     exact_only: bool = False) -> DataFrame:
     """Entities matching each query by substring, then by local name under other prefixes.
 
-    `via` is exact, label-substring or local-name. The limit (50; none when <= 0) holds for
-    each pass and for the whole.
+    `via` is exact, label-substring or local-name. All matches are returned unless a positive
+    limit is stated; `omitted` then counts what it leaves out of the query.
     """
-    cap = DEFAULT_LIMIT if limit is None else (limit if limit > 0 else None)
     rows = filtered(index, kind, source, lang)
     # The matches are few and read twice; the entities behind them are many.
-    primary = cut(_top(substring_matches(queries, rows), cap).withColumn(
+    primary = cut(substring_matches(queries, rows).withColumn(
         "via", F.when(F.lower("id") == F.lower("query"), "exact").otherwise("label-substring")))
-    found = primary
+    found = primary.withColumn("_pass", F.lit(1))
     if not exact_only:
-        spare = _top(local_name_matches(queries, rows), cap)
         seen = primary.select("query", *TERM_KEY)
-        spare = spare.join(seen, ["query", *TERM_KEY], "left_anti").withColumn(
-            "via", F.lit("local-name"))
-        both = primary.withColumn("_pass", F.lit(1)).unionByName(spare.withColumn("_pass", F.lit(2)))
-        if cap is not None:
-            both = top_per_group(both, ["query"], ["_pass", *ORDER], cap, "_n").drop("_n")
-        found = both.drop("_pass")
+        spare = local_name_matches(queries, rows).join(seen, ["query", *TERM_KEY], "left_anti")
+        found = found.unionByName(spare.withColumns({"via": F.lit("local-name"), "_pass": F.lit(2)}))
+    omitted = F.lit(0).cast("long")
+    if limit is not None and limit > 0:
+        found = cut(found)
+        totals = found.groupBy("query").agg(F.count("*").alias("_all"))
+        found = top_per_group(found, ["query"], ["_pass", *ORDER], limit, "_n").join(totals, "query")
+        omitted = F.greatest(F.col("_all") - limit, omitted)
+    found = found.withColumn("omitted", omitted)
     types = first_values(index.attributes, "rdf:type", "rdf_type")
     return (found.join(types, TERM_KEY, "left")
             .join(ontology_of_source(index), ["source", "data_source"], "left")
-            .select("query", "id", "label", "rdf_type", "ontology_iri", "source", "data_source", "via"))
+            .select("query", "id", "label", "rdf_type", "ontology_iri", "source", "data_source", "via", "omitted"))
 
 
 def entity_citation(ids: DataFrame, index: Index) -> DataFrame:
@@ -196,17 +189,17 @@ def borrow_candidates(labels: DataFrame, index: Index, kind: str = "class",
 
 
 def borrow_flags(citations: DataFrame, index: Index) -> DataFrame:
-    """What a borrower must fix: default-prefix ids, missing labels, the namespace to declare."""
-    default = (F.startswith("id", F.lit(":")) & ~F.startswith("id", F.lit("::")))
-    spaces = index.prefixes.where(F.col("prefix") == "").select(
-        "source", "data_source", F.col("expansion").alias("_space"))
-    missing = (F.coalesce("label", F.lit("")) == "") | (F.col("label") == F.col("id"))
-    word = F.lower(F.regexp_replace(F.substring_index(F.trim("ontology_title"), " ", 1),
-                                    "[^A-Za-z0-9]+", ""))
-    return (citations.join(spaces, ["source", "data_source"], "left").select(
-        "id", default.alias("default_prefix"), missing.alias("label_missing"),
-        F.when(missing, "TODO-label").otherwise(F.col("label")).alias("heading_label"),
-        F.when(default, F.coalesce("_space", F.lit("TODO-IRI"))).alias("namespace"),
-        F.when(default, F.coalesce(word, F.lit("PREFIX"))).alias("suggested_prefix"),
-        F.coalesce("ontology_iri", F.concat(F.lit("(source: "), "source", F.lit(")")))
-        .alias("is_defined_by")))
+    """What has to be settled before a cited term is borrowed, as flags; gaps stay NULL.
+
+    default_prefix: the id has the empty prefix, so a prefix must be chosen; `namespace` is then
+    what its source binds to that prefix. label_missing: there is none but the id itself.
+    is_defined_by: the ontology of the term's source.
+    """
+    empty = index.prefixes.where(F.col("prefix") == "").groupBy("source", "data_source").agg(
+        F.min("expansion").alias("namespace"))
+    bare = F.col("id").rlike("^:[^:]")
+    no_label = F.coalesce(F.trim("label").isin("") | (F.col("label") == F.col("id")), F.lit(True))
+    return citations.join(empty, ["source", "data_source"], "left").select(
+        "id", bare.alias("default_prefix"), F.when(bare, F.col("namespace")).alias("namespace"),
+        no_label.alias("label_missing"), F.when(~no_label, F.col("label")).alias("label"),
+        F.col("ontology_iri").alias("is_defined_by"))
