@@ -24,9 +24,12 @@ from termweave.llm.queries import tokenizer_path
 from termweave.llm.tables import drop_written, shared_folder, table, written_count
 
 _FIRST: dict[str, int] = {}
+# Rows hold whole texts, so few of them go to a Python worker at a time.
+BATCH = 1000
 
 
 def _begin(spark: SparkSession, first: bool = False) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
     app = spark.sparkContext.applicationId
     if first:
         _FIRST[app] = written_count(spark)
