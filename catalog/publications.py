@@ -121,11 +121,13 @@ def lookup_lines(spark, sf):
 
 
 @query("to_outline", lifted("edges_acyclic", """
-, h(id, level, place) AS (SELECT 'P0', 1, 'P0' UNION ALL
-  SELECT e.child, level + 1, place || ' / ' || e.child FROM h JOIN edges_acyclic e ON e.parent = h.id)
-SELECT place, p_partkey % 4 = 0 AND h.id NOT IN (SELECT parent FROM edges_acyclic) AS apart, h.id,
-  repeat('*', level + 2) || ' ' || p_name || ' (' || h.id || ')' || chr(10) || ' - ex:brand :: ' || p_brand || chr(10)
-  || ' - ex:size :: ' || p_size AS text FROM h JOIN part ON h.id = 'P' || p_partkey"""))
+, t AS (SELECT 'P' || p_partkey AS id, [lower(p_name), 'p' || p_partkey] AS k FROM part)
+, h(id, level, path) AS (SELECT id, 1, [k] FROM t WHERE id = 'P0' UNION ALL
+  SELECT t.id, level + 1, list_append(path, t.k) FROM h JOIN edges_acyclic e ON e.parent = h.id JOIN t ON t.id = e.child)
+, o AS (SELECT id, level, row_number() OVER (ORDER BY path) AS place FROM h)
+SELECT place, v.line, p_partkey % 4 = 0 AND o.id NOT IN (SELECT parent FROM edges_acyclic) AS apart, o.id, v.text
+FROM o JOIN part ON o.id = 'P' || p_partkey, LATERAL (VALUES (CAST(-1 AS BIGINT), repeat('*', level + 2) || ' ' || p_name || ' (' || o.id || ')'),
+  (1, ' - ex:brand :: ' || p_brand), (2, ' - ex:size :: ' || p_size)) v(line, text)"""))
 def to_outline(spark, sf):
     key = F.col("p_partkey")
     part = lift.read(spark, sf, "part").withColumn("id", F.concat(F.lit("P"), key.cast("string")))

@@ -117,9 +117,10 @@ def top_level(spark, sf):
 
 
 @query("ordered_hierarchy", lifted("edges_acyclic", """
-, h(id, level, path) AS (SELECT 'P0', 1, 'P0' UNION ALL
-  SELECT e.child, level + 1, path || ' / ' || e.child FROM h JOIN edges_acyclic e ON e.parent = h.id)
-SELECT * FROM h"""))
+, t AS (SELECT 'P' || p_partkey AS id, [lower(p_name), 'p' || p_partkey] AS k FROM part)
+, h(id, level, path) AS (SELECT id, 1, [k] FROM t WHERE id = 'P0' UNION ALL
+  SELECT t.id, level + 1, list_append(path, t.k) FROM h JOIN edges_acyclic e ON e.parent = h.id JOIN t ON t.id = e.child)
+SELECT id, level, row_number() OVER (ORDER BY path) AS place FROM h"""))
 def ordered_hierarchy(spark, sf):
     part = lift.read(spark, sf, "part")
     terms = part.select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("id"),

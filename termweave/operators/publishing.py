@@ -230,21 +230,22 @@ def lookup_lines(lines: DataFrame) -> DataFrame:
 
 def to_outline(entities: DataFrame, attributes: DataFrame, parent_map: DataFrame,
                deprecated: DataFrame, level: int = 3) -> DataFrame:
-    """(place, apart, id, text): terms as outline text in taxonomy order, deprecated ones apart.
+    """(place, line, apart, id, text): outline rows of terms in taxonomy order, deprecated ones apart.
 
-    `place` sorts the terms; text holds the heading and its description rows.
+    `place` sorts the terms, `line` the rows of a term: -1 is its heading, the others are its
+    description rows at their place in the source. A term of very many rows is many rows.
     """
     keyed = entities.select("id", "label", sort_key(F.col("label"), F.col("id")).alias("sort_key"))
     order = ordered_hierarchy(keyed.select("id", "sort_key"), parent_map)
     rows = attributes.where(~F.col("prop").isin(K.HOUSEKEEPING) & ~F.col("prop").isin(K.SUPER_SPELLINGS))
-    body = rows.withColumn("t", F.concat(F.lit(" - "), "prop", F.lit(" :: "), "value")).groupBy("id").agg(
-        _joined("ord", "t", "\n").alias("body"))
+    body = rows.select("id", F.col("ord").cast("long").alias("line"), F.concat(F.lit(" - "), "prop", F.lit(" :: "), "value").alias("text"))
     flags = deprecated.where("apart").select("id", F.lit(True).alias("_apart"))
     head = F.concat(F.repeat(F.lit("*"), F.col("level") + (level - 1)), F.lit(" "),
                     F.coalesce(F.concat("label", F.lit(" ("), "id", F.lit(")")), F.col("id")))
-    return order.join(keyed.select("id", "label"), "id").join(body, "id", "left").join(flags, "id", "left").select(
-        F.col("path").alias("place"), F.coalesce("_apart", F.lit(False)).alias("apart"), "id",
-        F.concat_ws("\n", head, "body").alias("text"))
+    terms = order.join(keyed.select("id", "label"), "id").join(flags, "id", "left").select(
+        "place", F.coalesce("_apart", F.lit(False)).alias("apart"), "id", head.alias("_head"))
+    heads = terms.select("place", F.lit(-1).cast("long").alias("line"), "apart", "id", F.col("_head").alias("text"))
+    return heads.unionByName(terms.drop("_head").join(body, "id").select(*heads.columns))
 
 
 def _checksum_line(marker: str) -> str:

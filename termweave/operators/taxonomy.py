@@ -10,7 +10,7 @@ from termweave.functions import ident as I
 from termweave.functions.text import axiom_leaves
 from termweave.operators import closure as C
 from termweave.plans.cut import cut
-from termweave.plans.ordered import running_number, top_per_group
+from termweave.plans.ordered import running_number, running_sum, top_per_group
 
 BARE_CURIE = r"^[A-Za-z_][A-Za-z0-9_-]*:[A-Za-z_][A-Za-z0-9_.-]+$"
 
@@ -100,32 +100,53 @@ def sort_key(label: Column, ident: Column) -> Column:
             .when(I.iri_tail(ident) != "", I.iri_tail(ident)).otherwise(ident))
 
 
+def subtree_sizes(nodes: DataFrame) -> DataFrame:
+    """(id, size) of a forest (id, up): how many nodes a subtree has, its root included.
+
+    Round k knows each node's ancestor 2^k above and the size of its subtree down to less than
+    2^k below. What lies deeper is below a node 2^k further down, whose count is known as well:
+    counts are summed per ancestor, in every task first. A row stays three values.
+    """
+    state, reach, total = cut(nodes.select("id", "up", F.lit(1).cast("long").alias("size"))), 1, None
+    while not state.where("up IS NOT NULL").isEmpty():
+        total = state.count() if total is None else total
+        if reach > total:
+            raise ValueError("the parent map has a cycle; break cycles first")
+        deeper = state.where("up IS NOT NULL").groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_deeper"))
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_far"))
+        state = cut(state.join(deeper, "id", "left").join(above, "up", "left").select(
+            "id", F.col("_far").alias("up"), (F.col("size") + F.coalesce("_deeper", F.lit(0))).alias("size")))
+        reach *= 2
+    return state.select("id", "size")
+
+
+def ancestor_sums(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """(id, …) of a forest (id, up, …): each named value summed over a node and its ancestors, in
+    rounds that double the distance."""
+    state = cut(nodes.select("id", "up", *names))
+    while not state.where("up IS NOT NULL").isEmpty():
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_far"), *[F.col(n).alias(f"_{n}") for n in names])
+        state = cut(state.join(above, "up", "left").select(
+            "id", F.col("_far").alias("up"), *[(F.col(n) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in names]))
+    return state.drop("up")
+
+
 def ordered_hierarchy(entities: DataFrame, parent_map: DataFrame) -> DataFrame:
-    """(id, level, path) in depth-first order, siblings by sort key without regard to case.
+    """(id, level, place): places 1, 2, 3 … in depth-first order, siblings by sort key without
+    regard to case.
 
-    `entities` has (id, sort_key). Paths double in length per round: a term's path is its
-    ancestor's path before its own. A map with a cycle is refused.
+    `entities` has (id, sort_key). A node stands one place after its parent, and further by the
+    sizes of the subtrees of its earlier siblings: a running sum, so that neither the children of
+    one parent nor a path are one value. Rounds grow with the logarithm of the depth, rows do not
+    grow, and nothing is sorted as a whole. A map with a cycle is refused.
     """
     inside = entities.select(F.col("id").alias("parent"))
-    parents = parent_map.join(inside, "parent", "left_semi")
-    own = F.array(F.struct(F.lower("sort_key").alias("k"), F.lower("id").alias("i"), F.col("id")))
-    state = cut(entities.join(parents.withColumnRenamed("child", "id"), "id", "left").select(
-        "id", F.col("parent").alias("up"), own.alias("path")))
-    while True:
-        open_up = state.where("up IS NOT NULL")
-        if open_up.isEmpty():
-            break
-        # On a cycle a path meets its own continuation after one turn.
-        if not open_up.where(F.exists("path", lambda p: p["id"] == F.col("up"))).isEmpty():
-            raise ValueError("the parent map has a cycle; break cycles first")
-        above = state.select(F.col("id").alias("a"), F.col("up").alias("b"), F.col("path").alias("c"))
-        done = state.where("up IS NULL")
-        longer = open_up.join(above, F.col("up") == F.col("a")).select(
-            "id", F.col("b").alias("up"), F.concat("c", "path").alias("path"))
-        state = cut(done.unionByName(longer))
-    return state.select("id", F.size("path").alias("level"),
-                        F.array_join(F.transform("path", lambda p: p["id"]), " / ").alias("path"),
-                        F.col("path").alias("_sort")).orderBy("_sort").drop("_sort")
+    parents = parent_map.join(inside, "parent", "left_semi").select(F.col("child").alias("id"), F.col("parent").alias("up"))
+    nodes = cut(entities.join(parents, "id", "left").select("id", "up", F.lower("sort_key").alias("k"), F.lower("id").alias("i")))
+    sized = nodes.join(subtree_sizes(nodes), "id")
+    placed = running_sum(sized, ["up"], "k", F.col("size"), "_upto", ties=["i", "id"])
+    steps = placed.select("id", "up", F.lit(1).cast("long").alias("level"), (F.col("_upto") - F.col("size") + 1).alias("place"))
+    return ancestor_sums(steps, ["level", "place"]).select("id", F.col("level").cast("int").alias("level"), "place")
 
 
 def most_specific_type(types: DataFrame, edges: DataFrame, keys: DataFrame) -> DataFrame:
@@ -179,20 +200,17 @@ def import_order(imports: DataFrame, roots: DataFrame) -> DataFrame:
                              F.expr("cast(array() AS array<int>)").alias("path"),
                              F.array("root").alias("seen")))
     links = imports.select(F.col("ontology").alias("at"), "imported", F.col("pos").cast("int").alias("pos"))
-    size = -1
-    for _ in range(10_000):
+    while True:
         longer = state.join(links, F.col("ontology") == F.col("at")).where(
             ~F.array_contains("seen", F.col("imported"))).select(
             "root", F.col("imported").alias("ontology"), F.concat("path", F.array("pos")).alias("path"),
             F.concat("seen", F.array("imported")).alias("seen"))
         best = state.unionByName(longer).groupBy("root", "ontology").agg(
             F.min("path").alias("path"), F.min_by("seen", "path").alias("seen"))
-        state = cut(best)
-        mark = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("root", "ontology", "path") % 1_000_003)).first()
-        if tuple(mark) == size:
+        before, state = state, cut(best)
+        kept = before.select("root", "ontology", F.col("path").alias("_was"))
+        if state.join(kept, ["root", "ontology"], "left").where(~F.col("path").eqNullSafe(F.col("_was"))).isEmpty():
             return state.select("root", "ontology", "path")
-        size = tuple(mark)
-    raise RuntimeError("import order did not settle")
 
 
 def import_label(labels: DataFrame, order: DataFrame) -> DataFrame:

@@ -79,7 +79,8 @@ def test_import_order_is_depth_first(spark):
 def test_hierarchy_is_listed_depth_first(spark):
     terms = spark.createDataFrame([("r", "Root"), ("b", "beta"), ("a", "Alpha"), ("c", "gamma"), ("o", "orphan")], "id string, sort_key string")
     up = spark.createDataFrame([("b", "r"), ("a", "r"), ("c", "a"), ("o", "elsewhere")], "child string, parent string")
-    rows = G.ordered_hierarchy(terms, up).collect()
+    rows = sorted(G.ordered_hierarchy(terms, up).collect(), key=lambda r: r.place)
+    assert [r.place for r in rows] == [1, 2, 3, 4, 5]
     assert [(r.id, r.level) for r in rows] == [("o", 1), ("r", 1), ("a", 2), ("c", 3), ("b", 2)]
     loop = spark.createDataFrame([("r", "a"), ("a", "r")], "child string, parent string")
     with pytest.raises(ValueError):
@@ -91,3 +92,39 @@ def test_most_specific_type(spark):
     edges = spark.createDataFrame([("Dog", "Animal"), ("A", "B"), ("B", "A")], "child string, parent string")
     keys = types.select("type", F.col("type").alias("sort_key")).distinct()
     assert {r.id: r.type for r in G.most_specific_type(types, edges, keys).collect()} == {"i": "Dog", "j": "A"}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_places_of_random_forests(spark, seed):
+    """Ties in the sort key go by id; hubs and several roots; parents outside count for nothing."""
+    rng = random.Random(seed)
+    n = 150
+    up = {i: rng.choice([0, 0, 1, rng.randrange(i), None]) for i in range(1, n)}
+    key = {i: rng.choice(["A", "a", "b", "C"]) for i in range(n)}
+    children = {}
+    for i in range(n):
+        children.setdefault(up.get(i), []).append(i)
+    order = []
+
+    def visit(i, level):
+        order.append((f"n{i:03}", level))
+        for c in sorted(children.get(i, []), key=lambda c: (key[c].lower(), f"n{c:03}")):
+            visit(c, level + 1)
+
+    for root in sorted(children[None], key=lambda c: (key[c].lower(), f"n{c:03}")):
+        visit(root, 1)
+    terms = spark.createDataFrame([(f"n{i:03}", key[i]) for i in range(n)], "id string, sort_key string").repartition(4)
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{p:03}") for i, p in up.items() if p is not None] + [("n000", "elsewhere")],
+                                  "child string, parent string")
+    got = sorted(G.ordered_hierarchy(terms, edges).collect(), key=lambda r: r.place)
+    assert [(r.id, r.level) for r in got] == order and [r.place for r in got] == list(range(1, n + 1))
+
+
+def test_a_chain_of_ten_thousand(spark):
+    """Deep hierarchies keep small rows: the written tables stay of one size."""
+    n = 10_000
+    terms = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("id"), F.lit("x").alias("sort_key"))
+    edges = spark.range(1, n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("child"),
+                                     F.concat(F.lit("c"), (F.col("id") - 1).cast("string")).alias("parent"))
+    got = G.ordered_hierarchy(terms, edges)
+    assert got.where("place <> level OR id <> concat('c', place - 1)").count() == 0 and got.count() == n
