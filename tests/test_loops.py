@@ -37,6 +37,36 @@ def test_closure(spark, seed):
     assert some == {p for p in reach(edges) if p[0] in ("c3", "n1")}
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_closure_of_nested_cycles(spark, seed):
+    """Cycles of several lengths that share nodes or follow each other, self loops, tails, hubs."""
+    rng = random.Random(seed)
+    edges = {("a", "a")} | {(f"r{i}", f"r{(i + 1) % 9}") for i in range(9)} | {(f"q{i}", f"q{(i + 1) % 4}") for i in range(4)}
+    edges |= {("r3", "q1"), ("q2", "t0"), ("t0", "t1"), ("t1", "a"), ("h", "r5")} | {(f"in{i}", "h") for i in range(12)}
+    edges |= {("h", f"out{i}") for i in range(12)} | {(f"n{rng.randint(0, 12)}", f"n{rng.randint(0, 12)}") for _ in range(16)}
+    edges |= {("q3", "r0")} if seed % 2 else set()
+    frame = spark.createDataFrame(sorted(edges), "src string, dst string").repartition(3)
+    got = [tuple(r) for r in C.closure(frame).collect()]
+    assert set(got) == reach(edges) and len(got) == len(set(got))
+    nodes = {n for e in edges for n in e}
+    assert {tuple(r) for r in C.closure(frame, min_hops=0, reverse=True).collect()} == {(b, a) for a, b in reach(edges)} | {(n, n) for n in nodes}
+    starts = spark.createDataFrame([("in3",), ("q0",), ("nowhere",)], "src string")
+    assert {tuple(r) for r in C.closure(frame, starts=starts).collect()} == {p for p in reach(edges) if p[0] in ("in3", "q0")}
+
+
+def test_a_long_cycle_becomes_one_node(spark):
+    """A ring of n nodes has n^2 pairs; no round joins n^3 rows."""
+    n = 200
+    ring = spark.range(n).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("src"),
+                                 F.concat(F.lit("c"), ((F.col("id") + 1) % n).cast("string")).alias("dst"))
+    assert C.closure(ring).distinct().count() == n * n
+
+
+def test_no_edges(spark):
+    none = spark.createDataFrame([], "src string, dst string")
+    assert C.closure(none).collect() == [] and C.closure(none, starts=none.select("src")).collect() == []
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_break_cycles(spark, seed):
     rng = random.Random(seed)
