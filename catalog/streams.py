@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import query
@@ -11,7 +13,7 @@ from catalog.files import written
 from catalog.store import doc_rows
 from termweave.model import SOURCE_KEY
 from termweave.operators import store as W
-from termweave.plans.cut import cut, ensure_checkpoint_dir
+from termweave.plans.cut import ensure_checkpoint_dir
 from termweave.sources import lift
 from termweave.streaming import live
 
@@ -50,21 +52,33 @@ def index_stream(spark, sf):
 
 
 @query("incremental_results", """
-SELECT 'old' AS query, 'nation:N' || n_nationkey AS id, n_name AS label FROM nation
-UNION ALL SELECT 'empty', 'region:R' || r_regionkey, r_name FROM region
-UNION ALL SELECT 'new', 'part:P' || p_partkey, p_name FROM part""")
+SELECT 'nations' AS query, 'computed' AS first, 'current' AS second, n_name AS label FROM nation
+UNION ALL SELECT 'parts', 'computed', 'computed', p_name || ' again' FROM part
+UNION ALL SELECT 'regions', 'computed', 'failed', r_name FROM region
+UNION ALL SELECT 'suppliers', 'computed', 'empty', s_name FROM supplier""")
 def incremental_results(spark, sf):
-    """`new` is recomputed, `empty` has no new rows and keeps its old ones, `old` is current."""
-    ents = lift.entities(spark, sf)
-
-    def rows(prefix, source="geo"):
-        return ents.where(F.col("id").like(prefix + "%") & (F.col("source") == source)).select("id", "label")
-
-    # The last results are a stored table.
-    previous = cut(rows("nation").withColumn("query", F.lit("old"))
-                .unionByName(rows("region").withColumn("query", F.lit("empty")))
-                .unionByName(rows("nation").withColumn("query", F.lit("new"))))
-    part = lift.read(spark, sf, "part").select(
-        F.concat(F.lit("part:P"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"))
-    return live.incremental_results(
-        ents, {"new": part, "empty": rows("nobody"), "old": rows("region")}, previous, ["new", "empty"])
+    """Two runs. Between them the sources of three queries change: one gets new rows, one fails,
+    one is empty; the fourth query's sources stay, so it does not run."""
+    folder = f"{ensure_checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    sources = lift.index(spark, sf).sources.select(*SOURCE_KEY, "last_modified")
+    later = sources.withColumn("last_modified", F.col("last_modified") + 1)
+
+    def labels(table, col):
+        return lift.read(spark, sf, table).select(F.col(col).alias("label"))
+
+    def must_not_run():
+        raise AssertionError("its inputs have not changed")
+
+    def fails():
+        return labels("region", "r_name").withColumn("label", F.raise_error(F.lit("no such region")).cast("string"))
+
+    first = {"nations": (sources, lambda: labels("nation", "n_name")), "parts": (sources, lambda: labels("part", "p_name")),
+             "regions": (sources, lambda: labels("region", "r_name")), "suppliers": (sources, lambda: labels("supplier", "s_name"))}
+    second = {"nations": (sources, must_not_run), "regions": (later, fails),
+              "parts": (later, lambda: labels("part", "p_name").select(F.concat("label", F.lit(" again")).alias("label"))),
+              "suppliers": (later, lambda: labels("supplier", "s_name").limit(0))}
+    _rows, one = live.incremental_results(spark, folder, first)
+    rows, two = live.incremental_results(spark, folder, second)
+    report = one.select("query", F.col("status").alias("first")).join(two.select("query", F.col("status").alias("second")), "query")
+    found = [frame.withColumn("query", F.lit(name)) for name, frame in rows.items()]
+    return reduce(DataFrame.unionByName, found).join(report, "query").select("query", "first", "second", "label")

@@ -230,10 +230,14 @@ def list_files(spark: SparkSession, path: str) -> DataFrame:
 
     `doc` is the name the readers give to the file.
     """
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-            .select(F.col("_metadata.file_path").alias("doc"), "path",
-                    F.col("modificationTime").cast("double").alias("mtime"),
-                    F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "length"))
+    return listed_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+
+
+def listed_files(files: DataFrame) -> DataFrame:
+    """The same of a table or stream of files as Spark's file reader gives it."""
+    return files.select(F.col("_metadata.file_path").alias("doc"), "path",
+                        F.col("modificationTime").cast("double").alias("mtime"),
+                        F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "length")
 
 
 def read_outline(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
