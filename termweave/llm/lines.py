@@ -148,7 +148,8 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     wanted = prints.select("text_key", "prints").join(common, "prints").groupBy("text_key").agg(
         F.collect_set("prints").alias("prints"))
     wanted = written(wanted.join(firsts.select("text_key", "first"), "text_key"))
-    again = keyed.join(wanted.select(F.col("text_key").alias("_k"), F.col("first").alias("_f"), "prints"),
+    # Texts are dealt by key at any size: what they meet grows with the corpus, too.
+    again = keyed.join(wanted.select(F.col("text_key").alias("_k"), F.col("first").alias("_f"), "prints").hint("merge"),
                        (F.col("text_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_f")))
 
     def rows_of(out: list[tuple]) -> pd.DataFrame:
@@ -240,16 +241,20 @@ def delete_repeats(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     id_, key, cut = unused(docs.columns, "_doc", "_key", "_runs")
     cuts = written(runs.groupBy(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).agg(
         F.array_sort(F.collect_set(F.struct("start", "words"))).alias(cut)))
-    joined = docs.join(cuts, F.col("doc_id").eqNullSafe(F.col(id_)) & (_text_key() == F.col(key)), "left")
+    joined = docs.join(cuts.hint("merge"), F.col("doc_id").eqNullSafe(F.col(id_)) & (_text_key() == F.col(key)), "left")
 
     @F.pandas_udf("string")
     def remaining(texts: pd.Series, starts: pd.Series, lengths: pd.Series) -> pd.Series:
-        return pd.Series([cut_text(t, [(int(a), int(n)) for a, n in zip(s, k)])
+        return pd.Series([None if t is None else cut_text(t, [(int(a), int(n)) for a, n in zip(s, k)])
                           for t, s, k in zip(texts, starts, lengths)], dtype=object)
 
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    new = joined.where(F.col(cut).isNotNull()).withColumn("text", remaining("text", F.col(cut)["start"], F.col(cut)["words"]))
-    new = new.where(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    # One join for all: texts without runs do not go to Python, and stay as they are.
+    new, = unused([*joined.columns], "_new")
+    changed = F.col(cut).isNotNull()
+    out = joined.withColumn(new, remaining(F.when(changed, F.col("text")), F.col(cut)["start"], F.col(cut)["words"]))
+    out = out.where(~changed | F.col(new).rlike(r"[^\x20\x09-\x0D]"))
+    values = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": F.when(changed, F.col(new)).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return joined.where(F.col(cut).isNull()).select(*columns).unionByName(new.select(*columns))
+        counted = F.length(F.col(new)).cast(docs.schema["n_chars"].dataType)
+        values["n_chars"] = F.when(changed, counted).otherwise(F.col("n_chars"))
+    return out.select(*[v.alias(c) for c, v in values.items()])
