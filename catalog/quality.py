@@ -312,10 +312,22 @@ def index_quality_report(spark, sf):
     return C.quality_report(C.index_issues(lift.index(spark, sf, True).attributes, []))
 
 
+# Stated anew here: keyword, operand, least, most.
+RULES = {
+    "owl:Class": "SubClassOf expression 1 -, EquivalentTo expression 1 -, DisjointWith expression 1 -, DisjointUnionOf expression 2 -, HasKey property 1 -",
+    "owl:ObjectProperty": "Domain class 1 -, Range class 1 -, Characteristics flag 1 7, SubPropertyOf object_property 1 -, SubPropertyChain object_property 2 -, "
+                          "EquivalentTo object_property 1 -, DisjointWith object_property 1 -, InverseOf object_property 1 -",
+    "owl:AnnotationProperty": "Domain any_name 1 -, Range any_name 1 -, SubPropertyOf annotation_property 1 -",
+    "owl:NamedIndividual": "Types expression 1 -, Facts fact 1 -, SameAs individual 1 -, DifferentFrom individual 1 -",
+    "owl:Ontology": "Import document 1 1",
+}
+
+
 @query("legal_keywords", lifted("attributes", f"""
 , k AS (SELECT DISTINCT id, value AS kind FROM attributes WHERE prop = 'rdf:type')
-, r AS (SELECT * FROM {values([(t, k, s) for t, rules in K.KEYWORD_SHAPES.items() for k, s in rules.items()])} v(kind, keyword, shape))
-SELECT id, kind, keyword, shape FROM k JOIN r USING (kind)"""))
+, r AS (SELECT kind, string_split(trim(unnest(string_split(rules, ','))), ' ') AS w FROM (VALUES {", ".join(f"('{t}', '{r}')" for t, r in RULES.items())}) v(kind, rules))
+SELECT id, kind, w[1] AS keyword, replace(w[2], '_', ' ') AS operand, CAST(w[3] AS INTEGER) AS least,
+  CAST(nullif(w[4], '-') AS INTEGER) AS most FROM k JOIN r USING (kind)"""))
 def legal_keywords(spark, sf):
     kinds = lift.attributes(spark, sf).where("prop = 'rdf:type'").select("id", F.col("value").alias("kind")).distinct()
     return C.legal_keywords(kinds)

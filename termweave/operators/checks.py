@@ -437,13 +437,11 @@ def term_report(entities: DataFrame, attributes: DataFrame) -> DataFrame:
 
 
 def legal_keywords(kinds: DataFrame) -> DataFrame:
-    """(id, kind, keyword, shape): keywords a term of a kind may carry."""
-    shapes = F.lit(None)
-    for rdf_type, rules in K.KEYWORD_SHAPES.items():
-        shapes = F.when(F.col("kind") == rdf_type, F.array(*[
-            F.struct(F.lit(k).alias("keyword"), F.lit(v).alias("shape")) for k, v in rules.items()])
-        ).otherwise(shapes)
-    return kinds.withColumn("_r", shapes).where("_r IS NOT NULL").select(*kinds.columns, F.inline("_r"))
+    """(id, kind, keyword, operand, least, most): keywords a term of a kind may carry, what they
+    take and how many; `most` is NULL where there is no greatest number."""
+    rules = [(kind, keyword, *takes) for kind, of in K.OPERANDS.items() for keyword, takes in of.items()]
+    table = kinds.sparkSession.createDataFrame(rules, "kind string, keyword string, operand string, least int, most int")
+    return kinds.join(table, "kind").select(*kinds.columns, "keyword", "operand", "least", "most")
 
 
 def existing_rows(attributes: DataFrame) -> DataFrame:

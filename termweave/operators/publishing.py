@@ -25,35 +25,31 @@ def without_indent(value: Column) -> Column:
     return F.when(F.size(lines) > 1, F.array_join(F.concat(F.slice(lines, 1, 1), cut), "\n")).otherwise(value)
 
 
+# An address, alone, in angles or as a link in double brackets.
+ADDRESS = r"\A(?:(https?:\S*)|<(https?:[^ ]*|urn:[^>]+)>|\[\[(https?:\S*)\]\])\z"
+# Plain values that become typed text, by their datatype; numbers stay plain text.
+TYPED = {"": r"[0-9]+\.?[0-9]*", "^^xsd:boolean": "true|false", "^^xsd:string": r"urn:uuid\S+"}
+# Literals that the author wrote out: with a datatype, or with a language after some quoted part.
+WRITTEN_TYPE, WRITTEN_LANG = r'\A"[^\n]*"\^\^[-\w]*:[-\w]+\z', r'(?s)".*"@[a-z]+'
+
+
 def literal_text(frame: DataFrame, col: str, prefixes: DataFrame, name: str,
                  keys: list[str] | None = None) -> DataFrame:
-    """Annotation value in output form.
+    """Annotation value in output form, by the class of value it is.
 
-    Numbers are quoted text, URIs go in angles, lower-case booleans are typed, typed literals
-    and language literals stay, known compact names expand, everything else is quoted.
+    Addresses go in angles. Numbers, booleans and UUIDs become text of their datatype. Literals
+    that are written out stay. Compact names of known prefixes expand. All else is quoted.
     """
     v = F.col("_v")
     rows = to_bracketed_iri(frame.withColumn("_v", without_indent(F.col(col))), "_v", prefixes, "_iri",
                             keys=keys)
+    out = F.when(v.rlike(ADDRESS), F.concat(F.lit("<"), *[F.regexp_extract(v, ADDRESS, g) for g in (1, 2, 3)], F.lit(">")))
+    for datatype, shape in TYPED.items():
+        out = out.when(v.rlike(rf"\A(?:{shape})\z"), F.concat(F.lit('"'), v, F.lit('"' + datatype)))
+    known = F.col("_iri") != v
+    out = out.when(v.rlike(WRITTEN_TYPE) | (~known & v.rlike(WRITTEN_LANG)), v).when(known, F.col("_iri"))
     quoted = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('\\"')), F.lit('"'))
-
-    def full(pattern: str) -> Column:
-        return v.rlike(rf"\A(?:{pattern})\z")
-
-    out = (
-        F.when(full(r"[0-9]+[.]?[0-9]*"), F.concat(F.lit('"'), v, F.lit('"')))
-        .when(full(r"[\[][\[]http[^ ]*[\]][\]]"), F.concat(F.lit("<"), F.regexp_extract(
-            v, r"\A\[\[(http[^ ]*)\]\]\z", 1), F.lit(">")))
-        .when(full(r"http[^ ]*"), F.concat(F.lit("<"), v, F.lit(">")))
-        .when(full(r"<http[^ ]*>"), v)
-        .when(full(r"<urn:[^>]+>"), v)
-        .when(full(r"urn:uuid[^ ]+"), F.concat(F.lit('"'), v, F.lit('"^^xsd:string')))
-        .when(v.isin("true", "false"), F.concat(F.lit('"'), v, F.lit('"^^xsd:boolean')))
-        .when(full(r'".*"\^\^[-_A-Za-z0-9]*:[-_A-Za-z0-9]+'), v)
-        .when(F.col("_iri") != v, F.col("_iri"))
-        .when(v.rlike(r'(?s)"(.*\n)*.*"@[a-z]+'), v)
-        .otherwise(quoted))
-    return rows.withColumn(name, out).drop("_v", "_iri")
+    return rows.withColumn(name, out.otherwise(quoted)).drop("_v", "_iri")
 
 
 def frame_type(rdf_type: Column) -> Column:
@@ -90,7 +86,7 @@ def _axiom_line(indent: int) -> Column:
     value = F.when(F.col("tag") == "Import", F.col("shown")).otherwise(F.col("value"))
     return (
         F.when(F.col("meta").isNotNull() & (F.col("tag") == "Rule"), F.concat(
-            F.lit(lead), "tag", F.lit(": # WARNING: Rule annotations are not supported in Manchester Syntax\n" + inner),
+            F.lit(lead), "tag", F.lit(": # notes on this rule are left out, the syntax has no place for them\n" + inner),
             value))
         .when(F.col("meta").isNotNull(), F.concat(
             F.lit(lead), "tag", F.lit(": \n" + inner + "Annotations: \n"), _meta_text(indent + 8),
