@@ -11,7 +11,7 @@ from catalog.lift_sql import lifted
 from termweave.operators import publishing as X
 from termweave.operators import taxonomy as G
 from termweave.plans.cut import ensure_checkpoint_dir
-from termweave.sources import lift
+from termweave.sources import lift, sinks
 
 
 def parts(spark, sf):
@@ -94,12 +94,12 @@ def publish_lines(spark, sf):
     return X.published_lines(X.blocks(*parts(spark, sf))).select("doc", "line", "text")
 
 
-@query("publish", lifted("nodes rows outline_prefixes", LINES + " SELECT doc, text FROM num"))
+@query("publish", lifted("nodes rows outline_prefixes", LINES + " SELECT doc, line, text FROM num"))
 def publish(spark, sf):
-    """Documents written as text files and read back."""
+    """Documents written as text files and read back, in the order of the files."""
     folder = f"{ensure_checkpoint_dir(spark)}/published-{uuid.uuid4().hex}"
     X.publish(X.blocks(*parts(spark, sf)), folder)
-    return spark.read.text(folder).select("doc", F.col("value").alias("text"))
+    return sinks.read_lines_back(spark, folder, ["doc"])
 
 
 OPEN = "regexp_extract(text, '^(Class|Individual|Ontology): (\\S+)', {n})"

@@ -7,12 +7,14 @@ import uuid
 from pyspark.sql import functions as F
 
 from catalog import query
+from catalog.files import written
 from catalog.lift_sql import lang_key, lifted
 from termweave.functions.text import tsv_safe
 from termweave.model import Index
 from termweave.operators import store as W
+from termweave.operators import versions as V
 from termweave.plans.cut import ensure_checkpoint_dir
-from termweave.sources import lift
+from termweave.sources import lift, readers, sinks
 
 
 def doc_rows(spark, sf):
@@ -127,20 +129,34 @@ def register_sources(spark, sf):
     return W.register_files(spark, path, listing, rows, "docs", F.lit(200.0))
 
 
+def map_files(spark, sf):
+    """A JSON file per source that maps its documents to their languages; that of src1 is cut off."""
+    docs = lift.read(spark, sf, "documents").select("source", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "lang")
+    text = F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("lang", F.lit(""))))))
+    maps = docs.groupBy(F.col("source").alias("doc")).agg(text.alias("t")).select(
+        "doc", F.when(F.col("doc") == "src1", F.substring("t", F.lit(1), F.length("t") - 9)).otherwise(F.col("t")).alias("text"))
+    return written(spark, f"maps:{sf}", lambda f: maps.repartition("doc").write.partitionBy("doc").text(f))
+
+
 @query("refresh_all", """
-SELECT CASE WHEN CAST(substr(source, 4) AS INTEGER) = 1 THEN 'failed' ELSE 'registered' END AS status,
-  count(DISTINCT source) AS n FROM documents GROUP BY 1""")
+SELECT source, CASE source WHEN 'src1' THEN 'failed' ELSE 'refreshed' END AS status, source = 'src1' AS damaged,
+  CASE source WHEN 'src1' THEN 1 ELSE count(*) END AS entities, CASE source WHEN 'src1' THEN 'old' ELSE min(coalesce(lang, '')) END AS label
+FROM documents GROUP BY source""")
 def refresh_all(spark, sf):
-    rows = doc_rows(spark, sf)
-    failed = rows.where("source = 'src1'").select("source").distinct()
-    good = rows.where("source <> 'src1'")
-    listing = good.select("source", "data_source").distinct().withColumn("mtime", F.lit(100.0))
-    idx = lift.index(spark, sf)
+    """All files of a folder are read again; the damaged one keeps the row it had."""
+    folder = map_files(spark, sf)
     path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
-    W.save_index(Index(idx.sources.limit(0), idx.entities.limit(0), idx.attributes.limit(0),
-                       idx.prefixes.limit(0), idx.global_prefixes), path)
-    done = W.register_files(spark, path, listing, good, "docs", F.lit(200.0), force=True)
-    return W.refresh_report(done, failed)
+    old = readers.list_files(spark, folder).select(
+        F.col("doc").alias("source"), F.lit("").alias("data_source"), F.lit("doc:old").alias("id"), F.lit("old").alias("label"),
+        F.lit(None).cast("string").alias("prop"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("lang"),
+        F.lit(0).cast("long").alias("ord"), F.lit(0).alias("seq"))
+    mtimes = old.select("source", "data_source").withColumn("last_modified", F.lit(1.0))
+    V.save_index(W.source_batch(old, "txt", mtimes, F.lit(2.0)), path)
+    done = W.register_folder(spark, path, folder, {"txt": readers.DEFAULT_READERS["json"]}, force=True)
+    first = V.load_index(spark, path).entities.groupBy("source").agg(F.min("label").alias("label"))
+    return done.join(first, "source").select(
+        F.regexp_extract("source", "doc=([^/]+)", 1).alias("source"), "status", F.contains(F.coalesce("error", F.lit("")), F.lit("no JSON object")).alias("damaged"),
+        "entities", "label")
 
 
 @query("remove_sources", lifted("all_rows", """
@@ -150,9 +166,23 @@ def remove_sources(spark, sf):
     return left.attributes.select("id", "prop", "value", "source")
 
 
-@query("remove_sources_preview", lifted("sources", "SELECT * FROM sources WHERE source LIKE 's%'"))
+@query("remove_sources_preview", """
+SELECT DISTINCT CASE source WHEN 'src0' THEN 'sales' ELSE source END AS source, '' AS data_source, 'docs' AS type,
+  CAST(5000 AS DOUBLE) AS last_modified, CAST(6000 AS DOUBLE) AS last_updated FROM documents WHERE source IN ('src0', 'src1')""")
 def remove_sources_preview(spark, sf):
-    return W.remove_sources(lift.index(spark, sf), "s%", like=True)[1]
+    """What a pattern would remove from an index of documents."""
+    return W.remove_sources(batch(spark, sf), "S%", like=True)[1]
+
+
+@query("remove_stored", DOCS + "SELECT source, id, label FROM ent WHERE source NOT IN ('src1', 'src3')")
+def remove_stored(spark, sf):
+    """Sources leave a stored index without a row being written."""
+    rows = doc_rows(spark, sf)
+    mtimes = rows.select("source", "data_source").distinct().withColumn("last_modified", F.lit(1.0))
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    V.save_index(W.source_batch(rows, "docs", mtimes, F.lit(2.0)), path)
+    V.remove_stored(spark, path, mtimes.where("source IN ('src1', 'src3')"))
+    return V.load_index(spark, path).entities.select("source", "id", "label")
 
 
 @query("list_sources", lifted("sources entities", """
@@ -204,18 +234,54 @@ def remove_prefix_report(spark, sf):
     return W.remove_prefix(rows, gone)[1]
 
 
-@query("canonical_dump", lifted("sources entities attributes prefixes", """
+DUMP = """
+, dump AS (SELECT row_number() OVER (ORDER BY tbl, json) AS line, * FROM (
 SELECT 'sources' AS tbl, '{"data_source":"","source":"' || source || '","type":"table"}' AS json FROM sources
 UNION ALL SELECT 'entities', '{"data_source":"","id":"' || id || '","kind":"curie","label":' ||
   coalesce('"' || label || '"', 'null') || ',"source":"' || source || '"}' FROM entities
 UNION ALL SELECT 'attributes', '{"data_source":"","id":"' || id || '","lang":"' || lang || '","prop":"' || prop
   || '","source":"' || source || '","value":"' || value || '"}' FROM attributes
 UNION ALL SELECT 'prefixes', '{"data_source":"","expansion":"' || expansion || '","prefix":"' || prefix
-  || '","source":"' || source || '"}' FROM prefixes"""))
+  || '","source":"' || source || '"}' FROM prefixes))"""
+
+
+@query("canonical_dump", lifted("sources entities attributes prefixes", DUMP + " SELECT * FROM dump"))
 def canonical_dump(spark, sf):
     return W.canonical_dump(lift.index(spark, sf))
 
 
+def sink_folder(spark):
+    return f"{ensure_checkpoint_dir(spark)}/sink-{uuid.uuid4().hex}"
+
+
+@query("dump_files", lifted("sources entities attributes prefixes", DUMP + " SELECT line, tbl || ' ' || json AS text FROM dump"))
+def dump_files(spark, sf):
+    """The dump as ordered files, read back with line numbers."""
+    dump, folder = W.canonical_dump(lift.index(spark, sf)), sink_folder(spark)
+    sinks.write_lines(dump.select("line", F.concat_ws(" ", "tbl", "json").alias("text")), folder)
+    return sinks.read_lines_back(spark, folder)
+
+
+@query("json_files", """
+SELECT row_number() OVER (ORDER BY p_name, p_partkey) AS line, '{"p_name":"' || p_name || '","p_partkey":' || p_partkey || ',"size":'
+  || CASE WHEN p_size % 5 = 0 THEN 'null' ELSE CAST(p_size AS VARCHAR) END || '}' AS text FROM part""")
+def json_files(spark, sf):
+    folder = sink_folder(spark)
+    rows = lift.read(spark, sf, "part").select("p_partkey", "p_name", F.when(F.col("p_size") % 5 != 0, F.col("p_size")).alias("size"))
+    sinks.write_json(rows, folder, ["p_name", "p_partkey"])
+    return sinks.read_lines_back(spark, folder)
+
+
+@query("tsv_files", """
+SELECT 1 AS line, 'source' || chr(9) || 'doc_id' || chr(9) || 'text' AS text UNION ALL
+SELECT 1 + row_number() OVER (ORDER BY source, doc_id), source || chr(9) || doc_id || chr(9)
+  || regexp_replace(replace(regexp_replace(coalesce(text, ''), '\\r$', ''), chr(9), ' '), '[\\r\\n]+', ' / ', 'g') FROM documents""")
+def tsv_files(spark, sf):
+    folder = sink_folder(spark)
+    sinks.write_tsv(lift.read(spark, sf, "documents").select("source", "doc_id", "text"), folder, ["source", "doc_id"])
+    return sinks.read_lines_back(spark, folder)
+
+
 @query("tsv_safe", """
 SELECT doc_id, regexp_replace(replace(regexp_replace(text, '\\r$', ''), chr(9), ' '), '[\\r\\n]+', ' / ', 'g') AS cell
 FROM documents""")

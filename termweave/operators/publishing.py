@@ -12,6 +12,7 @@ from termweave.operators.identifiers import to_bracketed_iri
 from termweave.operators.taxonomy import ordered_hierarchy, parent_edges, relation_facts, sort_key
 from termweave.plans.cut import cut
 from termweave.plans.ordered import carry_forward, running_sum
+from termweave.sources.sinks import write_lines
 
 
 def without_indent(value: Column) -> Column:
@@ -199,10 +200,8 @@ def published_lines(parts: DataFrame) -> DataFrame:
 
 
 def publish(parts: DataFrame, path: str) -> None:
-    """Write each document's lines under `doc=…`. Part files of a folder follow each other."""
-    lines = published_lines(parts)
-    (lines.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line").select("doc", "text")
-     .write.mode("overwrite").partitionBy("doc").text(path))
+    """Write each document's lines under `doc=…`, to be read back by `sinks.read_lines_back`."""
+    write_lines(published_lines(parts).select("doc", "line", "text"), path, ["doc"])
 
 
 OPENER = (r"^(Class|ObjectProperty|DataProperty|AnnotationProperty|Individual|Datatype|Ontology):"

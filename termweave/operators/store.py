@@ -11,6 +11,7 @@ from termweave.functions.lang import language_key
 from termweave.model import SOURCE_KEY, Index
 from termweave.operators.versions import create_index, load_index, save_index, update_stored  # noqa: F401
 from termweave.plans.cut import cut
+from termweave.plans.ordered import running_number
 from termweave.sources.readers import kinds_of, list_files, read_files
 
 SEQ_BITS = 12
@@ -138,10 +139,8 @@ def remove_prefix(prefixes: DataFrame, gone: DataFrame) -> tuple[DataFrame, Data
 
 
 def canonical_dump(index: Index) -> DataFrame:
-    """(tbl, json): every row as key-sorted JSON without times, for golden comparison.
-
-    Rows carry their order in the text, so the reader sorts by (tbl, json).
-    """
+    """(line, tbl, json): every row as key-sorted JSON without times, in the order of table and
+    text, for golden comparison; `sinks.write_lines` keeps the order in files."""
     frames = []
     for table in TABLES:
         frame = getattr(index, table)
@@ -151,7 +150,7 @@ def canonical_dump(index: Index) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
-    return out
+    return running_number(out, [], "tbl", "line", ties=["json"]).select("line", "tbl", "json")
 
 
 # --- registering ---------------------------------------------------------------------
