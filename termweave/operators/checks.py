@@ -369,6 +369,77 @@ def index_labels(attributes: DataFrame) -> DataFrame:
         F.col("ord").alias("row_ord"))
 
 
+FINDING = "struct<check:string,subject:string,message:string>"
+PROBE = "struct<kind:string,id:string,want:string,punned:boolean>"
+
+
+def row_issues(rows: DataFrame, declared: DataFrame, scope: list[str], recursive: bool = True) -> DataFrame:
+    """All checks on described rows in one scan; the same issues as by the single checks.
+
+    A row yields its findings, those it settles alone, and its probes, the names whose
+    declaration decides. Both are written once; the probes then meet the declarations in one
+    join, where each gives the issues of all checks that asked for the name.
+    """
+    tag, value, subject = F.col("tag"), F.col("value"), F.col("subject")
+
+    def finding(check: str, test: Column, message: Column, of: Column = subject) -> Column:
+        return F.when(test, F.struct(F.lit(check).alias("check"), of.alias("subject"), message.alias("message")))
+
+    axiom = tag.isin([k for k in K.ALL_KEYWORDS if k != "Import"])
+    alone = [
+        finding("axiom-names", axiom & ~X.balanced_parentheses(value), F.lit("WARNING: unbalanced parentheses in axiom")),
+        finding("keyword-section", tag.isin(K.FRAME_KEYWORDS) & (F.col("section") != "-ontology") & ~allowed_keyword(F.col("section"), tag),
+                _text("ERROR: ", tag, " is not valid in section ", F.col("section"))),
+        finding("blank-axiom", tag.isin(K.ALL_KEYWORDS) & (F.trim(F.coalesce(value, F.lit(""))) == ""),
+                _text("WARNING: axiom row without value: ", tag))]
+    if recursive:
+        own = I.first_id_token(subject)
+        alone.append(finding("recursive", tag.isin(K.RECURSION_KEYWORDS) & F.contains(subject, F.lit(":")) & X.mentions(value, own),
+                             _text("WARNING: ", tag, " mentions its own subject"), own))
+
+    def probe(kind: str, name: Column, want: Column, punned: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("id"), want.alias("want"), punned.alias("punned"))
+
+    none, no = F.lit(None).cast("string"), F.lit(False)
+    punned, want, empty = tag.isin("Facts", "SameAs", "DifferentFrom"), expected_type(F.col("section"), tag), F.lit(None).cast(f"array<{PROBE}>")
+    probes = [
+        F.when(axiom, F.transform(X.axiom_words(value), lambda w: probe("word", w, none, punned))).otherwise(empty),
+        F.when(want.isNotNull(), F.transform(X.axiom_leaves(tag, value), lambda w: probe("leaf", w, want, no))).otherwise(empty),
+        F.when(tag.rlike(K.AXIOM_CURIE) & ~tag.isin(K.KNOWN_ANNOTATIONS), F.array(probe("tag", tag, none, no))).otherwise(empty)]
+    # A finding is a probe without a name, so that one pass writes both.
+    as_probe = F.transform(F.array_compact(F.array(*alone)), lambda f: F.struct(
+        f.alias("finding"), F.lit(None).cast(PROBE).alias("probe")))
+    asked = F.transform(F.flatten(F.array_compact(F.array(*probes))), lambda p: F.struct(
+        F.lit(None).cast(FINDING).alias("finding"), p.alias("probe")))
+    keys = ["source", "subject", "section", "tag", "row_ord"]
+    found = cut(rows.select(*keys, F.inline(F.concat(as_probe, asked))))
+    settled = found.where("finding IS NOT NULL").select(
+        "finding.check", "finding.message", "source", "finding.subject", "row_ord")
+
+    known = declared.select(*scope, "id", F.coalesce("rdf_type", F.lit("")).alias("_type"), "is_class", "is_individual", "is_property")
+    met = found.where("probe IS NOT NULL").select(*keys, "probe.*").join(known, [*scope, "id"], "left")
+    kind, name, rdf_type = F.col("kind"), F.col("id"), F.col("_type")
+    builtin = name.isin(K.BUILTIN_NAMES)
+    note = rdf_type == "owl:AnnotationProperty"
+    outside = F.coalesce("section", F.lit("")) != "-annotation-property-hierarchy"
+    plain = (kind == "word") & ~builtin
+    other = (kind == "leaf") & (rdf_type != "") & (rdf_type != F.col("want")) & ~((F.col("want") == "rdfs:Datatype") & builtin)
+    as_individual = (kind == "word") & F.col("punned") & F.col("is_class") & ~F.col("is_individual") & ~(
+        (tag == "Facts") & F.col("is_property"))
+    decided = [
+        finding("annotation-property", (kind == "tag") & ~F.coalesce(note, no), _text("WARNING: not a declared annotation property: ", name)),
+        finding("axiom-names", plain & rdf_type.isNull(), _text("WARNING: unknown name in axiom: ", name)),
+        finding("axiom-names", plain & note & outside, _text("WARNING: annotation property used in axiom: ", name)),
+        finding("keyword-range", other, _text("WARNING: ", name, " is of kind ", _kind_name(rdf_type), " but ", tag,
+                                              " expects ", _kind_name(F.col("want")))),
+        finding("facts-punning", as_individual, _text("ERROR: class used as an individual without such a declaration: ", name))]
+    named = met.select("source", "row_ord", F.explode(F.array_compact(F.array(*decided))).alias("f")).select(
+        "f.check", "f.message", "source", "f.subject", "row_ord")
+    return settled.unionByName(named).select(
+        "check", classify_severity(F.col("message")).alias("severity"), "source", "subject",
+        F.col("row_ord").cast("long").alias("row_ord"), "message")
+
+
 def all_issues(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame, names: DataFrame) -> DataFrame:
     """Every check over outline documents."""
     described, types = described_outline(nodes, rows), outline_types(nodes)
@@ -379,10 +450,7 @@ def all_issues(nodes: DataFrame, rows: DataFrame, prefixes: DataFrame, names: Da
     return reduce(DataFrame.unionByName, [
         check_identity(nodes, prefixes), check_header(nodes), check_prefix_table(nodes, prefixes),
         check_presence(nodes), check_sections(nodes), check_declaration(nodes, prefixes),
-        check_annotation_props(described, declared, scope), check_axiom_ids(described, declared, scope),
-        check_keyword_section(described), check_keyword_range(described, declared, scope),
-        check_facts_punning(described, declared, scope), check_punning(types),
-        check_nesting(nodes, rows), check_blank_axiom(described),
+        row_issues(described, declared, scope, recursive=False), check_punning(types), check_nesting(nodes, rows),
         check_undocumented(nodes, rows, names), check_recursive(visible),
         check_duplicate_labels(outline_labels(nodes, rows), scope)])
 
@@ -392,13 +460,8 @@ def index_issues(attributes: DataFrame, scope: list[str]) -> DataFrame:
     described = described_index(attributes)
     types = attributes.where("prop = 'rdf:type'").select("source", "id", F.col("value").alias("rdf_type"))
     declared = declared_terms(types, scope)
-    tags = described.where(~F.col("tag").isin(K.ALL_KEYWORDS))
     return reduce(DataFrame.unionByName, [
-        check_annotation_props(tags, declared, scope), check_axiom_ids(described, declared, scope),
-        check_keyword_section(described), check_keyword_range(described, declared, scope),
-        check_facts_punning(described, declared, scope), check_punning(types),
-        check_blank_axiom(described), check_recursive(described),
-        check_duplicate_labels(index_labels(attributes), scope)])
+        row_issues(described, declared, scope), check_punning(types), check_duplicate_labels(index_labels(attributes), scope)])
 
 
 def quality_report(issues: DataFrame) -> DataFrame:
