@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from termweave.llm.tables import boxed, unused
+from termweave.llm.tables import boxed, tidied, unused
 
 NGRAM = 4
 BITS = 18  # n-grams are told apart by a hash of so many bits
@@ -131,7 +131,6 @@ def predictor(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     # Arrow arrays, so that only the texts of a block are Python strings at a time.
-    @F.arrow_udf("lang_pred string, score double")
     def predict(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = shared.value
         for texts in parts:
@@ -146,7 +145,10 @@ def predictor(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS)
                     scores[rows] = np.clip(values[np.arange(len(rows)), best], 0, 1)
             yield pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang_pred", "score"])
 
-    return predict
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from tidied(predict)(parts)
+
+    return F.arrow_udf(scored, "lang_pred string, score double")
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE, landmarks: int = LANDMARKS) -> DataFrame:

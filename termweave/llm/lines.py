@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.tables import unused, written
+from termweave.llm.tables import tidied, unused, written
 
 LINE = 20
 PASSAGE = 50
@@ -132,7 +132,7 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
                                 "prints": prints, "twice": twice})
 
     keyed = docs.select(F.col("doc_id").cast("long"), _text_key().alias("text_key"), "text")
-    marks = written(keyed.mapInPandas(mark, "doc_id long, text_key long, n_words long, prints array<long>, twice array<boolean>"))
+    marks = written(keyed.mapInPandas(tidied(mark), "doc_id long, text_key long, n_words long, prints array<long>, twice array<boolean>"))
     # Equal texts: the first keeps its words, later ones are repeated as a whole.
     rows = marks.select("doc_id", "text_key", "n_words")
     firsts = rows.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("f"), F.max("n_words").alias("n_words"))
@@ -178,8 +178,7 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
             yield rows_of(out)
 
     # A span is what the runs around one occurrence cover: all runs in a row that selected it.
-    spans = written(again.select("doc_id", "text_key", "text", "prints").mapInPandas(
-        extend, "print long, a long, b long, doc_id long, text_key long, start long, last long, inner boolean, wa array<long>, wb array<long>"))
+    spans = written(again.select("doc_id", "text_key", "text", "prints").mapInPandas(tidied(extend), "print long, a long, b long, doc_id long, text_key long, start long, last long, inner boolean, wa array<long>, wb array<long>"))
     place = F.struct("doc_id", "text_key", "start")
     earliest = written(spans.groupBy("a", "b").agg(F.min(place).alias("f"), F.max(place).alias("l")).where("f <> l").select("a", "b", "f"))
     same = spans.join(earliest, ["a", "b"], "left")
@@ -216,7 +215,7 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
             frame = pd.DataFrame(out, columns=["doc_id", "start", "words", "first_doc", "first_start", "text_key"])
             yield frame.astype({"doc_id": "Int64", "first_doc": "Int64"})
 
-    merged = by_doc.mapInPandas(merge, "doc_id long, start long, words long, first_doc long, first_start long, text_key long")
+    merged = by_doc.mapInPandas(tidied(merge), "doc_id long, start long, words long, first_doc long, first_start long, text_key long")
     return copies.unionByName(merged)
 
 

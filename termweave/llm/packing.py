@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termweave.llm.tables import written
+from termweave.llm.tables import tidied, written
 
 LENGTH = 2048
 OPEN = 16
@@ -225,7 +225,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, open_windows: in
         packer.close()
         yield packer.taken()
 
-    placed = written(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, PIECES))
+    placed = written(docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), PIECES))
     done, level, rest = [placed.where("not open")], 0, placed.where("open")
     parts = docs.sparkSession.sparkContext.defaultParallelism
     if not placed.isEmpty():

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termweave.llm.components import components
-from termweave.llm.tables import boxed, unboxed, written
+from termweave.llm.tables import boxed, tidied, unboxed, written
 
 SHINGLE = 4
 SEED = 42
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             prints = np.array([fingerprint(t) for t in batch["text"]], np.uint64)
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fp": prints.view(np.int64)})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidied(run), "doc_id long, fp long")
 
 
 def postings(prints: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def links(prints: DataFrame) -> DataFrame:
     dealt = met.select("key", "fp", "own", other.alias("_o")).select(
         "key", "fp", "own", F.least("own", "_o").alias("lo"), F.greatest("own", "_o").alias("hi"))
     sorted_ = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return sorted_.mapInPandas(_compare, "a long, b long").distinct()
+    return sorted_.mapInPandas(tidied(_compare), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
