@@ -262,7 +262,7 @@ def insert_token(spark, sf):
 @query("entity_summary", lifted("entities attributes", labels_sql(DEFAULT) + OWNED + """
 , f AS (SELECT id, max(value) FILTER (prop = 'rdfs:label') AS own, max(value) FILTER (prop = 'rdf:type') AS rdf_type,
     max(value) FILTER (prop = 'skos:definition') AS d, min(source) AS source FROM view GROUP BY id)
-, s AS (SELECT id, coalesce(own, label) AS label, rdf_type, substr(d, 1, 200) AS definition, source
+, s AS (SELECT id, coalesce(own, label) AS label, rdf_type, replace(d, chr(10), ' ') AS definition, source
     FROM f JOIN got USING (id))
 SELECT *, id || CASE WHEN label <> '' THEN '  [' || label || ']' ELSE '' END
   || CASE WHEN rdf_type <> '' THEN '  (' || rdf_type || ')' ELSE '' END
@@ -284,11 +284,19 @@ def entity_card(spark, sf):
 SELECT e.id, 'Individual' AS kind, coalesce(e.label, '--') AS label, coalesce(d.value, '--') AS definition, e.source
 FROM entities e LEFT JOIN d USING (id, source)
 WHERE starts_with(e.id, 'part:') AND (regexp_matches(e.id, '(?i)WIDGET|ring')
-  OR regexp_matches(coalesce(e.label, ''), '(?i)WIDGET|ring')) ORDER BY e.id, e.source LIMIT 200"""))
+  OR regexp_matches(coalesce(e.label, ''), '(?i)WIDGET|ring'))"""))
 def list_resources(spark, sf):
     return L.list_resources(lift.index(spark, sf), "individual", "WIDGET|ring", "part")
 
 
+@query("list_resources_limited", lifted("entities", """
+, e AS (SELECT id, coalesce(label, '--') AS label, source FROM entities WHERE starts_with(id, 'part:'))
+SELECT id, label, source, (SELECT count(*) FROM e) AS total FROM e ORDER BY id, source LIMIT 200"""))
+def list_resources_limited(spark, sf):
+    """The first 200, and how many there are."""
+    return L.list_resources(lift.index(spark, sf), prefix="part", limit=200, width=80).select("id", "label", "source", "total")
+
+
 @query("match_label", """
 WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN '"' || upper(p_name) || '"'
   WHEN 2 THEN '"' || p_name || '"@en' ELSE '"' || p_name || '"^^xsd:string' END AS raw FROM part)

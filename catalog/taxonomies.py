@@ -42,14 +42,25 @@ def immediate_parents(spark, sf):
 
 @query("children", """
 WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS parent, 'P' || l_partkey AS child FROM lineitem),
+r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS place FROM e)
+SELECT parent, child, CAST(place AS INTEGER) AS place, CAST(0 AS BIGINT) AS omitted FROM r""")
+def children(spark, sf):
+    return G.children(supplied(spark, sf))
+
+
+@query("children_limited", """
+WITH e AS (SELECT DISTINCT 'S' || l_suppkey AS parent, 'P' || l_partkey AS child FROM lineitem),
 r AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY child) AS place,
   greatest(count(*) OVER (PARTITION BY parent) - 200, 0) AS omitted FROM e)
 SELECT parent, child, CAST(place AS INTEGER) AS place, omitted FROM r WHERE place <= 200""")
-def children(spark, sf):
-    edges = lift.read(spark, sf, "lineitem").select(
+def children_limited(spark, sf):
+    return G.children(supplied(spark, sf), 200)
+
+
+def supplied(spark, sf):
+    return lift.read(spark, sf, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("parent"),
         F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("child")).distinct()
-    return G.children(edges)
 
 
 SUPERS = """

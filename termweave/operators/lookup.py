@@ -292,14 +292,15 @@ def _first_of(props: list[str]) -> Column:
 
 def entity_summary(ids: DataFrame, index: Index, active: ActiveSources,
                    prefs: list[str] | None = None) -> DataFrame:
-    """(id, label, rdf_type, definition, source, summary) of the ids the index describes."""
+    """(id, label, rdf_type, definition, source, summary) of the ids the index describes; line
+    breaks of a definition become spaces."""
     rows = get_all_attrs(ids, index, active, prefs)
     facts = rows.groupBy("id").agg(
         F.max(F.when(F.col("prop") == LABEL, F.col("value"))).alias("own_label"),
         F.max(F.when(F.col("prop") == "rdf:type", F.col("value"))).alias("rdf_type"),
         _first_of(K.SUMMARY_DEFINITIONS).alias("definition"), F.min("source").alias("source"))
     labels = get_labels(facts, index, active, prefs)
-    short = F.replace(F.substring("definition", 1, 200), F.lit("\n"), F.lit(" "))
+    short = F.replace("definition", F.lit("\n"), F.lit(" "))
     both = facts.join(labels, "id").select(
         "id", F.coalesce("own_label", "label").alias("label"), "rdf_type",
         short.alias("definition"), "source")
@@ -325,8 +326,11 @@ def entity_card(ids: DataFrame, index: Index, active: ActiveSources,
 
 
 def list_resources(index: Index, kind: str | None = None, match: str | None = None,
-                   prefix: str | None = None, limit: int = 200) -> DataFrame:
-    """Catalogue (id, kind, label, definition, source): label or `--`, definition cut to 80."""
+                   prefix: str | None = None, limit: int | None = None, width: int | None = None) -> DataFrame:
+    """Catalogue (id, kind, label, definition, source): label or `--`, definition or `--`.
+
+    All that match, in no order, unless a `limit` is stated: then the first by id and source, with
+    the number of all that match in `total`. `width` cuts definitions for display."""
     rows = index.attributes.where(
         F.col("prop").isin(["rdf:type", *K.LISTING_DEFINITIONS]))
     facts = rows.groupBy("id", "source", "data_source").agg(
@@ -352,11 +356,14 @@ def list_resources(index: Index, kind: str | None = None, match: str | None = No
         out = out.where(F.col("kind") == names[kind.lower()])
     label = F.when((F.coalesce("label", F.lit("")) == "") | (F.col("label") == F.col("id")),
                    "--").otherwise(F.col("label"))
-    text = (F.when(F.col("text").isNull(), "--")
-            .when(F.length("text") > 80, F.concat(F.substring("text", 1, 77), F.lit("...")))
-            .otherwise(F.col("text")))
-    return (out.select("id", "kind", label.alias("label"), text.alias("definition"), "source")
-            .orderBy("id", "source").limit(limit))
+    text = F.coalesce("text", F.lit("--"))
+    if width is not None:
+        text = F.when(F.length(text) > width, F.concat(F.substring(text, 1, width - 3), F.lit("..."))).otherwise(text)
+    found = out.select("id", "kind", label.alias("label"), text.alias("definition"), "source")
+    if limit is None:
+        return found
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy("id", "source").limit(limit).crossJoin(total)
 
 
 def resolve_subjects(subjects: DataFrame, entities: DataFrame) -> DataFrame:

@@ -103,7 +103,7 @@ def exists_flag(solutions: DataFrame, found: DataFrame, name: str) -> DataFrame:
 def values(solutions: DataFrame, var: str, items: list[str]) -> DataFrame:
     """Inline bindings of a bound variable."""
     bindings = literal_table(solutions.sparkSession, [(i,) for i in items], [var])
-    return solutions.join(F.broadcast(bindings), var, "left_semi")
+    return solutions.join(bindings, var, "left_semi")
 
 
 def is_iri(var: str) -> Column:

@@ -60,8 +60,11 @@ def immediate_parents(nodes: DataFrame, rows: DataFrame) -> DataFrame:
         "doc", "uri", "parent", F.col("place").cast("int"))
 
 
-def children(edges: DataFrame, limit: int = 200) -> DataFrame:
-    """(parent, child, place, omitted): first children by name, the rest counted."""
+def children(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """(parent, child, place, omitted): children by name; with a limit the first, the rest counted."""
+    if limit is None:
+        placed = running_number(edges.select("parent", "child"), ["parent"], "child", "place")
+        return placed.select("parent", "child", F.col("place").cast("int").alias("place"), F.lit(0).cast("long").alias("omitted"))
     first = top_per_group(edges, ["parent"], ["child"], limit, "place")
     counts = edges.groupBy("parent").agg(F.count(F.lit(1)).alias("_n"))
     return first.join(counts, "parent").select(

@@ -66,11 +66,3 @@ def stored(spark: SparkSession, key: str, build: Callable[[], DataFrame]) -> Dat
         _STORED[slot] = path
     return spark.read.parquet(_STORED[slot])
 
-
-def spread(frame: DataFrame) -> DataFrame:
-    """A small input that lies in few row groups, spread over the cores.
-
-    An input with a split per core or more stays as it is read.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
