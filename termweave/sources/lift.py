@@ -146,10 +146,15 @@ def attributes(spark: SparkSession, sf: str) -> DataFrame:
     return _union(frames)
 
 
+def order_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The order lines, dealt by order: the given file is a single row group, so one task reads it."""
+    return read(spark, sf, "lineitem").repartition("l_orderkey", "l_linenumber")
+
+
 @_kept
 def axioms(spark: SparkSession, sf: str) -> DataFrame:
     """One or more axiom rows per order line, as attribute rows of source `part`."""
-    line = read(spark, sf, "lineitem")
+    line = order_lines(spark, sf)
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     supplier = _term("supplier:S", "l_suppkey")
     fact = (
@@ -220,7 +225,7 @@ def index(spark: SparkSession, sf: str, with_axioms: bool = False) -> Index:
 
 def remarks(spark: SparkSession, sf: str) -> DataFrame:
     """A text per order line with one CURIE, one angle IRI, one bare IRI and a composite."""
-    line = read(spark, sf, "lineitem")
+    line = order_lines(spark, sf)
     text = F.concat(
         F.lit("see part:P"), F.col("l_partkey").cast("string"), F.lit(" from <" + DATA + "supplier/S"),
         F.col("l_suppkey").cast("string"), F.lit("> via " + DATA + "nation/N"),
