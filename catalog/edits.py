@@ -371,19 +371,37 @@ def check_edits(spark, sf):
     return issues.select("check", "severity", "subject", "message")
 
 
-@query("insert_terms", lifted("nodes", """
+INSERTED = """
 , a AS (SELECT uri AS anchor, doc, node_id, level, rdf_type, (node_id - 1000) // 10 AS k FROM nodes WHERE uri LIKE 'part:P%')
 , t AS (SELECT *, row_number() OVER (ORDER BY k) AS n FROM a WHERE k % 3 = 0 AND rdf_type IS NOT NULL)
-SELECT 'ex:N' || lpad(CAST(n AS VARCHAR), 6, '0') AS id, 'new ' || k AS label, doc, node_id AS parent_id, level + 1 AS level, anchor
-FROM t"""))
-def insert_terms(spark, sf):
+, new AS (SELECT 'ex:N' || lpad(CAST(n AS VARCHAR), 6, '0') AS id, 'new ' || k AS label, doc, node_id AS parent_id, level + 1 AS level, anchor, k
+  FROM t)"""
+
+
+def inserted(spark, sf):
     """Terms below every third part; where parts have no kind the anchor is refused."""
     nodes = outlines.nodes(spark, sf)
     wanted = part_ids(spark, sf, lambda k: k % 3 == 0).select(
         F.col("k").alias("ord"), F.col("id").alias("anchor"), F.concat(F.lit("new "), F.col("k").cast("string")).alias("label"))
     typed = nodes.where("uri LIKE 'part:P%' AND rdf_type IS NULL").select(F.col("uri").alias("anchor"))
     new, _refusals = K.insert_terms(wanted.join(typed, "anchor", "left_anti"), nodes, "counter", "ex", True, template="N000000")
-    return new.select("id", "label", "doc", "parent_id", "level", "anchor")
+    return new
+
+
+@query("insert_terms", lifted("nodes", INSERTED + " SELECT id, label, doc, parent_id, level, anchor FROM new"))
+def insert_terms(spark, sf):
+    return inserted(spark, sf).select("id", "label", "doc", "parent_id", "level", "anchor")
+
+
+@query("with_inserted", lifted("nodes rows", INSERTED + """
+, last AS (SELECT doc, max(p) AS m FROM (SELECT doc, node_id AS p FROM nodes UNION ALL SELECT doc, row_id FROM rows) GROUP BY doc)
+SELECT doc, node_id, parent_id, level, uri, title FROM nodes
+UNION ALL SELECT doc, m + row_number() OVER (PARTITION BY doc ORDER BY k), parent_id, level, id, label || ' (' || id || ')' FROM new JOIN last USING (doc)"""))
+def with_inserted(spark, sf):
+    """All nodes, the new terms last below their anchors."""
+    nodes = outlines.nodes(spark, sf)
+    out = K.with_inserted(inserted(spark, sf), nodes, outlines.rows(spark, sf))
+    return out.select("doc", "node_id", "parent_id", "level", "uri", "title")
 
 
 @query("row_template", lifted("nodes rows", """

@@ -45,9 +45,9 @@ def query_result_source(spark, sf):
     return tables.ingest_table(frame, F.col("n_nationkey"), ["id", "label", "region"]).drop("seq")
 
 
-@query("query_result_has_rows", "SELECT count(*) > 0 AS has_rows FROM nation WHERE n_nationkey > 1000")
+@query("query_result_has_rows", "SELECT count(*) > 0 AS has_rows FROM documents WHERE n_chars > 5000 AND lang IS NOT NULL")
 def query_result_has_rows(spark, sf):
-    return tables.has_rows(lift.read(spark, sf, "nation").where("n_nationkey > 1000"))
+    return tables.has_rows(lift.read(spark, sf, "documents").where("n_chars > 5000 AND lang IS NOT NULL"))
 
 
 def delimited_lines(spark, sf, sep):
@@ -212,6 +212,38 @@ def harvest_prefixes(spark, sf):
     return tables.harvest_prefixes(lines)
 
 
+TERM_LINES = """
+SELECT 'part:P' || p_partkey AS id, p_name || chr(10) || 'in, ' || p_brand AS label, 'ex:size' AS prop, CAST(p_size AS VARCHAR) AS value FROM part WHERE p_size IS NOT NULL
+UNION ALL SELECT 'part:P' || p_partkey, p_name || chr(10) || 'in, ' || p_brand, 'ex:note', 'say "' || p_type || '"' || chr(10) || chr(10) || '| end' FROM part"""
+
+
+def broken_lines(spark, sf, sep):
+    """Parts as delimited text whose quoted fields hold line breaks, quotes and separators."""
+    def quoted(text):
+        return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+    name = F.concat("p_name", F.lit("\nin, "), "p_brand")
+    note = F.concat(F.lit('say "'), "p_type", F.lit('"\n\n| end'))
+    size = F.coalesce(F.col("p_size").cast("string"), F.lit(""))
+    record = F.concat_ws(sep, F.concat(F.lit("part:P"), F.col("p_partkey").cast("string")), quoted(name), size, quoted(note))
+    rows = lift.read(spark, sf, "part").select(F.concat(F.lit("f"), (F.col("p_partkey") % 5).cast("string")).alias("doc"),
+                                               F.col("p_partkey").alias("ord"), record.alias("text"))
+    heads = rows.select("doc").distinct().select("doc", F.lit(-1).cast("long").alias("ord"), F.lit(sep.join(["id", "label", "ex:size", "ex:note"])).alias("text"))
+    return heads.union(rows)
+
+
+@query("read_delimited_breaks", TERM_LINES)
+def read_delimited_breaks(spark, sf):
+    folder = text_files(spark, f"breaks:{sf}", broken_lines(spark, sf, ","))
+    return readers.read_delimited(spark, folder, ",").select("id", "label", "prop", "value")
+
+
+@query("read_delimited_bars", TERM_LINES)
+def read_delimited_bars(spark, sf):
+    folder = text_files(spark, f"bars:{sf}", broken_lines(spark, sf, "|"))
+    return readers.read_delimited(spark, folder, "|").select("id", "label", "prop", "value")
+
+
 @query("ingest_dir", WIDE + " SELECT id, label, prop, value, lang FROM r")
 def ingest_dir(spark, sf):
     folder = text_files(spark, f"tsv:{sf}", delimited_lines(spark, sf, "\t"))

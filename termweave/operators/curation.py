@@ -541,8 +541,8 @@ def insert_tree(paths: DataFrame, prefix: str, names: DataFrame) -> DataFrame:
         F.array_join(F.expr("slice(path, 1, at + 1)"), "\u001f").alias("key"),
         F.array_join(F.expr("slice(path, 1, at)"), "\u001f").alias("up"))
     first = steps.groupBy("key").agg(
-        F.min(F.col("ord") * 64 + F.col("level")).alias("ord"), F.first("label").alias("label"),
-        F.first("up").alias("up"), F.first("level").alias("level"))
+        F.min("ord").alias("_first"), F.first("label").alias("label"), F.first("up").alias("up"), F.first("level").alias("level"))
+    first = running_number(first, [], "_first", "ord", ties=["level"]).drop("_first")
     ids = cut(first.join(mint_batch(first.select("ord", "label"), "slug", prefix, names), "ord"))
     parents = ids.select(F.col("key").alias("up"), F.col("id").alias("parent"))
     return ids.join(parents, "up", "left").select("id", "parent", "label", "level")

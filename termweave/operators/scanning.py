@@ -175,8 +175,9 @@ def find_references(ids: DataFrame, parsed: DataFrame, nodes: DataFrame,
     """
     rows = parsed.where("is_heading") if definitions_only else parsed
     wanted = ids.select("id").distinct()
-    hits = occurrences(rows, ["doc", "ord", "node_id", "text", "is_heading"], "text", wanted)
-    hits = hits.select("id", "doc", "ord", "node_id", "text", "is_heading").distinct()
+    # Texts are cut up with their place alone; the few lines that hold an id are joined back.
+    hits = occurrences(rows, ["doc", "ord"], "text", wanted).select("id", "doc", "ord").distinct()
+    hits = hits.join(rows.select("doc", "ord", "node_id", "text", "is_heading"), ["doc", "ord"])
     titles = nodes.select("doc", "node_id", F.col("title").alias("heading"))
     return hits.join(titles, ["doc", "node_id"], "left").select(
         "id", "doc", "ord", "heading", "is_heading", F.trim("text").alias("context"))
