@@ -27,7 +27,7 @@ DIMENSION = 64
 CENTROIDS = 40
 ROUNDS = 5
 SEED = 2
-LARGEST = 1 << 26  # components below this keep every distance of up to 256 of them within 64 bits
+LARGEST = 1 << 27  # components below this keep distances of 64 of them within 64 bits
 
 STATE = "vec_id long, v array<int>, dots array<long>, cluster int, distance long"
 RESULT = ("vec_id long, cluster int, distance long, cluster_inertia long, inertia long, "
@@ -107,7 +107,7 @@ def cluster_vectors(vectors: DataFrame, k: int = CENTROIDS, rounds: int = ROUNDS
     Each kept row is a vector of its own, also where its vec_id is repeated or NULL. With fewer
     than `k` vectors every one is a centroid; without any there are no rows and no centroids.
     Equal distances go to the smaller number; a centroid without vectors stays. A component of
-    2^26 or more in size after scaling is an error, as distances would leave 64 bits.
+    2^27 or more in size after scaling is an error, as distances would leave 64 bits.
     """
     spark = vectors.sparkSession
     kept_path = new_path(spark, "vectors")
