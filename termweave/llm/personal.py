@@ -334,7 +334,7 @@ def accept(kind: int, text: str) -> bool:
         return bool(user.strip()) and bool(DOMAIN.fullmatch(host.strip())) and not re.search(r"\s\S+\s", text.replace("@", ""))
     if kind == 1:
         parts = re.split(r"\s*\.\s*", text)
-        return len(parts) == 4 and all(p.isdigit() and len(p) < 4 and int(p) < 256 for p in parts)
+        return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) < 256 for p in parts)
     if kind == 2:
         return 16 <= len(digits) <= 19 and _luhn(digits) and not re.search(r"[^\W\d_]", text)
     return 8 <= len(digits) <= 15 and bool(re.fullmatch(r"[(+]?[0-9][\x20()./0-9-]+[0-9]", text)) and len(digits) < len(text)

@@ -46,7 +46,8 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*[F.lit(k) for k in personal.KINDS])
     line = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(
         ":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == k)).cast("long").alias(f"n_{name}")  # noqa: B023
               for k, name in enumerate(personal.KINDS)]
     return found.select("doc_id", *counts, F.sha2(line(F.col("base")), 256).alias("base_sha256"), line(F.col("all")).alias("spans"),
                         (F.size("all") - F.size("base")).cast("long").alias("n_added"))

@@ -243,6 +243,17 @@ def test_personal_spans(spark, docs, none):
     assert personal.find_personal(none).count() == 0
 
 
+def test_personal_counts(spark, tmp_path):
+    texts = ["a@b.c d@e.f g@h.i", "1.2.3.4 mail a@b.c 5.6.7.8", "+1 (234) 567 890", "4111 1111 1111 1111 and +12345678901, x@y.z", "none", None,
+             "a@b.c 1.2.3.4 4111111111111111 +1 (234) 567 890 a@b.c 1 . 2 . 3 . \u00b2"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for r in queries.op5_personal_data(spark, str(tmp_path)).collect():
+        spans = brute_spans(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in spans) for k in range(4)]
+        assert r.base_sha256 == hashlib.sha256(personal.joined(spans).encode()).hexdigest()
+    assert not personal.accept(1, "1.2.3.\u00b2") and personal.accept(1, "1 . 2 . 3 . 4")
+
+
 def test_tagger_learns_other_spellings():
     draw = np.random.default_rng(1)
     num = lambda n: "".join(map(str, draw.integers(0, 10, n)))
