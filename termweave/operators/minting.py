@@ -18,6 +18,7 @@ TYPE_LETTERS = {"class": "C", "annotation-property": "A", "object-property": "R"
 CHECK_VALUES = K.BASE32 + "abcdefghijklmnopqrstuvwxyz" + "ILOU"
 EPOCH = "2020-01-01"
 SPACE = 1 << 20  # names of four drawn characters
+DAYS = 1 << 20  # days that four characters can tell
 STEP = 648_391  # odd, so that multiples of it run through all of the space
 
 
@@ -127,12 +128,13 @@ def mint_checked(labels: DataFrame, prefix: str, kind: str, existing: DataFrame,
                  salt: str = "", with_slug: bool = False) -> DataFrame:
     """(ord, id): type letter, optional slug, day, four drawn characters, check character.
 
-    Four characters are a million names a day, letter and slug; all of them can be given out.
+    Four characters are a million names a day, letter and slug; all of them are given out, and
+    what a batch has beyond them takes the names of the days after.
     """
     letter = TYPE_LETTERS.get(kind)
     if letter is None:
         raise ValueError(f"no type letter for kind {kind!r}")
-    days = F.datediff(day, F.lit(EPOCH).cast("date"))
+    first_day = F.datediff(day, F.lit(EPOCH).cast("date"))
     taken = existing.where(I.curie_prefix(F.col("id")) == prefix).select("id")
     # Numbers are dealt without replacement: the rows of a slug are numbered, and the numbers
     # run through the space in an order of their own, so only ids that exist make a row draw again.
@@ -143,12 +145,13 @@ def mint_checked(labels: DataFrame, prefix: str, kind: str, existing: DataFrame,
         placed = running_number(open_, ["_slug"], "ord", "_n", ["label"])
         place = F.col("_base") + F.col("_n") - 1
         draw = F.pmod(place * STEP + F.pmod(F.xxhash64(F.lit(salt), "_slug"), F.lit(SPACE)), F.lit(SPACE))
+        days = first_day + F.floor(place / SPACE)
         core = F.concat(F.lit(letter + "_"), F.col("_slug"), base32(days, 4), base32(draw, 4))
         last = F.substring(F.lit(K.BASE32), F.pmod(-check_sum(F.col("_core")), F.lit(32)) + 1, F.lit(1))
-        drawn = cut(placed.withColumn("_place", place).withColumn("_core", core).withColumn(
+        drawn = cut(placed.withColumn("_days", days).withColumn("_core", core).withColumn(
             "id", F.concat(F.lit(prefix + ":"), "_core", last)).drop("_core", "_n"))
-        if not drawn.where(F.col("_place") >= SPACE).isEmpty():
-            raise RuntimeError("more terms of one slug than numbers; use slugs or another day")
+        if not drawn.where((F.col("_days") < 0) | (F.col("_days") >= DAYS)).isEmpty():
+            raise RuntimeError(f"a day is four characters: from {EPOCH}, {DAYS} days")
         won = drawn.join(taken, "id", "left_anti").select("ord", "id")
         done = won if done is None else done.unionByName(won)
         used = drawn.groupBy("_slug").agg(F.count("*").alias("_used"))

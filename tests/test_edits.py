@@ -112,3 +112,14 @@ def test_checked_ids_survive_a_crowded_day(spark):
     assert (row.n, row.ok) == (5000, True)
     changed = ids.withColumn("id", F.concat(F.substring("id", 1, 13), F.lit("0")))
     assert I.verify_ids(changed, "acme").where("valid").count() < 400
+
+
+def test_checked_ids_go_on_after_a_full_day(spark, monkeypatch):
+    monkeypatch.setattr(I, "SPACE", 256)
+    frame = spark.range(0, 1000).select(F.col("id").alias("ord"), F.lit("x").alias("label")).repartition(3)
+    existing, day = spark.createDataFrame([("ex:none",)], "id string"), F.lit("2024-01-01").cast("date")
+    ids = I.mint_checked(frame, "ex", "class", existing, day)
+    both = ids.union(I.mint_checked(frame, "ex", "class", ids.select("id"), day))
+    row = I.verify_ids(both, "acme").agg(F.countDistinct("id").alias("n"), F.bool_and("valid").alias("ok"),
+                                         F.countDistinct(F.substring("id", 6, 4)).alias("days")).first()
+    assert (row.n, row.ok, row.days) == (2000, True, 8)
