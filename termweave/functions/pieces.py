@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from termweave.functions.text import EDIT_NAME
 from termweave.plans.cut import cut
 
+# Fixed value: ids that may be sent to every task; a broadcast is sized by compressed files, in
+# which names that differ by a number take next to nothing.
+FEW_IDS = 50_000
+
 _PIECE = rf"[{EDIT_NAME}]+|[^{EDIT_NAME}]"
 
 
@@ -47,6 +51,8 @@ def occurrences(rows: DataFrame, keys: list[str], text_col: str, ids: DataFrame,
     names), whatever the number of ids.
     """
     ids = cut(ids)
+    if ids.count() > FEW_IDS:
+        ids = ids.hint("merge")
     sizes = ids.agg(F.sort_array(F.collect_set(F.size(pieces(F.col(id_col)))))).scalar()
     sliced = rows.select(*keys, pieces(F.col(text_col)).alias("_p")).withColumn("_sizes", sizes)
     offered = sliced.select(*keys, F.inline(_rows_of(F.col("_p"), F.col("_sizes"))))

@@ -99,14 +99,15 @@ def rewrite_column(frame: DataFrame, keys: list[str], col: str, changes: DataFra
     """The frame with whole-token names of `col` rewritten, and `_changed`: how many.
 
     A full IRI counts only in angles or between spaces. Only texts that hold a name are
-    taken apart; their changes come back per text.
+    taken apart; their changes come back per text, as many as there are texts, so they are
+    never broadcast.
     """
     hits = occurrences(frame.where(F.contains(F.col(col), F.lit(":"))), keys, col, changes, around=True)
     bounded = F.col("before").rlike(r"^[<\s]?$") & F.col("next").rlike(r"^[>\s]?$")
     hits = hits.where(~F.col("is_iri") | bounded)
     per_text = hits.groupBy(*keys).agg(F.collect_list(F.struct("at", "n", "new")).alias("_c"))
     p = pieces(F.col(col))
-    return (frame.join(per_text, keys, "left")
+    return (frame.join(per_text.hint("merge"), keys, "left")
             .withColumn("_changed", F.when(F.col("_c").isNull(), 0).otherwise(applied_changes(p, F.col("_c"))))
             .withColumn(col, F.when(F.col("_c").isNull(), F.col(col)).otherwise(rewritten(p, F.col("_c"))))
             .drop("_c"))

@@ -42,3 +42,16 @@ def test_written_tables_are_released(spark):
     frame = cut(spark.range(5).toDF("n"))
     assert frame.count() == 5 and release(spark) >= 1
     assert release(spark) == 0
+
+
+def final_plan(spark, name):
+    """The plan as it ran, with the joins that adaptive execution changed."""
+    frame = catalog.QUERIES[name](spark, SF)
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+# A broadcast is sized by compressed bytes, so a side that grows with the input is never one.
+@pytest.mark.parametrize("name, join", [("rename_iris", r"SortMergeJoin \[k#\d+L\], \[k#\d+L\], LeftOuter")])
+def test_growing_sides_are_not_broadcast(spark, name, join):
+    assert re.search(join, final_plan(spark, name))
