@@ -360,8 +360,8 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     `rows` is (id, row_id, keyword, value). Edits apply in order of edit_no: `add`;
     `replace` and `delete` of the one row of the keyword (whose value is `match`, when
     given, up to white space); `delete-empty` of all blank rows. None or several matches
-    are an error, and any error voids the batch, so errors are judged as if all edits
-    before had worked.
+    are an error, and errors are judged as if all edits before had worked. An edit that is an
+    error changes no row; callers that void a batch with errors ask for them first.
 
     No edit is replayed. An edit without `match` leaves exactly its own row, so it opens a
     new segment of its (id, keyword); within a segment the rows of one value live by a
@@ -417,7 +417,7 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     ops = e.select("edit_no", "op", "fragment")
     links = takers.select(F.col("taker").alias("edit_no"), "maker").unionByName(loose.select("edit_no", "maker"))
-    links = links.join(ops, "edit_no").select(
+    links = links.join(errors.select("edit_no"), "edit_no", "left_anti").join(ops, "edit_no").select(
         F.col("maker").alias("token"),
         F.when(F.col("op") == "replace", own).otherwise(F.lit("gone")).alias("next")).where("token IS NOT NULL")
     dead = events.where("delta = 1").join(last.withColumnRenamed("epoch", "_last"), [*key, "seg", "v"]).where(

@@ -123,3 +123,15 @@ def test_checked_ids_go_on_after_a_full_day(spark, monkeypatch):
     row = I.verify_ids(both, "acme").agg(F.countDistinct("id").alias("n"), F.bool_and("valid").alias("ok"),
                                          F.countDistinct(F.substring("id", 6, 4)).alias("days")).first()
     assert (row.n, row.ok, row.days) == (2000, True, 8)
+
+
+def test_edits_that_cannot_work_change_nothing(spark):
+    rows = spark.createDataFrame([("a", 1, "T", "x"), ("a", 2, "T", "y"), ("b", 3, "T", "x"), ("c", 4, "T", "z"), ("c", 5, "T", " z")],
+                                 "id string, row_id long, keyword string, value string")
+    edits = spark.createDataFrame([(1, "a", "delete", "T", None, None), (2, "b", "replace", "T", "new", "none"), (3, "b", "add", "T", "w", None),
+                                   (4, "c", "replace", "T", "v", "z"), (5, "b", "delete", "T", None, "x")],
+                                  "edit_no long, id string, op string, keyword string, fragment string, match string")
+    out, errors = K.edit_rows(edits, rows)
+    assert {r.edit_no for r in errors.collect()} == {1, 2, 4}
+    assert sorted((r.id, r.row_id, r.value) for r in out.collect()) == [
+        ("a", 1, "x"), ("a", 2, "y"), ("b", 3, "w"), ("c", 4, "z"), ("c", 5, " z")]
