@@ -143,7 +143,9 @@ def borrow_candidates(spark, sf):
     CASE WHEN source = 'supply' THEN id ELSE label END AS label, source, ontology_iri, ontology_title FROM cite)
 SELECT id, starts_with(id, ':') AS default_prefix, coalesce(label, '') = '' OR label = id AS label_missing,
   CASE WHEN coalesce(label, '') <> '' AND label <> id THEN label END AS label,
-  CASE WHEN starts_with(id, ':') THEN 'http://d/' END AS namespace, ontology_iri AS is_defined_by FROM c"""))
+  CASE WHEN coalesce(label, '') <> '' AND label <> id THEN label ELSE substr(id, instr(id, ':') + 1) END AS heading_label,
+  CASE WHEN starts_with(id, ':') THEN 'http://d/' END AS namespace,
+  CASE WHEN starts_with(id, ':') THEN 'd' END AS suggested_prefix, ontology_iri AS is_defined_by FROM c"""))
 def borrow_flags(spark, sf):
     idx = lift.index(spark, sf)
     cited = R.entity_citation(idx.entities.select("id"), idx)

@@ -192,14 +192,18 @@ def borrow_flags(citations: DataFrame, index: Index) -> DataFrame:
     """What has to be settled before a cited term is borrowed, as flags; gaps stay NULL.
 
     default_prefix: the id has the empty prefix, so a prefix must be chosen; `namespace` is then
-    what its source binds to that prefix. label_missing: there is none but the id itself.
+    what its source binds to that prefix, and `suggested_prefix` the word that this ends in, in lower case.
+    label_missing: there is none but the id itself; `heading_label` is then the local name.
     is_defined_by: the ontology of the term's source.
     """
     empty = index.prefixes.where(F.col("prefix") == "").groupBy("source", "data_source").agg(
         F.min("expansion").alias("namespace"))
     bare = F.col("id").rlike("^:[^:]")
+    word = F.lower(F.regexp_extract("namespace", r"([A-Za-z][A-Za-z0-9_-]*)[^A-Za-z0-9_-]*$", 1))
     no_label = F.coalesce(F.trim("label").isin("") | (F.col("label") == F.col("id")), F.lit(True))
     return citations.join(empty, ["source", "data_source"], "left").select(
-        "id", bare.alias("default_prefix"), F.when(bare, F.col("namespace")).alias("namespace"),
-        no_label.alias("label_missing"), F.when(~no_label, F.col("label")).alias("label"),
+        "id", bare.alias("default_prefix"), no_label.alias("label_missing"), F.when(~no_label, F.col("label")).alias("label"),
+        F.when(no_label, I.local_name(F.col("id"))).otherwise(F.col("label")).alias("heading_label"),
+        F.when(bare, F.col("namespace")).alias("namespace"),
+        F.when(bare & (word != ""), word).alias("suggested_prefix"),
         F.col("ontology_iri").alias("is_defined_by"))

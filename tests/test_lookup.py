@@ -5,6 +5,7 @@ import pytest
 from termweave.model import Index
 from termweave.operators import identifiers as P
 from termweave.operators import lookup as L
+from termweave.operators import search as R
 from termweave.sources.lift import global_prefixes
 
 
@@ -75,3 +76,12 @@ def test_a_source_owns_the_whole_view(spark):
     ids = spark.createDataFrame([("a",)], "id string")
     rows = L.get_all_attrs(ids, idx, [("A", ""), ("B", "")]).collect()
     assert [(r.prop, r.value, r.source) for r in rows] == [("p", "1", "A")]
+
+
+def test_borrowed_terms_get_heading_and_prefix(spark):
+    idx = index(spark, prefixes=[("A", "", "", "http://x.org/Pets#"), ("B", "", "", "urn:9/")])
+    cited = spark.createDataFrame([(":dog", None, "A"), (":cat", "Cat", "A"), ("ex:ant", "ex:ant", "A"), (":bee", "Bee", "B"), (":cow", " ", "C")],
+                                  "id string, label string, source string").selectExpr("*", "'' AS data_source", "'http://o' AS ontology_iri")
+    got = {r.id: (r.heading_label, r.namespace, r.suggested_prefix) for r in R.borrow_flags(cited, idx).collect()}
+    assert got == {":dog": ("dog", "http://x.org/Pets#", "pets"), ":cat": ("Cat", "http://x.org/Pets#", "pets"), "ex:ant": ("ant", None, None),
+                   ":bee": ("Bee", "urn:9/", None), ":cow": ("cow", None, None)}
