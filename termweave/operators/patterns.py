@@ -86,11 +86,12 @@ def optional(solutions: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def exists(solutions: DataFrame, found: DataFrame) -> DataFrame:
-    return solutions.join(found, _shared(solutions, found), "left_semi")
+    """Both sides grow with the graph, so neither is broadcast."""
+    return solutions.join(found.hint("merge"), _shared(solutions, found), "left_semi")
 
 
 def not_exists(solutions: DataFrame, found: DataFrame) -> DataFrame:
-    return solutions.join(found, _shared(solutions, found), "left_anti")
+    return solutions.join(found.hint("merge"), _shared(solutions, found), "left_anti")
 
 
 def exists_flag(solutions: DataFrame, found: DataFrame, name: str) -> DataFrame:

@@ -52,6 +52,10 @@ def final_plan(spark, name):
 
 
 # A broadcast is sized by compressed bytes, so a side that grows with the input is never one.
-@pytest.mark.parametrize("name, join", [("rename_iris", r"SortMergeJoin \[k#\d+L\], \[k#\d+L\], LeftOuter")])
+@pytest.mark.parametrize("name, join", [
+    ("rename_iris", r"SortMergeJoin \[k#\d+L\], \[k#\d+L\], LeftOuter"), ("exists", r"SortMergeJoin \[\w+#\d+\], \[\w+#\d+\], LeftSemi"),
+    ("not_exists", r"SortMergeJoin \[\w+#\d+\], \[\w+#\d+\], LeftAnti"),
+    ("attributes_of_distinct", r"SortMergeJoin \[id#\d+\], \[id#\d+\], LeftSemi"),
+    ("edit_rows", r"SortMergeJoin \[end#\d+\], \[end#\d+\], LeftOuter")])
 def test_growing_sides_are_not_broadcast(spark, name, join):
     assert re.search(join, final_plan(spark, name))
