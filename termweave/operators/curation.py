@@ -366,7 +366,8 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     No edit is replayed. An edit without `match` leaves exactly its own row, so it opens a
     new segment of its (id, keyword); within a segment the rows of one value live by a
     running sum of what is added and taken. Values taken when the sum is one belong to the
-    latest row added, which links each edit to the row it changes.
+    latest row added, which links each edit to the row it changes. All sides of the joins grow
+    with the batch, so none is broadcast.
     """
     key = ["id", "keyword"]
     e = edits.withColumn("nf", normal_space(F.col("match"))).withColumn(
@@ -407,29 +408,29 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     errors = wrong.select("edit_no", F.when(F.col("alive") < 0, "no matching row").otherwise(
         "several matching rows").alias("reason"))
     last = events.groupBy(*key, "seg", "v").agg(F.max("epoch").alias("epoch"))
-    ends = events.join(last, [*key, "seg", "v", "epoch"]).groupBy(*key, "seg", "v").agg(
+    ends = events.join(last.hint("merge"), [*key, "seg", "v", "epoch"]).groupBy(*key, "seg", "v").agg(
         F.sum("delta").alias("n"), F.max_by("token", F.when(F.col("delta") == 1, F.struct("t", "token"))).alias("maker"))
     totals = ends.groupBy(*key, "seg").agg(F.sum("n").alias("total"),
                                            F.max_by("maker", "n").alias("maker"))
-    loose = e.where("loose").select(*key, "seg", "edit_no", "op").join(totals, [*key, "seg"], "left")
+    loose = e.where("loose").select(*key, "seg", "edit_no", "op").join(totals.hint("merge"), [*key, "seg"], "left")
     errors = errors.unionByName(loose.where("coalesce(total, 0) <> 1").select("edit_no", F.when(
         F.coalesce("total", F.lit(0)) < 1, "no matching row").otherwise("several matching rows").alias("reason")))
 
     ops = e.select("edit_no", "op", "fragment")
     links = takers.select(F.col("taker").alias("edit_no"), "maker").unionByName(loose.select("edit_no", "maker"))
-    links = links.join(errors.select("edit_no"), "edit_no", "left_anti").join(ops, "edit_no").select(
+    links = links.join(errors.select("edit_no").hint("merge"), "edit_no", "left_anti").join(ops.hint("merge"), "edit_no").select(
         F.col("maker").alias("token"),
         F.when(F.col("op") == "replace", own).otherwise(F.lit("gone")).alias("next")).where("token IS NOT NULL")
-    dead = events.where("delta = 1").join(last.withColumnRenamed("epoch", "_last"), [*key, "seg", "v"]).where(
+    dead = events.where("delta = 1").join(last.withColumnRenamed("epoch", "_last").hint("merge"), [*key, "seg", "v"]).where(
         F.col("epoch") < F.col("_last")).select("token", F.lit("gone").alias("next")).join(
-        links.select("token"), "token", "left_anti")
+        links.select("token").hint("merge"), "token", "left_anti")
     final = _chain_ends(links.unionByName(dead).groupBy("token").agg(F.max("next").alias("next")))
     texts = e.select(own.alias("end"), F.col("fragment").alias("_text"))
     added = e.where("op = 'add'").select("id", no.alias("row_id"), "keyword", F.col("fragment").alias("value"),
                                          own.alias("token"), F.lit(1).alias("added"))
     base = rows.select("id", "row_id", "keyword", "value", row_token.alias("token"), F.lit(0).alias("added"))
-    out = base.unionByName(added).join(final, "token", "left").where("coalesce(end, '') <> 'gone'").join(
-        texts, "end", "left")
+    out = base.unionByName(added).join(final.hint("merge"), "token", "left").where("coalesce(end, '') <> 'gone'").join(
+        texts.hint("merge"), "end", "left")
     result = out.select("id", "added", "row_id", "keyword", F.coalesce("_text", "value").alias("value"))
     return result, errors
 
@@ -439,7 +440,7 @@ def _chain_ends(links: DataFrame) -> DataFrame:
     state = cut(links.select("token", F.col("next").alias("end")))
     for _ in range(MAX_ROUNDS):
         nxt = state.select(F.col("token").alias("end"), F.col("end").alias("far"))
-        longer = cut(state.join(nxt, "end", "left").select("token", F.coalesce("far", "end").alias("end"), "far"))
+        longer = cut(state.join(nxt.hint("merge"), "end", "left").select("token", F.coalesce("far", "end").alias("end"), "far"))
         state = longer.select("token", "end")
         if longer.where("far IS NOT NULL").isEmpty():
             return state
