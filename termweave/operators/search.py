@@ -52,41 +52,65 @@ def filtered(index: Index, kind: str | None, source: str | None, lang: str | Non
 
 
 def _grams(text: Column, size: Column) -> Column:
-    """Distinct substrings of the given size; [''] for size 0."""
+    """Distinct substrings of the given size; [''] for size 0, none of a shorter text."""
     starts = F.sequence(F.lit(1), F.greatest(F.length(text) - size + 1, F.lit(1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, size)))
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(
+        starts, lambda i: F.substring(text, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
-def substring_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, id, label, source, data_source) where label or id is LIKE the query.
+def _gram_size(piece: Column) -> Column:
+    """The largest of 0, 1, 2, 3, 6, 12, 24 … that fits in the piece, so at least half of it."""
+    length = F.length(piece)
+    doubled = F.length(F.bin(F.floor(length / GRAM))) - 1
+    return F.when(length < GRAM, length).otherwise((F.lit(GRAM) * F.pow(F.lit(2), doubled)).cast("int"))
+
+
+def _offered(rows: DataFrame, sizes: Column) -> DataFrame:
+    """Every row with each gram of its label and id, in the given sizes."""
+    offered = rows.withColumn("_sizes", sizes).select(
+        *rows.columns, F.lower(F.coalesce("label", F.lit(""))).alias("_l"),
+        F.lower("id").alias("_i"), F.explode("_sizes").alias("_size"))
+    return offered.select("*", F.explode(F.array_union(
+        _grams(F.col("_l"), F.col("_size")), _grams(F.col("_i"), F.col("_size")))).alias("_gram"))
+
+
+def substring_candidates(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, _like, _l, _i, + columns of `rows`): the pairs that share the query's rarest gram.
 
-    LIKE against a table of patterns would be a nested loop. A row that matches holds every
-    literal piece of the pattern, so it holds each gram of that piece: the query probes with
-    its rarest gram, rows offer all of theirs, and LIKE decides among the pairs that met.
-    Rows offer only gram sizes some query needs. A query without a literal piece of three
-    letters probes with a shorter gram; one of wildcards alone meets every row.
+    A row that matches holds every literal piece of the pattern, so it holds each gram of that
+    piece: the query probes with the rarest gram of its longest piece, rows offer all of theirs.
+    A gram takes half of its piece or more: of names that differ by a number, three letters
+    would be shared by a fixed share of all rows, and the pairs grow with the square.
+    Rows offer only gram sizes some query needs. A query of wildcards alone meets every row.
     """
     wanted = queries.select("query").distinct().withColumn("_like", _pattern(F.col("query")))
     pieces = F.split(F.lower("query"), "[%_]")
     longest = F.element_at(F.array_sort(
         pieces, lambda a, b: F.length(b) - F.length(a)), 1)
-    sized = wanted.withColumn("_piece", longest).withColumn(
-        "_size", F.least(F.length("_piece"), F.lit(GRAM)))
+    sized = wanted.withColumn("_piece", longest).withColumn("_size", _gram_size(F.col("_piece")))
     probes = cut(sized.select("query", "_like", "_size",
                               F.explode(_grams(F.col("_piece"), F.col("_size"))).alias("_gram")))
-    sizes = sized.agg(F.collect_set("_size")).scalar()  # at most {0, 1, 2, 3}
-    offered = rows.withColumn("_sizes", sizes).select(
-        *rows.columns, F.lower(F.coalesce("label", F.lit(""))).alias("_l"),
-        F.lower("id").alias("_i"), F.explode("_sizes").alias("_size"))
-    offered = offered.select("*", F.explode(F.array_union(
-        _grams(F.col("_l"), F.col("_size")), _grams(F.col("_i"), F.col("_size")))).alias("_gram"))
-    counts = offered.join(probes.select("_size", "_gram").distinct(), ["_size", "_gram"],
-                          "left_semi").groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
-    # A gram nobody offers proves the query has no match, so the inner join is exact.
+    rows = rows.repartition("id")  # a file of many short names is small, but its grams are not
+    sizes = sized.agg(F.collect_set("_size")).scalar()  # 3 and one per doubling of the longest piece
+    counts = _offered(rows, sizes).join(
+        probes.select("_size", "_gram").distinct(), ["_size", "_gram"],
+        "left_semi").groupBy("_size", "_gram").agg(F.count(F.lit(1)).alias("_n"))
+    # A gram nobody offers proves that the query has no match.
     chosen = cut(probes.join(counts, ["_size", "_gram"], "left")
                  .groupBy("query", "_like", "_size")
-                 .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram")))
-    return (offered.join(chosen, ["_size", "_gram"])
+                 .agg(F.min_by("_gram", F.struct(F.coalesce("_n", F.lit(0)), "_gram")).alias("_gram"),
+                      F.min(F.coalesce("_n", F.lit(0))).alias("_n")).where("_n > 0").drop("_n"))
+    sizes = F.coalesce(chosen.agg(F.collect_set("_size")).scalar(), F.array().cast("array<int>"))
+    return _offered(rows, sizes).join(chosen, ["_size", "_gram"]).select(
+        "query", "_like", "_l", "_i", *rows.columns)
+
+
+def substring_matches(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """(query, id, label, source, data_source) where label or id is LIKE the query.
+
+    LIKE against a table of patterns would be a nested loop, so it decides among the candidates.
+    """
+    return (substring_candidates(queries, rows)
             .where(F.like(F.col("_l"), F.col("_like")) & F.col("label").isNotNull()
                    | F.like(F.col("_i"), F.col("_like")))
             .select("query", *rows.columns))

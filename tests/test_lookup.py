@@ -85,3 +85,23 @@ def test_borrowed_terms_get_heading_and_prefix(spark):
     got = {r.id: (r.heading_label, r.namespace, r.suggested_prefix) for r in R.borrow_flags(cited, idx).collect()}
     assert got == {":dog": ("dog", "http://x.org/Pets#", "pets"), ":cat": ("Cat", "http://x.org/Pets#", "pets"), "ex:ant": ("ant", None, None),
                    ":bee": ("Bee", "urn:9/", None), ":cow": ("cow", None, None)}
+
+
+def test_numbered_names_meet_few_rows(spark):
+    """Three letters of a name that differs by its number are shared by a fixed share of all rows."""
+    numbers = spark.range(4000).selectExpr("lpad(id, 9, '0') AS n")
+    rows = numbers.selectExpr("concat('x:C', n) AS id", "concat('Name#', n) AS label", "'A' AS source", "'' AS data_source")
+    queries = numbers.selectExpr("concat('Name#', n) AS query").union(spark.sql("SELECT 'zz:S' || id FROM range(4000)"))
+    assert R.substring_candidates(queries, rows).count() <= 10 * 4000
+    found = R.substring_matches(queries, rows)
+    assert found.count() == 4000 and found.where("query <> label").count() == 0
+
+
+@pytest.mark.parametrize("query, want", [
+    ("abcdefg", {1, 2}), ("abcdefghijklm", {2}), ("m", {2}), ("xy", {3}), ("%", {1, 2, 3}), ("ab%lm", set()), ("ab%lm%", {2}), ("%klm_", {2}), ("klm_%", set()),
+    ("abcdefghijklmnopqrstuvwxyz", set()), ("é", {3})])
+def test_substrings_of_every_length(spark, query, want):
+    rows = spark.createDataFrame([(1, "abcdefg"), (2, "ABCDEFGHIJKLM/"), (3, "éxy")], "n int, label string").selectExpr(
+        "n", "concat(':', n) AS id", "label", "'A' AS source", "'' AS data_source")
+    got = R.substring_matches(R.query_table(spark, [query]), rows)
+    assert {r.n for r in got.collect()} == want
