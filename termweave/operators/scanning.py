@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,9 +26,32 @@ _PASSES = [("angle-iri", re.compile(K.ANGLE_IRI, re.ASCII), 1),
            ("bare-iri", re.compile(K.BARE_IRI, re.ASCII), 0),
            ("curie", re.compile(K.CURIE_TOKEN, re.ASCII), 0)]
 
-
-def _scan(text: str, max_hits: int | None) -> list[tuple[str, int, int, str]]:
-    """Three passes; a hit that overlaps an earlier pass is dropped, not shortened."""
+# The three passes in one. An IRI starts where no name goes on, as a name stops before an IRI and
+# one that runs into it is none; and nothing that starts earlier covers an angle bracket.
+# A word that begins no identifier is taken whole, so no search restarts inside it.
+_ANGLE = K.ANGLE_IRI.replace("(", "").replace(")", "")
+_BARE = K.BARE_IRI + "+"
+_IRI_GOES_ON = K.BARE_IRI.removeprefix("h").removesuffix("+")
+_RUN = r"[-A-Za-gi-z0-9_./%:]*+"
+_NAME = (rf"(?:[A-Za-z][-A-Za-z0-9_.]*+)?+:(?=[A-Za-z_]){_RUN}(?:h(?!{_IRI_GOES_ON}){_RUN})*+"
+         rf"(?!h{_IRI_GOES_ON})")
+_WORD = r"[-A-Za-z0-9_.]++(?!:(?:[A-Za-z_]|//))"
+_KINDS = ["angle-iri", "bare-iri", "curie"]
+_ANY = re.compile(f"({_ANGLE})|({_BARE})|({_NAME})|{_WORD}", re.ASCII)
+
+
+def _spelled(pattern: str) -> str:
+    """The pattern with its classes spelled out: the JVM tests single characters in one step, and
+    ranges one after the other."""
+    for span, every in [(r"\x09-\x0D", r"\x09\x0A\x0B\x0C\x0D"), ("A-Z", string.ascii_uppercase),
+                        ("a-gi-z", string.ascii_lowercase.replace("h", "")), ("a-z", string.ascii_lowercase),
+                        ("0-9", string.digits)]:
+        pattern = pattern.replace(span, every)
+    return pattern
+
+
+def _scan(text: str, max_hits: int) -> list[tuple[str, int, int, str]]:
+    """Three passes up to a number of hits; one that overlaps an earlier pass is dropped, not shortened."""
     hits: list[tuple[str, int, int, str]] = []
     text = text.translate(_SPACES)
     taken = bytearray(len(text))
@@ -38,11 +62,20 @@ def _scan(text: str, max_hits: int | None) -> list[tuple[str, int, int, str]]:
                 continue
             taken[start:end] = b"\x01" * (end - start)
             hits.append((m.group(group), start, end, kind))
-            if max_hits is not None and len(hits) >= max_hits:
+            if len(hits) >= max_hits:
                 return sorted(hits, key=lambda h: h[1])
     return sorted(hits, key=lambda h: h[1])
 
 
+def _scan_all(text: str) -> Iterator[tuple[str, int, int, str]]:
+    if not text.isascii():
+        text = text.translate(_SPACES)
+    for m in _ANY.finditer(text):
+        if m.lastindex:
+            token, (start, end) = m[0], m.span()
+            yield token[1:-1] if m.lastindex == 1 else token, start, end, _KINDS[m.lastindex - 1]
+
+
 def scan_tokens(frame: DataFrame, keys: list[str], text_col: str,
                 max_hits: int | None = None) -> DataFrame:
     """(keys, token, start, end, kind) of every identifier, with character offsets."""
@@ -51,51 +84,37 @@ def scan_tokens(frame: DataFrame, keys: list[str], text_col: str,
                            T.StructField("start", T.IntegerType()),
                            T.StructField("end", T.IntegerType()),
                            T.StructField("kind", T.StringType())])
-    width = len(keys)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for row in batch.itertuples(index=False, name=None):
-                if row[width]:
-                    rows.extend((*row[:width], *hit) for hit in _scan(row[width], max_hits))
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
-
-    return frame.select(*keys, text_col).mapInPandas(run, schema)
-
-
-_MARK = "\u0001"
-
-
-def _tokens(text: Column) -> Column:
-    """(token, kind) of one text without offsets, inside the JVM.
-
-    A later pass must not find what an earlier pass covers, nor a shortened form of it: an
-    angle IRI is masked by characters no pattern matches; a bare IRI by a mark that a compact
-    name may run into, and names that did are dropped.
-    """
-    def pattern(p: str) -> Column:
-        return F.lit(p)
-
-    def tagged(found: Column, kind: str) -> Column:
-        return F.transform(found, lambda t: F.struct(t.alias("token"), F.lit(kind).alias("kind")))
-
-    text = F.translate(text, _MARK + K.OTHER_SPACES, "\u0002" + " " * len(K.OTHER_SPACES))
-    angle = F.regexp_extract_all(text, pattern(K.ANGLE_IRI), F.lit(1))
-    bare_text = F.regexp_replace(text, K.ANGLE_IRI, "<>")
-    bare = F.regexp_extract_all(bare_text, pattern(f"({K.BARE_IRI})"), F.lit(1))
-    name_text = F.regexp_replace(bare_text, K.BARE_IRI, _MARK)
-    # A word that no colon follows is taken whole, so no search restarts inside it.
-    running = K.CURIE_TOKEN.replace("%:]", f"%:{_MARK}]")
-    names = F.filter(
-        F.regexp_extract_all(name_text, pattern(f"({running})|[-A-Za-z0-9_.]++(?!:)"), F.lit(1)),
-        lambda t: (t != "") & ~F.contains(t, F.lit(_MARK)))
-    return F.concat(tagged(angle, "angle-iri"), tagged(bare, "bare-iri"), tagged(names, "curie"))
+            rows, hits = [], []
+            for at, text in enumerate(batch.column(len(keys)).to_pylist()):
+                if text:
+                    found = list(_scan_all(text) if max_hits is None else _scan(text, max_hits))
+                    rows.extend([at] * len(found))
+                    hits.extend(found)
+            if hits:
+                taken = pa.array(rows, pa.int64())
+                token, start, end, kind = zip(*hits)
+                yield pa.RecordBatch.from_arrays(
+                    [*[batch.column(i).take(taken) for i in range(len(keys))], pa.array(token, pa.string()),
+                     pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(kind, pa.string())],
+                    names=schema.fieldNames())
+
+    return frame.select(*keys, text_col).mapInArrow(run, schema)
 
 
 def extract_ids(frame: DataFrame, keys: list[str], text_col: str) -> DataFrame:
-    """(keys, token, kind): one row per identifier occurrence."""
-    return frame.select(*keys, F.inline(_tokens(F.col(text_col))))
+    """(keys, token, kind): one row per identifier occurrence, found inside the JVM without offsets."""
+    text = F.col(text_col)
+    text = F.when(F.length(text) == F.octet_length(text), text).otherwise(
+        F.translate(text, K.OTHER_SPACES, " " * len(K.OTHER_SPACES)))
+    found = F.regexp_extract_all(text, F.lit(_spelled(f"({_ANGLE}|{_BARE}|{_NAME})|{_WORD}")), F.lit(1))
+    hits = frame.select(*keys, F.explode(found).alias("token")).where("token <> ''")
+    angle, token = F.startswith("token", F.lit("<")), F.col("token")
+    kind = F.when(angle, _KINDS[0]).when(token.rlike("^https?://"), _KINDS[1]).otherwise(_KINDS[2])
+    return hits.select(*keys, F.when(angle, F.substring(token, F.lit(2), F.length(token) - 2)).otherwise(token).alias("token"),
+                       kind.alias("kind"))
 
 
 def known_tokens(tokens: DataFrame, index: Index, active: ActiveSources) -> DataFrame:

@@ -47,6 +47,20 @@ def test_native_extraction_agrees_with_spans(spark):
     assert sorted(map(tuple, spans.collect())) == sorted(map(tuple, plain.collect()))
 
 
+def test_one_pass_finds_what_three_find():
+    """Every hit of the three passes and no other, names that run into an IRI included."""
+    rng = random.Random(6)
+    bits = ["ex:", "a", "http://", "https://", "h", "htt", "://", "a/b", "<", ">", " ", ":", "x.y", "12", "-", "_q", ",", "ü", "\u00a0", "%", "\n", "\u0001", "'"]
+    for _ in range(60_000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))
+        assert list(S._scan_all(text)) == S._scan(text, 1 << 30), text
+
+
+def test_a_control_character_stays_in_its_identifier(spark):
+    rows = spark.createDataFrame([(1, "http://a/\u0001b")], "doc long, text string")
+    assert [r.token for r in S.extract_ids(rows, ["doc"], "text").collect()] == ["http://a/\u0001b"]
+
+
 @pytest.mark.parametrize("value, curie, check, edit", [
     ("ex:dog", "ex:dog", True, True), ("ex:dogfood", "ex:dog", False, False), ("a (ex:dog)", "ex:dog", True, True),
     ("ex:dog.", "ex:dog", False, True), ("ex:dog/x", "ex:dog", False, True), ("x:ex:dog", "ex:dog", True, False),
