@@ -153,7 +153,7 @@ def approx_token_stats(tokens: DataFrame, doc_col: str, rsd: float = 0.05) -> Da
 
 def unknown_tokens(tokens: DataFrame, index: Index, active: ActiveSources) -> DataFrame:
     """(token, hits) of tokens nobody defines, counted before they are looked up."""
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("hits"))
+    counts = cut(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("hits")))
     found = resolve_labels(counts, index, active).where("label IS NOT NULL")
     return counts.join(found.select("token"), "token", "left_anti")
 

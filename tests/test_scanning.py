@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from test_lookup import index as lookup_index
+
 from termweave.functions import text as X
 from termweave.operators import curation as K
 from termweave.operators import scanning as S
@@ -61,6 +63,21 @@ def test_a_control_character_stays_in_its_identifier(spark):
     assert [r.token for r in S.extract_ids(rows, ["doc"], "text").collect()] == ["http://a/\u0001b"]
 
 
+def test_texts_are_cut_up_once(spark):
+    """Counting unknown tokens goes through the texts once, not again for the counts."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame([(i, f"ex:a{i % 7} <http://b/{i}>") for i in range(100)], "doc long, text string").mapInArrow(
+        seen, "doc long, text string")
+    assert S.unknown_tokens(S.extract_ids(texts, ["doc"], "text"), lookup_index(spark), [("A", "")]).count() == 107
+    assert read.value == 100
+
+
 @pytest.mark.parametrize("value, curie, check, edit", [
     ("ex:dog", "ex:dog", True, True), ("ex:dogfood", "ex:dog", False, False), ("a (ex:dog)", "ex:dog", True, True),
     ("ex:dog.", "ex:dog", False, True), ("ex:dog/x", "ex:dog", False, True), ("x:ex:dog", "ex:dog", True, False),
