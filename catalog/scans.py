@@ -73,8 +73,8 @@ def scan_tokens(spark, sf):
 @query("known_tokens", lifted("entities lines", TOK + f"""
 SELECT token, kind, count(*) AS n FROM tok WHERE token IN (SELECT id FROM entities) GROUP BY token, kind"""))
 def known_tokens(spark, sf):
-    rows = S.known_tokens(tokens(spark, sf), lift.index(spark, sf), PAIRS)
-    return rows.groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
+    counts = tokens(spark, sf).groupBy("token", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return S.known_tokens(counts, lift.index(spark, sf), PAIRS)
 
 
 @query("label_tokens", lifted("entities lines", TOK + LAB + """

@@ -118,8 +118,12 @@ def extract_ids(frame: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 
 def known_tokens(tokens: DataFrame, index: Index, active: ActiveSources) -> DataFrame:
-    """Token rows the index knows under their own or their contracted form."""
-    ids = all_active_ids(index, active, include_curies=True)
+    """Token rows the index knows under their own or their contracted form.
+
+    The ids grow with the index, so they are not broadcast. Tokens that repeat are better counted
+    before than after.
+    """
+    ids = all_active_ids(index, active, include_curies=True).hint("merge")
     return tokens.join(ids.select(F.col("id").alias("token")), "token", "left_semi")
 
 

@@ -55,6 +55,7 @@ def final_plan(spark, name):
 @pytest.mark.parametrize("name, join", [
     ("rename_iris", r"SortMergeJoin \[k#\d+L\], \[k#\d+L\], LeftOuter"), ("exists", r"SortMergeJoin \[\w+#\d+\], \[\w+#\d+\], LeftSemi"),
     ("not_exists", r"SortMergeJoin \[\w+#\d+\], \[\w+#\d+\], LeftAnti"),
+    ("known_tokens", r"SortMergeJoin \[token#\d+\], \[token#\d+\], LeftSemi"),
     ("edit_rows", r"SortMergeJoin \[end#\d+\], \[end#\d+\], LeftOuter")])
 def test_growing_sides_are_not_broadcast(spark, name, join):
     assert re.search(join, final_plan(spark, name))
