@@ -180,6 +180,7 @@ def annotate_text(lines: DataFrame, keys: list[str], text_col: str, labels: Data
     (headings, code blocks). A line's spans come together again per line.
     """
     skip = F.lit(False) if skip is None else skip
+    lines = cut(lines)  # scanned, and joined with what was found
     spans = scan_tokens(lines.where(~skip), keys, text_col)
     shown = (F.concat(F.lit("[[#"), "token", F.lit("]["), "label", F.lit("]]"))
              if style == "link" else F.col("label"))
