@@ -236,6 +236,18 @@ def quoted_label(label: Column) -> Column:
                   ).otherwise(label)
 
 
+# Fixed value: parts into which the rows of one name are dealt.
+NAME_PARTS = 8
+
+
+def dealt_names(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Pieces with (_key, _part) to join on: a name that most axioms hold is dealt in parts, and what
+    is no name goes anywhere (no name begins with a space)."""
+    anywhere = F.concat(F.lit(" "), F.pmod(F.xxhash64(*keys, "_at"), F.lit(4096)).cast("string"))
+    return pieces.withColumns({"_key": F.coalesce("_name", anywhere),
+                               "_part": F.pmod(F.xxhash64(*keys), F.lit(NAME_PARTS)).cast("int")})
+
+
 def axiom_to_labels(axioms: DataFrame, keys: list[str], value_col: str, labels: DataFrame,
                     table: DataFrame) -> DataFrame:
     """Axioms with identifiers replaced by labels: (keys, value, substitutions).
@@ -254,7 +266,8 @@ def axiom_to_labels(axioms: DataFrame, keys: list[str], value_col: str, labels:
         "_name", F.coalesce("curie", "_name").alias("id"))
     found = known.join(labels.where("coalesce(label, '') <> ''"), "id").select(
         "_name", quoted_label(F.col("label")).alias("_new"))
-    shown = pieces.join(found, "_name", "left")
+    found = found.select(F.col("_name").alias("_key"), "_new", F.explode(F.sequence(F.lit(0), F.lit(NAME_PARTS - 1))).alias("_part"))
+    shown = dealt_names(pieces, keys).join(found.hint("merge"), ["_key", "_part"], "left")
     return shown.groupBy(*keys).agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(
             F.struct("_at", F.coalesce("_new", "_piece").alias("t")))), lambda e: e["t"]), "")

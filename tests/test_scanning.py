@@ -101,3 +101,18 @@ def test_balanced_parentheses(spark):
     rows = spark.createDataFrame([(c,) for c in cases], "v string")
     got = {r.v: r.b for r in rows.select("v", X.balanced_parentheses(F.col("v")).alias("b")).collect()}
     assert got == cases
+
+
+def test_a_frequent_name_is_no_single_task(spark):
+    pieces = spark.sql("SELECT id AS doc, a.* FROM range(2000) LATERAL VIEW inline(array(struct(0 AS _at, 'ex:by' AS _name), "
+                       "struct(1 AS _at, CAST(NULL AS string) AS _name), struct(2 AS _at, 'ex:o' || id AS _name))) a")
+    largest = S.dealt_names(pieces, ["doc"]).groupBy("_key", "_part").count().agg({"count": "max"}).first()[0]
+    assert largest < 2000 / 4
+
+
+def test_axioms_show_labels_of_frequent_and_rare_names(spark):
+    axioms = spark.sql("SELECT id AS doc, 'ex:by  (ex:o' || id || ') ex:none' AS value FROM range(50)")
+    labels = spark.sql("SELECT 'ex:by' AS id, 'made by' AS label UNION ALL SELECT 'ex:o' || id, 'O' || id FROM range(0, 50, 2)")
+    table = spark.createDataFrame([("ex", "http://e/")], "prefix string, expansion string")
+    got = {r.doc: (r.value, r.substitutions) for r in S.axiom_to_labels(axioms, ["doc"], "value", labels, table).collect()}
+    assert got == {i: (f"'made by'  (O{i}) ex:none", 2) if i % 2 == 0 else (f"'made by'  (ex:o{i}) ex:none", 1) for i in range(50)}
