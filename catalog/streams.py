@@ -40,13 +40,15 @@ def index_stream(spark, sf):
     """Both versions arrive in two batches, over an index that holds an older state of every
     source; the stored index ends with the newest version of each, whole."""
     rows = versioned(spark, sf)
-    folder = written(spark, f"stream:{sf}", lambda f: rows.repartition(2).write.parquet(f))
+    # Half of the files are a batch; their number, not their size, grows with the input.
+    half = max(1, rows.rdd.getNumPartitions())
+    folder = written(spark, f"stream:{sf}", lambda f: rows.repartition(2 * half, "ord").write.parquet(f))
     base = ensure_checkpoint_dir(spark)
     path = f"{base}/index-{uuid.uuid4().hex}"
     older = rows.select(*SOURCE_KEY).distinct().withColumn("last_modified", F.lit(-1.0))
     first = rows.drop("version").withColumn("value", F.lit("outdated"))
     W.save_index(W.source_batch(first, "stream", older, F.lit(0.0)), path)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", half).parquet(folder)
     live.index_stream(stream, path, f"{base}/stream-{uuid.uuid4().hex}").awaitTermination()
     return W.load_index(spark, path).attributes.select("id", "source", "value", "ord")
 

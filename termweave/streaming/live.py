@@ -18,8 +18,9 @@ from termweave.sources.readers import listed_files
 
 
 def latest_versions(rows: DataFrame) -> DataFrame:
-    """Rows of each source's newest version. `version` orders versions of a source."""
-    newest = rows.groupBy(SOURCE_KEY).agg(F.max("version").alias("version"))
+    """Rows of each source's newest version. `version` orders versions of a source. The versions
+    are a written table: while they are few, no row is shuffled to the task of its source."""
+    newest = cut(rows.groupBy(SOURCE_KEY).agg(F.max("version").alias("version")))
     return rows.join(newest, [*SOURCE_KEY, "version"], "left_semi")
 
 

@@ -83,3 +83,30 @@ def test_files_are_indexed_as_they_arrive(spark, tmp_path):
     run()
     assert {r.id for r in W.load_index(spark, path).entities.collect()} == ids | {"ex:n"}
     assert {r.prefix for r in W.load_index(spark, path).prefixes.collect()} == {"ex", "z"}
+
+
+def test_stream_files_grow_in_number(spark, monkeypatch):
+    """The stream comes in two batches, but no task writes or reads half of all rows."""
+    from catalog import files
+    from catalog.streams import index_stream
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    monkeypatch.setattr(files, "_WRITTEN", {})
+    try:
+        index_stream(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    folder, = files._WRITTEN.values()
+    assert spark.read.parquet(folder).select("_metadata.file_path").distinct().count() > 4
+
+
+def test_newest_versions_shuffle_no_rows(spark):
+    """However many rows there are: their sources are few."""
+    one = rows_of(spark, 1, ("a", "x"))
+    rows = spark.range(1_000_000).select("id").crossJoin(one.drop("id", "version")).selectExpr(
+        "source", "data_source", "id % 2 AS version", "CAST(id AS string) AS id", "label", "prop", "value", "lang", "ord", "seq")
+    newest = live.latest_versions(rows)
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert newest.count() == 500_000
