@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from catalog import query
 from catalog.lift_sql import lifted
 from termweave.operators import patterns as Q
-from termweave.plans.cut import stored
 from termweave.sources import lift
 
 T = """
@@ -18,7 +17,8 @@ T = """
 
 
 def graph(spark, sf):
-    return stored(spark, f"triples:{sf}", lambda: Q.triples(lift.index(spark, sf, True).attributes))
+    """A view, not a table: the constants of a pattern filter the index before rows are made distinct."""
+    return Q.triples(lift.index(spark, sf, True).attributes)
 
 
 def sql(body):

@@ -16,16 +16,17 @@ Pattern = tuple[str, str, str]
 
 
 def triples(rows: DataFrame) -> DataFrame:
-    """Attribute rows as a set of (s, p, o, o_kind, lang, source)."""
+    """Attribute rows as a set of (s, p, o, o_kind, lang, source). The kind follows from the value,
+    so it is told once rows are distinct, and only where it is asked for."""
     prop = F.col("prop")
     for keyword, spelled in SPELLINGS.items():
         prop = F.when(F.col("prop") == keyword, spelled).otherwise(prop)
     node = r"^(<[^<>\s]+>|https?://\S+|([A-Za-z_][-\w.]*)?:[A-Za-z_][-\w./]*)$"
     kind = (F.when(F.startswith("value", F.lit("_:")), "blank")
             .when(F.col("value").rlike(node), "iri").otherwise("literal"))
-    return rows.select(F.col("id").alias("s"), prop.alias("p"), F.col("value").alias("o"),
-                       kind.alias("o_kind"), F.coalesce("lang", F.lit("")).alias("lang"),
-                       "source").distinct()
+    distinct = rows.select(F.col("id").alias("s"), prop.alias("p"), "value",
+                           F.coalesce("lang", F.lit("")).alias("lang"), "source").distinct()
+    return distinct.select("s", "p", F.col("value").alias("o"), kind.alias("o_kind"), "lang", "source")
 
 
 def _variables(pattern: Pattern) -> list[str]:

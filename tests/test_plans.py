@@ -59,3 +59,13 @@ def final_plan(spark, name):
     ("edit_rows", r"SortMergeJoin \[end#\d+\], \[end#\d+\], LeftOuter")])
 def test_growing_sides_are_not_broadcast(spark, name, join):
     assert re.search(join, final_plan(spark, name))
+
+
+def test_constants_of_a_pattern_filter_before_the_distinct(spark):
+    """No table of all triples: few of them match, and nobody asks for the kind of a value."""
+    from catalog.graphs import match
+
+    plan = match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    sides = plan.split("Aggregate")[1:]
+    assert len(sides) == 2 and all("Filter" in side and "rdf" in side for side in sides)
+    assert "RLIKE" not in plan
