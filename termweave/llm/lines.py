@@ -33,15 +33,52 @@ LINE = 20
 PASSAGE = 50
 SLICE = 256  # texts
 HELD = 500_000  # numbers handed on at once
+WORDS = 1 << 14  # hashed at a time
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    import xxhash
-
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """A hash of each word, for each text. All texts are hashed at once: a polynomial of the word's
+    bytes, each byte a random number, is the difference of two running sums, brought to the
+    power at which a word begins."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    joined = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+    # A word begins after white space and ends before it; both are places in `inside`.
+    inside = _IS_WORD[joined]
+    starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+    ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+    if not len(starts):
+        return [np.empty(0, np.uint64) for _ in raw]
+    out = np.empty(len(starts), np.uint64)
+    with np.errstate(over="ignore"):
+        for at in range(0, len(starts), WORDS):
+            a, b = starts[at:at + WORDS], ends[at:at + WORDS]
+            low, high = int(a[0]), int(b[-1])
+            power, inverse = _powers(high - low)
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_VALUES[joined[low:high]] * power[:high - low], out=sums[1:])
+            out[at:at + WORDS] = (sums[b - low] - sums[a - low]) * inverse[a - low]
+        out = _mixed(out)
+    # Texts lie one after the other, with a newline before each.
+    begins = np.cumsum([1, *(len(r) + 1 for r in raw)])
+    return np.split(out, np.searchsorted(starts, begins[1:-1]))
+
+
+_IS_WORD = np.ones(256, bool)
+_IS_WORD[[9, 10, 11, 12, 13, 32]] = False
+_VALUES = np.random.default_rng(20).integers(0, 1 << 64, 256, np.uint64)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number modulo 2^64 and of its inverse, from 0 up."""
+    if not _POWERS or len(_POWERS[0]) < size:
+        base, count = 0xD6E8FEB86659FD93, max(1 << 16, 2 * size)
+        with np.errstate(over="ignore"):
+            _POWERS[:] = [np.cumprod(np.r_[np.uint64(1), np.full(count - 1, b, np.uint64)], dtype=np.uint64)
+                          for b in (base, pow(base, -1, 1 << 64))]
+    return _POWERS[0], _POWERS[1]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -118,10 +155,11 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     def mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches):
             sizes, prints, twice = [], [], []
-            for text in batch["text"]:
-                words = word_hashes(text)
+            for words in word_hashes(batch["text"].tolist()):
                 lines = run_hashes(words, line, _BASES[0])
-                values = np.unique(window_minima(lines, passage - line + 1))
+                least = window_minima(lines, passage - line + 1)
+                # Windows in a row mostly select the same line.
+                values = np.unique(least[np.r_[True, least[1:] != least[:-1]]] if len(least) else least)
                 ordered = np.sort(lines)
                 again = ordered[1:][ordered[1:] == ordered[:-1]]
                 counts = np.isin(values, again) if len(again) else np.zeros(len(values), bool)
@@ -159,8 +197,8 @@ def repeated_runs(docs: DataFrame, line: int = LINE, passage: int = PASSAGE) ->
     def extend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in _slices(batches):
             out, size = [], 0
-            for doc, key, text, held in zip(batch["doc_id"].astype("Int64"), batch["text_key"], batch["text"], batch["prints"]):
-                words = word_hashes(text)
+            for doc, key, words, held in zip(batch["doc_id"].astype("Int64"), batch["text_key"], word_hashes(batch["text"].tolist()),
+                                             batch["prints"]):
                 least = selected(words, line, passage)
                 heads = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
                 ends = np.r_[heads[1:], len(least)]
