@@ -2,39 +2,45 @@
 
 A state emits words. Every training word has expected counts of its own in every state, whatever
 the size of the corpus; they lie in a table (word, state) that grows with the vocabulary and that
-no task and not the driver holds as a whole. One end follows each text, and one symbol stands for
+no task and not the driver holds as a whole: words are dealt to bins by their hash, and a row of
+the table is a bin. One end follows each text, and one symbol stands for
 words that training has not seen. Emissions are the expected counts plus a prior that is shared
 out by the smoothed unigram model, so they add up to one over all training words, the end and the
 unseen word.
 
 Texts are dealt to blocks of bounded size, each with a list of its own distinct words. Training is
-Baum-Welch: in every round the emissions of a block's words are joined to the block, forward and
-backward run over its training texts, and the expected counts of all blocks are added per word by
-a shuffle. Scores come from the scaled forward recursion, which is exact.
+Baum-Welch: in every round each bin tells each block the emissions of the words they share, forward
+and backward run over the block's training texts, and the expected counts of all blocks are added
+per bin. What a bin and a block tell each other is one row of packed numbers; only the first
+pass sees words. Scores come from the scaled forward recursion, which is exact.
 """
 
 from __future__ import annotations
 
 import gc
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termweave.llm.tables import written
+from termweave.llm.tables import drop_path, new_path, written
 
 STATES = 8
 ROUNDS = 4
 SEEDS = 256  # texts that the first states are drawn from
 FOLDS, HELD_OUT = 7, 2
 CELLS = 200_000  # tokens that texts computed at a time may have, padding included
-BLOCK = 1 << 20  # tokens after which a block of texts is closed
+BLOCK = 1 << 22  # tokens after which a block of texts is closed
+BIN = 1 << 24  # bytes of text per bin of words
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_START, _END, _MOVE = -1, -2, -3  # ids of rows that hold starts, ends and, from _MOVE down, moves
+CODED = "block long, doc_id string, held_out boolean, symbols binary, bin long, words binary, places binary, counts binary"
+TABLE = "bin long, counts binary, shares binary, sums array<double>"
 
 
 def held_out(doc_id: Column) -> Column:
@@ -45,6 +51,26 @@ def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes, then all second ones and so on, compressed."""
+    planes = _planes(values)
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes, kind: str) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return _of_planes(pa.decompress(data[8:], size, "zstd", asbytes=True), kind)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    return np.ascontiguousarray(values).reshape(-1, 1).view(np.uint8).T.tobytes()
+
+
+def _of_planes(data: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+
+
 class Model:
     """Start, transitions and emissions."""
 
@@ -64,21 +90,21 @@ class Chain:
     ends: int  # training texts
     whole: float  # training tokens, their kinds and one
 
-    def of_block(self, size: int, given: pd.DataFrame) -> tuple[Model, np.ndarray]:
-        """The model over the symbols of a block, and their training counts. Symbols that `given`
-        (place, c and a column per state) does not list are unseen words."""
-        states = len(self.start)
-        counts, seen = np.zeros((size, states)), np.zeros(size)
-        own = given[given["place"] < size]
-        counts[own["place"]] = own[_columns(states)].fillna(0.0)
-        seen[own["place"]] = own["c"]
-        counts[0], seen[0] = self.end, self.ends
+    def emissions(self, expected: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Emissions (word, state) of words with these expected and training counts."""
         share = (seen + 1.0)[:, None] / self.whole
-        return Model(self.start, self.move, ((counts + self.prior * share) / (self.total + self.prior)).T), seen
-
+        return ((expected.reshape(-1, len(self.start)) + self.prior * share) / (self.total + self.prior)).astype("<f4")
 
-def _columns(states: int) -> list[str]:
-    return [f"e{k}" for k in range(states)]
+    def of_block(self, texts: list[np.ndarray], told: pd.DataFrame) -> Model:
+        """The model over the symbols of a block. Symbols that `told` does not place are unseen words."""
+        states = len(self.start)
+        places = [_unpacked(p, "<u4") for p in told["places"]]
+        emit = np.empty((1 + max(int(x.max()) for x in [*texts, *places] if len(x)), states))
+        emit[:] = self.emissions(np.zeros(states), np.zeros(1))
+        emit[0] = self.emissions(self.end, np.array([self.ends]))
+        for at, given in zip(places, told["emissions"]):
+            emit[at] = _unpacked(given, "<f4").reshape(-1, states)
+        return Model(self.start, self.move, emit.T)
 
 
 def _blocks(texts: list[np.ndarray]) -> Iterator[list[int]]:
@@ -161,23 +187,38 @@ def expected_counts(model: Model, texts: list[np.ndarray]) -> tuple[np.ndarray,
     return start, move * model.move, emit
 
 
-def _coded(docs: DataFrame) -> DataFrame:
+def _bins(docs: DataFrame) -> int:
+    """How many bins the words are dealt to; they grow with the texts, so that a bin does not."""
+    return 1 + (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BIN
+
+
+def _coded(docs: DataFrame, bins: int) -> DataFrame:
     """Rows of two kinds. A text: its block, id, whether held out, and its symbols, which are places
-    in the list of words of the block, 0 the end. A block: its words, and their counts in the
-    training texts of the block."""
+    in the list of words of the block, 0 the end. A bin of a block: its words, their places and
+    their counts in the training texts of the block."""
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         places: defaultdict = defaultdict()
         places.default_factory = places.__len__
         texts, tokens, number = [], 0, 0
 
         def closed() -> pd.DataFrame:
-            kind = "<u2" if len(places) <= 1 << 16 else "<u4"
-            trained = [ids for _, held, ids in texts if not held]
+            # Frequent words come first, so that high bytes of symbols are few.
+            spoken = np.bincount(np.concatenate([ids for _, _, ids in texts]), minlength=len(places))
+            order = np.r_[0, 1 + np.argsort(-spoken[1:], kind="stable")]
+            place = np.empty(len(order), "<u4")
+            place[order] = np.arange(len(order))
+            trained = [place[ids] for _, held, ids in texts if not held]
             counts = np.bincount(np.concatenate([np.empty(0, np.int64), *trained]), minlength=len(places))
-            frame = pd.DataFrame([(d, held, ids.astype(kind).tobytes()) for d, held, ids in texts], columns=["doc_id", "held_out", "symbols"])
-            listed = pd.DataFrame({"words": [[w.decode("utf-8", "surrogatepass") for w in places]], "counts": [counts]})
-            out = pd.concat([frame, listed], ignore_index=True).assign(block=(part << 32) + number, wide=kind == "<u4")
-            return out.astype(object).where(out.notna(), None)[["block", "wide", "doc_id", "held_out", "symbols", "words", "counts"]]
+            frame = pd.DataFrame([(d, held, _planes(place[ids])) for d, held, ids in texts], columns=["doc_id", "held_out", "symbols"])
+            names = list(places)
+            names = [names[i] for i in order]
+            dealt = np.array([0, *(zlib.crc32(w) % bins for w in names[1:])])
+            order = 1 + np.argsort(dealt[1:], kind="stable")
+            listed = pd.DataFrame([(int(dealt[of[0]]), b"\n".join([names[i] for i in of]), _packed(of.astype("<u4")), _packed(counts[of].astype("<u4")))
+                                   for of in np.split(order, 1 + np.flatnonzero(np.diff(dealt[order]))) if len(of)],
+                                  columns=["bin", "words", "places", "counts"])
+            out = pd.concat([frame, listed], ignore_index=True).assign(block=(part << 32) + number, kind=["text"] * len(frame) + ["words"] * len(listed))
+            return out.astype(object).where(out.notna(), None)[["block", "doc_id", "held_out", "symbols", "bin", "words", "places", "counts", "kind"]]
 
         part = 0
         for batch in batches:
@@ -186,7 +227,7 @@ def _coded(docs: DataFrame) -> DataFrame:
                     places[b""] = 0
                 found = _words(text)
                 found.append(b"")
-                texts.append((doc, held, np.fromiter(map(places.__getitem__, found), np.int64, len(found))))
+                texts.append((doc, held, np.fromiter(map(places.__getitem__, found), np.uint32, len(found))))
                 tokens += len(found)
                 if tokens >= BLOCK:
                     yield closed()
@@ -197,18 +238,45 @@ def _coded(docs: DataFrame) -> DataFrame:
 
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").cast("string").alias("doc_id"),
                        held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInPandas(code, "block long, wide boolean, doc_id string, held_out boolean, symbols binary, "
-                                  "words array<string>, counts array<long>")
+    return rows.mapInPandas(code, f"{CODED}, kind string")
 
 
 def _decoded(texts: pd.DataFrame) -> list[np.ndarray]:
-    return [np.frombuffer(s, "<u4" if w else "<u2").astype(np.int64) for s, w in zip(texts["symbols"], texts["wide"])]
-
-
-def _seeded(docs: DataFrame, words: DataFrame, states: int) -> tuple[DataFrame, np.ndarray]:
-    """Shares of words and of the end in the first states. Each state leans to a text unlike those
-    of the other states (farthest first), among the training texts that come first by hash, copies
-    counted once."""
+    return [_of_planes(s, "<u4").astype(np.int64) for s in texts["symbols"]]
+
+
+def _linked(listed: DataFrame, seeds: tuple[dict, np.ndarray]) -> DataFrame:
+    """Training words numbered within their bin. Rows of two kinds. A link (with a block): places in
+    the block and numbers of its words that are in the bin. A bin (no block): the words' counts and
+    their shares in the first states."""
+    shared = listed.sparkSession.sparkContext.broadcast(seeds)
+    columns = ["bin", "block", "places", "numbers", "counts", "shares"]
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        numbers: defaultdict = defaultdict()
+        numbers.default_factory = numbers.__len__
+        found = [np.fromiter(map(numbers.__getitem__, words.split(b"\n")), np.int64) for words in rows["words"]]
+        total = np.zeros(len(numbers), np.int64)
+        for ids, counts in zip(found, rows["counts"]):
+            total[ids] += _unpacked(counts, "<u4")
+        kept, (of, vectors) = total > 0, shared.value
+        number = np.cumsum(kept) - 1
+        out = []
+        for block, ids, places in zip(rows["block"], found, rows["places"]):
+            known = kept[ids]
+            out.append((block, _packed(_unpacked(places, "<u4")[known]), _packed(number[ids[known]].astype("<u4")), None, None))
+        own = np.fromiter((of.get(w, -1) for w in numbers), np.int64, len(numbers))[kept]
+        shares = np.where(own[:, None] >= 0, vectors[own], 0).astype("<f4")
+        out.append((None, None, None, _packed(total[kept]), _packed(shares)))
+        return pd.DataFrame(out, columns=columns[1:]).astype(object).assign(bin=rows["bin"].iloc[0])[columns]
+
+    return listed.groupBy("bin").applyInPandas(link, "bin long, block long, places binary, numbers binary, counts binary, shares binary")
+
+
+def _seeded(docs: DataFrame, states: int) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
+    """Shares of words and of the end in the first states: the row of each word, the rows, and that
+    of the end. Each state leans to a text unlike those of the other states (farthest first), among
+    the training texts that come first by hash, copies counted once."""
     texts = docs.where(~held_out(F.col("doc_id"))).select(F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     first = [r["h"] for r in texts.select("h").distinct().orderBy("h").limit(SEEDS).collect()]
     found = texts.where(F.col("h").isin(first)).groupBy("h").agg(F.min("text").alias("text")).collect() if first else []
@@ -230,38 +298,70 @@ def _seeded(docs: DataFrame, words: DataFrame, states: int) -> tuple[DataFrame,
             if (group == k).any():
                 own[k] = histograms[group == k].sum(axis=0)
     own /= own.sum(axis=1, keepdims=True)
-    table = pd.DataFrame(own.T.astype(np.float32), columns=_columns(states)).assign(word=[w.decode("utf-8", "surrogatepass") for w in kinds])
-    shares = docs.sparkSession.createDataFrame(table, ", ".join([*(f"{c} float" for c in _columns(states)), "word string"]))
-    return words.join(F.broadcast(shares), "word").select("id", *_columns(states)), own[:, places[b""]]
+    return places, own.T.astype(np.float32), own[:, places[b""]]
 
 
-def _next(spoken: DataFrame, listed: DataFrame, table: DataFrame, chain: Chain) -> DataFrame:
-    """Expected counts (id, a column per state): one row per word with any, and rows for starts,
-    ends and moves."""
+def _told(linked: DataFrame, table: DataFrame, chain: Chain, counted: bool = False) -> DataFrame:
+    """The emissions of the words of each block, and if `counted` their training counts, a row for
+    each bin."""
+    shared = linked.sparkSession.sparkContext.broadcast(chain)
+
+    def tell(links: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bin", "block", "places", "emissions", "counts"]
+        if not len(links) or not len(given):
+            return pd.DataFrame(columns=columns)
+        counts = _unpacked(given["counts"].iloc[0], "<i8")
+        emissions = shared.value.emissions(_unpacked(given["shares"].iloc[0], "<f4"), counts)
+        numbers = [_unpacked(n, "<u4") for n in links["numbers"]]
+        return links[["bin", "block", "places"]].assign(
+            emissions=[_packed(emissions[n]) for n in numbers], counts=[_packed(counts[n]) if counted else b"" for n in numbers])[columns]
+
+    return linked.where("block is not null").select("bin", "block", "places", "numbers").groupBy("bin").cogroup(
+        table.where("bin >= 0").select("bin", "counts", "shares").groupBy("bin")).applyInPandas(
+            tell, "bin long, block long, places binary, emissions binary, counts binary")
+
+
+def _next(spoken: DataFrame, linked: DataFrame, table: DataFrame, chain: Chain) -> DataFrame:
+    """A row per bin: counts and expected counts (shares) of its words, and their sum per state; and
+    one, of bin -1, whose sums are starts, ends and moves."""
     states = len(chain.start)
-    columns = _columns(states)
     shared = spoken.sparkSession.sparkContext.broadcast(chain)
 
-    def count(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    def count(texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bin", "block", "found"]
         if not len(texts):
-            return pd.DataFrame(columns=["id", *columns])
+            return pd.DataFrame(columns=columns)
         decoded = _decoded(texts)
-        model, _ = shared.value.of_block(1 + max(int(t.max()) for t in decoded), given)
-        start, move, emit = expected_counts(model, decoded)
-        given = given[given["place"] < emit.shape[1]]
-        flat = np.vstack([start, emit[:, 0], move, emit.T[given["place"]]])
-        ids = np.r_[_START, _END, _MOVE - np.arange(states), given["id"].to_numpy(np.int64)]
-        kept = flat.any(axis=1)
-        return pd.DataFrame(flat[kept], columns=columns).assign(id=ids[kept])[["id", *columns]]
-
-    schema = ", ".join(["id long", *(f"{c} float" for c in columns)])
-    counted = _joined(spoken.select("block", "wide", "symbols"), listed, table).applyInPandas(count, schema)
-    return counted.groupBy("id").agg(*[F.sum(F.col(c).cast("double")).cast("float").alias(c) for c in columns])
-
-
-def _joined(texts: DataFrame, listed: DataFrame, table: DataFrame):
-    """Texts of a block beside its words and their expected counts."""
-    return texts.groupBy("block").cogroup(listed.join(table, "id", "left").groupBy("block"))
+        start, move, emit = expected_counts(shared.value.of_block(decoded, told), decoded)
+        by_word = np.ascontiguousarray(emit.T, "<f4")
+        found = [_packed(by_word[_unpacked(p, "<u4")]) for p in told["places"]]
+        out = told[["bin", "block"]].assign(found=found)
+        out.loc[len(out)] = [-1, texts["block"].iloc[0], _packed(np.r_[start, emit[:, 0], move.ravel()])]
+        return out[columns]
+
+    def add(links: pd.DataFrame, counted: pd.DataFrame) -> pd.DataFrame:
+        columns = ["bin", "counts", "shares", "sums"]
+        if not len(links):
+            if not len(counted):
+                return pd.DataFrame(columns=columns)
+            return pd.DataFrame([(-1, None, None, sum(_unpacked(f, "<f8") for f in counted["found"]))], columns=columns)
+        own = links["block"].isna()
+        counts = links["counts"][own].iloc[0]
+        sums = np.zeros((len(_unpacked(counts, "<i8")), states))
+        numbers = dict(zip(links["block"][~own].astype(np.int64), links["numbers"][~own]))
+        for block, found in zip(counted["block"], counted["found"]):
+            sums[_unpacked(numbers[block], "<u4")] += _unpacked(found, "<f4").reshape(-1, states)
+        return pd.DataFrame([(links["bin"].iloc[0], counts, _packed(sums.astype("<f4")), sums.sum(axis=0))], columns=columns)
+
+    counted = _joined(spoken.select("block", "symbols"), _told(linked, table, chain)).applyInPandas(
+        count, "bin long, block long, found binary")
+    return linked.select("bin", "block", "numbers", "counts").groupBy("bin").cogroup(counted.groupBy("bin")).applyInPandas(
+        add, TABLE)
+
+
+def _joined(texts: DataFrame, told: DataFrame):
+    """Texts of a block beside the emissions of its words."""
+    return texts.groupBy("block").cogroup(told.groupBy("block"))
 
 
 def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, prior: float | None = None) -> DataFrame:
@@ -274,28 +374,42 @@ def score_texts(docs: DataFrame, states: int = STATES, rounds: int = ROUNDS, pri
     `prior` in each state, the mean number of kinds a state has if it is not given.
     """
     spark = docs.sparkSession
-    coded = written(_coded(docs))
-    texts, blocks = coded.where("symbols is not null"), coded.where("words is not null")
+    coded = new_path(spark, "coded")
+    _coded(docs, _bins(docs)).write.partitionBy("kind").option("compression", "zstd").parquet(coded)
+    texts, listed = (spark.read.schema(f"{CODED}, kind string").parquet(coded).where(F.col("kind") == kind) for kind in ("text", "words"))
     spoken = texts.where("not held_out")
-    counted = blocks.select(F.explode(F.arrays_zip("words", "counts")).alias("x")).groupBy(F.col("x.words").alias("word")).agg(
-        F.sum("x.counts").alias("c")).where("c > 0 and word <> ''")
-    words = written(counted.withColumn("id", F.monotonically_increasing_id()))
-    listed = written(blocks.select("block", F.posexplode("words").alias("place", "word")).join(words, "word").select("block", "place", "id", "c"))
+    rows, vectors, end = _seeded(docs, states)
+    linked = written(_linked(listed.select("bin", "block", "words", "places", "counts"), (rows, vectors)))
+    drop_path(spark, f"{coded}/kind=words")
     _sweep(spark)
     ends = spoken.count()
-    sums = words.agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    tokens, kinds = (sums["n"] or 0) + ends, sums["v"] + (ends > 0)
+    counts = _counted(linked)
+    tokens, kinds = counts[0] + ends, counts[1] + (ends > 0)
 
     move = np.full((states, states), 0.1 / max(states - 1, 1))
     np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
-    table, end = _seeded(docs, words, states)
-    table = written(table)
+    table, path = linked.where("block is null"), None
     chain = Chain(np.full(states, 1 / states), move, end, np.ones(states), 1.0, ends, float(tokens + kinds + 1))
     for _ in range(rounds):
-        table = written(_next(spoken, listed, table, chain))
+        before, path = path, new_path(spark, "table")
+        _next(spoken, linked, table, chain).write.parquet(path)
+        if before:
+            drop_path(spark, before)
+        table = spark.read.schema(TABLE).parquet(path)
         chain = _updated(table, chain, (kinds + 1) / states if prior is None else prior)
         _sweep(spark)
-    return _scored(texts, listed, table, chain, tokens)
+    return _scored(texts, linked, table, chain, tokens)
+
+
+def _counted(linked: DataFrame) -> tuple[int, int]:
+    """Training tokens and kinds, without the end."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            counts = [_unpacked(c, "<i8") for c in batch["counts"]]
+            yield pd.DataFrame({"n": [int(c.sum()) for c in counts], "v": [len(c) for c in counts]})
+
+    found = linked.where("block is null").select("counts").mapInPandas(count, "n long, v long").agg(F.sum("n"), F.sum("v")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def _sweep(spark: SparkSession) -> None:
@@ -305,33 +419,39 @@ def _sweep(spark: SparkSession) -> None:
 
 
 def _updated(table: DataFrame, chain: Chain, prior: float) -> Chain:
-    columns = _columns(len(chain.start))
-    few = {r["id"]: np.array(r[1:], float) for r in table.where("id < 0").select("id", *columns).collect()}
-    none = np.zeros(len(columns))
-    of_words = table.where(f"id >= 0 or id = {_END}").agg(*[F.sum(F.col(c).cast("double")) for c in columns]).first()
-    start = few.get(_START, none) + 0.1
+    states = len(chain.start)
+    size = states * (2 + states)
+    few = table.where("bin < 0").select("sums").first()
+    few = np.array(few["sums"]) if few else np.zeros(size)
+    of_words = table.where("bin >= 0").agg(*[F.sum(F.get("sums", F.lit(k))) for k in range(states)]).first()
+    end = few[states:2 * states]
+    start = few[:states] + 0.1
     # A row of moves that is kept is that of the state that is left.
-    move = np.array([few.get(_MOVE - k, none) for k in range(len(columns))]) + 0.1
-    return Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), few.get(_END, none),
-                 np.array([x or 0.0 for x in of_words]), prior, chain.ends, chain.whole)
+    move = few[2 * states:].reshape(states, states) + 0.1
+    return Chain(start / start.sum(), move / move.sum(axis=1, keepdims=True), end,
+                 end + np.array([x or 0.0 for x in of_words]), prior, chain.ends, chain.whole)
 
 
-def _scored(texts: DataFrame, listed: DataFrame, table: DataFrame, chain: Chain, tokens: int) -> DataFrame:
+def _scored(texts: DataFrame, linked: DataFrame, table: DataFrame, chain: Chain, tokens: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(chain)
 
-    def score(own: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    def score(own: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         columns = ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"]
         if not len(own):
             return pd.DataFrame(columns=columns)
         decoded = _decoded(own)
-        model, seen = shared.value.of_block(1 + max(int(t.max()) for t in decoded), given)
+        model = shared.value.of_block(decoded, told)
+        seen = np.zeros(model.emit.shape[1])
+        seen[0] = shared.value.ends
+        for places, counts in zip(told["places"], told["counts"]):
+            seen[_unpacked(places, "<u4")] = _unpacked(counts, "<i8")
         lengths, known, logs = np.array([len(t) for t in decoded]), seen > 0, np.log10(seen + 1.0)
         base = np.array([logs[t].sum() for t in decoded]) - lengths * np.log10(shared.value.whole)
         return pd.DataFrame({"doc_id": own["doc_id"], "held_out": own["held_out"], "n_tokens": lengths,
                              "n_known": [int(known[t].sum()) for t in decoded], "base_score": base,
                              "score": log_likelihoods(model, decoded) / np.log(10)})[columns]
 
-    rows = _joined(texts.select("block", "wide", "doc_id", "held_out", "symbols"), listed, table).applyInPandas(
+    rows = _joined(texts.select("block", "doc_id", "held_out", "symbols"), _told(linked, table, chain, True)).applyInPandas(
         score, "doc_id string, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return rows.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", "n_known",
                        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
