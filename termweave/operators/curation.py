@@ -357,6 +357,19 @@ def fold_into_parent(ids: DataFrame, nodes: DataFrame, rows: DataFrame) -> tuple
 def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) of a batch of edits (edit_no, id, op, keyword, fragment, match).
 
+    Rows of a term and keyword that no edit names stay as they are, and only the others are worked
+    through; see `_worked_through`.
+    """
+    out, others, errors = _worked_through(edits, rows)
+    left = out.where("coalesce(end, '') <> 'gone'").select(
+        "id", "added", "row_id", "keyword", F.coalesce("_text", "value").alias("value"))
+    return left.unionByName(others.select("id", F.lit(0).alias("added"), "row_id", "keyword", "value")), errors
+
+
+def _worked_through(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(worked, others, errors): rows that edits name and rows added, each with `end`, NULL where it
+    is left alone and `gone` where it is deleted, and `_text`, its new value; then all other rows.
+
     `rows` is (id, row_id, keyword, value). Edits apply in order of edit_no: `add`;
     `replace` and `delete` of the one row of the keyword (whose value is `match`, when
     given, up to white space); `delete-empty` of all blank rows. None or several matches
@@ -377,6 +390,9 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     sweeps = e.where("op = 'delete-empty'").withColumnRenamed("keyword", "_k").join(pairs, "id").where(
         F.col("_k").isNull() | (F.col("_k") == F.col("keyword"))).drop("_k")
     e = e.where("op <> 'delete-empty'").unionByName(sweeps)
+    named = cut(e.select(*[F.col(c).alias("_" + c) for c in key]).distinct()).hint("merge")
+    same = F.col("id").eqNullSafe(F.col("_id")) & F.col("keyword").eqNullSafe(F.col("_keyword"))
+    others, rows = rows.join(named, same, "left_anti"), rows.join(named, same, "left_semi")
     e = running_sum(e, key, "edit_no", F.col("loose").cast("int"), "_seg")
     e = e.withColumn("seg", F.when(F.col("loose"), F.col("_seg") - 1).otherwise(F.col("_seg")))
 
@@ -429,10 +445,8 @@ def edit_rows(edits: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     added = e.where("op = 'add'").select("id", no.alias("row_id"), "keyword", F.col("fragment").alias("value"),
                                          own.alias("token"), F.lit(1).alias("added"))
     base = rows.select("id", "row_id", "keyword", "value", row_token.alias("token"), F.lit(0).alias("added"))
-    out = base.unionByName(added).join(final.hint("merge"), "token", "left").where("coalesce(end, '') <> 'gone'").join(
-        texts.hint("merge"), "end", "left")
-    result = out.select("id", "added", "row_id", "keyword", F.coalesce("_text", "value").alias("value"))
-    return result, errors
+    out = base.unionByName(added).join(final.hint("merge"), "token", "left").join(texts.hint("merge"), "end", "left")
+    return out.select("id", "added", "row_id", "keyword", "value", "end", "_text"), others, errors
 
 
 def _chain_ends(links: DataFrame) -> DataFrame:
@@ -460,9 +474,14 @@ def sweep_empty_rows(rows: DataFrame, ids: DataFrame, keyword: str | None = None
 def check_edits(edits: DataFrame, rows: DataFrame, types: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(issues, errors): what a batch of edits would introduce, without keeping it.
 
-    `types` is (source, id, rdf_type). Issues are compared without row places, as a bag.
+    `types` is (source, id, rdf_type). Issues are compared without row places, as a bag. A row has
+    its issues whatever the other rows are, so those of rows left alone are the same before and
+    after and only rows that come or go are checked.
     """
-    draft, errors = edit_rows(edits, rows)
+    out, _others, errors = _worked_through(edits, rows)
+    out = cut(out.where("added = 1 OR end IS NOT NULL"))
+    come = out.where("coalesce(end, '') <> 'gone'").select("id", "keyword", F.coalesce("_text", "value").alias("value"))
+    go = out.where("added = 0").select("id", "keyword", "value")
     declared_ = C.declared_terms(types, [])
     sections = types.groupBy("id").agg(F.min("rdf_type").alias("_t")).select(
         F.col("id").alias("subject"), C.section_suffix(F.col("_t")).alias("section"))
@@ -474,7 +493,7 @@ def check_edits(edits: DataFrame, rows: DataFrame, types: DataFrame) -> tuple[Da
         return _union([C.check_axiom_ids(described, declared_, []), C.check_keyword_section(described),
                        C.check_keyword_range(described, declared_, []), C.check_blank_axiom(described)])
 
-    return issues(draft).exceptAll(issues(rows)), errors
+    return issues(come).exceptAll(issues(go)), errors
 
 
 # --- adding -------------------------------------------------------------------------

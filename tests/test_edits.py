@@ -135,3 +135,30 @@ def test_edits_that_cannot_work_change_nothing(spark):
     assert {r.edit_no for r in errors.collect()} == {1, 2, 4}
     assert sorted((r.id, r.row_id, r.value) for r in out.collect()) == [
         ("a", 1, "x"), ("a", 2, "y"), ("b", 3, "w"), ("c", 4, "z"), ("c", 5, " z")]
+
+
+def test_only_rows_that_come_or_go_are_checked(spark, monkeypatch):
+    """Rows that no edit names are neither worked through nor checked, and issues are those of all."""
+    rows = [("ex:a", 4, "Types", "ex:C"), ("ex:a", 8, "Types", "no:1"), ("ex:b", 4, "Types", "no:1"), ("ex:c", 4, "SameAs", " ")]
+    rows += [(f"ex:n{i}", 4, "Types", "no:2") for i in range(300)]
+    rows += [(None, 4, "Types", "no:3"), ("ex:a", 12, None, "x")]
+    edits = [(1, "ex:a", "replace", "Types", "no:1", "ex:C"), (2, "ex:b", "replace", "Types", "no:4", None),
+             (3, "ex:c", "delete-empty", None, None, None), (4, "ex:c", "add", "SameAs", " ", None), (5, "ex:a", "add", "Domain", "ex:C", None),
+             (6, "ex:a", "delete", None, None, "x")]
+    frame = spark.createDataFrame(rows, ROWS)
+    types = spark.createDataFrame([("s", i, t) for i, t in [("ex:a", "owl:NamedIndividual"), ("ex:b", "owl:NamedIndividual"),
+                                                            ("ex:c", "owl:NamedIndividual"), ("ex:C", "owl:Class")]], "source string, id string, rdf_type string")
+    checked, plain = [], K.C.check_blank_axiom
+
+    def noted(described):
+        checked.append(described.count())
+        return plain(described)
+
+    monkeypatch.setattr(K.C, "check_blank_axiom", noted)
+    issues, errors = K.check_edits(spark.createDataFrame(edits, EDITS), frame, types)
+    assert sorted((r.check, r.subject, r.message.split(": ")[-1]) for r in issues.collect()) == [
+        ("axiom-names", "ex:a", "no:1"), ("axiom-names", "ex:b", "no:4"), ("keyword-section", "ex:a", "ERROR: Domain is not valid in section -individuals".split(": ")[-1])]
+    assert errors.count() == 0
+    assert sorted(checked) == [4, 4]
+    left, _errors = K.edit_rows(spark.createDataFrame(edits, EDITS), frame)
+    assert left.count() == len(rows) + 2 - 2
