@@ -73,14 +73,16 @@ def _manifest_written(manifest: DataFrame, path: str) -> None:
 
 
 def _write_rows(index: Index, path: str, commit: str) -> None:
-    """Rows in the order of their source and id within files, so that scans can skip."""
+    """Rows dealt to even tasks, and in the order of their source and id within files, so that scans can skip."""
     for table, schema in ROW_TABLES.items():
         _rows_written(getattr(index, table).select(*_names(schema)), path, table, commit)
 
 
 def _rows_written(rows: DataFrame, path: str, table: str, commit: str) -> None:
     order = [c for c in (*SOURCE_KEY, "id") if c in rows.columns]
-    rows.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/data/{table}/commit={commit}")
+    # A task sorts a share of bounded size, however many rows a file or a source has.
+    dealt = rows.hint("rebalance", *order, *[c for c in ["prefix"] if c in rows.columns])
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/data/{table}/commit={commit}")
 
 
 def save_index(index: Index, path: str) -> None:

@@ -159,3 +159,22 @@ def test_nothing_stored(spark, tmp_path):
         V.load_index(spark, str(tmp_path / "none"))
     assert V.update_stored(spark, str(tmp_path / "new"), batch_of(spark, 1, *OLD))
     assert len(content(spark, str(tmp_path / "new"))[0]) == 3
+
+
+def test_rows_are_sorted_in_even_tasks(spark, tmp_path):
+    """Rows of one file and one source are dealt to several tasks before they are sorted."""
+    rows = spark.range(40_000).coalesce(1).selectExpr("concat('ex:', id) AS id", "'p' AS prop", "concat('value ', id * 7919 % 40009) AS value",
+                                                      "'' AS lang", "'s' AS source", "'' AS data_source", "id AS ord")
+    small = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    before = {name: spark.conf.get(name) for name in small}
+    try:
+        for name in small:
+            spark.conf.set(name, "20k")
+        V._rows_written(rows, str(tmp_path), "attributes", "c1")
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    back = spark.read.parquet(f"{tmp_path}/data/attributes/commit=c1")
+    assert back.exceptAll(rows).isEmpty() and back.count() == 40_000
+    sizes = [spark.read.parquet(str(p)).count() for p in (tmp_path / "data/attributes/commit=c1").glob("part-*.parquet")]
+    assert len(sizes) > 2 and max(sizes) < 20_000
